@@ -85,3 +85,86 @@ def q_spectrum_by_series(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.concat(F.lit(RESULT_ID + "-"), F.col("event_type")),
                     order_by=["ts", "event_id"], series=["event_type"],
                     with_created_time=False)
+
+
+# --------------------------------------------------------------- cleaning
+from wavelake.operators.blocks import clean_blocks, ordered_blocks  # noqa: E402
+from wavelake.operators.clean import (drop_all_null, drop_noise_lines,  # noqa: E402
+                                      parse_fields)
+from wavelake.operators.quality import quality_counts  # noqa: E402
+from wavelake.plans import derived  # noqa: E402
+
+_SPARSE = f"sparse AS ({derived.SPARSE_EVENTS_SQL})"
+_LINES = f"lines AS ({derived.EVENT_LINES_SQL})"
+
+
+@query("drop_all_null", oracle=f"""
+WITH {_SPARSE}
+SELECT * FROM sparse WHERE NOT ({derived.SPARSE_ALL_NULL_SQL})
+""")
+def q_drop_all_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T1 on a landed table with null cells and all-null rows."""
+    return drop_all_null(derived.sparse_events(table(spark, sf_dir, "events")))
+
+
+@query("quality_counts", oracle=f"""
+WITH {_SPARSE}
+SELECT count(*) AS raw_rows,
+       count(*) FILTER (WHERE NOT ({derived.SPARSE_ALL_NULL_SQL})) AS cleaned_rows,
+       count(*) FILTER (WHERE {derived.SPARSE_ALL_NULL_SQL}) AS dropped_rows,
+       count(*) FILTER (WHERE NOT ({derived.SPARSE_ALL_NULL_SQL})) = 0 AS is_empty
+FROM sparse
+""")
+def q_quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1 + A2: raw / cleaned / dropped counters in one aggregation."""
+    return quality_counts(derived.sparse_events(table(spark, sf_dir, "events")))
+
+
+@query("text_filter_lines", oracle=f"""
+WITH {_LINES}
+SELECT value FROM lines
+WHERE NOT (regexp_matches(value, '^\\[.*') OR regexp_matches(value, '^timestamp.*'))
+""")
+def q_text_filter_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T2: drop log and header lines by pattern (indented log lines stay)."""
+    lines = derived.event_lines(table(spark, sf_dir, "events"))
+    return drop_noise_lines(lines).select("value")
+
+
+@query("text_parse_fields", oracle=f"""
+WITH {_LINES}
+SELECT TRY_CAST(split_part(value, ',', 1) AS BIGINT) AS timestamp,
+       TRY_CAST(split_part(value, ',', 2) AS DOUBLE) AS sensor_A,
+       TRY_CAST(split_part(value, ',', 3) AS DOUBLE) AS sensor_B
+FROM lines
+WHERE NOT (regexp_matches(value, '^\\[.*') OR regexp_matches(value, '^timestamp.*'))
+""")
+def q_text_parse_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T2 + T3 (the stateless cleaning): malformed cells become nulls."""
+    lines = derived.event_lines(table(spark, sf_dir, "events"))
+    return parse_fields(drop_noise_lines(lines))
+
+
+@query("log_blocks", oracle=f"""
+WITH {_LINES},
+m AS (
+  SELECT event_id, value,
+         CASE WHEN starts_with(trim(value), '[') THEN 0
+              WHEN starts_with(trim(value), 'timestamp') THEN 1 END AS marker
+  FROM lines),
+s AS (
+  SELECT *, coalesce(last_value(marker IGNORE NULLS) OVER (
+              ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS state
+  FROM m),
+p AS (
+  SELECT TRY_CAST(split_part(trim(value), ',', 1) AS BIGINT) AS timestamp,
+         TRY_CAST(split_part(trim(value), ',', 2) AS DOUBLE) AS sensor_A,
+         TRY_CAST(split_part(trim(value), ',', 3) AS DOUBLE) AS sensor_B
+  FROM s WHERE marker IS NULL AND state = 1)
+SELECT * FROM p
+WHERE timestamp IS NOT NULL AND sensor_A IS NOT NULL AND sensor_B IS NOT NULL
+""")
+def q_log_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T4 + T5 (the stateful cleaning) over all lines in event_id order."""
+    lines = derived.event_lines(table(spark, sf_dir, "events"))
+    return clean_blocks(ordered_blocks(lines, order_by=["event_id"]))
