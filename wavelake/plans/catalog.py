@@ -65,7 +65,7 @@ def q_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
                     order_by=["ts", "event_id"], with_created_time=False)
 
 
-@query("spectrum_by_series", oracle="""
+_SPECTRUM_BY_SERIES_SQL = """
 WITH s AS (
   SELECT event_type, ts, event_id, TRY_CAST(value AS DOUBLE) AS amp
   FROM events WHERE TRY_CAST(value AS DOUBLE) IS NOT NULL)
@@ -78,7 +78,10 @@ SELECT event_type,
        CAST(0.0 AS DOUBLE) AS phase
 FROM s
 WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)
-""")
+"""
+
+
+@query("spectrum_by_series", oracle=_SPECTRUM_BY_SERIES_SQL)
 def q_spectrum_by_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bulk form: index and N restart per series; hot series stay balanced."""
     return spectrum(_events_as_signal(spark, sf_dir),
@@ -168,3 +171,324 @@ def q_log_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T4 + T5 (the stateful cleaning) over all lines in event_id order."""
     lines = derived.event_lines(table(spark, sf_dir, "events"))
     return clean_blocks(ordered_blocks(lines, order_by=["event_id"]))
+
+
+# --------------------------------------------------------------- scaling
+from wavelake.ml.minmax import ColumnMinMaxScaler  # noqa: E402
+from wavelake.operators.scaling import minmax_scale, minmax_scale_narrow  # noqa: E402
+
+
+def _scaled_sql(x: str, src: str, fit_src: str | None = None) -> str:
+    fit_src = fit_src or src
+    lo = f"(SELECT min({x}) FROM {fit_src})"
+    hi = f"(SELECT max({x}) FROM {fit_src})"
+    return (f"CASE WHEN {hi} - {lo} = 0 THEN CAST(0.5 AS DOUBLE) "
+            f"ELSE (CAST({x} AS DOUBLE) - {lo}) / ({hi} - {lo}) END")
+
+
+@query("minmax_scale", oracle=f"""
+SELECT event_id, value, {_scaled_sql('value', 'events')} AS scaled FROM events
+""")
+def q_minmax_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1 + A3 over events.value (bounds as one scalar subquery)."""
+    events = table(spark, sf_dir, "events").select("event_id", "value")
+    return minmax_scale(events, "value", "scaled")
+
+
+@query("minmax_scale_lineitem", oracle=f"""
+SELECT l_orderkey, l_linenumber, l_quantity,
+       {_scaled_sql('l_quantity', 'lineitem')} AS scaled
+FROM lineitem
+""")
+def q_minmax_scale_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1 over the largest table."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return minmax_scale(li, "l_quantity", "scaled")
+
+
+_CONSTANT_SQL = """
+SELECT event_id,
+       CASE WHEN event_type = 'error' THEN NULL ELSE CAST(50.0 AS DOUBLE) END AS frequency
+FROM events
+"""
+
+
+@query("minmax_constant", oracle=f"""
+WITH c AS ({_CONSTANT_SQL})
+SELECT event_id, frequency, {_scaled_sql('frequency', 'c')} AS scaled FROM c
+""")
+def q_minmax_constant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1 on a constant column with nulls: 0.5 on every row."""
+    events = table(spark, sf_dir, "events")
+    const = events.select("event_id", F.when(F.col("event_type") != "error",
+                                             F.lit(50.0)).alias("frequency"))
+    return minmax_scale(const, "frequency", "scaled")
+
+
+@query("scaler_transform_unseen", oracle=f"""
+SELECT event_id, value,
+       {_scaled_sql('value', 'events', "events WHERE event_type = 'view'")} AS scaled
+FROM events
+""")
+def q_scaler_transform_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M2 + M3: fit the estimator on view events, transform every event."""
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    model = ColumnMinMaxScaler(inputCol="value", outputCol="scaled").fit(
+        events.filter(F.col("event_type") == "view"))
+    return model.transform(events).select("event_id", "value", "scaled")
+
+
+@query("scale_narrow", oracle=f"""
+SELECT value, {_scaled_sql('value', 'events')} AS scaled FROM events
+""")
+def q_scale_narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M6: two non-null columns [value, scaled]."""
+    return minmax_scale_narrow(table(spark, sf_dir, "events"), "value")
+
+
+# --------------------------------------------------------------- rendering / summary
+from wavelake.functions.lineproto import line_protocol, measurement_name  # noqa: E402
+from wavelake.operators.quality import preview, run_summary  # noqa: E402
+
+_LP_TABLE, _LP_DATABASE = "warehouse.task_1_data", "warehouse"
+
+
+def _lp_field_sql(name: str, expr: str) -> str:
+    text = f"CAST({expr} AS VARCHAR)"
+    return (f"CASE WHEN regexp_matches({text}, '[^\\x00-\\x20]') THEN "
+            f"'{name}=\"' || replace({text}, '\"', '\\\"') || '\"' END")
+
+
+_LP_SOURCE_SQL = """
+SELECT ts, event_id, event_type, value, props,
+       CASE WHEN event_type = 'error' THEN NULL
+            WHEN event_type = 'view' THEN '  '
+            ELSE 'ok ' || event_type END AS note
+FROM events
+"""
+
+
+@query("line_protocol", oracle=f"""
+WITH src AS ({_LP_SOURCE_SQL}),
+f AS (
+  SELECT ts, concat_ws(',', {_lp_field_sql('event_id', 'event_id')},
+                            {_lp_field_sql('event_type', 'event_type')},
+                            {_lp_field_sql('value', 'value')},
+                            {_lp_field_sql('props', 'props')},
+                            {_lp_field_sql('note', 'note')}) AS fields
+  FROM src)
+SELECT 'task_1_data' || ' ' || fields || ' ' || CAST(epoch_us(ts) * 1000 AS VARCHAR) AS line
+FROM f WHERE fields <> ''
+""")
+def q_line_protocol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T13: compatible line protocol; null and blank fields skipped, quotes
+    escaped, timestamp (ns) from ``ts``."""
+    events = table(spark, sf_dir, "events")
+    src = events.select(
+        "ts", "event_id", "event_type", "value", "props",
+        F.when(F.col("event_type") == "error", F.lit(None).cast("string"))
+        .when(F.col("event_type") == "view", F.lit("  "))
+        .otherwise(F.concat(F.lit("ok "), F.col("event_type"))).alias("note"))
+    line = line_protocol(src, measurement_name(_LP_TABLE, _LP_DATABASE), time_col="ts")
+    return src.select(line.alias("line")).filter(F.col("line").isNotNull())
+
+
+@query("run_summary", oracle="""
+SELECT 'r1-' || event_type AS id,
+       printf('{"resultId": "%s", "dataCount": %d, "status": "completed"}',
+              'r1-' || event_type, count(*)) AS result,
+       'COMPLETED' AS status
+FROM events WHERE TRY_CAST(value AS DOUBLE) IS NOT NULL
+GROUP BY event_type
+""")
+def q_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5: one summary row per result id of the bulk spectrum."""
+    return run_summary(q_spectrum_by_series(spark, sf_dir), with_created_time=False)
+
+
+@query("preview_cleaned", oracle=f"""
+WITH {_SPARSE}
+SELECT * FROM sparse WHERE NOT ({derived.SPARSE_ALL_NULL_SQL})
+ORDER BY event_id LIMIT 5
+""")
+def q_preview_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T14: the first rows of the cleaned table (top-n, no full sort)."""
+    cleaned = drop_all_null(derived.sparse_events(table(spark, sf_dir, "events")))
+    return preview(cleaned, 5, order_by=["event_id"])
+
+
+# --------------------------------------------------------------- written tables
+from wavelake.plans.ingest import ingest_csv  # noqa: E402
+from wavelake.session import scratch_path  # noqa: E402
+from wavelake.sinks.lake import (SPECTRUM_SCHEMA, LakeSink,  # noqa: E402
+                                 append_spectrum, read_spectrum)
+from wavelake.sources.csv import read_csv_strings, write_csv  # noqa: E402
+
+
+@query("result_lookup", oracle=f"""
+SELECT result_id, sample_index, frequency_hz, magnitude, phase
+FROM ({_SPECTRUM_BY_SERIES_SQL}) WHERE result_id = 'r1-view'
+""")
+def q_result_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K8 + K10: write the bulk spectrum partitioned by result id, read one
+    result back (partition-pruned)."""
+    spec = q_spectrum_by_series(spark, sf_dir).drop("event_type")
+    path = scratch_path(spark, "spectrum")
+    append_spectrum(spec.withColumn("created_time", F.current_timestamp()), path)
+    return read_spectrum(spark, path, "r1-view", SPECTRUM_SCHEMA).drop("created_time")
+
+
+_STRING_SPARSE_SQL = f"""
+WITH {_SPARSE}
+SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(user_id AS VARCHAR) AS user_id,
+       event_type, CAST(value AS VARCHAR) AS value, props
+FROM sparse WHERE NOT ({derived.SPARSE_ALL_NULL_SQL})
+"""
+
+
+@query("csv_roundtrip", oracle=_STRING_SPARSE_SQL)
+def q_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1 + T1: landed table written as header CSV, scanned back all-string,
+    all-null rows dropped."""
+    path = scratch_path(spark, "csv")
+    write_csv(derived.sparse_events(table(spark, sf_dir, "events")), path)
+    return drop_all_null(read_csv_strings(spark, path))
+
+
+@query("ingest_lake", oracle=_STRING_SPARSE_SQL)
+def q_ingest_lake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P1 end to end: CSV -> clean -> guard -> lake table (created_time,
+    month partitions) -> read back without the landing columns."""
+    src = scratch_path(spark, "landing")
+    write_csv(derived.sparse_events(table(spark, sf_dir, "events")), src)
+    sink = LakeSink(scratch_path(spark, "lake"))
+    ingest_csv(spark, src, sink, "task_1_data")
+    landed = spark.read.parquet(sink.table_path("task_1_data"))
+    return landed.select("event_id", "user_id", "event_type", "value", "props")
+
+
+# --------------------------------------------------------------- ad-hoc SQL (S4)
+from wavelake.plans.tables import register_views  # noqa: E402
+from wavelake.sources.sql import run_sql  # noqa: E402
+
+_SQL_JOIN_AGG = """
+SELECT n.n_name AS nation, c.c_mktsegment AS segment, count(*) AS orders,
+       round(sum(o.o_totalprice), 2) AS revenue
+FROM orders o
+JOIN customer c ON o.o_custkey = c.c_custkey
+JOIN nation n ON c.c_nationkey = n.n_nationkey
+GROUP BY n.n_name, c.c_mktsegment
+"""
+_SQL_ROLLUP = """
+SELECT l_returnflag, l_linestatus, count(*) AS lines,
+       round(sum(l_quantity), 2) AS qty,
+       round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
+FROM lineitem
+GROUP BY ROLLUP (l_returnflag, l_linestatus)
+"""
+_SQL_WINDOW_RANK = """
+SELECT o_custkey, o_orderkey, o_totalprice, rnk FROM (
+  SELECT o_custkey, o_orderkey, o_totalprice,
+         CAST(rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)
+              AS BIGINT) AS rnk
+  FROM orders) t
+WHERE rnk <= 3
+"""
+_SQL_SET_OPS = """
+SELECT 'customer_only' AS side, nk FROM (
+  SELECT c_nationkey AS nk FROM customer EXCEPT SELECT s_nationkey FROM supplier) a
+UNION ALL
+SELECT 'both' AS side, nk FROM (
+  SELECT c_nationkey AS nk FROM customer INTERSECT SELECT s_nationkey FROM supplier) b
+UNION ALL
+SELECT 'any' AS side, nk FROM (
+  SELECT c_nationkey AS nk FROM customer UNION SELECT s_nationkey FROM supplier) c
+"""
+_SQL_SEMI_ANTI = """
+SELECT c_custkey, 'with_orders' AS kind FROM customer c
+WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey
+              AND o.o_orderstatus = 'F')
+UNION ALL
+SELECT c_custkey, 'without_orders' AS kind FROM customer c
+WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey
+                  AND o.o_orderstatus = 'F')
+"""
+_SQL_JSON_DATE_SPARK = """
+SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS events,
+       CAST(sum(CAST(get_json_object(props, '$.k') AS BIGINT)) AS BIGINT) AS k_sum,
+       CAST(max(hour(ts)) AS BIGINT) AS last_hour
+FROM events
+GROUP BY CAST(ts AS DATE), event_type
+"""
+_SQL_JSON_DATE_DUCK = """
+SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS events,
+       CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k_sum,
+       CAST(max(hour(ts)) AS BIGINT) AS last_hour
+FROM events
+GROUP BY CAST(ts AS DATE), event_type
+"""
+
+
+def _sql_query(name: str, spark_sql: str, duck_sql: str | None = None) -> None:
+    def fn(spark: SparkSession, sf_dir: str) -> DataFrame:
+        register_views(spark, sf_dir)
+        return run_sql(spark, spark_sql)
+    fn.__name__ = f"q_{name}"
+    fn.__doc__ = "S4: ad-hoc SQL over the registered tables."
+    query(name, oracle=duck_sql or spark_sql)(fn)
+
+
+_sql_query("sql_join_agg", _SQL_JOIN_AGG)
+_sql_query("sql_rollup", _SQL_ROLLUP)
+_sql_query("sql_window_rank", _SQL_WINDOW_RANK)
+_sql_query("sql_set_ops", _SQL_SET_OPS)
+_sql_query("sql_semi_anti", _SQL_SEMI_ANTI)
+_sql_query("sql_json_date", _SQL_JSON_DATE_SPARK, _SQL_JSON_DATE_DUCK)
+
+
+# --------------------------------------------------------------- real spectrum (X1)
+from wavelake.operators.dft import framed_dft  # noqa: E402
+
+_DFT_N = 64
+
+
+def _dft_rounding(re: str, im: str) -> str:
+    return (f"round({re}, 4) + 0.0 AS re, round({im}, 4) + 0.0 AS im, "
+            f"round(sqrt(round({re}, 4) * round({re}, 4) + round({im}, 4) * round({im}, 4)), 4)"
+            f" + 0.0 AS magnitude, "
+            f"round(atan2(round({im}, 4) + 0.0, round({re}, 4) + 0.0), 4) + 0.0 AS phase")
+
+
+@query("dft_frames", oracle=f"""
+WITH s AS (
+  SELECT event_type, TRY_CAST(value AS DOUBLE) AS x,
+         row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS n
+  FROM events WHERE TRY_CAST(value AS DOUBLE) IS NOT NULL),
+f AS (SELECT event_type, n // {_DFT_N} AS frame, n % {_DFT_N} AS pos, x FROM s),
+k AS (SELECT range AS bin FROM range({_DFT_N // 2 + 1})),
+d AS (
+  SELECT event_type, frame, bin,
+         sum(x * cos(2 * pi() * bin * pos / {_DFT_N})) AS re,
+         CASE WHEN bin = 0 OR bin = {_DFT_N // 2} THEN 0.0
+              ELSE -sum(x * sin(2 * pi() * bin * pos / {_DFT_N})) END AS im
+  FROM f JOIN k ON TRUE
+  GROUP BY event_type, frame, bin)
+SELECT event_type, CAST(frame AS BIGINT) AS frame, CAST(bin AS BIGINT) AS bin,
+       CAST(bin AS DOUBLE) * CAST(1000.0 AS DOUBLE) / CAST({_DFT_N} AS DOUBLE) AS frequency_hz,
+       {_dft_rounding('re', 'im')}
+FROM d
+""")
+def q_dft_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X1: real DFT per series over frames of 64 samples (values rounded to
+    4 decimals; magnitude and phase recomputed from the rounded parts so the
+    oracle's different summation order cannot flip them)."""
+    events = table(spark, sf_dir, "events")
+    dft = framed_dft(events, "value", ["ts", "event_id"], series=["event_type"],
+                     frame_size=_DFT_N)
+    r4 = lambda c: F.round(F.col(c), 4) + F.lit(0.0)
+    return dft.select(
+        "event_type", "frame", "bin", "frequency_hz",
+        r4("re").alias("re"), r4("im").alias("im"),
+        (F.round(F.sqrt(r4("re") * r4("re") + r4("im") * r4("im")), 4) + F.lit(0.0))
+        .alias("magnitude"),
+        (F.round(F.atan2(r4("im"), r4("re")), 4) + F.lit(0.0)).alias("phase"))
