@@ -66,16 +66,44 @@ def _field(df: DataFrame, name: str, compat: bool) -> Column:
                   F.concat(F.lit(key + '="'), _escape_str(text, not compat), F.lit('"')))
 
 
+def _field_set(df: DataFrame, fields: Sequence[str], compat: bool) -> Column:
+    return F.concat_ws(",", *[_field(df, f, compat) for f in fields])
+
+
 def line_protocol(df: DataFrame, measurement: str, fields: Sequence[str] | None = None,
                   time_col: str | None = None, tags: Sequence[str] = (),
                   compat: bool = True) -> Column:
-    """The line for each row of ``df`` (null when no field is left)."""
+    """The line for each row of ``df`` (null when no field is left).
+
+    For whole tables prefer :func:`with_line_protocol`, which evaluates the
+    field set once per row."""
+    head, field_set, ts = _parts(df, measurement, fields, time_col, tags, compat)
+    line = F.concat(head, F.lit(" "), field_set, F.lit(" "), ts.cast("string"))
+    return F.when(field_set != "", line)
+
+
+def with_line_protocol(df: DataFrame, measurement: str, fields: Sequence[str] | None = None,
+                       time_col: str | None = None, tags: Sequence[str] = (),
+                       compat: bool = True, out_col: str = "line") -> DataFrame:
+    """``df`` reduced to rendered lines (rows without any field dropped).
+
+    The field set is a column of its own, so the optimizer keeps it in one
+    evaluation instead of inlining it into both the filter and the line."""
+    head, field_set, ts = _parts(df, measurement, fields, time_col, tags, compat)
+    staged = df.select(head.alias("_wl_head"), field_set.alias("_wl_fields"),
+                       ts.cast("string").alias("_wl_ts"))
+    return (staged.filter(F.col("_wl_fields") != "")
+            .select(F.concat_ws(" ", "_wl_head", "_wl_fields", "_wl_ts").alias(out_col)))
+
+
+def _parts(df: DataFrame, measurement: str, fields: Sequence[str] | None,
+           time_col: str | None, tags: Sequence[str], compat: bool):
     if compat and tags:
         raise ValueError("tags need compat=False (the compatible form has none)")
     if fields is None:
         skip = {time_col, *tags}
         fields = [c for c in df.columns if c not in skip]
-    field_set = F.concat_ws(",", *[_field(df, f, compat) for f in fields])
+    field_set = _field_set(df, fields, compat)
     head = F.lit(measurement if compat else
                  measurement.replace(",", "\\,").replace(" ", "\\ "))
     for t in tags:
@@ -84,5 +112,4 @@ def line_protocol(df: DataFrame, measurement: str, fields: Sequence[str] | None
                        F.regexp_replace(v, r"([,= \\])", r"\\$1"))
         head = F.concat(head, F.when(~is_blank(v), tag).otherwise(F.lit("")))
     ts = epoch_nanos(time_col) if time_col else wall_clock_nanos()
-    line = F.concat(head, F.lit(" "), field_set, F.lit(" "), ts.cast("string"))
-    return F.when(field_set != "", line)
+    return head, field_set, ts

@@ -31,9 +31,10 @@ from pyspark.sql import types as T
 
 from wavelake.functions.text import CLOSE_BLOCK, OPEN_BLOCK, block_marker, java_trim
 from wavelake.operators.clean import parse_fields_strict
-from wavelake.operators.ordering import (DEFAULT_MAX_BROADCAST_ROWS,
-                                         broadcast_if_bounded, checkpointed,
-                                         null_safe_join)
+from wavelake.operators.ordering import (DEFAULT_MAX_BROADCAST_ROWS, PART_COL,
+                                         POS_COL, broadcast_if_bounded,
+                                         materialized, null_safe_join,
+                                         sorted_table)
 from wavelake.sources.text import FILE_COL, LINE_COL, SPLIT_COL
 
 _KEY = "_wl_key"
@@ -75,18 +76,18 @@ def _forward_fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.assign(**{_LOCAL: local.astype("Int32")})
 
 
-def segment_blocks(df: DataFrame, stream_cols: Sequence[str], split_col: str,
+def segment_blocks(df: DataFrame, stream_cols: Sequence[str], split_cols: Sequence[str],
                    line_col: str, value_col: str = "value",
                    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """Rows of ``df`` that are data lines inside an open block.
 
     ``df`` must be laid out so that each partition holds whole splits in
-    line order (a file scan, or a sorted checkpoint).  ``(stream_cols...,
-    split_col)`` identifies a split; splits of a stream are ordered by
-    ``split_col``; ``line_col`` orders lines within a split.
+    line order (a file scan).  ``(stream_cols..., split_cols...)`` identifies
+    a split; splits of a stream are ordered by ``split_cols``; ``line_col``
+    orders lines within a split.
     """
-    stream_cols = list(stream_cols)
-    split_keys = [*stream_cols, split_col]
+    stream_cols, split_cols = list(stream_cols), list(split_cols)
+    split_keys = [*stream_cols, *split_cols]
     marked = df.withColumn(_MARK, block_marker(value_col).cast("int"))
 
     schema = T.StructType([*marked.withColumn(_KEY, F.lit(0).cast("long")).schema.fields,
@@ -101,13 +102,11 @@ def segment_blocks(df: DataFrame, stream_cols: Sequence[str], split_col: str,
     last_marker = F.max_by(F.col(_MARK),
                            F.when(F.col(_MARK).isNotNull(), F.col(line_col)))
     summary = marked.groupBy(*split_keys).agg(last_marker.alias("_wl_last"))
-    earlier = Window.partitionBy(*stream_cols).orderBy(split_col).rowsBetween(
-        Window.unboundedPreceding, -1)
-    if not stream_cols:
-        earlier = Window.orderBy(split_col).rowsBetween(Window.unboundedPreceding, -1)
+    spec = Window.partitionBy(*stream_cols) if stream_cols else Window
+    earlier = spec.orderBy(*split_cols).rowsBetween(Window.unboundedPreceding, -1)
     summary = (summary.withColumn(_CARRY, F.last("_wl_last", ignorenulls=True).over(earlier))
                .drop("_wl_last"))
-    summary = broadcast_if_bounded(checkpointed(summary), max_broadcast_rows)
+    summary = broadcast_if_bounded(materialized(summary, "carry"), max_broadcast_rows)
 
     joined = null_safe_join(local, summary, split_keys)
     state = F.coalesce(F.col(_LOCAL), F.col(_CARRY), F.lit(CLOSE_BLOCK))
@@ -119,7 +118,7 @@ def file_blocks(lines: DataFrame, value_col: str = "value",
     """T4 over a :func:`wavelake.sources.text.read_lines` frame; the state
     resets at every file.  A file read as one split (e.g. gzip) is handled
     by one task — the format cannot be split."""
-    return segment_blocks(lines, [FILE_COL], SPLIT_COL, LINE_COL, value_col,
+    return segment_blocks(lines, [FILE_COL], [SPLIT_COL], LINE_COL, value_col,
                           max_broadcast_rows)
 
 
@@ -128,16 +127,15 @@ def ordered_blocks(df: DataFrame, order_by: Sequence[str | Column],
                    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """T4 over a table whose line order is given by ``order_by`` (state
     resets per ``stream_cols`` group).  The table is range-sorted on the full
-    key — balanced even when one stream holds most lines — and checkpointed
-    so the splits (partitions) are stable for both passes."""
-    keys = [*[F.col(c) for c in stream_cols],
-            *[F.col(c) if isinstance(c, str) else c for c in order_by]]
-    base = checkpointed(df.orderBy(*keys))
-    laid_out = (base.withColumn("_wl_part", F.spark_partition_id().cast("long"))
-                .withColumn("_wl_line", F.monotonically_increasing_id()))
-    out = segment_blocks(laid_out, stream_cols, "_wl_part", "_wl_line", value_col,
-                         max_broadcast_rows)
-    return out.drop("_wl_part", "_wl_line")
+    key — balanced even when one stream holds most lines — and written once
+    (tagged with sort task and position), so both passes read the same
+    splits: (sort task, file split) in order, lines by position."""
+    keys = [*stream_cols, *order_by]
+    base = sorted_table(df, keys, "lines")
+    laid_out = base.withColumn("_wl_block", F.col("_metadata.file_block_start"))
+    out = segment_blocks(laid_out, stream_cols, [PART_COL, "_wl_block"], POS_COL,
+                         value_col, max_broadcast_rows)
+    return out.drop(PART_COL, POS_COL, "_wl_block")
 
 
 def clean_blocks(blocks: DataFrame, value_col: str = "value",

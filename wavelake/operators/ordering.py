@@ -6,12 +6,13 @@ which fails when one series holds a third of the data.  Instead:
 
 1. ``orderBy(series..., order...)`` — Spark range-partitions on the *full*
    key (sampled bounds), so a hot series is spread over many balanced tasks;
-2. the sorted frame is checkpointed (shared ``spark.checkpoint.dir``) so every
-   later use sees the same partitions — reliable, lineage cut;
-3. ``monotonically_increasing_id()`` then encodes (partition, position);
-4. a summary with one row per (partition, series) — bounded by partitions +
+2. in the same stage each row is tagged with its task (partition) and its
+   position there, and the frame is written once as Parquet under the shared
+   ``spark.checkpoint.dir`` — lineage cut, survives lost executors, and the
+   tags no longer depend on how the table is split when read back;
+3. a summary with one row per (partition, series) — bounded by partitions +
    series — gives each partition's offset by a prefix sum;
-5. the summary joins back: broadcast when its size is checked small, a
+4. the summary joins back: broadcast when its size is checked small, a
    shuffle join otherwise.
 """
 
@@ -23,26 +24,44 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavelake.session import ensure_checkpoint_dir
+from wavelake.session import scratch_path
 
 # Summary frames up to this many rows are broadcast; above it they are joined
 # by a shuffle.  A row is a few longs plus the series key.
 DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
 
 _POS_BITS = 33  # monotonically_increasing_id = partition << 33 | position
+PART_COL = "_wl_part"
+POS_COL = "_wl_pos"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialized(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` once as Parquet in the shared checkpoint folder and read
+    it back: the lineage is cut and later uses see the same rows."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("maxRecordsPerFile", 0).parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def tag_positions(df: DataFrame) -> DataFrame:
+    """Add ``_wl_part`` (task partition) and ``_wl_pos`` (row position in it),
+    computed in the stage that produces ``df``'s rows."""
+    mid = F.monotonically_increasing_id()
+    return (df.withColumn(PART_COL, F.spark_partition_id().cast("long"))
+            .withColumn(POS_COL, mid.bitwiseAND((1 << _POS_BITS) - 1)))
+
+
+def sorted_table(df: DataFrame, keys: Sequence[str | Column], name: str = "sorted") -> DataFrame:
+    """``df`` range-sorted on ``keys`` (balanced tasks, even for hot key
+    prefixes), tagged with partition and position, written once."""
+    return materialized(tag_positions(df.orderBy(*_as_cols(keys))), name)
 
 
 def broadcast_if_bounded(small: DataFrame,
                          max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``small`` only after counting it; otherwise leave it to a
-    shuffle join.  ``small`` should already be materialised (checkpointed),
-    so the count is cheap."""
+    shuffle join.  ``small`` should already be materialised (written), so the
+    count is cheap."""
     return F.broadcast(small) if small.count() <= max_rows else small
 
 
@@ -79,29 +98,21 @@ def contiguous_index(df: DataFrame, order_by: Sequence[str | Column] | None,
     if order_by is None:
         if partition_by:
             raise ValueError("arrival order is only defined without partition_by")
-        ordered = df
+        tagged = materialized(tag_positions(df), "arrival")
     else:
-        keys = [*_as_cols(partition_by), *_as_cols(order_by)]
-        ordered = df.orderBy(*keys)
-    base = checkpointed(ordered)
-
-    mid = F.monotonically_increasing_id()
-    tagged = (base.withColumn("_wl_mid", mid)
-              .withColumn("_wl_part", F.shiftright("_wl_mid", _POS_BITS))
-              .withColumn("_wl_pos", F.col("_wl_mid").bitwiseAND((1 << _POS_BITS) - 1))
-              .drop("_wl_mid"))
+        tagged = sorted_table(df, [*_as_cols(partition_by), *_as_cols(order_by)])
 
     summary = (tagged.groupBy("_wl_part", *partition_by)
                .agg(F.count(F.lit(1)).alias("_wl_n"),
                     F.min("_wl_pos").alias("_wl_first")))
-    before = Window.partitionBy(*partition_by).orderBy("_wl_part").rowsBetween(
-        Window.unboundedPreceding, -1)
+    spec = Window.partitionBy(*partition_by) if partition_by else Window
+    before = spec.orderBy("_wl_part").rowsBetween(Window.unboundedPreceding, -1)
     summary = summary.withColumn(
         "_wl_before", F.coalesce(F.sum("_wl_n").over(before), F.lit(0)))
     if count_col:
         summary = summary.withColumn(
             "_wl_total", F.sum("_wl_n").over(Window.partitionBy(*partition_by)))
-    summary = broadcast_if_bounded(checkpointed(summary.drop("_wl_n")),
+    summary = broadcast_if_bounded(materialized(summary.drop("_wl_n"), "offsets"),
                                    max_broadcast_rows)
 
     joined = null_safe_join(tagged, summary, ["_wl_part", *partition_by])

@@ -247,7 +247,7 @@ def q_scale_narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --------------------------------------------------------------- rendering / summary
-from wavelake.functions.lineproto import line_protocol, measurement_name  # noqa: E402
+from wavelake.functions.lineproto import measurement_name, with_line_protocol  # noqa: E402
 from wavelake.operators.quality import preview, run_summary  # noqa: E402
 
 _LP_TABLE, _LP_DATABASE = "warehouse.task_1_data", "warehouse"
@@ -289,8 +289,7 @@ def q_line_protocol(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_type") == "error", F.lit(None).cast("string"))
         .when(F.col("event_type") == "view", F.lit("  "))
         .otherwise(F.concat(F.lit("ok "), F.col("event_type"))).alias("note"))
-    line = line_protocol(src, measurement_name(_LP_TABLE, _LP_DATABASE), time_col="ts")
-    return src.select(line.alias("line")).filter(F.col("line").isNotNull())
+    return with_line_protocol(src, measurement_name(_LP_TABLE, _LP_DATABASE), time_col="ts")
 
 
 @query("run_summary", oracle="""

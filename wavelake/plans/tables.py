@@ -11,6 +11,8 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
           "lineitem", "events", "documents", "embeddings", "pages",
           "benchmark", "labels", "conversations")
 
+_REGISTERED: dict[int, str] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
@@ -18,8 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def register_views(spark: SparkSession, sf_dir: str,
                    names: tuple[str, ...] = TABLES) -> None:
-    """S4 helper: expose the tables to ``spark.sql`` under their own names."""
+    """S4 helper: expose the tables to ``spark.sql`` under their own names
+    (once per session and folder)."""
+    key = id(spark)
+    if names == TABLES and _REGISTERED.get(key) == sf_dir:
+        return
     for name in names:
         path = os.path.join(sf_dir, f"{name}.parquet")
         if os.path.exists(path) or "://" in sf_dir:
             table(spark, sf_dir, name).createOrReplaceTempView(name)
+    if names == TABLES:
+        _REGISTERED[key] = sf_dir

@@ -25,10 +25,9 @@ import urllib.request
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
-from wavelake.functions.lineproto import line_protocol, measurement_name
+from wavelake.functions.lineproto import measurement_name, with_line_protocol
 
 FORMAT_NAME = "lineprotocol"
 DEFAULT_BATCH_LINES = 5000
@@ -132,8 +131,7 @@ class LineProtocolSink:
 
     def render(self, df: DataFrame, table: str) -> DataFrame:
         name = measurement_name(table, self.database)
-        line = line_protocol(df, name, time_col=self.time_col)
-        return df.select(line.alias("line")).filter(F.col("line").isNotNull())
+        return with_line_protocol(df, name, time_col=self.time_col)
 
     def write(self, df: DataFrame, table: str) -> None:
         register(df.sparkSession)
