@@ -55,7 +55,11 @@ def parse_fields_strict(df: DataFrame, col: str = "value",
         else:
             cols.append(as_double_strict(item).cast(t).alias(name))
     parsed = df.select(*keep, *cols)
-    return parsed.na.drop(how="any", subset=[n for n, _ in fields])
+    # isNotNull, not na.drop: a parsed NaN is a value (na.drop would drop it)
+    ok = F.lit(True)
+    for name, _ in fields:
+        ok = ok & F.col(name).isNotNull()
+    return parsed.filter(ok)
 
 
 def trimmed(df: DataFrame, col: str = "value") -> DataFrame:

@@ -48,13 +48,13 @@ def with_landing_columns(df: DataFrame) -> DataFrame:
             .withColumn(MONTH_COL, F.date_format(CREATED_TIME, "yyyyMM")))
 
 
-def append_landed(df: DataFrame, path: str) -> None:
+def append_landed(df: DataFrame, path: str, mode: str = "append") -> None:
     """K4 + K1 (lake form): append all-string rows, partitioned by month and
     sorted by (first column, created_time) within each file."""
     landed = with_landing_columns(df)
     first = df.columns[0]
     (landed.sortWithinPartitions(MONTH_COL, first, CREATED_TIME)
-     .write.mode("append").partitionBy(MONTH_COL).parquet(path))
+     .write.mode(mode).partitionBy(MONTH_COL).parquet(path))
 
 
 def append_bucketed(df: DataFrame, table_name: str, path: str, buckets: int) -> None:
