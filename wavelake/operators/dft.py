@@ -67,7 +67,7 @@ def framed_dft(df: DataFrame, value_col: str, order_by: Sequence[str | Column],
                .filter(F.col("_wl_x").isNotNull())
                .select(*dict.fromkeys([*series, *order_names]), "_wl_x"))
     indexed = contiguous_index(samples, list(order_by), partition_by=series,
-                               index_col="_wl_n")
+                               index_col="_wl_n", keep=["_wl_x"])
     framed = indexed.select(
         *series,
         F.expr(f"_wl_n div {frame_size}").alias("frame"),

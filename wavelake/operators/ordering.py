@@ -28,7 +28,7 @@ from wavelake.session import scratch_path
 
 # Summary frames up to this many rows are broadcast; above it they are joined
 # by a shuffle.  A row is a few longs plus the series key.
-DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
+DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
 
 _POS_BITS = 33  # monotonically_increasing_id = partition << 33 | position
 PART_COL = "_wl_part"
@@ -51,10 +51,16 @@ def tag_positions(df: DataFrame) -> DataFrame:
             .withColumn(POS_COL, mid.bitwiseAND((1 << _POS_BITS) - 1)))
 
 
-def sorted_table(df: DataFrame, keys: Sequence[str | Column], name: str = "sorted") -> DataFrame:
+def sorted_table(df: DataFrame, keys: Sequence[str | Column], name: str = "sorted",
+                 keep: Sequence[str] | None = None) -> DataFrame:
     """``df`` range-sorted on ``keys`` (balanced tasks, even for hot key
-    prefixes), tagged with partition and position, written once."""
-    return materialized(tag_positions(df.orderBy(*_as_cols(keys))), name)
+    prefixes), tagged with partition and position, written once.  Only the
+    ``keep`` columns (default: all) are written — sort keys needed for nothing
+    else are not stored."""
+    ordered = df.orderBy(*_as_cols(keys))
+    if keep is not None:
+        ordered = ordered.select(*keep)
+    return materialized(tag_positions(ordered), name)
 
 
 def broadcast_if_bounded(small: DataFrame,
@@ -86,21 +92,26 @@ def contiguous_index(df: DataFrame, order_by: Sequence[str | Column] | None,
                      partition_by: Sequence[str] = (),
                      index_col: str = "sample_index",
                      count_col: str | None = None,
+                     keep: Sequence[str] | None = None,
                      max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """Add ``index_col`` = 0..n-1 within each ``partition_by`` group.
 
     ``order_by`` gives the order; ``None`` keeps arrival order (what the
     reference's one-partition read gave).  ``count_col`` optionally adds the
-    group size n.  Order keys should be unique within a group for a stable
-    result (add a row id as tie-breaker).
+    group size n.  ``keep`` limits the carried columns (the ``partition_by``
+    keys are always kept).  Order keys should be unique within a group for a
+    stable result (add a row id as tie-breaker).
     """
     partition_by = list(partition_by)
+    if keep is not None:
+        keep = list(dict.fromkeys([*partition_by, *keep]))
     if order_by is None:
         if partition_by:
             raise ValueError("arrival order is only defined without partition_by")
-        tagged = materialized(tag_positions(df), "arrival")
+        tagged = materialized(tag_positions(df.select(*keep) if keep else df), "arrival")
     else:
-        tagged = sorted_table(df, [*_as_cols(partition_by), *_as_cols(order_by)])
+        tagged = sorted_table(df, [*_as_cols(partition_by), *_as_cols(order_by)],
+                              keep=keep)
 
     summary = (tagged.groupBy("_wl_part", *partition_by)
                .agg(F.count(F.lit(1)).alias("_wl_n"),

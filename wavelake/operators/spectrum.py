@@ -60,7 +60,8 @@ def spectrum(df: DataFrame, result_id: str | Column,
     if all(isinstance(c, str) for c in (order_cols or [])):
         samples = samples.select(*dict.fromkeys(needed), "_wl_amp")
     indexed = contiguous_index(samples, order_cols, partition_by=series,
-                               index_col="sample_index", count_col="_wl_n")
+                               index_col="sample_index", count_col="_wl_n",
+                               keep=["_wl_amp"])
     rid = F.lit(result_id) if isinstance(result_id, str) else result_id
     cols = [*[F.col(s) for s in series],
             rid.cast("string").alias("result_id"),
