@@ -91,3 +91,16 @@ def test_ordered_blocks_per_stream_with_hot_stream(spark):
         .repartition(5)
     got = rows(clean_blocks(ordered_blocks(df, ["n"], stream_cols=["stream"])))
     assert got == sorted(sequential_blocks(list(files.values())))
+
+
+@pytest.mark.parametrize("batch", ["1", "7", "64"])
+def test_state_carries_across_arrow_batches(spark, tmp_dir, batch):
+    files = _make_files(tmp_dir, n_files=2, n_lines=300, seed=11)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, batch)
+    try:
+        got = rows(clean_blocks(file_blocks(read_lines(spark, tmp_dir))))
+    finally:
+        spark.conf.set(key, old)
+    assert got == sorted(sequential_blocks(files))

@@ -16,10 +16,10 @@ from wavelake.functions.text import (DEFAULT_FIELDS, FIELD_SEPARATOR,
 Fields = Sequence[tuple[str, str]]
 
 
-def drop_all_null(df: DataFrame) -> DataFrame:
-    """T1 — drop rows whose every column is null.  Partial nulls survive and
-    whitespace-only cells count as values."""
-    return df.na.drop(how="all")
+def drop_all_null(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
+    """T1 — drop rows whose every column (of ``subset``) is null.  Partial
+    nulls survive and whitespace-only cells count as values."""
+    return df.na.drop(how="all", subset=list(subset) if subset else None)
 
 
 def drop_noise_lines(df: DataFrame, col: str = "value",

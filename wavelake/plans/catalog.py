@@ -225,11 +225,14 @@ def q_minmax_constant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax_scale(const, "frequency", "scaled")
 
 
-@query("scaler_transform_unseen", oracle=f"""
+_UNSEEN_SQL = f"""
 SELECT event_id, value,
        {_scaled_sql('value', 'events', "events WHERE event_type = 'view'")} AS scaled
 FROM events
-""")
+"""
+
+
+@query("scaler_transform_unseen", oracle=_UNSEEN_SQL)
 def q_scaler_transform_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M2 + M3: fit the estimator on view events, transform every event."""
     events = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
@@ -268,7 +271,7 @@ FROM events
 """
 
 
-@query("line_protocol", oracle=f"""
+_LINE_PROTOCOL_SQL = f"""
 WITH src AS ({_LP_SOURCE_SQL}),
 f AS (
   SELECT ts, concat_ws(',', {_lp_field_sql('event_id', 'event_id')},
@@ -279,17 +282,24 @@ f AS (
   FROM src)
 SELECT 'task_1_data' || ' ' || fields || ' ' || CAST(epoch_us(ts) * 1000 AS VARCHAR) AS line
 FROM f WHERE fields <> ''
-""")
+"""
+
+
+@query("line_protocol", oracle=_LINE_PROTOCOL_SQL)
 def q_line_protocol(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T13: compatible line protocol; null and blank fields skipped, quotes
     escaped, timestamp (ns) from ``ts``."""
+    src = _lp_source(spark, sf_dir)
+    return with_line_protocol(src, measurement_name(_LP_TABLE, _LP_DATABASE), time_col="ts")
+
+
+def _lp_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
-    src = events.select(
+    return events.select(
         "ts", "event_id", "event_type", "value", "props",
         F.when(F.col("event_type") == "error", F.lit(None).cast("string"))
         .when(F.col("event_type") == "view", F.lit("  "))
         .otherwise(F.concat(F.lit("ok "), F.col("event_type"))).alias("note"))
-    return with_line_protocol(src, measurement_name(_LP_TABLE, _LP_DATABASE), time_col="ts")
 
 
 @query("run_summary", oracle="""
@@ -491,3 +501,94 @@ def q_dft_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.round(F.sqrt(r4("re") * r4("re") + r4("im") * r4("im")), 4) + F.lit(0.0))
         .alias("magnitude"),
         (F.round(F.atan2(r4("im"), r4("re")), 4) + F.lit(0.0)).alias("phase"))
+
+
+# --------------------------------------------------------------- more end-to-end jobs
+import uuid  # noqa: E402
+
+from wavelake.ml.minmax import ColumnMinMaxScalerModel  # noqa: E402
+from wavelake.operators.scaling import minmax_bounds  # noqa: E402
+from wavelake.plans.analysis import run_analysis  # noqa: E402
+from wavelake.sinks.lake import append_bucketed, read_summary  # noqa: E402
+from wavelake.sinks.lineproto import LineProtocolSink  # noqa: E402
+from wavelake.sources.lake import read_task_csv, task_folder  # noqa: E402
+
+
+@query("minmax_bounds", oracle="SELECT min(value) AS min, max(value) AS max FROM events")
+def q_minmax_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3: fused global min and max, one pass, one row."""
+    return minmax_bounds(table(spark, sf_dir, "events"), "value")
+
+
+@query("scaler_persisted", oracle=_UNSEEN_SQL)
+def q_scaler_persisted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M2 + M5: fit, save to the shared folder, load, transform every event."""
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    model = ColumnMinMaxScaler(inputCol="value", outputCol="scaled").fit(
+        events.filter(F.col("event_type") == "view"))
+    path = scratch_path(spark, "scaler")
+    model.save(path)
+    loaded = ColumnMinMaxScalerModel.load(path)
+    return loaded.transform(events).select("event_id", "value", "scaled")
+
+
+@query("analysis_summary", oracle="""
+SELECT 'r1' AS id,
+       printf('{"resultId": "%s", "dataCount": %d, "status": "completed"}', 'r1', count(*))
+         AS result,
+       'COMPLETED' AS status
+FROM events WHERE TRY_CAST(value AS DOUBLE) IS NOT NULL
+""")
+def q_analysis_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P2 end to end (S4 query -> spectrum table K8 -> summary K9), then the
+    summary looked up by id (K10)."""
+    register_views(spark, sf_dir)
+    spec_path, sum_path = scratch_path(spark, "spectrum"), scratch_path(spark, "summary")
+    run_analysis(spark, "SELECT ts, event_id, value AS amplitude FROM events", RESULT_ID,
+                 spec_path, sum_path, order_by=["ts", "event_id"])
+    return read_summary(spark, sum_path, RESULT_ID).drop("created_time")
+
+
+@query("line_protocol_sink", oracle=_LINE_PROTOCOL_SQL)
+def q_line_protocol_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K3: points written partition-parallel by the line-protocol data source
+    (file transport into the shared folder), read back as text."""
+    path = scratch_path(spark, "points")
+    LineProtocolSink(url="", database=_LP_DATABASE, transport="file", path=path,
+                     time_col="ts").write(_lp_source(spark, sf_dir), _LP_TABLE)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+@query("ingest_bucketed", oracle=_STRING_SPARSE_SQL)
+def q_ingest_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1 + T1 + K5 (lake form): landed rows in a table bucketed on the first
+    column, read back through the catalog."""
+    src = scratch_path(spark, "landing")
+    write_csv(derived.sparse_events(table(spark, sf_dir, "events")), src)
+    cleaned = drop_all_null(read_csv_strings(spark, src))
+    name = f"landed_{uuid.uuid4().hex[:12]}"
+    append_bucketed(cleaned, name, scratch_path(spark, name), buckets=8)
+    return spark.table(name).select("event_id", "user_id", "event_type", "value", "props")
+
+
+_TASK_SPLIT = "event_type IN ('view', 'click')"
+
+
+@query("lake_scan", oracle=f"""
+WITH tagged AS (
+  SELECT *, CASE WHEN {_TASK_SPLIT} THEN '1' ELSE '2' END AS task_id FROM events),
+sparse AS ({derived.sparse_sql('tagged', 'task_id, ')})
+SELECT task_id, CAST(event_id AS VARCHAR) AS event_id, CAST(user_id AS VARCHAR) AS user_id,
+       event_type, CAST(value AS VARCHAR) AS value, props
+FROM sparse WHERE NOT ({derived.SPARSE_ALL_NULL_SQL})
+""")
+def q_lake_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S5 + S1 + T1: raw objects laid out as ``root/task_<id>/``, scanned in
+    one job with the task id recovered from each file's path."""
+    events = table(spark, sf_dir, "events")
+    root = scratch_path(spark, "lake")
+    in_first = F.col("event_type").isin("view", "click")
+    write_csv(derived.sparse_events(events.filter(in_first)), task_folder(root, 1))
+    write_csv(derived.sparse_events(events.filter(~in_first)), task_folder(root, 2))
+    scanned = read_task_csv(spark, root)
+    return drop_all_null(scanned, subset=[c for c in scanned.columns if c != "task_id"])

@@ -27,15 +27,21 @@ def sparse_events(events: DataFrame) -> DataFrame:
         F.when(keep, F.col("props")).alias("props"))
 
 
-SPARSE_EVENTS_SQL = """
-SELECT CASE WHEN NOT blank THEN event_id END AS event_id,
+def sparse_sql(source: str = "events", extra: str = "") -> str:
+    """SQL of :func:`sparse_events` over ``source``; ``extra`` adds leading
+    columns of the source (e.g. ``"task_id, "``)."""
+    return f"""
+SELECT {extra}CASE WHEN NOT blank THEN event_id END AS event_id,
        CASE WHEN NOT blank AND event_type <> 'view' THEN user_id END AS user_id,
        CASE WHEN NOT blank THEN event_type END AS event_type,
        CASE WHEN NOT blank AND event_type <> 'click' THEN value END AS value,
        CASE WHEN NOT blank THEN props END AS props
-FROM (SELECT *, (event_type = 'error' AND value < 25) AS blank FROM events)
+FROM (SELECT *, (event_type = 'error' AND value < 25) AS blank FROM {source})
 """
 
+
+SPARSE_EVENTS_SQL = sparse_sql()
+
 SPARSE_ALL_NULL_SQL = ("event_id IS NULL AND user_id IS NULL AND event_type IS NULL "
                        "AND value IS NULL AND props IS NULL")
 

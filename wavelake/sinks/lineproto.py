@@ -48,6 +48,17 @@ def create_database(url: str, database: str, post=_http_post) -> int:
     return post(f"{url.rstrip('/')}/query", body, "application/x-www-form-urlencoded")
 
 
+def _local_path(path: str) -> str:
+    """The file transport writes through the local file API: a plain path
+    or a ``file:`` URI (a mounted shared folder on a cluster)."""
+    if not path:
+        raise ValueError("file transport needs a 'path' option")
+    parsed = urllib.parse.urlparse(path)
+    if parsed.scheme in ("", "file"):
+        return parsed.path if parsed.scheme else path
+    raise ValueError(f"file transport cannot write to {path!r}; use a mounted path")
+
+
 @dataclass
 class LineBatchCommit(WriterCommitMessage):
     partition_id: int
@@ -65,8 +76,8 @@ class LineProtocolWriter(DataSourceWriter):
         self.batch_lines = int(options.get("batch_lines", DEFAULT_BATCH_LINES))
         if self.transport == "http" and not (self.url and self.database):
             raise ValueError("http transport needs 'url' and 'database' options")
-        if self.transport == "file" and not self.path:
-            raise ValueError("file transport needs a 'path' option")
+        if self.transport == "file":
+            self.path = _local_path(self.path)
 
     def _send(self, payload: str, part: int, attempt: int) -> None:
         if self.transport == "file":
