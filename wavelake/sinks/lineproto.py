@@ -25,7 +25,8 @@ import urllib.request
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourceWriter,
+                                    WriterCommitMessage)
 
 from wavelake.functions.lineproto import measurement_name, with_line_protocol
 
@@ -66,7 +67,10 @@ class LineBatchCommit(WriterCommitMessage):
     batches: int
 
 
-class LineProtocolWriter(DataSourceWriter):
+class LineProtocolWriter(DataSourceArrowWriter):
+    """Receives each task's rows as Arrow record batches (no per-row
+    conversion) and sends them in ``batch_lines`` chunks."""
+
     def __init__(self, options: dict[str, str]):
         self.transport = options.get("transport", "http")
         self.url = options.get("url", "")
@@ -96,19 +100,17 @@ class LineProtocolWriter(DataSourceWriter):
         ctx = TaskContext.get()
         part = ctx.partitionId() if ctx else 0
         attempt = ctx.taskAttemptId() if ctx else 0
-        batch: list[str] = []
+        pending: list[str] = []
         lines = batches = 0
-        for row in iterator:
-            line = row[self.column]
-            if line is None:
-                continue
-            batch.append(line)
-            if len(batch) >= self.batch_lines:
-                self._send("\n".join(batch) + "\n", part, attempt)
-                lines, batches, batch = lines + len(batch), batches + 1, []
-        if batch:
-            self._send("\n".join(batch) + "\n", part, attempt)
-            lines, batches = lines + len(batch), batches + 1
+        for record_batch in iterator:
+            pending.extend(record_batch.column(self.column).drop_null().to_pylist())
+            while len(pending) >= self.batch_lines:
+                chunk, pending = pending[:self.batch_lines], pending[self.batch_lines:]
+                self._send("\n".join(chunk) + "\n", part, attempt)
+                lines, batches = lines + len(chunk), batches + 1
+        if pending:
+            self._send("\n".join(pending) + "\n", part, attempt)
+            lines, batches = lines + len(pending), batches + 1
         return LineBatchCommit(part, lines, batches)
 
 
