@@ -83,3 +83,22 @@ def test_spectrum_by_series_restarts(spark):
         assert sorted(g["sample_index"]) == list(range(n))
         assert (g["frequency_hz"] == g["sample_index"] * 1000.0 / n).all()
     assert set(pdf["result_id"]) == {"r-hot", "r-cold", "r-none"}
+
+
+def test_hot_series_is_spread_over_balanced_tasks(spark):
+    from wavelake.operators.ordering import PART_COL, sorted_table
+    n = 40000
+    data = [("hot" if i % 10 < 7 else f"s{i % 50}", i, float(i)) for i in range(n)]
+    df = spark.createDataFrame(data, "series string, ts long, v double")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tagged = sorted_table(df, ["series", "ts"], keep=["series", "v"])
+        sizes = [r["count"] for r in tagged.groupBy(PART_COL).count().collect()]
+        hot_parts = tagged.filter("series = 'hot'").select(PART_COL).distinct().count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) == 8 and max(sizes) <= 2 * n / 8
+    assert hot_parts >= 5  # the hot series spans most tasks instead of one

@@ -40,6 +40,23 @@ def build_session(master: str | None = None, app_name: str = "wavelake",
     return builder.getOrCreate()
 
 
+def cluster_conf(input_bytes: int, cores: int,
+                 target_partition_bytes: int = 256 * 1024 * 1024) -> dict[str, str]:
+    """Sizing for a cluster run over ``input_bytes`` of input.
+
+    Sorts and aggregations start with enough shuffle partitions that each
+    holds about ``target_partition_bytes`` (a range partition cannot be split
+    later), and AQE merges the small ones; scans split files at the same size.
+    """
+    parts = max(2 * cores, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+    }
+
+
 def _conf_checkpoint_root(spark: SparkSession) -> str | None:
     value = spark.conf.get("spark.checkpoint.dir", None)
     if not value:
