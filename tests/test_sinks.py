@@ -148,3 +148,17 @@ def test_analysis_plan_end_to_end(spark, tmp_dir):
     assert read_spectrum(spark, spec_path, "run-1").count() == n
     assert read_summary(spark, sum_path, "run-1").count() == 1
     assert read_summary(spark, sum_path, "missing").count() == 0
+
+
+def test_epoch_of_ntz_ignores_session_zone(spark):
+    from wavelake.functions.time import epoch_micros, epoch_seconds
+    df = spark.sql("SELECT TIMESTAMP_NTZ'2024-01-01 00:00:01.5' AS t")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "America/New_York", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            row = df.select(epoch_micros(df, "t").alias("us"),
+                            epoch_seconds(df, "t").alias("s")).first()
+            assert (row.us, row.s) == (1704067201500000, 1704067201)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)

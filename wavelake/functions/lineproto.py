@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wavelake.functions.text import is_blank
+from wavelake.functions.time import epoch_micros
 
 
 def measurement_name(table: str, database: str | None = None) -> str:
@@ -40,10 +41,9 @@ def _escape_str(col: Column, backslash: bool) -> Column:
     return F.replace(col, F.lit('"'), F.lit('\\"'))
 
 
-def epoch_nanos(col: str | Column) -> Column:
+def epoch_nanos(df: DataFrame, col: str) -> Column:
     """Timestamp (or timestamp_ntz read as UTC) -> ns since epoch."""
-    c = F.col(col) if isinstance(col, str) else col
-    return F.unix_micros(c.cast("timestamp")) * F.lit(1000)
+    return epoch_micros(df, col) * F.lit(1000)
 
 
 def wall_clock_nanos() -> Column:
@@ -111,5 +111,5 @@ def _parts(df: DataFrame, measurement: str, fields: Sequence[str] | None,
         tag = F.concat(F.lit("," + _escape_key(t) + "="),
                        F.regexp_replace(v, r"([,= \\])", r"\\$1"))
         head = F.concat(head, F.when(~is_blank(v), tag).otherwise(F.lit("")))
-    ts = epoch_nanos(time_col) if time_col else wall_clock_nanos()
+    ts = epoch_nanos(df, time_col) if time_col else wall_clock_nanos()
     return head, field_set, ts

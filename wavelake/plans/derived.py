@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wavelake.functions.time import epoch_seconds
+
 
 def sparse_events(events: DataFrame) -> DataFrame:
     blank = (F.col("event_type") == "error") & (F.col("value") < 25)
@@ -47,7 +49,7 @@ SPARSE_ALL_NULL_SQL = ("event_id IS NULL AND user_id IS NULL AND event_type IS N
 
 
 def event_lines(events: DataFrame) -> DataFrame:
-    epoch = F.unix_seconds(F.col("ts").cast("timestamp")).cast("string")
+    epoch = epoch_seconds(events, "ts").cast("string")
     user = F.col("user_id").cast("string")
     line = (F.when(F.col("event_type") == "error", F.concat(F.lit("[ERROR] user "), user))
             .when(F.col("event_type") == "signup", F.lit("timestamp,sensor_A,sensor_B"))
