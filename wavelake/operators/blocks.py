@@ -124,14 +124,18 @@ def file_blocks(lines: DataFrame, value_col: str = "value",
 
 def ordered_blocks(df: DataFrame, order_by: Sequence[str | Column],
                    stream_cols: Sequence[str] = (), value_col: str = "value",
+                   keep: Sequence[str] | None = None,
                    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """T4 over a table whose line order is given by ``order_by`` (state
     resets per ``stream_cols`` group).  The table is range-sorted on the full
     key — balanced even when one stream holds most lines — and written once
     (tagged with sort task and position), so both passes read the same
-    splits: (sort task, file split) in order, lines by position."""
+    splits: (sort task, file split) in order, lines by position.  ``keep``
+    limits the carried columns (value and stream keys are always kept)."""
     keys = [*stream_cols, *order_by]
-    base = sorted_table(df, keys, "lines")
+    if keep is not None:
+        keep = list(dict.fromkeys([*stream_cols, value_col, *keep]))
+    base = sorted_table(df, keys, "lines", keep=keep)
     laid_out = base.withColumn("_wl_block", F.col("_metadata.file_block_start"))
     out = segment_blocks(laid_out, stream_cols, [PART_COL, "_wl_block"], POS_COL,
                          value_col, max_broadcast_rows)

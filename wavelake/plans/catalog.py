@@ -170,7 +170,7 @@ WHERE timestamp IS NOT NULL AND sensor_A IS NOT NULL AND sensor_B IS NOT NULL
 def q_log_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T4 + T5 (the stateful cleaning) over all lines in event_id order."""
     lines = derived.event_lines(table(spark, sf_dir, "events"))
-    return clean_blocks(ordered_blocks(lines, order_by=["event_id"]))
+    return clean_blocks(ordered_blocks(lines, order_by=["event_id"], keep=[]))
 
 
 # --------------------------------------------------------------- scaling

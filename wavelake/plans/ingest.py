@@ -33,11 +33,12 @@ class IngestReport:
 def ingest_csv(spark: SparkSession, paths: str | Sequence[str], sink, table: str,
                columns: Sequence[str] | None = None) -> IngestReport:
     raw = read_csv_strings(spark, paths, columns)
-    raw_obs, raw_o = observe_rows(raw, "raw")
-    cleaned = drop_all_null(raw_obs)
-    if cleaned.isEmpty():
+    # The guard runs on an unobserved frame: an Observation keeps the metrics
+    # of the first action only, which must be the write.
+    if drop_all_null(raw).isEmpty():
         raise EmptyInputError(f"no data to write to {table} after cleaning")
     sink.create_if_absent(raw, table)
-    written, written_o = observe_rows(cleaned, "written")
+    raw_obs, raw_o = observe_rows(raw, "raw")
+    written, written_o = observe_rows(drop_all_null(raw_obs), "written")
     sink.write(written, table)
     return IngestReport(table, raw_o.get["rows"], written_o.get["rows"])
