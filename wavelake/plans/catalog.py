@@ -473,14 +473,14 @@ WITH s AS (
   SELECT event_type, TRY_CAST(value AS DOUBLE) AS x,
          row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS n
   FROM events WHERE TRY_CAST(value AS DOUBLE) IS NOT NULL),
-f AS (SELECT event_type, n // {_DFT_N} AS frame, n % {_DFT_N} AS pos, x FROM s),
-k AS (SELECT range AS bin FROM range({_DFT_N // 2 + 1})),
+f AS (SELECT event_type, n // {_DFT_N} AS frame, n % {_DFT_N} AS pos, x,
+             unnest(range({_DFT_N // 2 + 1})) AS bin FROM s),
 d AS (
   SELECT event_type, frame, bin,
          sum(x * cos(2 * pi() * bin * pos / {_DFT_N})) AS re,
          CASE WHEN bin = 0 OR bin = {_DFT_N // 2} THEN 0.0
               ELSE -sum(x * sin(2 * pi() * bin * pos / {_DFT_N})) END AS im
-  FROM f JOIN k ON TRUE
+  FROM f
   GROUP BY event_type, frame, bin)
 SELECT event_type, CAST(frame AS BIGINT) AS frame, CAST(bin AS BIGINT) AS bin,
        CAST(bin AS DOUBLE) * CAST(1000.0 AS DOUBLE) / CAST({_DFT_N} AS DOUBLE) AS frequency_hz,

@@ -17,44 +17,45 @@ from pyspark.sql import DataFrame, SparkSession
 
 DdlExecutor = Callable[[SparkSession, str, Mapping[str, str], str], None]
 
-# JDBC drivers of the supported warehouses.
+# JDBC drivers and target-table layouts of the warehouses.
 CLICKHOUSE_DRIVER = "com.clickhouse.jdbc.ClickHouseDriver"
 MYSQL_PROTOCOL_DRIVER = "com.mysql.cj.jdbc.Driver"
+CLICKHOUSE_LANDING_DDL = (
+    "CREATE TABLE IF NOT EXISTS {table} ({columns}, created_time DateTime DEFAULT now()) "
+    "ENGINE = MergeTree() ORDER BY ({key}, created_time) PARTITION BY toYYYYMM(created_time)")
+DORIS_LANDING_DDL = (
+    "CREATE TABLE IF NOT EXISTS {table} ({columns}, "
+    "`created_time` DATETIME DEFAULT CURRENT_TIMESTAMP) ENGINE=OLAP "
+    "DUPLICATE KEY(`{key}`) DISTRIBUTED BY HASH(`{key}`) BUCKETS 1 "
+    'PROPERTIES ("replication_num" = "1")')
+CLICKHOUSE_SPECTRUM_DDL = (
+    "CREATE TABLE IF NOT EXISTS {table} (result_id String, sample_index UInt64, "
+    "frequency_hz Float64, magnitude Float64, phase Float64, created_time DateTime) "
+    "ENGINE = MergeTree() ORDER BY (result_id, sample_index) PARTITION BY result_id")
 
 
 def clickhouse_create_table(table: str, columns: Sequence[str]) -> str:
     """K4: first column ``String`` (a sort key cannot be Nullable), the rest
-    ``Nullable(String)``, ``created_time DateTime DEFAULT now()``; MergeTree
-    ordered by (first, created_time), partitioned by month."""
+    ``Nullable(String)``, plus ``created_time``; MergeTree ordered by (first,
+    created_time), partitioned by month."""
     if not columns:
         raise ValueError("no columns")
     cols = [f"{columns[0]} String", *[f"{c} Nullable(String)" for c in columns[1:]]]
-    return (f"CREATE TABLE IF NOT EXISTS {table} ({', '.join(cols)}, "
-            f"created_time DateTime DEFAULT now()) ENGINE = MergeTree() "
-            f"ORDER BY ({columns[0]}, created_time) "
-            f"PARTITION BY toYYYYMM(created_time)")
+    return CLICKHOUSE_LANDING_DDL.format(table=table, columns=", ".join(cols), key=columns[0])
 
 
 def doris_create_table(table: str, columns: Sequence[str]) -> str:
-    """K5: every column ``String``, ``created_time DATETIME DEFAULT
-    CURRENT_TIMESTAMP``, duplicate key and hash distribution on the first
-    column, one bucket, one replica."""
+    """K5: every column ``String`` plus ``created_time``; duplicate key and
+    hash distribution on the first column, one bucket, one replica."""
     if not columns:
         raise ValueError("no columns")
     cols = ", ".join(f"`{c}` String" for c in columns)
-    return (f"CREATE TABLE IF NOT EXISTS {table} ({cols}, "
-            f"`created_time` DATETIME DEFAULT CURRENT_TIMESTAMP) ENGINE=OLAP "
-            f"DUPLICATE KEY(`{columns[0]}`) "
-            f"DISTRIBUTED BY HASH(`{columns[0]}`) BUCKETS 1 "
-            f'PROPERTIES ("replication_num" = "1")')
+    return DORIS_LANDING_DDL.format(table=table, columns=cols, key=columns[0])
 
 
 def spectrum_create_table(table: str) -> str:
     """K8 (JDBC form): typed spectrum table keyed by (result_id, sample_index)."""
-    return (f"CREATE TABLE IF NOT EXISTS {table} (result_id String, "
-            f"sample_index UInt64, frequency_hz Float64, magnitude Float64, "
-            f"phase Float64, created_time DateTime) ENGINE = MergeTree() "
-            f"ORDER BY (result_id, sample_index) PARTITION BY result_id")
+    return CLICKHOUSE_SPECTRUM_DDL.format(table=table)
 
 
 def jvm_ddl_executor(spark: SparkSession, url: str, properties: Mapping[str, str],
