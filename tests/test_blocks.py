@@ -104,3 +104,18 @@ def test_state_carries_across_arrow_batches(spark, tmp_dir, batch):
     finally:
         spark.conf.set(key, old)
     assert got == sorted(sequential_blocks(files))
+
+
+def test_rotated_files_form_one_stream(spark, tmp_dir):
+    from wavelake.operators.blocks import file_folder
+    files = _make_files(tmp_dir, n_files=4, n_lines=400, seed=5)
+    key = "spark.sql.files.maxPartitionBytes"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "900")
+    try:
+        lines = read_lines(spark, tmp_dir)
+        got = rows(clean_blocks(file_blocks(lines, stream_of=file_folder())))
+    finally:
+        spark.conf.set(key, old)
+    # part0.log .. part3.log in path order are one continuous stream
+    assert got == sorted(sequential_blocks([sum(files, [])]))

@@ -114,12 +114,27 @@ def segment_blocks(df: DataFrame, stream_cols: Sequence[str], split_cols: Sequen
 
 
 def file_blocks(lines: DataFrame, value_col: str = "value",
+                stream_of: Column | None = None,
                 max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """T4 over a :func:`wavelake.sources.text.read_lines` frame; the state
-    resets at every file.  A file read as one split (e.g. gzip) is handled
-    by one task — the format cannot be split."""
-    return segment_blocks(lines, [FILE_COL], [SPLIT_COL], LINE_COL, value_col,
-                          max_broadcast_rows)
+    """T4 over a :func:`wavelake.sources.text.read_lines` frame.
+
+    By default the state resets at every file.  ``stream_of`` (a column
+    expression over the file path, e.g. its folder) groups files into one
+    stream — rotated logs — whose files follow each other in path order, so a
+    block may continue into the next file.  A file read as one split (e.g.
+    gzip) is handled by one task: the format cannot be split."""
+    if stream_of is None:
+        return segment_blocks(lines, [FILE_COL], [SPLIT_COL], LINE_COL, value_col,
+                              max_broadcast_rows)
+    streamed = lines.withColumn("_wl_stream", stream_of)
+    out = segment_blocks(streamed, ["_wl_stream"], [FILE_COL, SPLIT_COL], LINE_COL,
+                         value_col, max_broadcast_rows)
+    return out.drop("_wl_stream")
+
+
+def file_folder(path_col: str = FILE_COL) -> Column:
+    """The folder of a file path: all files of one folder form one stream."""
+    return F.regexp_extract(F.col(path_col), r"^(.*)/[^/]*$", 1)
 
 
 def ordered_blocks(df: DataFrame, order_by: Sequence[str | Column],

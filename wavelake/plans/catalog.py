@@ -592,3 +592,37 @@ def q_lake_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_csv(derived.sparse_events(events.filter(~in_first)), task_folder(root, 2))
     scanned = read_task_csv(spark, root)
     return drop_all_null(scanned, subset=[c for c in scanned.columns if c != "task_id"])
+
+
+# --------------------------------------------------------------- log files (S2)
+from wavelake.operators.blocks import file_blocks, file_folder  # noqa: E402
+from wavelake.sources.text import read_lines  # noqa: E402
+
+_LOG_BLOCKS_SQL = _ORACLES["log_blocks"]
+_TEXT_PARSE_SQL = _ORACLES["text_parse_fields"]
+
+
+def _rotated_log(spark: SparkSession, sf_dir: str) -> str:
+    """The rendered lines written as a rotated log: range-partitioned on the
+    line order, so ``part-00000``, ``part-00001``, ... hold consecutive
+    lines (one file per task, no task holds the whole log)."""
+    lines = derived.event_lines(table(spark, sf_dir, "events"))
+    path = scratch_path(spark, "log")
+    (lines.repartitionByRange("event_id").sortWithinPartitions("event_id")
+     .select("value").write.text(path))
+    return path
+
+
+@query("log_blocks_files", oracle=_LOG_BLOCKS_SQL)
+def q_log_blocks_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S2 + T4 + T5 over text files: state carried across the splits and
+    the rotated files of one folder."""
+    lines = read_lines(spark, _rotated_log(spark, sf_dir))
+    return clean_blocks(file_blocks(lines, stream_of=file_folder()))
+
+
+@query("text_parse_files", oracle=_TEXT_PARSE_SQL)
+def q_text_parse_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P3 over text files (S2 + T2 + T3)."""
+    lines = read_lines(spark, _rotated_log(spark, sf_dir), with_position=False)
+    return parse_fields(drop_noise_lines(lines))
