@@ -1,6 +1,5 @@
 """T7 contiguous index and T6–T12 spectrum against brute force."""
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 

@@ -8,13 +8,32 @@ Stand-ins (see FIXTURES.md): ``events.value`` is the amplitude, ``ts`` then
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wavelake.functions.lineproto import measurement_name, with_line_protocol
+from wavelake.ml.minmax import ColumnMinMaxScaler, ColumnMinMaxScalerModel
+from wavelake.operators.blocks import clean_blocks, file_blocks, file_folder, ordered_blocks
+from wavelake.operators.clean import drop_all_null, drop_noise_lines, parse_fields
+from wavelake.operators.dft import framed_dft
+from wavelake.operators.quality import preview, quality_counts, run_summary
+from wavelake.operators.scaling import minmax_bounds, minmax_scale, minmax_scale_narrow
 from wavelake.operators.spectrum import spectrum
-from wavelake.plans.tables import table
+from wavelake.plans import derived
+from wavelake.plans.analysis import run_analysis
+from wavelake.plans.ingest import ingest_csv
+from wavelake.plans.tables import register_views, table
+from wavelake.session import scratch_path
+from wavelake.sinks.lake import (SPECTRUM_SCHEMA, LakeSink, append_bucketed, append_spectrum,
+                                 read_spectrum, read_summary)
+from wavelake.sinks.lineproto import LineProtocolSink
+from wavelake.sources.csv import read_csv_strings, write_csv
+from wavelake.sources.lake import read_task_csv, task_folder
+from wavelake.sources.sql import run_sql
+from wavelake.sources.text import read_lines
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -91,11 +110,6 @@ def q_spectrum_by_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --------------------------------------------------------------- cleaning
-from wavelake.operators.blocks import clean_blocks, ordered_blocks  # noqa: E402
-from wavelake.operators.clean import (drop_all_null, drop_noise_lines,  # noqa: E402
-                                      parse_fields)
-from wavelake.operators.quality import quality_counts  # noqa: E402
-from wavelake.plans import derived  # noqa: E402
 
 _SPARSE = f"sparse AS ({derived.SPARSE_EVENTS_SQL})"
 _LINES = f"lines AS ({derived.EVENT_LINES_SQL})"
@@ -174,8 +188,6 @@ def q_log_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --------------------------------------------------------------- scaling
-from wavelake.ml.minmax import ColumnMinMaxScaler  # noqa: E402
-from wavelake.operators.scaling import minmax_scale, minmax_scale_narrow  # noqa: E402
 
 
 def _scaled_sql(x: str, src: str, fit_src: str | None = None) -> str:
@@ -250,8 +262,6 @@ def q_scale_narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --------------------------------------------------------------- rendering / summary
-from wavelake.functions.lineproto import measurement_name, with_line_protocol  # noqa: E402
-from wavelake.operators.quality import preview, run_summary  # noqa: E402
 
 _LP_TABLE, _LP_DATABASE = "warehouse.task_1_data", "warehouse"
 
@@ -327,11 +337,6 @@ def q_preview_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --------------------------------------------------------------- written tables
-from wavelake.plans.ingest import ingest_csv  # noqa: E402
-from wavelake.session import scratch_path  # noqa: E402
-from wavelake.sinks.lake import (SPECTRUM_SCHEMA, LakeSink,  # noqa: E402
-                                 append_spectrum, read_spectrum)
-from wavelake.sources.csv import read_csv_strings, write_csv  # noqa: E402
 
 
 @query("result_lookup", oracle=f"""
@@ -377,8 +382,6 @@ def q_ingest_lake(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --------------------------------------------------------------- ad-hoc SQL (S4)
-from wavelake.plans.tables import register_views  # noqa: E402
-from wavelake.sources.sql import run_sql  # noqa: E402
 
 _SQL_JOIN_AGG = """
 SELECT n.n_name AS nation, c.c_mktsegment AS segment, count(*) AS orders,
@@ -456,7 +459,6 @@ _sql_query("sql_json_date", _SQL_JSON_DATE_SPARK, _SQL_JSON_DATE_DUCK)
 
 
 # --------------------------------------------------------------- real spectrum (X1)
-from wavelake.operators.dft import framed_dft  # noqa: E402
 
 _DFT_N = 64
 
@@ -504,14 +506,6 @@ def q_dft_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --------------------------------------------------------------- more end-to-end jobs
-import uuid  # noqa: E402
-
-from wavelake.ml.minmax import ColumnMinMaxScalerModel  # noqa: E402
-from wavelake.operators.scaling import minmax_bounds  # noqa: E402
-from wavelake.plans.analysis import run_analysis  # noqa: E402
-from wavelake.sinks.lake import append_bucketed, read_summary  # noqa: E402
-from wavelake.sinks.lineproto import LineProtocolSink  # noqa: E402
-from wavelake.sources.lake import read_task_csv, task_folder  # noqa: E402
 
 
 @query("minmax_bounds", oracle="SELECT min(value) AS min, max(value) AS max FROM events")
@@ -595,8 +589,6 @@ def q_lake_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --------------------------------------------------------------- log files (S2)
-from wavelake.operators.blocks import file_blocks, file_folder  # noqa: E402
-from wavelake.sources.text import read_lines  # noqa: E402
 
 _LOG_BLOCKS_SQL = _ORACLES["log_blocks"]
 _TEXT_PARSE_SQL = _ORACLES["text_parse_fields"]
