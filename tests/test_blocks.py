@@ -35,6 +35,8 @@ def _make_files(tmp_dir, n_files=3, n_lines=900, seed=7):
                 lines.append("%d.5,1,2" % i)
             elif r < 0.15:
                 lines.append("%d,1 2,3" % i)
+            elif r < 0.16:
+                lines.append("%d,%d.25,%d.5,extra" % (1678886400 + i, i % 97, f))
             else:
                 lines.append("%d,%d.25,%d.5" % (1678886400 + i, i % 97, f))
         files.append(lines)

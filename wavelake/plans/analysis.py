@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavelake.operators.quality import (SUMMARY_FORMAT, SUMMARY_STATUS_ROW,
@@ -28,7 +28,7 @@ def summary_frame(spark: SparkSession, result_id: str, count: int) -> DataFrame:
 
 
 def run_analysis(spark: SparkSession, query: str, result_id: str, spectrum_path: str,
-                 summary_path: str, order_by: Sequence[str] | None,
+                 summary_path: str, order_by: Sequence[str | Column] | None,
                  tables: Mapping[str, DataFrame] | None = None,
                  amplitude_col: str = "amplitude",
                  sample_rate: float = 1000.0) -> DataFrame:
