@@ -23,6 +23,10 @@ def _norm(v):
     return str(v)
 
 
+_TYPE_MAP = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+             "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP"}
+
+
 def _bag(cols, rows):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     return sorted("|".join(_norm(r[i]) for i in order) for r in rows)
@@ -53,5 +57,8 @@ def test_query_matches_oracle(spark, duck, name):
     rel = duck.sql(entry.oracle_sql()[name])
     d_rows = rel.fetchall()
     assert sorted(sdf.columns) == sorted(rel.columns)
+    duck_types = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    for f in sdf.schema.fields:
+        assert _TYPE_MAP.get(f.dataType.simpleString()) == duck_types[f.name], f.name
     assert len(s_rows) == len(d_rows)
     assert _bag(sdf.columns, s_rows) == _bag(rel.columns, d_rows)

@@ -457,6 +457,47 @@ _sql_query("sql_set_ops", _SQL_SET_OPS)
 _sql_query("sql_semi_anti", _SQL_SEMI_ANTI)
 _sql_query("sql_json_date", _SQL_JSON_DATE_SPARK, _SQL_JSON_DATE_DUCK)
 
+_SQL_RUNNING_WINDOW = """
+SELECT o_custkey, o_orderkey, o_orderdate,
+       round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey
+                                     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2)
+         AS running_total,
+       lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)
+         AS prev_order
+FROM orders
+"""
+_SQL_DISTINCT_HAVING = """
+SELECT l_suppkey, count(DISTINCT l_orderkey) AS orders, count(*) AS lines
+FROM lineitem
+GROUP BY l_suppkey
+HAVING count(DISTINCT l_partkey) > 5
+"""
+_SQL_TOPK = """
+SELECT o_orderkey, o_custkey, o_totalprice
+FROM orders
+ORDER BY o_totalprice DESC, o_orderkey
+LIMIT 10
+"""
+_SQL_CORRELATED = """
+SELECT c.c_custkey, c.c_name,
+       (SELECT count(*) FROM orders o WHERE o.o_custkey = c.c_custkey) AS n_orders,
+       (SELECT max(o.o_totalprice) FROM orders o WHERE o.o_custkey = c.c_custkey) AS max_price
+FROM customer c
+"""
+_SQL_CASE_STRINGS = """
+SELECT p_brand, upper(substr(p_type, 1, 5)) AS type_prefix, count(*) AS parts,
+       CAST(sum(CASE WHEN p_size > 25 THEN 1 ELSE 0 END) AS BIGINT) AS large,
+       CAST(max(length(p_name)) AS BIGINT) AS longest_name
+FROM part
+GROUP BY p_brand, upper(substr(p_type, 1, 5))
+"""
+
+_sql_query("sql_running_window", _SQL_RUNNING_WINDOW)
+_sql_query("sql_distinct_having", _SQL_DISTINCT_HAVING)
+_sql_query("sql_topk", _SQL_TOPK)
+_sql_query("sql_correlated", _SQL_CORRELATED)
+_sql_query("sql_case_strings", _SQL_CASE_STRINGS)
+
 
 # --------------------------------------------------------------- real spectrum (X1)
 
