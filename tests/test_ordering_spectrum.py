@@ -101,3 +101,9 @@ def test_hot_series_is_spread_over_balanced_tasks(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(sizes) == 8 and max(sizes) <= 2 * n / 8
     assert hot_parts >= 5  # the hot series spans most tasks instead of one
+
+
+def test_explicit_range_partitions(spark):
+    df = _skewed(spark, 2000)
+    got = contiguous_index(df, ["ts", "id"], count_col="n", num_partitions=5)
+    assert sorted(r.sample_index for r in got.collect()) == list(range(2000))

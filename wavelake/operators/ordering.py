@@ -52,12 +52,19 @@ def tag_positions(df: DataFrame) -> DataFrame:
 
 
 def sorted_table(df: DataFrame, keys: Sequence[str | Column], name: str = "sorted",
-                 keep: Sequence[str] | None = None) -> DataFrame:
+                 keep: Sequence[str] | None = None,
+                 num_partitions: int | None = None) -> DataFrame:
     """``df`` range-sorted on ``keys`` (balanced tasks, even for hot key
     prefixes), tagged with partition and position, written once.  Only the
     ``keep`` columns (default: all) are written — sort keys needed for nothing
-    else are not stored."""
-    ordered = df.orderBy(*_as_cols(keys))
+    else are not stored.  ``num_partitions`` overrides the shuffle partition
+    count of the sort (size it to the input: a range partition cannot be
+    split later)."""
+    cols = _as_cols(keys)
+    if num_partitions:
+        ordered = df.repartitionByRange(num_partitions, *cols).sortWithinPartitions(*cols)
+    else:
+        ordered = df.orderBy(*cols)
     if keep is not None:
         ordered = ordered.select(*keep)
     return materialized(tag_positions(ordered), name)
@@ -93,6 +100,7 @@ def contiguous_index(df: DataFrame, order_by: Sequence[str | Column] | None,
                      index_col: str = "sample_index",
                      count_col: str | None = None,
                      keep: Sequence[str] | None = None,
+                     num_partitions: int | None = None,
                      max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """Add ``index_col`` = 0..n-1 within each ``partition_by`` group.
 
@@ -111,7 +119,7 @@ def contiguous_index(df: DataFrame, order_by: Sequence[str | Column] | None,
         tagged = materialized(tag_positions(df.select(*keep) if keep else df), "arrival")
     else:
         tagged = sorted_table(df, [*_as_cols(partition_by), *_as_cols(order_by)],
-                              keep=keep)
+                              keep=keep, num_partitions=num_partitions)
 
     summary = (tagged.groupBy("_wl_part", *partition_by)
                .agg(F.count(F.lit(1)).alias("_wl_n"),

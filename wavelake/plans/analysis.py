@@ -7,7 +7,7 @@ and becomes the summary, so no extra job runs over the data.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,9 +31,14 @@ def run_analysis(spark: SparkSession, query: str, result_id: str, spectrum_path:
                  summary_path: str, order_by: Sequence[str | Column] | None,
                  tables: Mapping[str, DataFrame] | None = None,
                  amplitude_col: str = "amplitude",
-                 sample_rate: float = 1000.0) -> DataFrame:
-    """Run the analysis of ``query`` and return its summary row."""
-    data = run_sql(spark, query, tables)
+                 sample_rate: float = 1000.0,
+                 source: Callable[[SparkSession, str], DataFrame] | None = None) -> DataFrame:
+    """Run the analysis of ``query`` and return its summary row.
+
+    The query runs on Spark over ``tables`` / registered views (S4) unless
+    ``source`` reads it elsewhere, e.g. in a warehouse over JDBC (S3):
+    ``source=lambda s, q: read_query(s, url, q, props, ...)``."""
+    data = source(spark, query) if source else run_sql(spark, query, tables)
     spec = spectrum(data, result_id, order_by, amplitude_col=amplitude_col,
                     sample_rate=sample_rate)
     observed, obs = observe_rows(spec, "spectrum")
