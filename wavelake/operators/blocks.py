@@ -33,7 +33,7 @@ from wavelake.functions.text import CLOSE_BLOCK, OPEN_BLOCK, block_marker, java_
 from wavelake.operators.clean import parse_fields_strict
 from wavelake.operators.ordering import (DEFAULT_MAX_BROADCAST_ROWS, PART_COL,
                                          POS_COL, broadcast_if_bounded,
-                                         materialized, null_safe_join,
+                                         materialized_counted, null_safe_join,
                                          sorted_table)
 from wavelake.sources.text import FILE_COL, LINE_COL, SPLIT_COL
 
@@ -106,7 +106,8 @@ def segment_blocks(df: DataFrame, stream_cols: Sequence[str], split_cols: Sequen
     earlier = spec.orderBy(*split_cols).rowsBetween(Window.unboundedPreceding, -1)
     summary = (summary.withColumn(_CARRY, F.last("_wl_last", ignorenulls=True).over(earlier))
                .drop("_wl_last"))
-    summary = broadcast_if_bounded(materialized(summary, "carry"), max_broadcast_rows)
+    summary, rows = materialized_counted(summary, "carry")
+    summary = broadcast_if_bounded(summary, max_broadcast_rows, rows)
 
     joined = null_safe_join(local, summary, split_keys)
     state = F.coalesce(F.col(_LOCAL), F.col(_CARRY), F.lit(CLOSE_BLOCK))

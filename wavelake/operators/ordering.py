@@ -21,7 +21,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from wavelake.session import scratch_path
@@ -43,6 +43,16 @@ def materialized(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def materialized_counted(df: DataFrame, name: str = "stage") -> tuple[DataFrame, int]:
+    """:func:`materialized`, also returning the row count observed during the
+    write (no separate counting job)."""
+    obs = Observation(f"wl_rows_{name}")
+    path = scratch_path(df.sparkSession, name)
+    (df.observe(obs, F.count(F.lit(1)).alias("rows"))
+     .write.option("maxRecordsPerFile", 0).parquet(path))
+    return df.sparkSession.read.parquet(path), obs.get["rows"]
+
+
 def tag_positions(df: DataFrame) -> DataFrame:
     """Add ``_wl_part`` (task partition) and ``_wl_pos`` (row position in it),
     computed in the stage that produces ``df``'s rows."""
@@ -70,12 +80,12 @@ def sorted_table(df: DataFrame, keys: Sequence[str | Column], name: str = "sorte
     return materialized(tag_positions(ordered), name)
 
 
-def broadcast_if_bounded(small: DataFrame,
-                         max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``small`` only after counting it; otherwise leave it to a
-    shuffle join.  ``small`` should already be materialised (written), so the
-    count is cheap."""
-    return F.broadcast(small) if small.count() <= max_rows else small
+def broadcast_if_bounded(small: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+                         rows: int | None = None) -> DataFrame:
+    """Broadcast ``small`` only when its row count (given, or counted here)
+    is at most ``max_rows``; otherwise leave it to a shuffle join."""
+    rows = small.count() if rows is None else rows
+    return F.broadcast(small) if rows <= max_rows else small
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
@@ -131,8 +141,8 @@ def contiguous_index(df: DataFrame, order_by: Sequence[str | Column] | None,
     if count_col:
         summary = summary.withColumn(
             "_wl_total", F.sum("_wl_n").over(Window.partitionBy(*partition_by)))
-    summary = broadcast_if_bounded(materialized(summary.drop("_wl_n"), "offsets"),
-                                   max_broadcast_rows)
+    summary, rows = materialized_counted(summary.drop("_wl_n"), "offsets")
+    summary = broadcast_if_bounded(summary, max_broadcast_rows, rows)
 
     joined = null_safe_join(tagged, summary, ["_wl_part", *partition_by])
     out = joined.withColumn(
