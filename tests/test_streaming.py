@@ -81,3 +81,27 @@ def test_stream_blocks_carry_state_across_micro_batches(spark, tmp_dir):
     exp = sorted((name, *row) for name, lines in streams.items()
                  for row in sequential_blocks([lines]))
     assert got == exp
+
+
+def test_line_protocol_stream_sink(spark, tmp_dir):
+    import glob
+    from pyspark.sql import functions as F
+    from wavelake.functions.lineproto import with_line_protocol
+    from wavelake.sinks.lineproto import register
+    register(spark)
+    src = os.path.join(tmp_dir, "csv")
+    os.makedirs(src)
+    _write(os.path.join(src, "a.csv"), "k,t\nx,1\n,2\ny,3\n")
+    stream = (spark.readStream.option("header", True).schema("k string, t long").csv(src)
+              .withColumn("t", F.timestamp_seconds("t")))
+    out = os.path.join(tmp_dir, "points")
+    q = (with_line_protocol(stream, "m", time_col="t").writeStream.format("lineprotocol")
+         .option("transport", "file").option("path", out)
+         .option("checkpointLocation", os.path.join(tmp_dir, "ck")).start())
+    q.processAllAvailable()
+    q.stop()
+    lines = []
+    for name in glob.glob(os.path.join(out, "*.lp")):
+        with open(name) as fh:
+            lines += fh.read().splitlines()
+    assert sorted(lines) == ['m k="x" 1000000000', 'm k="y" 3000000000']

@@ -25,8 +25,9 @@ import urllib.request
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourceWriter,
-                                    WriterCommitMessage)
+from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter,
+                                    DataSourceStreamArrowWriter, DataSourceStreamWriter,
+                                    DataSourceWriter, WriterCommitMessage)
 
 from wavelake.functions.lineproto import measurement_name, with_line_protocol
 
@@ -114,6 +115,23 @@ class LineProtocolWriter(DataSourceArrowWriter):
         return LineBatchCommit(part, lines, batches)
 
 
+class LineProtocolStreamWriter(DataSourceStreamArrowWriter):
+    """Streaming form: each micro-batch's tasks send their lines the same
+    way; a replayed micro-batch resends (at-least-once)."""
+
+    def __init__(self, options: dict[str, str]):
+        self._batch_writer = LineProtocolWriter(options)
+
+    def write(self, iterator):
+        return self._batch_writer.write(iterator)
+
+    def commit(self, messages, batchId: int) -> None:
+        pass
+
+    def abort(self, messages, batchId: int) -> None:
+        pass
+
+
 class LineProtocolDataSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -122,6 +140,9 @@ class LineProtocolDataSource(DataSource):
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
         return LineProtocolWriter(dict(self.options))
 
+    def streamWriter(self, schema, overwrite: bool) -> DataSourceStreamWriter:
+        return LineProtocolStreamWriter(dict(self.options))
+
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(LineProtocolDataSource)
