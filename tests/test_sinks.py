@@ -13,8 +13,8 @@ from wavelake.operators.quality import run_summary
 from wavelake.plans.analysis import run_analysis
 from wavelake.plans.ingest import EmptyInputError, ingest_csv
 from wavelake.sinks.jdbc import JdbcSink, clickhouse_create_table, doris_create_table
-from wavelake.sinks.lake import (SPECTRUM_SCHEMA, LakeSink, append_spectrum, read_spectrum,
-                                 read_summary, with_landing_columns)
+from wavelake.sinks.lake import (SPECTRUM_SCHEMA, LakeSink, append_spectrum, find_summary,
+                                 read_spectrum, read_summary, with_landing_columns)
 from wavelake.sinks.lineproto import LineProtocolSink
 from wavelake.sinks.registry import normalise_profile, sink_for, warehouse_url
 from wavelake.sources.csv import write_csv
@@ -148,6 +148,8 @@ def test_analysis_plan_end_to_end(spark, tmp_dir):
     assert read_spectrum(spark, spec_path, "run-1").count() == n
     assert read_summary(spark, sum_path, "run-1").count() == 1
     assert read_summary(spark, sum_path, "missing").count() == 0
+    assert find_summary(spark, sum_path, "missing") is None
+    assert find_summary(spark, sum_path, "run-1").status == "COMPLETED"
 
 
 def test_epoch_of_ntz_ignores_session_zone(spark):

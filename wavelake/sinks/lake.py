@@ -95,6 +95,12 @@ def read_summary(spark: SparkSession, path: str, result_id: str) -> DataFrame:
     return spark.read.schema(SUMMARY_SCHEMA).parquet(path).filter(F.col("id") == result_id)
 
 
+def find_summary(spark: SparkSession, path: str, result_id: str):
+    """K10 as a lookup: the summary row of ``result_id`` or ``None`` (the id
+    filter is pushed into the Parquet scan; at most one row comes back)."""
+    return read_summary(spark, path, result_id).first()
+
+
 class LakeSink:
     """K4 lake form as a warehouse target: ``<root>/<table>`` Parquet."""
 
