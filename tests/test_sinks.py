@@ -83,10 +83,12 @@ def test_jdbc_sink_runs_ddl_once_per_target(spark):
     calls = []
     sink = JdbcSink("clickhouse", "jdbc:clickhouse://h:1/db",
                     {"user": "u", "password": "p"},
-                    ddl_executor=lambda s, url, props, stmt: calls.append((url, props, stmt)))
+                    ddl_executor=lambda s, url, props, stmt: calls.append((url, props, stmt)),
+                    batch_size=5000, num_partitions=16)
     df = spark.createDataFrame([("1", "x")], "a string, b string")
     sink.create_if_absent(df, "db.t")
     assert calls[0][1]["driver"].endswith("ClickHouseDriver")
+    assert (calls[0][1]["batchsize"], calls[0][1]["numPartitions"]) == ("5000", "16")
     assert calls[0][2].startswith("CREATE TABLE IF NOT EXISTS db.t (a String")
     with pytest.raises(ValueError):
         sink.create_statement(df.withColumn("created_time", F.lit(1)), "db.t")

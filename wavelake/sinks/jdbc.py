@@ -87,11 +87,17 @@ class JdbcSink:
     url: str
     properties: dict[str, str] = field(default_factory=dict)
     ddl_executor: DdlExecutor = jvm_ddl_executor
+    batch_size: int | None = None       # rows per INSERT batch
+    num_partitions: int | None = None   # cap on concurrent connections
 
     def _props(self) -> dict[str, str]:
         props = dict(self.properties)
         props.setdefault("driver", CLICKHOUSE_DRIVER if self.dialect == "clickhouse"
                          else MYSQL_PROTOCOL_DRIVER)
+        if self.batch_size:
+            props["batchsize"] = str(self.batch_size)
+        if self.num_partitions:
+            props["numPartitions"] = str(self.num_partitions)
         return props
 
     def create_statement(self, df: DataFrame, table: str) -> str:
