@@ -40,3 +40,12 @@ def test_run_sql_over_registered_frames(spark):
 def test_partitioned_jdbc_read_needs_bounds(spark):
     with pytest.raises(ValueError):
         read_query(spark, "jdbc:x:y", "SELECT 1", {}, partition_column="id")
+
+
+def test_scratch_tables_can_be_dropped(spark):
+    from wavelake.session import drop_scratch, scratch_path, scratch_root
+    path = scratch_path(spark, "tmp")
+    spark.range(3).write.parquet(path)
+    assert path.startswith(scratch_root(spark))
+    assert drop_scratch(spark, path)
+    assert not os.path.exists(path.replace("file:", ""))

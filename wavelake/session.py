@@ -89,3 +89,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder for an intermediate table, next to the checkpoints."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "tables", f"{name}-{uuid.uuid4().hex}")
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """Folder holding every intermediate table of this application."""
+    return os.path.join(ensure_checkpoint_dir(spark), "tables")
+
+
+def drop_scratch(spark: SparkSession, path: str | None = None) -> bool:
+    """Delete one intermediate table (or all of them) through the Hadoop
+    file system of the path, so it works on HDFS and object stores alike.
+
+    Results read lazily from these tables: drop them only after those
+    results have been consumed."""
+    target = path or scratch_root(spark)
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(target)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.delete(hpath, True))
