@@ -11,8 +11,9 @@ whole stream (file) and resets only at the next one.
 Distributed segmented scan, no global sort and no whole stream in one task:
 
 1. each split (a file split, or a partition of a sorted table) computes its
-   local state with a vectorised forward fill (``mapInPandas``), in the
-   order the split is read — no shuffle;
+   local state with a vectorised forward fill over Arrow batches
+   (``mapInArrow``; the text itself is never converted), in the order the
+   split is read — no shuffle;
 2. a summary with one row per split keeps its last marker; a window over
    that small frame gives each split the state carried in from earlier
    splits of the same stream;
@@ -24,7 +25,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,30 +52,37 @@ def _segment_key(cols: Sequence[str]) -> Column:
     return F.xxhash64(*parts, *flags)
 
 
-def _forward_fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Local state per split, in read order; state carries across batches of
-    the same split within one partition."""
+def _forward_fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Local state per split, in read order, on Arrow batches: only the
+    marker and split-key columns are touched (numpy); the line text passes
+    through untouched.  State carries across batches of the same split."""
     carry_key, carry_state = None, None
-    for pdf in batches:
-        if pdf.empty:
-            yield pdf.assign(**{_LOCAL: pd.Series([], dtype="Int32")})
+    for rb in batches:
+        n = rb.num_rows
+        if n == 0:
+            yield rb.append_column(_LOCAL, pa.array([], pa.int32()))
             continue
-        key = pdf[_KEY]
-        starts = key.ne(key.shift())
-        starts.iloc[0] = key.iloc[0] != carry_key
-        seg = starts.cumsum()
-        local = pdf[_MARK].astype("float64").groupby(seg).ffill()
-        if not starts.iloc[0] and carry_state is not None:
-            first = seg == seg.iloc[0]
-            local = local.where(~(first & local.isna()), float(carry_state))
-        last_seg = seg == seg.iloc[-1]
-        tail = local[last_seg].dropna()
-        if not tail.empty:
-            carry_state = tail.iloc[-1]
-        elif starts[last_seg].any():
-            carry_state = None
-        carry_key = key.iloc[-1]
-        yield pdf.assign(**{_LOCAL: local.astype("Int32")})
+        key = rb.column(_KEY).to_numpy()
+        marks = rb.column(_MARK)
+        valid = marks.is_valid().to_numpy(zero_copy_only=False)
+        mark = marks.fill_null(0).to_numpy(zero_copy_only=False)
+        pos = np.arange(n)
+        starts = np.empty(n, dtype=bool)
+        starts[0] = key[0] != carry_key
+        starts[1:] = key[1:] != key[:-1]
+        seg_start = np.maximum.accumulate(np.where(starts, pos, 0))
+        last = np.maximum.accumulate(np.where(valid, pos, -1))
+        has = last >= seg_start            # a marker seen earlier in this segment
+        local = np.where(has, mark[np.maximum(last, 0)], 0)
+        local_valid = has
+        if not starts[0] and carry_state is not None:
+            first_seg = pos < (np.argmax(starts) if starts.any() else n)
+            fill = first_seg & ~has        # continued split: state from the last batch
+            local = np.where(fill, carry_state, local)
+            local_valid = has | fill
+        carry_key = key[-1]
+        carry_state = int(local[-1]) if local_valid[-1] else None
+        yield rb.append_column(_LOCAL, pa.array(local.astype(np.int32), mask=~local_valid))
 
 
 def segment_blocks(df: DataFrame, stream_cols: Sequence[str], split_cols: Sequence[str],
@@ -93,7 +102,7 @@ def segment_blocks(df: DataFrame, stream_cols: Sequence[str], split_cols: Sequen
     schema = T.StructType([*marked.withColumn(_KEY, F.lit(0).cast("long")).schema.fields,
                            T.StructField(_LOCAL, T.IntegerType(), True)])
     local = (marked.withColumn(_KEY, _segment_key(split_keys))
-             .mapInPandas(_forward_fill, schema)
+             .mapInArrow(_forward_fill, schema)
              .drop(_KEY))
     # Only data lines that are open, or still undecided, need the carry.
     local = local.filter(F.col(_MARK).isNull()
