@@ -11,9 +11,10 @@ for bins k = 0..N/2, with ``frequency_hz = k * rate / N``,
 partial frame is zero-padded.
 
 Plan: the JVM groups each frame into one sorted array (a group is bounded by
-the frame length, never by the data); a vectorised pandas UDF stacks all
-frames of an Arrow batch into one matrix and runs ``numpy.fft.rfft`` on it;
-``posexplode`` turns bins back into rows.
+the frame length, never by the data); ``mapInArrow`` scatters all frames of
+an Arrow batch into one matrix through the list offsets, runs
+``numpy.fft.rfft`` on it and emits one row per bin — no Python loop per
+frame or per sample.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,26 +33,37 @@ from wavelake.operators.ordering import contiguous_index
 DEFAULT_FRAME_SIZE = 64
 DEFAULT_SAMPLE_RATE_HZ = 1000.0
 
-_BINS = T.StructType([T.StructField("re", T.ArrayType(T.DoubleType())),
-                      T.StructField("im", T.ArrayType(T.DoubleType()))])
+def _rfft_frames(frame_size: int, carried: list[str]):
+    """``mapInArrow`` body: every frame of an Arrow batch is scattered into
+    one (frames x N) matrix through the list offsets, transformed at once,
+    and returned as one row per (frame, bin) — no Python loop per frame."""
+    nbins = frame_size // 2 + 1
 
-
-def _rfft_udf(frame_size: int):
-    @F.pandas_udf(_BINS)
-    def rfft(frames: pd.Series) -> pd.DataFrame:
-        mat = np.zeros((len(frames), frame_size), dtype=np.float64)
-        for i, samples in enumerate(frames):
-            arr = np.asarray(samples, dtype=np.float64)
-            mat[i, :len(arr)] = arr
-        spec = np.fft.rfft(mat, axis=1)
-        re, im = spec.real, spec.imag
-        # DC (and Nyquist for even N) are real by definition: drop the
-        # rounding noise so their phase is exactly 0 or pi.
-        im[:, 0] = 0.0
-        if frame_size % 2 == 0:
-            im[:, -1] = 0.0
-        return pd.DataFrame({"re": list(re), "im": list(im)})
-    return rfft
+    def fn(batches):
+        for rb in batches:
+            m = rb.num_rows
+            xs = rb.column("_wl_x")
+            offsets = xs.offsets.to_numpy().astype(np.int64)
+            values = xs.flatten().to_numpy(zero_copy_only=False)
+            lengths = np.diff(offsets)
+            mat = np.zeros((m, frame_size), dtype=np.float64)
+            rows = np.repeat(np.arange(m), lengths)
+            cols = np.arange(len(values)) - np.repeat(offsets[:-1] - offsets[0], lengths)
+            mat[rows, cols] = values
+            spec = np.fft.rfft(mat, axis=1)
+            im = spec.imag.copy()
+            # DC (and Nyquist for even N) are real by definition: drop the
+            # rounding noise so their phase is exactly 0 or pi.
+            im[:, 0] = 0.0
+            if frame_size % 2 == 0:
+                im[:, -1] = 0.0
+            take = pa.array(np.repeat(np.arange(m), nbins))
+            out = {c: rb.column(c).take(take) for c in carried}
+            out["bin"] = pa.array(np.tile(np.arange(nbins, dtype=np.int64), m))
+            out["re"] = pa.array(spec.real.ravel())
+            out["im"] = pa.array(im.ravel())
+            yield pa.RecordBatch.from_pydict(out)
+    return fn
 
 
 def framed_dft(df: DataFrame, value_col: str, order_by: Sequence[str | Column],
@@ -77,15 +89,15 @@ def framed_dft(df: DataFrame, value_col: str, order_by: Sequence[str | Column],
               .agg(F.sort_array(F.collect_list("_wl_s")).alias("_wl_s"))
               .select(*series, "frame",
                       F.transform("_wl_s", lambda s: s.getField("x")).alias("_wl_x")))
-    spectra = frames.select(*series, "frame",
-                            _rfft_udf(frame_size)(F.col("_wl_x")).alias("_wl_b"))
-    bins = spectra.select(*series, "frame", F.posexplode(
-        F.arrays_zip(F.col("_wl_b.re").alias("re"), F.col("_wl_b.im").alias("im"))
-    ).alias("bin", "_wl_c"))
-    re, im = F.col("_wl_c.re"), F.col("_wl_c.im")
+    carried = [*series, "frame"]
+    out_schema = T.StructType([*[frames.schema[c] for c in carried],
+                               T.StructField("bin", T.LongType()),
+                               T.StructField("re", T.DoubleType()),
+                               T.StructField("im", T.DoubleType())])
+    bins = frames.mapInArrow(_rfft_frames(frame_size, carried), out_schema)
+    re, im = F.col("re"), F.col("im")
     return bins.select(
-        *series, "frame",
-        F.col("bin").cast("long").alias("bin"),
+        *series, "frame", "bin",
         (F.col("bin").cast("double") * F.lit(float(sample_rate))
          / F.lit(float(frame_size))).alias("frequency_hz"),
         re.alias("re"), im.alias("im"),
