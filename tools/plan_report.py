@@ -52,7 +52,7 @@ def main() -> None:
         exch = len(re.findall(r"^\(\d+\) Exchange", plan, re.M))
         bcast = len(re.findall(r"^\(\d+\) BroadcastExchange", plan, re.M))
         scans = re.findall(r"ReadSchema: (struct<[^\n]*>)", plan)
-        py = sorted(set(re.findall(r"(ArrowEvalPython|MapInPandas|PythonDataSource\w*|"
+        py = sorted(set(re.findall(r"(ArrowEvalPython|MapInPandas|\w*MapInArrow|PythonDataSource\w*|"
                                    r"BatchEvalPython|FlatMapGroupsInPandas)", plan)))
         subq = len(re.findall(r"^Subquery:\d+", plan, re.M))
         rows.append((name, exch, ", ".join(sorted(set(s for s in shuffles))) or "-", bcast,
