@@ -37,6 +37,7 @@ from wavelake.operators.ordering import (DEFAULT_MAX_BROADCAST_ROWS, PART_COL,
                                          POS_COL, broadcast_if_bounded,
                                          materialized_counted, null_safe_join,
                                          sorted_table)
+from wavelake.session import ship_package
 from wavelake.sources.text import FILE_COL, LINE_COL, SPLIT_COL
 
 _KEY = "_wl_key"
@@ -95,6 +96,7 @@ def segment_blocks(df: DataFrame, stream_cols: Sequence[str], split_cols: Sequen
     a split; splits of a stream are ordered by ``split_cols``; ``line_col``
     orders lines within a split.
     """
+    ship_package(df.sparkSession)
     stream_cols, split_cols = list(stream_cols), list(split_cols)
     split_keys = [*stream_cols, *split_cols]
     marked = df.withColumn(_MARK, block_marker(value_col).cast("int"))

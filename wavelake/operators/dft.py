@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 
 from wavelake.functions.numeric import as_double
 from wavelake.operators.ordering import contiguous_index
+from wavelake.session import ship_package
 
 DEFAULT_FRAME_SIZE = 64
 DEFAULT_SAMPLE_RATE_HZ = 1000.0
@@ -73,6 +74,7 @@ def framed_dft(df: DataFrame, value_col: str, order_by: Sequence[str | Column],
     and phase.  Rows whose value does not parse as a double are skipped."""
     if frame_size < 2:
         raise ValueError("frame_size must be at least 2")
+    ship_package(df.sparkSession)
     series = list(series)
     order_names = [c for c in order_by if isinstance(c, str)]
     samples = (df.withColumn("_wl_x", as_double(value_col))

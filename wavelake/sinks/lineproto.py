@@ -34,6 +34,7 @@ from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter,
                                     DataSourceWriter, WriterCommitMessage)
 
 from wavelake.functions.lineproto import measurement_name, with_line_protocol
+from wavelake.session import ship_package
 
 FORMAT_NAME = "lineprotocol"
 DEFAULT_BATCH_LINES = 5000
@@ -162,6 +163,7 @@ class LineProtocolDataSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    ship_package(spark)
     spark.dataSource.register(LineProtocolDataSource)
 
 

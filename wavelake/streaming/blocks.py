@@ -25,6 +25,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wavelake.functions.text import CLOSE_BLOCK, OPEN_BLOCK, block_marker
 from wavelake.operators.blocks import clean_blocks, ordered_blocks
+from wavelake.session import ship_package
 
 _STATE = T.StructType([T.StructField("marker", T.IntegerType())])
 
@@ -45,6 +46,7 @@ def stream_blocks(lines: DataFrame, stream_cols: Sequence[str], order_col: str,
                   value_col: str = "value") -> DataFrame:
     """Block rows of a streaming frame of lines (T4); ``order_col`` orders
     lines within a stream.  Apply :func:`clean_stream_blocks` for T5."""
+    ship_package(lines.sparkSession)
     stream_cols = list(stream_cols)
     marked = lines.withColumn("_wl_marker", block_marker(value_col).cast("int"))
     out_schema = T.StructType([f for f in marked.schema.fields if f.name != "_wl_marker"])
