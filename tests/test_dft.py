@@ -48,3 +48,12 @@ def test_dc_and_nyquist_phase_are_exact(spark):
 def test_rejects_tiny_frames(spark):
     with pytest.raises(ValueError):
         framed_dft(spark.range(3).withColumnRenamed("id", "v"), "v", ["v"], frame_size=1)
+
+
+def test_order_by_expression(spark):
+    data = [(f"{i / 1000:.3f}", float(np.cos(2 * np.pi * 125.0 * i / 1000))) for i in range(64)]
+    df = spark.createDataFrame(data, "timestamp string, amplitude double").repartition(3)
+    from pyspark.sql import functions as F
+    out = framed_dft(df, "amplitude", [F.col("timestamp").cast("double")], frame_size=64)
+    peak = out.filter("bin > 0").orderBy(F.desc("magnitude")).first()
+    assert peak.bin == 8 and peak.frequency_hz == 125.0

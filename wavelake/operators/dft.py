@@ -76,10 +76,10 @@ def framed_dft(df: DataFrame, value_col: str, order_by: Sequence[str | Column],
         raise ValueError("frame_size must be at least 2")
     ship_package(df.sparkSession)
     series = list(series)
-    order_names = [c for c in order_by if isinstance(c, str)]
     samples = (df.withColumn("_wl_x", as_double(value_col))
-               .filter(F.col("_wl_x").isNotNull())
-               .select(*dict.fromkeys([*series, *order_names]), "_wl_x"))
+               .filter(F.col("_wl_x").isNotNull()))
+    if all(isinstance(c, str) for c in order_by):
+        samples = samples.select(*dict.fromkeys([*series, *order_by]), "_wl_x")
     indexed = contiguous_index(samples, list(order_by), partition_by=series,
                                index_col="_wl_n", keep=["_wl_x"])
     framed = indexed.select(
