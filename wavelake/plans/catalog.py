@@ -25,7 +25,7 @@ from wavelake.operators.spectrum import spectrum
 from wavelake.plans import derived
 from wavelake.plans.analysis import run_analysis
 from wavelake.plans.ingest import ingest_csv
-from wavelake.plans.tables import register_views, table
+from wavelake.plans.tables import register_views, table, tables_named_in
 from wavelake.session import scratch_path
 from wavelake.sinks.lake import (SPECTRUM_SCHEMA, LakeSink, append_bucketed, append_spectrum,
                                  read_spectrum, read_summary)
@@ -443,7 +443,7 @@ GROUP BY CAST(ts AS DATE), event_type
 
 def _sql_query(name: str, spark_sql: str, duck_sql: str | None = None) -> None:
     def fn(spark: SparkSession, sf_dir: str) -> DataFrame:
-        register_views(spark, sf_dir)
+        register_views(spark, sf_dir, tables_named_in(spark_sql))
         return run_sql(spark, spark_sql)
     fn.__name__ = f"q_{name}"
     fn.__doc__ = "S4: ad-hoc SQL over the registered tables."
@@ -577,7 +577,7 @@ FROM events WHERE TRY_CAST(value AS DOUBLE) IS NOT NULL
 def q_analysis_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P2 end to end (S4 query -> spectrum table K8 -> summary K9), then the
     summary looked up by id (K10)."""
-    register_views(spark, sf_dir)
+    register_views(spark, sf_dir, ("events",))
     spec_path, sum_path = scratch_path(spark, "spectrum"), scratch_path(spark, "summary")
     run_analysis(spark, "SELECT ts, event_id, value AS amplitude FROM events", RESULT_ID,
                  spec_path, sum_path, order_by=["ts", "event_id"])

@@ -4,6 +4,7 @@ happen at the scan because every use is a lazy projection of these)."""
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,7 +12,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
           "lineitem", "events", "documents", "embeddings", "pages",
           "benchmark", "labels", "conversations")
 
-_REGISTERED: dict[int, str] = {}
+_REGISTERED: dict[tuple[int, str], str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,13 +22,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def register_views(spark: SparkSession, sf_dir: str,
                    names: tuple[str, ...] = TABLES) -> None:
     """S4 helper: expose the tables to ``spark.sql`` under their own names
-    (once per session and folder)."""
-    key = id(spark)
-    if names == TABLES and _REGISTERED.get(key) == sf_dir:
-        return
+    (each once per session and folder)."""
     for name in names:
+        key = (id(spark), name)
+        if _REGISTERED.get(key) == sf_dir:
+            continue
         path = os.path.join(sf_dir, f"{name}.parquet")
         if os.path.exists(path) or "://" in sf_dir:
             table(spark, sf_dir, name).createOrReplaceTempView(name)
-    if names == TABLES:
-        _REGISTERED[key] = sf_dir
+            _REGISTERED[key] = sf_dir
+
+
+def tables_named_in(query: str) -> tuple[str, ...]:
+    """The driver tables whose names occur as words in ``query``."""
+    return tuple(t for t in TABLES if re.search(rf"\b{t}\b", query))
