@@ -62,6 +62,16 @@ def test_line_protocol_sink_file_transport(spark, tmp_dir):
     assert sorted(lines) == sorted(f'tbl k="{i}" {i * 10**9}' for i in range(23))
 
 
+def test_line_protocol_sink_full_mode(spark, tmp_dir):
+    df = spark.createDataFrame([("dev 1", 5, 0)], "device string, n long, ts long") \
+        .withColumn("t", F.timestamp_seconds("ts")).drop("ts")
+    LineProtocolSink(url="", database="db", transport="file", path=tmp_dir, time_col="t",
+                     tags=("device",), compat=False).write(df, "db.m")
+    (name,) = glob.glob(os.path.join(tmp_dir, "*.lp"))
+    with open(name) as fh:
+        assert fh.read() == "m,device=dev\\ 1 n=5i 0\n"
+
+
 def test_ddl_and_profiles():
     assert clickhouse_create_table("d.t", ["a", "b"]) == (
         "CREATE TABLE IF NOT EXISTS d.t (a String, b Nullable(String), created_time "
@@ -77,6 +87,7 @@ def test_ddl_and_profiles():
     with pytest.raises(ValueError):
         warehouse_url("clickhouse", "h", "db")
     assert isinstance(sink_for("influxdb", "http://h:8086", "db"), LineProtocolSink)
+    assert isinstance(sink_for("Lake", "/data/lake", "db"), LakeSink)
 
 
 def test_jdbc_sink_runs_ddl_once_per_target(spark):

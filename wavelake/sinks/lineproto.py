@@ -177,6 +177,8 @@ class LineProtocolSink:
     path: str = ""
     time_col: str | None = None
     batch_lines: int = DEFAULT_BATCH_LINES
+    tags: tuple[str, ...] = ()
+    compat: bool = True   # False: escaped keys, tags, typed numeric fields
 
     def create_if_absent(self, df: DataFrame, table: str) -> None:
         if self.transport == "http":
@@ -184,7 +186,8 @@ class LineProtocolSink:
 
     def render(self, df: DataFrame, table: str) -> DataFrame:
         name = measurement_name(table, self.database)
-        return with_line_protocol(df, name, time_col=self.time_col)
+        return with_line_protocol(df, name, time_col=self.time_col, tags=self.tags,
+                                  compat=self.compat)
 
     def write(self, df: DataFrame, table: str) -> None:
         register(df.sparkSession)

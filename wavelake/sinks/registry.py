@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from wavelake.sinks.jdbc import JdbcSink
+from wavelake.sinks.lake import LakeSink
 from wavelake.sinks.lineproto import LineProtocolSink
 
 # URL form and default port per warehouse profile.
@@ -33,7 +34,12 @@ def warehouse_url(profile: str, host: str, database: str, port: int | None = Non
 
 def sink_for(profile: str, url: str, database: str,
              properties: Mapping[str, str] | None = None, **kwargs):
-    """A sink object with ``create_if_absent(df, table)`` and ``write(df, table)``."""
+    """A sink object with ``create_if_absent(df, table)`` and ``write(df, table)``.
+
+    Besides the warehouse profiles, ``"lake"`` writes month-partitioned
+    Parquet tables under ``url`` (a folder URI)."""
+    if profile.strip().lower() == "lake":
+        return LakeSink(url)
     p = normalise_profile(profile)
     if p == "influxdb":
         return LineProtocolSink(url=url, database=database, **kwargs)
