@@ -498,6 +498,35 @@ _sql_query("sql_topk", _SQL_TOPK)
 _sql_query("sql_correlated", _SQL_CORRELATED)
 _sql_query("sql_case_strings", _SQL_CASE_STRINGS)
 
+_SQL_CUBE = """
+SELECT o_orderstatus, o_orderpriority, count(*) AS orders,
+       round(sum(o_totalprice), 2) AS total
+FROM orders
+GROUP BY CUBE (o_orderstatus, o_orderpriority)
+"""
+_SQL_IN_SUBQUERY = """
+SELECT s_suppkey, s_name, s_nationkey
+FROM supplier
+WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey IN
+                      (SELECT r_regionkey FROM region WHERE r_regionkey < 3))
+  AND NOT EXISTS (SELECT 1 FROM lineitem
+                  WHERE l_suppkey = s_suppkey AND l_quantity > 49 AND l_discount > 0.09)
+"""
+_SQL_RANKING = """
+SELECT c_custkey, c_mktsegment, c_acctbal,
+       CAST(ntile(4) OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_custkey) AS BIGINT)
+         AS quartile,
+       percent_rank() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_custkey)
+         AS pct_rank,
+       CAST(dense_rank() OVER (ORDER BY c_nationkey) AS BIGINT) AS nation_rank,
+       lead(c_custkey, 2) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS lead2
+FROM customer
+"""
+
+_sql_query("sql_cube", _SQL_CUBE)
+_sql_query("sql_in_subquery", _SQL_IN_SUBQUERY)
+_sql_query("sql_ranking", _SQL_RANKING)
+
 
 # --------------------------------------------------------------- real spectrum (X1)
 
