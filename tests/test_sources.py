@@ -49,3 +49,8 @@ def test_scratch_tables_can_be_dropped(spark):
     assert path.startswith(scratch_root(spark))
     assert drop_scratch(spark, path)
     assert not os.path.exists(path.replace("file:", ""))
+
+
+def test_top_level_exports_resolve():
+    import wavelake
+    assert all(callable(getattr(wavelake, name)) for name in wavelake.__all__)
