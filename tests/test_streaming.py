@@ -141,3 +141,22 @@ def test_skew_safe_stream_blocks_match_sequential(spark, tmp_dir):
     exp = sorted((name, *row) for name, lines in texts.items()
                  for row in sequential_blocks([lines]))
     assert got == exp
+
+
+def test_stream_ingest_into_line_protocol_sink(spark, tmp_dir):
+    import glob
+    from wavelake.sinks.registry import sink_for
+    src = os.path.join(tmp_dir, "src")
+    os.makedirs(src)
+    _write(os.path.join(src, "a.csv"), 'a,b\n1,x\n,\n2,"q"\n')
+    out = os.path.join(tmp_dir, "points")
+    sink = sink_for("influxdb", "", "db", transport="file", path=out)
+    q = stream_ingest_csv(spark, src, ["a", "b"], sink=sink, table="db.t",
+                          checkpoint=os.path.join(tmp_dir, "ck"))
+    q.awaitTermination(120)
+    lines = []
+    for name in glob.glob(os.path.join(out, "*.lp")):
+        with open(name) as fh:
+            lines += fh.read().splitlines()
+    fields = sorted(line.rsplit(" ", 1)[0] for line in lines)
+    assert fields == ['t a="1",b="x"', 't a="2",b="q"']

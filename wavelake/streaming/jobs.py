@@ -44,16 +44,28 @@ def _per_batch(path: str, write) -> callable:
 
 
 def stream_ingest_csv(spark: SparkSession, source_dir: str, columns: Sequence[str],
-                      target_path: str, checkpoint: str | None = None,
-                      available_now: bool = True) -> StreamingQuery:
+                      target_path: str | None = None, checkpoint: str | None = None,
+                      available_now: bool = True, sink=None,
+                      table: str | None = None) -> StreamingQuery:
     """P1 on arriving header CSV files: all-string rows, all-null rows
-    dropped, appended to the landed lake table."""
+    dropped, then either appended to the landed lake table at
+    ``target_path`` (replay-safe per batch) or handed to a K7 ``sink``
+    (``sink.write(batch, table)``; JDBC and line-protocol targets receive a
+    replayed batch again: at-least-once)."""
+    if (sink is None) == (target_path is None):
+        raise ValueError("give either target_path or sink")
     schema = T.StructType([T.StructField(c, T.StringType(), True) for c in columns])
     stream = spark.readStream.option("header", True).schema(schema).csv(source_dir)
     cleaned = drop_all_null(stream)
-    return _start(cleaned,
-                  _per_batch(target_path, lambda b, p: append_landed(b, p, mode="overwrite")),
-                  "ingest_csv", _checkpoint(spark, "ingest_csv", checkpoint), available_now)
+    if sink is not None:
+        if table is None:
+            raise ValueError("a sink needs a table name")
+        sink.create_if_absent(cleaned, table)
+        batch_fn = lambda batch, batch_id: sink.write(batch, table)
+    else:
+        batch_fn = _per_batch(target_path, lambda b, p: append_landed(b, p, mode="overwrite"))
+    return _start(cleaned, batch_fn, "ingest_csv",
+                  _checkpoint(spark, "ingest_csv", checkpoint), available_now)
 
 
 def stream_clean_log_stateless(spark: SparkSession, source_dir: str, target_path: str,
