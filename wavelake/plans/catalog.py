@@ -688,3 +688,25 @@ def q_text_parse_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P3 over text files (S2 + T2 + T3)."""
     lines = read_lines(spark, _rotated_log(spark, sf_dir), with_position=False)
     return parse_fields(drop_noise_lines(lines))
+
+
+@query("spectrum_from_landed", oracle="""
+WITH s AS (SELECT event_id, TRY_CAST(value AS DOUBLE) AS amp FROM events
+           WHERE TRY_CAST(value AS DOUBLE) IS NOT NULL)
+SELECT 'r1' AS result_id,
+       CAST(row_number() OVER (ORDER BY event_id) - 1 AS BIGINT) AS sample_index,
+       CAST(row_number() OVER (ORDER BY event_id) - 1 AS DOUBLE) * CAST(1000.0 AS DOUBLE)
+         / CAST(count(*) OVER () AS DOUBLE) AS frequency_hz,
+       abs(amp) AS magnitude,
+       CAST(0.0 AS DOUBLE) AS phase
+FROM s
+""")
+def q_spectrum_from_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reference's analysis path: cells landed as text (S1), coerced to
+    double (T6), indexed by the landed order key cast to a number (T7)."""
+    path = scratch_path(spark, "landed_signal")
+    events = table(spark, sf_dir, "events")
+    write_csv(events.select("event_id", F.col("value").alias("amplitude")), path)
+    landed = read_csv_strings(spark, path)
+    return spectrum(landed, RESULT_ID, order_by=[F.col("event_id").cast("long")],
+                    with_created_time=False)
