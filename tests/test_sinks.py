@@ -177,3 +177,15 @@ def test_epoch_of_ntz_ignores_session_zone(spark):
             assert (row.us, row.s) == (1704067201500000, 1704067201)
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_sink_drops_rows_without_fields(spark, tmp_dir):
+    df = spark.createDataFrame([("a", 1), (" ", 2), (None, 3)], "k string, ts long") \
+        .withColumn("t", F.timestamp_seconds("ts")).drop("ts")
+    LineProtocolSink(url="", database="db", transport="file", path=tmp_dir,
+                     time_col="t").write(df, "db.m")
+    lines = []
+    for name in glob.glob(os.path.join(tmp_dir, "*.lp")):
+        with open(name) as fh:
+            lines += fh.read().splitlines()
+    assert lines == ['m k="a" 1000000000']

@@ -33,7 +33,7 @@ from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter,
                                     DataSourceStreamArrowWriter, DataSourceStreamWriter,
                                     DataSourceWriter, WriterCommitMessage)
 
-from wavelake.functions.lineproto import measurement_name, with_line_protocol
+from wavelake.functions.lineproto import line_protocol, measurement_name
 from wavelake.session import ship_package
 
 FORMAT_NAME = "lineprotocol"
@@ -185,9 +185,12 @@ class LineProtocolSink:
             create_database(self.url, self.database)
 
     def render(self, df: DataFrame, table: str) -> DataFrame:
+        """One ``line`` per row, null when the row has no field left.  No
+        Spark filter: the writer drops null lines itself, and one projection
+        lets subexpression elimination build the field set once."""
         name = measurement_name(table, self.database)
-        return with_line_protocol(df, name, time_col=self.time_col, tags=self.tags,
-                                  compat=self.compat)
+        return df.select(line_protocol(df, name, time_col=self.time_col, tags=self.tags,
+                                       compat=self.compat).alias("line"))
 
     def write(self, df: DataFrame, table: str) -> None:
         register(df.sparkSession)
