@@ -107,3 +107,18 @@ def test_explicit_range_partitions(spark):
     df = _skewed(spark, 2000)
     got = contiguous_index(df, ["ts", "id"], count_col="n", num_partitions=5)
     assert sorted(r.sample_index for r in got.collect()) == list(range(2000))
+
+
+def test_spectrum_schema_matches_fixture_f4(spark):
+    df = spark.createDataFrame([("1", "0.5")], "t string, amplitude string")
+    out = spectrum(df, "r", order_by=["t"])
+    assert [(f.name, f.dataType.simpleString()) for f in out.schema.fields] == [
+        ("result_id", "string"), ("sample_index", "bigint"), ("frequency_hz", "double"),
+        ("magnitude", "double"), ("phase", "double"), ("created_time", "timestamp")]
+
+
+def test_cluster_conf_sizes_partitions_to_input():
+    from wavelake.session import cluster_conf
+    conf = cluster_conf(100 * 2**40, cores=8000)   # 100 TiB
+    assert int(conf["spark.sql.shuffle.partitions"]) == 100 * 2**40 // (256 * 2**20)
+    assert cluster_conf(10, cores=4)["spark.sql.shuffle.partitions"] == "8"
