@@ -54,3 +54,12 @@ def test_scratch_tables_can_be_dropped(spark):
 def test_top_level_exports_resolve():
     import wavelake
     assert all(callable(getattr(wavelake, name)) for name in wavelake.__all__)
+
+
+def test_task_id_from_any_uri(spark):
+    from wavelake.sources.lake import task_id_from_path
+    df = spark.createDataFrame(
+        [("hdfs://nn/base/bucket/task_42/raw.dat",), ("s3a://bucket/task_x-1/a.csv",),
+         ("file:/data/other/a.csv",)], "p string")
+    assert [r.t for r in df.select(task_id_from_path("p").alias("t")).collect()] == \
+        ["42", "x-1", ""]
