@@ -79,3 +79,9 @@ def test_stateless_ops_accept_streaming_frames(spark, tmp_dir):
     q.stop()
     assert [tuple(r) for r in spark.table("stateless_t").collect()] == [(1, 2.0, 3.0)]
     assert drop_all_null(stream.withColumn("v", F.col("value"))).isStreaming
+
+
+def test_lenient_integral_cast_edges(spark):
+    df = spark.createDataFrame([(" 1.5 ,1,1",), ("+7,1,1",), ("1.,1,1",), ("1e3,1,1",),
+                                ("-2.9,1,1",)], "value string")
+    assert [r.timestamp for r in parse_fields(df).collect()] == [1, 7, 1, None, -2]
