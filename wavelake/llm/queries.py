@@ -62,3 +62,22 @@ def q_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return pack_documents(read_table(spark, sf_dir, "documents"),
                           tokenizer_file("byte_bpe_50k.json"), with_ids=False)
+
+
+# ------------------------------------------------- op6: language mixtures
+@query("op6_language_mixtures")
+def q_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    from wavelake.llm.langid import identify_languages
+
+    return identify_languages(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "held_out", "lang_pred", "score")
+
+
+# ------------------------------------------------- op9: license scan
+@query("op9_license_scan")
+def q_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and labels of every document."""
+    from wavelake.llm.license_scan import license_scan
+
+    return license_scan(read_table(spark, sf_dir, "documents")).drop("spans")
