@@ -81,3 +81,65 @@ def q_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wavelake.llm.license_scan import license_scan
 
     return license_scan(read_table(spark, sf_dir, "documents")).drop("spans")
+
+
+# ------------------------------------------- op8: sources to target weights
+@query("op8_mix_sources", oracle=r"""
+WITH d AS (
+  SELECT doc_id, source,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))) AS key
+  FROM documents),
+t AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+r AS (
+  SELECT source, source_size, source_size * CAST(2.0 AS DOUBLE) AS cap,
+         CAST([3.0, 1.0, 2.0][1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3]
+              AS DOUBLE) AS weight
+  FROM t),
+l AS (
+  SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) * CAST(1.5 AS DOUBLE)
+             - coalesce(sum(cap) OVER before, 0))
+            / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+  FROM r
+  WINDOW before AS (ORDER BY source_size / weight, source IS NULL, source
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (
+  SELECT *, first_value(CASE WHEN level * weight <= cap THEN level END IGNORE NULLS) OVER (
+              ORDER BY source_size / weight, source IS NULL, source
+              ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS final_level
+  FROM l),
+p AS (
+  SELECT source, source_size, coalesce(least(cap, final_level * weight), cap) AS target,
+         CASE WHEN source_size > 0
+              THEN floor(coalesce(least(cap, final_level * weight), cap) / source_size)
+              ELSE 0 END AS whole
+  FROM f),
+u AS (
+  SELECT d.doc_id, d.source, d.size, d.key, p.source_size, p.target, p.whole,
+         p.target - p.whole * p.source_size AS need,
+         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key
+                           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+c AS (
+  SELECT source, max(key) AS cut_key FROM u
+  WHERE size > 0 AND need > 0 AND upto - size / 2.0 <= need GROUP BY source)
+SELECT u.doc_id, u.size, u.source_size, u.target,
+       CASE WHEN u.size = 0 THEN 0 ELSE
+         u.size * CAST(u.whole + CASE WHEN u.need > 0 AND u.key <= c.cut_key THEN 1 ELSE 0 END
+                       AS BIGINT) END AS taken
+FROM u LEFT JOIN c ON u.source IS NOT DISTINCT FROM c.source
+""")
+def q_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words the mix takes of every document."""
+    from wavelake.llm.mixing import mix_sources
+
+    return mix_sources(read_table(spark, sf_dir, "documents")).drop("repeats")
+
+
+# ------------------------------------------------- op10: quality rules
+@query("op10_quality_rules")
+def q_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of every document."""
+    from wavelake.llm.quality import quality_verdicts
+
+    return quality_verdicts(read_table(spark, sf_dir, "documents")).drop("distance")
