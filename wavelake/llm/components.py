@@ -13,27 +13,36 @@ _MAX_ROUNDS = 200
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node, root`` for every node of ``links``: the smallest node reachable.
 
-    Each round every node takes the smallest label among its neighbours and
-    then the label of that label (pointer jumping), so long chains halve per
-    round.  Minima are combined before the shuffle and each round is written
-    to the shared folder, so a hot node is neither collected nor recomputed.
+    Each round every node hooks to its smallest neighbour, hooks are followed
+    one step further, and the links are contracted: both ends are replaced by
+    what they hooked to, links inside a group and repeated links disappear.  A
+    dense group is therefore read in full once only.  Minima are combined
+    before the shuffle and each round is written to the shared folder, so a
+    hot node is neither collected nor recomputed.
     """
-    edges = links.select(F.col(a).alias("src"), F.col(b).alias("dst"))
-    edges = materialized(edges.union(edges.select(F.col("dst"), F.col("src"))), "edges")
-    labels = materialized(edges.groupBy(F.col("src").alias("node"))
-                          .agg(F.min("dst").alias("near"))
-                          .select("node", F.least("node", "near").alias("root")), "labels")
+    edges = materialized(links.filter(F.col(a) != F.col(b)).select(
+        F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct(), "edges")
+    labels = materialized(edges.select(F.col("u").alias("node"))
+                          .union(edges.select("v")).distinct()
+                          .withColumn("root", F.col("node")), "labels")
     for _ in range(_MAX_ROUNDS):
-        near = (edges.join(labels, edges["dst"] == labels["node"])
-                .groupBy("src").agg(F.min("root").alias("near")))
-        lower = (labels.join(near, labels["node"] == near["src"])
-                 .select("node", F.col("root").alias("old"),
-                         F.least("root", "near").alias("low")))
-        hop = labels.select(F.col("node").alias("mid"), F.col("root").alias("far"))
-        new = materialized(
-            lower.join(hop, F.col("low") == F.col("mid"))
-            .select("node", "old", F.least("low", "far").alias("root")), "labels")
-        labels = new.select("node", "root")
-        if new.filter("root <> old").limit(1).count() == 0:
+        if edges.limit(1).count() == 0:
             return labels
+        # v > u: v can hook to u; u hooks to nothing over this link
+        hook = edges.groupBy("v").agg(F.min("u").alias("up"))
+        hook = materialized(hook, "hooks")
+        far = hook.select(F.col("v").alias("mid"), F.col("up").alias("far"))
+        hook = materialized(hook.join(far, F.col("up") == F.col("mid"), "left")
+                            .select("v", F.coalesce("far", "up").alias("up")), "hooks")
+        labels = materialized(
+            labels.join(hook, F.col("root") == F.col("v"), "left")
+            .select("node", F.coalesce("up", "root").alias("root")), "labels")
+        left = hook.select(F.col("v").alias("lv"), F.col("up").alias("lu"))
+        right = hook.select(F.col("v").alias("rv"), F.col("up").alias("ru"))
+        ends = (edges.join(left, F.col("u") == F.col("lv"), "left")
+                .join(right, F.col("v") == F.col("rv"), "left")
+                .select(F.coalesce("lu", "u").alias("x"), F.coalesce("ru", "v").alias("y"))
+                .filter("x <> y"))
+        edges = materialized(ends.select(F.least("x", "y").alias("u"),
+                                         F.greatest("x", "y").alias("v")).distinct(), "edges")
     raise RuntimeError("component labels did not settle")

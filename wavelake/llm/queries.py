@@ -143,3 +143,33 @@ def q_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wavelake.llm.quality import quality_verdicts
 
     return quality_verdicts(read_table(spark, sf_dir, "documents")).drop("distance")
+
+
+# ------------------------------------------- op5: main text of web pages
+@query("op5_page_text")
+def q_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    from wavelake.llm.html_extract import extract_main_text
+
+    return extract_main_text(read_table(spark, sf_dir, "pages"))
+
+
+# ------------------------------------------- op2: token counts
+@query("op2_trie_token_counts")
+def q_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram token counts of every document."""
+    import public_tokenizers
+
+    from wavelake.llm.trie_counts import load_pieces, rank_scores, token_counts
+
+    scores = rank_scores(load_pieces(public_tokenizers.path("piece_bpe_32k.model")))
+    return token_counts(read_table(spark, sf_dir, "documents"), scores)
+
+
+# ------------------------------------------- op1: nearest neighbours
+@query("op1_curve_neighbours")
+def q_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest rows of every vector whose id is divisible by 100."""
+    from wavelake.llm.ann_curves import nearest_neighbours
+
+    return nearest_neighbours(read_table(spark, sf_dir, "embeddings"))
