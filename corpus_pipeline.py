@@ -1,11 +1,19 @@
 """Corpus pipeline: quality rules, near-duplicates, repeated passages, source
-mix and packing, each stage over all its predecessor kept."""
+mix and packing.  Each stage works on all its predecessor kept, written as
+Parquet; all but the last return the columns of ``documents``."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wavelake.llm import packing, queries, simhash
+from wavelake.llm import mixing, packing, quality, queries, simhash, suffix_dedup
+from wavelake.session import scratch_path
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that break the base limits or lie far from their language
+    and source go."""
+    return quality.keep_quality(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,6 +21,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.drop_near_duplicates(docs)
 
 
+def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes covered by a 100-byte string that starts earlier are cut out."""
+    return suffix_dedup.remove_repeats(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated, or left out, as their source's target asks."""
+    return mixing.apply_mix(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of at most 2048 ids: one row per piece with its place."""
     return packing.pack_documents(docs, queries.tokenizer_file("byte_bpe_50k.json"),
@@ -20,16 +38,24 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality_rules", quality_rules),
     ("near_dedup", near_dedup),
+    ("passage_dedup", passage_dedup),
+    ("source_mix", source_mix),
     ("pack", pack),
 ]
 
+# The later stages (SimHash components, spans, byte-level tokens) have no SQL
+# form; the pipeline is tested against brute-force versions instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over ``documents``."""
+    """All stages in order over ``documents``, each one's rows written to the
+    shared folder and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        path = scratch_path(spark, f"pipeline_{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

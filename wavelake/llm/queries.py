@@ -173,3 +173,12 @@ def q_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wavelake.llm.ann_curves import nearest_neighbours
 
     return nearest_neighbours(read_table(spark, sf_dir, "embeddings"))
+
+
+# ------------------------------------------- op4: suffix-array dedup
+@query("op4_suffix_dedup")
+def q_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes removed from every document, and the digest of what is left."""
+    from wavelake.llm.suffix_dedup import suffix_dedup
+
+    return suffix_dedup(read_table(spark, sf_dir, "documents")).drop("removed")
