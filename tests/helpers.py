@@ -31,27 +31,24 @@ def java_split(s: str, sep: str = ",") -> list[str]:
     return parts
 
 
+def _parsed(line: str):
+    try:
+        parts = java_split(line)
+        return _parse_long(parts[0]), _parse_double(parts[1]), _parse_double(parts[2])
+    except (ValueError, IndexError):
+        return None
+
+
 def sequential_blocks(files: list[list[str]]) -> list[tuple]:
-    """The block state machine run line by line; state resets per file."""
+    """Block rows of whole files: cut the lines at every marker and keep the
+    pieces that follow a header."""
     out = []
     for lines in files:
-        is_open = False
-        for raw in lines:
-            line = java_trim(raw)
-            if line.startswith("["):
-                is_open = False
-                continue
-            if line.startswith("timestamp"):
-                is_open = True
-                continue
-            if not is_open:
-                continue
-            try:
-                parts = java_split(line)
-                out.append((_parse_long(parts[0]), _parse_double(parts[1]),
-                            _parse_double(parts[2])))
-            except (ValueError, IndexError):
-                pass
+        text = [java_trim(x) for x in lines]
+        cuts = [i for i, x in enumerate(text) if x.startswith(("[", "timestamp"))]
+        for start, end in zip(cuts, [*cuts[1:], len(text)]):
+            if text[start].startswith("timestamp"):
+                out += [r for r in map(_parsed, text[start + 1:end]) if r is not None]
     return out
 
 

@@ -121,3 +121,43 @@ def test_rotated_files_form_one_stream(spark, tmp_dir):
         spark.conf.set(key, old)
     # part0.log .. part3.log in path order are one continuous stream
     assert got == sorted(sequential_blocks([sum(files, [])]))
+
+
+def test_rows_do_not_depend_on_later_split_sizes(spark, tmp_dir):
+    """The scan may be split differently once the frame is acted on."""
+    files = _make_files(tmp_dir, n_files=2, n_lines=2000, seed=13)
+    key = "spark.sql.files.maxPartitionBytes"
+    old = spark.conf.get(key)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        spark.conf.set(key, "900")
+        by_file = clean_blocks(file_blocks(read_lines(spark, tmp_dir)))
+        data = [(i, line) for i, line in enumerate(files[0])]
+        table = spark.createDataFrame(data, "n long, value string")
+        by_order = clean_blocks(ordered_blocks(table, ["n"]))
+        spark.conf.set(key, "70000")
+        assert rows(by_file) == sorted(sequential_blocks(files))
+        assert rows(by_order) == sorted(sequential_blocks(files[:1]))
+    finally:
+        spark.conf.set(key, old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_text_is_scanned_once(spark, tmp_dir):
+    _make_files(tmp_dir, n_files=1, n_lines=50)
+    plan = file_blocks(read_lines(spark, tmp_dir))._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan text" not in plan and "MapInArrow" not in plan
+
+
+def test_a_file_of_one_block_over_many_splits(spark, tmp_dir):
+    lines = ["timestamp,a,b"] + ["%d,1.5,2.5" % i for i in range(3000)] + ["[end]", "9,9,9"]
+    with open(os.path.join(tmp_dir, "one.log"), "w") as fh:
+        fh.write("\n".join(lines))
+    key = "spark.sql.files.maxPartitionBytes"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "2000")
+    try:
+        got = rows(clean_log_stateful(spark, tmp_dir))
+    finally:
+        spark.conf.set(key, old)
+    assert got == [(i, 1.5, 2.5) for i in range(3000)]

@@ -2,6 +2,7 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from wavelake.operators.clean import (drop_all_null, drop_noise_lines, parse_fields,
@@ -85,3 +86,14 @@ def test_lenient_integral_cast_edges(spark):
     df = spark.createDataFrame([(" 1.5 ,1,1",), ("+7,1,1",), ("1.,1,1",), ("1e3,1,1",),
                                 ("-2.9,1,1",)], "value string")
     assert [r.timestamp for r in parse_fields(df).collect()] == [1, 7, 1, None, -2]
+
+
+@pytest.mark.parametrize("sep", ["|", ".", ";", "\t", "||", "\\E", "$^"])
+def test_separator_is_literal(spark, sep):
+    from wavelake.operators.clean import parse_fields, parse_fields_strict
+    df = spark.createDataFrame([(sep.join(("5", "15", "25", "x")),), ("5",)], "value string")
+    fields = (("a", "long"), ("b", "double"), ("c", "double"))
+    assert [tuple(r) for r in parse_fields(df, fields=fields, sep=sep).collect()] == [
+        (5, 15.0, 25.0), (5, None, None)]
+    assert [tuple(r) for r in parse_fields_strict(df, fields=fields, sep=sep).collect()] == [
+        (5, 15.0, 25.0)]

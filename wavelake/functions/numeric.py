@@ -32,5 +32,5 @@ def as_double_strict(col: str | Column) -> Column:
     """Cell -> double following ``Double.parseDouble``: surrounding blanks
     (chars <= U+0020) are allowed, inner spaces are not."""
     c = F.col(col) if isinstance(col, str) else col
-    s = F.regexp_replace(c.cast("string"), r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    s = F.btrim(c.cast("string"), F.lit("".join(map(chr, range(0x21)))))
     return F.when(~s.rlike(r"[\x00-\x20]"), s.try_cast("double"))

@@ -17,7 +17,8 @@ DEFAULT_FIELDS = (("timestamp", "long"), ("sensor_A", "double"), ("sensor_B", "d
 CLOSE_BLOCK = 0
 OPEN_BLOCK = 1
 
-_BLANK = r"[\x00-\x20]"
+# Characters up to U+0020, all of which ``String.trim`` strips.
+BLANKS = "".join(map(chr, range(0x21)))
 
 
 def _c(col: str | Column) -> Column:
@@ -27,7 +28,7 @@ def _c(col: str | Column) -> Column:
 def java_trim(col: str | Column) -> Column:
     """Strip leading/trailing chars <= U+0020 (``String.trim`` semantics;
     ``F.trim`` strips only spaces)."""
-    return F.regexp_replace(_c(col), rf"^{_BLANK}+|{_BLANK}+$", "")
+    return F.btrim(_c(col), F.lit(BLANKS))
 
 
 def is_blank(col: str | Column) -> Column:
@@ -47,9 +48,10 @@ def block_marker(col: str | Column) -> Column:
 
 
 def split_field(col: str | Column, index: int, sep: str = FIELD_SEPARATOR) -> Column:
-    """Item ``index`` of the split text, null when the line is shorter
-    (``getItem`` would raise under ANSI mode)."""
-    return F.get(F.split(_c(col), sep), index)
+    """Item ``index`` of the text split at the literal ``sep``, null when the
+    line is shorter (``getItem`` would raise under ANSI mode)."""
+    literal = r"\Q" + sep.replace(r"\E", r"\E\\E\Q") + r"\E"
+    return F.get(F.split(_c(col), literal), index)
 
 
 def cast_lenient(text: Column, type_name: str) -> Column:

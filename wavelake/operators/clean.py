@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from wavelake.functions.numeric import as_double_strict, as_long_strict
 from wavelake.functions.text import (DEFAULT_FIELDS, FIELD_SEPARATOR,
                                      HEADER_LINE_PATTERN, LOG_LINE_PATTERN,
-                                     cast_lenient, java_trim, split_field)
+                                     cast_lenient, split_field)
 
 Fields = Sequence[tuple[str, str]]
 
@@ -61,7 +61,3 @@ def parse_fields_strict(df: DataFrame, col: str = "value",
         ok = ok & F.col(name).isNotNull()
     return parsed.filter(ok)
 
-
-def trimmed(df: DataFrame, col: str = "value") -> DataFrame:
-    """Replace ``col`` by its ``String.trim`` form."""
-    return df.withColumn(col, java_trim(col))

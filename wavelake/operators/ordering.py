@@ -12,8 +12,8 @@ which fails when one series holds a third of the data.  Instead:
    tags no longer depend on how the table is split when read back;
 3. a summary with one row per (partition, series) — bounded by partitions +
    series — gives each partition's offset by a prefix sum;
-4. the summary joins back: broadcast when its size is checked small, a
-   shuffle join otherwise.
+4. the summary, itself a written table of known size, joins back: Spark
+   broadcasts it below ``spark.sql.autoBroadcastJoinThreshold``.
 """
 
 from __future__ import annotations
@@ -26,10 +26,6 @@ from pyspark.sql import functions as F
 
 from wavelake.session import scratch_path
 
-# Summary frames up to this many rows are broadcast; above it they are joined
-# by a shuffle.  A row is a few longs plus the series key.
-DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
-
 _POS_BITS = 33  # monotonically_increasing_id = partition << 33 | position
 PART_COL = "_wl_part"
 POS_COL = "_wl_pos"
@@ -80,14 +76,6 @@ def sorted_table(df: DataFrame, keys: Sequence[str | Column], name: str = "sorte
     return materialized(tag_positions(ordered), name)
 
 
-def broadcast_if_bounded(small: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
-                         rows: int | None = None) -> DataFrame:
-    """Broadcast ``small`` only when its row count (given, or counted here)
-    is at most ``max_rows``; otherwise leave it to a shuffle join."""
-    rows = small.count() if rows is None else rows
-    return F.broadcast(small) if rows <= max_rows else small
-
-
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
                    how: str = "inner") -> DataFrame:
     """Equi-join on ``keys`` where null matches null (series keys may be null)."""
@@ -110,8 +98,7 @@ def contiguous_index(df: DataFrame, order_by: Sequence[str | Column] | None,
                      index_col: str = "sample_index",
                      count_col: str | None = None,
                      keep: Sequence[str] | None = None,
-                     num_partitions: int | None = None,
-                     max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+                     num_partitions: int | None = None) -> DataFrame:
     """Add ``index_col`` = 0..n-1 within each ``partition_by`` group.
 
     ``order_by`` gives the order; ``None`` keeps arrival order (what the
@@ -141,8 +128,7 @@ def contiguous_index(df: DataFrame, order_by: Sequence[str | Column] | None,
     if count_col:
         summary = summary.withColumn(
             "_wl_total", F.sum("_wl_n").over(Window.partitionBy(*partition_by)))
-    summary, rows = materialized_counted(summary.drop("_wl_n"), "offsets")
-    summary = broadcast_if_bounded(summary, max_broadcast_rows, rows)
+    summary = materialized(summary.drop("_wl_n"), "offsets")
 
     joined = null_safe_join(tagged, summary, ["_wl_part", *partition_by])
     out = joined.withColumn(
