@@ -57,3 +57,28 @@ def test_order_by_expression(spark):
     out = framed_dft(df, "amplitude", [F.col("timestamp").cast("double")], frame_size=64)
     peak = out.filter("bin > 0").orderBy(F.desc("magnitude")).first()
     assert peak.bin == 8 and peak.frequency_hz == 125.0
+
+
+def test_frames_across_tasks_and_batches(spark):
+    rng = np.random.default_rng(1)
+    sig = {None: rng.normal(size=150), "": rng.normal(size=33), "x": rng.normal(size=1000)}
+    data = [(k, i, float(v)) for k, x in sig.items() for i, v in enumerate(x)]
+    df = spark.createDataFrame(data, "series string, ts long, value double").repartition(7)
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes",
+            "spark.sql.execution.arrow.maxRecordsPerBatch")
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in zip(keys, ("3000", "0", "17")):
+            spark.conf.set(k, v)
+        out = framed_dft(df, "value", ["ts"], series=["series"], frame_size=32).toPandas()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    out["series"] = out["series"].where(out["series"].notna(), None)
+    for name, x in sig.items():
+        mine = out[out.series.isna()] if name is None else out[out.series == name]
+        n = -(-len(x) // 32)
+        want = np.fft.rfft(np.pad(x, (0, n * 32 - len(x))).reshape(n, 32), axis=1)
+        got = mine.sort_values(["frame", "bin"])
+        assert np.allclose(got.re.to_numpy().reshape(n, -1), want.real, atol=1e-9)
+        assert np.allclose(got.magnitude.to_numpy().reshape(n, -1), np.abs(want), atol=1e-9)

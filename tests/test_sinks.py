@@ -12,7 +12,8 @@ from wavelake.functions.lineproto import line_protocol, measurement_name, with_l
 from wavelake.operators.quality import run_summary
 from wavelake.plans.analysis import run_analysis
 from wavelake.plans.ingest import EmptyInputError, ingest_csv
-from wavelake.sinks.jdbc import JdbcSink, clickhouse_create_table, doris_create_table
+from wavelake.sinks.jdbc import (JdbcSink, clickhouse_create_table, doris_create_table,
+                                 spectrum_create_table)
 from wavelake.sinks.lake import (SPECTRUM_SCHEMA, LakeSink, append_spectrum, find_summary,
                                  read_spectrum, read_summary, with_landing_columns)
 from wavelake.sinks.lineproto import LineProtocolSink
@@ -55,10 +56,7 @@ def test_line_protocol_sink_file_transport(spark, tmp_dir):
                             time_col="t", batch_lines=4)
     sink.create_if_absent(df, "db.tbl")
     sink.write(df, "db.tbl")
-    lines = []
-    for name in glob.glob(os.path.join(tmp_dir, "*.lp")):
-        with open(name) as fh:
-            lines += fh.read().splitlines()
+    lines = [r.value for r in spark.read.text(tmp_dir).collect()]
     assert sorted(lines) == sorted(f'tbl k="{i}" {i * 10**9}' for i in range(23))
 
 
@@ -67,9 +65,7 @@ def test_line_protocol_sink_full_mode(spark, tmp_dir):
         .withColumn("t", F.timestamp_seconds("ts")).drop("ts")
     LineProtocolSink(url="", database="db", transport="file", path=tmp_dir, time_col="t",
                      tags=("device",), compat=False).write(df, "db.m")
-    (name,) = glob.glob(os.path.join(tmp_dir, "*.lp"))
-    with open(name) as fh:
-        assert fh.read() == "m,device=dev\\ 1 n=5i 0\n"
+    assert [r.value for r in spark.read.text(tmp_dir).collect()] == ["m,device=dev\\ 1 n=5i 0"]
 
 
 def test_ddl_and_profiles():
@@ -184,8 +180,124 @@ def test_sink_drops_rows_without_fields(spark, tmp_dir):
         .withColumn("t", F.timestamp_seconds("ts")).drop("ts")
     LineProtocolSink(url="", database="db", transport="file", path=tmp_dir,
                      time_col="t").write(df, "db.m")
-    lines = []
-    for name in glob.glob(os.path.join(tmp_dir, "*.lp")):
-        with open(name) as fh:
-            lines += fh.read().splitlines()
+    lines = [r.value for r in spark.read.text(tmp_dir).collect()]
     assert lines == ['m k="a" 1000000000']
+
+
+def test_http_writer_batches_and_checks_the_status():
+    import pyarrow as pa
+    from wavelake.sinks.lineproto import LineProtocolWriter, create_database
+    sent = []
+
+    def post(url, body, content_type=None, status=204):
+        sent.append((url, body, content_type))
+        return status
+
+    writer = LineProtocolWriter({"url": "http://h:8086/", "database": "my db", "user": "u",
+                                 "password": "p&", "batch_lines": "3"}, post=post)
+    lines = [f"m v={i} {i}" for i in range(7)]
+    batches = [pa.record_batch({"line": [*lines[:4], None]}), pa.record_batch({"line": lines[4:]})]
+    done = writer.write(iter(batches))
+    assert (done.lines, done.batches) == (7, 3)
+    assert {u for u, _, _ in sent} == {"http://h:8086/write?db=my+db&u=u&p=p%26"}
+    assert b"".join(b for _, b, _ in sent).decode().splitlines() == lines
+    assert [b.count(b"\n") for _, b, _ in sent] == [3, 1, 3]
+    failing = LineProtocolWriter({"url": "http://h", "database": "d"},
+                                 post=lambda *a: post(*a, status=400))
+    with pytest.raises(RuntimeError, match="400"):
+        failing.write(iter(batches))
+    with pytest.raises(ValueError):
+        LineProtocolWriter({"url": "http://h"})
+    sent.clear()
+    assert create_database("http://h:1", "d b", post, "u", "p") == 204
+    assert sent == [("http://h:1/query?u=u&p=p", b"q=CREATE+DATABASE+d+b",
+                     "application/x-www-form-urlencoded")]
+
+
+def test_sink_from_profile_and_host(spark):
+    from wavelake.sinks.registry import warehouse_sink
+    calls = []
+    sink = warehouse_sink("InfluxDB", "host", "db", properties={"user": "u", "password": "p"},
+                          post=lambda *a: calls.append(a) or 204)
+    assert (sink.url, sink.properties["user"]) == ("http://host:8086", "u")
+    sink.create_if_absent(None, "t")
+    assert calls[0][0] == "http://host:8086/query?u=u&p=p"
+    assert warehouse_sink("doris", "h", "d").url == "jdbc:mysql://h:9030/d"
+
+
+def test_rows_without_a_time_column_are_points_of_their_own(spark):
+    df = spark.range(0, 500, numPartitions=4).select(F.col("id").cast("string").alias("k"))
+    lines = [r.line for r in with_line_protocol(df, "m").collect()]
+    assert len({x.rsplit(" ", 1)[1] for x in lines}) == 500
+
+
+def test_failed_attempts_leave_no_lines(spark, tmp_dir):
+    """A file is committed by its task; what a failed attempt wrote is gone."""
+    @F.udf("string")
+    def breaks(i):
+        if i == 900:
+            raise ValueError("stop")
+        return str(i)
+
+    df = spark.range(0, 1000, numPartitions=2)
+    sink = LineProtocolSink(url="", database="db", transport="file", path=f"{tmp_dir}/lp")
+    with pytest.raises(Exception, match="stop"):
+        sink.write(df.select(breaks("id").alias("k")), "m")
+    sink.write(df.select(F.col("id").cast("string").alias("k")), "m")
+    assert spark.read.text(f"{tmp_dir}/lp").count() == 1000
+
+
+def test_analysis_into_a_jdbc_sink(spark, tmp_dir):
+    class Recorded(JdbcSink):
+        def write(self, df, table):
+            written[table] = df.collect()
+
+    ddl, written = [], {}
+    sink = Recorded("clickhouse", "jdbc:clickhouse://h:1/d",
+                    ddl_executor=lambda s, url, props, stmt: ddl.append(stmt))
+    events = spark.createDataFrame([(i, float(i)) for i in range(5)], "n long, amplitude double")
+    run_analysis(spark, "SELECT * FROM ev", "r", "d.spectrum", "d.summary", ["n"],
+                 tables={"ev": events}, sink=sink)
+    assert ddl == [spectrum_create_table("d.spectrum")]
+    assert len(written["d.spectrum"]) == 5 and written["d.summary"][0].id == "r"
+    with pytest.raises(ValueError):
+        JdbcSink("doris", "jdbc:mysql://h/d").write_spectrum(events, "t")
+
+
+def test_rerun_replaces_the_result_and_leaves_no_scratch(spark, tmp_dir):
+    from wavelake.session import scratch_root
+    events = spark.createDataFrame([(i, float(i)) for i in range(9)], "n long, amplitude double")
+
+    def tables():
+        return set(os.listdir(scratch_root(spark).removeprefix("file:"))) \
+            if os.path.isdir(scratch_root(spark).removeprefix("file:")) else set()
+
+    before = tables()
+    for rid in ("a", "b", "a"):
+        run_analysis(spark, "SELECT * FROM ev", rid, f"{tmp_dir}/s", f"{tmp_dir}/m", ["n"],
+                     tables={"ev": events})
+    assert tables() == before
+    assert read_spectrum(spark, f"{tmp_dir}/s", "a").count() == 9
+    assert spark.read.parquet(f"{tmp_dir}/s").count() == 18
+    assert read_summary(spark, f"{tmp_dir}/m", "a").count() == 1
+
+
+def test_clickhouse_names_are_quoted_where_needed():
+    ddl = clickhouse_create_table("d.t", ["a b", "order", "c`d"])
+    assert "(`a b` String, `order` Nullable(String), `c\\`d` Nullable(String)," in ddl
+    assert "ORDER BY (`a b`, created_time)" in ddl
+
+
+def test_bucketed_files_do_not_grow_with_tasks(spark, tmp_dir):
+    from wavelake.sinks.lake import append_bucketed
+    df = spark.range(0, 4000, numPartitions=16).select(
+        F.when(F.col("id") % 3 > 0, F.lit("hot")).alias("k"), F.col("id").cast("string").alias("v"))
+    try:
+        append_bucketed(df, "wl_bucket_test", f"{tmp_dir}/b", buckets=4, files_per_bucket=3)
+        files = glob.glob(f"{tmp_dir}/b/part-*.parquet")
+        assert len(files) <= 12 and spark.table("wl_bucket_test").count() == 4000
+        sizes = [r["count"] for r in spark.read.parquet(*files).withColumn(
+            "f", F.input_file_name()).groupBy("f").count().collect()]
+        assert max(sizes) < 1500
+    finally:
+        spark.sql("DROP TABLE IF EXISTS wl_bucket_test")

@@ -4,6 +4,8 @@ import os
 
 import pytest
 
+from helpers import rows
+
 from wavelake.sources.jdbc import read_query
 from wavelake.sources.lake import read_task_csv, task_object_uri
 from wavelake.sources.sql import run_sql
@@ -63,3 +65,42 @@ def test_task_id_from_any_uri(spark):
          ("file:/data/other/a.csv",)], "p string")
     assert [r.t for r in df.select(task_id_from_path("p").alias("t")).collect()] == \
         ["42", "x-1", ""]
+
+
+def test_tables_of_a_query_do_not_outlive_it(spark):
+    from wavelake.plans import catalog
+    from wavelake.sources.sql import run_sql
+    sf = "/root/testdata/sf0.001"
+    want = rows(catalog.queries()["sql_topk"](spark, sf))
+    spark.range(3).createOrReplaceTempView("kept_view")
+    other = spark.createDataFrame([(1, 2.0)], "o_orderkey long, o_totalprice double")
+    got = run_sql(spark, "SELECT count(*) AS n FROM orders, kept_view",
+                  {"orders": other, "kept_view": spark.range(1)})
+    assert got.first().n == 1
+    assert spark.table("kept_view").count() == 3
+    assert rows(catalog.queries()["sql_topk"](spark, sf)) == want
+    other.createOrReplaceTempView("orders")
+    assert rows(catalog.queries()["sql_topk"](spark, sf)) == want
+    run_sql(spark, "SELECT 1 AS one", {"gone_view": other})
+    assert not spark.catalog.tableExists("gone_view")
+
+
+def test_tasks_keep_their_own_columns(spark, tmp_dir):
+    from wavelake.sources.csv import write_csv
+    from wavelake.sources.lake import read_task_csv, task_folder
+    write_csv(spark.createDataFrame([("1", "a")], "ts string, amp string"), task_folder(tmp_dir, 1))
+    write_csv(spark.createDataFrame([("b", "2", "x")], "amp string, ts string, extra string"),
+              task_folder(tmp_dir, 2))
+    df = read_task_csv(spark, tmp_dir)
+    assert sorted(map(tuple, df.select("task_id", "ts", "amp", "extra").collect())) == [
+        ("1", "1", "a", None), ("2", "2", "b", "x")]
+    assert read_task_csv(spark, tmp_dir, [2]).columns == ["task_id", "amp", "ts", "extra"]
+
+
+def test_a_file_with_another_header_fails_the_read(spark, tmp_dir):
+    from wavelake.sources.csv import read_csv_strings
+    for name, text in (("a.csv", "ts,amp\n1,a\n"), ("b.csv", "amp,ts\nb,2\n")):
+        with open(os.path.join(tmp_dir, name), "w") as fh:
+            fh.write(text)
+    with pytest.raises(Exception, match="(?i)header"):
+        read_csv_strings(spark, tmp_dir, ["ts", "amp"]).collect()

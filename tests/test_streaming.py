@@ -5,6 +5,8 @@ import os
 from wavelake.streaming.jobs import (stream_clean_log_stateful, stream_clean_log_stateless,
                                      stream_ingest_csv)
 
+import pytest
+
 from helpers import sequential_blocks
 
 
@@ -49,61 +51,39 @@ def test_stream_log_cleaning(spark, tmp_dir):
     assert spark.read.parquet(out_b).count() == 7
 
 
-def test_stream_blocks_carry_state_across_micro_batches(spark, tmp_dir):
-    import json
-    import random
-    from wavelake.streaming.blocks import clean_stream_blocks
-    rng = random.Random(9)
-    streams = {"s1": [], "s2": []}
-    for name, lines in streams.items():
-        for i in range(120):
-            r = rng.random()
-            lines.append("[E] x" if r < 0.1 else "timestamp,a,b" if r < 0.2
-                         else f"{i},{i}.5,{len(name)}")
-    src = os.path.join(tmp_dir, "bus")
-    os.makedirs(src)
-    for b in range(6):  # each file is one micro-batch; blocks cross files
-        path = os.path.join(src, f"batch{b}.json")
-        with open(path, "w") as fh:
-            for name, lines in streams.items():
-                for n in range(b * 20, (b + 1) * 20):
-                    fh.write(json.dumps({"stream": name, "n": n, "value": lines[n]}) + "\n")
-        os.utime(path, (1_700_000_000 + b, 1_700_000_000 + b))  # arrival order
+def test_missing_state_is_an_error_and_old_state_goes(spark, tmp_dir):
+    from wavelake.streaming.blocks import clean_blocks_micro_batch
+    out, state = os.path.join(tmp_dir, "out"), os.path.join(tmp_dir, "state")
     schema = "stream string, n long, value string"
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(src)
-    out = clean_stream_blocks(stream, ["stream"], "n")
-    q = (out.writeStream.format("memory").queryName("bus_blocks").outputMode("append")
-         .option("checkpointLocation", os.path.join(tmp_dir, "ck")).start())
-    q.processAllAvailable()
-    q.stop()
-    got = sorted((r.stream, r.timestamp, r.sensor_A, r.sensor_B)
-                 for r in spark.table("bus_blocks").collect())
-    exp = sorted((name, *row) for name, lines in streams.items()
-                 for row in sequential_blocks([lines]))
-    assert got == exp
+
+    def run(batch_id, lines):
+        batch = spark.createDataFrame([("s", n, v) for n, v in lines], schema)
+        clean_blocks_micro_batch(batch, batch_id, ["stream"], "n", out, state)
+
+    run(0, [(0, "timestamp,a,b")])
+    run(1, [(1, "1,1,1")])
+    run(2, [(2, "2,2,2")])
+    run(2, [(2, "2,2,2")])  # a replayed batch
+    assert sorted(os.listdir(state)) == ["batch_id=1", "batch_id=2"]
+    assert sorted(r.timestamp for r in spark.read.parquet(out).collect()) == [1, 2]
+    with pytest.raises(Exception, match="batch_id=4"):
+        run(5, [(5, "5,5,5")])
 
 
-def test_line_protocol_stream_sink(spark, tmp_dir):
-    import glob
+def test_line_protocol_stream_to_files(spark, tmp_dir):
     from pyspark.sql import functions as F
     from wavelake.functions.lineproto import with_line_protocol
-    from wavelake.sinks.lineproto import register
-    register(spark)
     src = os.path.join(tmp_dir, "csv")
     os.makedirs(src)
     _write(os.path.join(src, "a.csv"), "k,t\nx,1\n,2\ny,3\n")
     stream = (spark.readStream.option("header", True).schema("k string, t long").csv(src)
               .withColumn("t", F.timestamp_seconds("t")))
     out = os.path.join(tmp_dir, "points")
-    q = (with_line_protocol(stream, "m", time_col="t").writeStream.format("lineprotocol")
-         .option("transport", "file").option("path", out)
-         .option("checkpointLocation", os.path.join(tmp_dir, "ck")).start())
+    q = (with_line_protocol(stream, "m", time_col="t").writeStream.format("text")
+         .option("path", out).option("checkpointLocation", os.path.join(tmp_dir, "ck")).start())
     q.processAllAvailable()
     q.stop()
-    lines = []
-    for name in glob.glob(os.path.join(out, "*.lp")):
-        with open(name) as fh:
-            lines += fh.read().splitlines()
+    lines = [r.value for r in spark.read.text(out).collect()]
     assert sorted(lines) == ['m k="x" 1000000000', 'm k="y" 3000000000']
 
 
@@ -144,7 +124,6 @@ def test_skew_safe_stream_blocks_match_sequential(spark, tmp_dir):
 
 
 def test_stream_ingest_into_line_protocol_sink(spark, tmp_dir):
-    import glob
     from wavelake.sinks.registry import sink_for
     src = os.path.join(tmp_dir, "src")
     os.makedirs(src)
@@ -154,9 +133,6 @@ def test_stream_ingest_into_line_protocol_sink(spark, tmp_dir):
     q = stream_ingest_csv(spark, src, ["a", "b"], sink=sink, table="db.t",
                           checkpoint=os.path.join(tmp_dir, "ck"))
     q.awaitTermination(120)
-    lines = []
-    for name in glob.glob(os.path.join(out, "*.lp")):
-        with open(name) as fh:
-            lines += fh.read().splitlines()
+    lines = [r.value for r in spark.read.text(out).collect()]
     fields = sorted(line.rsplit(" ", 1)[0] for line in lines)
     assert fields == ['t a="1",b="x"', 't a="2",b="q"']

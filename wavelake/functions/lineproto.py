@@ -9,8 +9,9 @@ Full form (``compat=False``): escaped measurement, tag and field keys, tags,
 numeric fields unquoted (integers with an ``i`` suffix), ``\\`` and ``"``
 escaped in string values.
 
-The timestamp comes from a column (ns since epoch); without one the
-reference's wall clock (ms x 10^6) is used.
+The timestamp comes from a column (ns since epoch).  Without one, rows count
+nanoseconds on from the wall clock (ms x 10^6) of the query: points of one
+measurement with the same time would overwrite each other.
 """
 
 from __future__ import annotations
@@ -46,8 +47,11 @@ def epoch_nanos(df: DataFrame, col: str) -> Column:
     return epoch_micros(df, col) * F.lit(1000)
 
 
-def wall_clock_nanos() -> Column:
-    return F.unix_millis(F.current_timestamp()) * F.lit(1_000_000)
+def row_clock_nanos() -> Column:
+    """A nanosecond of each row's own: the query's clock, which is fixed when
+    it is planned, plus the row's number in its task and the task's in the
+    upper bits.  A retried task gives its rows the same ones again."""
+    return F.unix_millis(F.current_timestamp()) * F.lit(1_000_000) + F.monotonically_increasing_id()
 
 
 def _field(df: DataFrame, name: str, compat: bool) -> Column:
@@ -111,5 +115,5 @@ def _parts(df: DataFrame, measurement: str, fields: Sequence[str] | None,
         tag = F.concat(F.lit("," + _escape_key(t) + "="),
                        F.regexp_replace(v, r"([,= \\])", r"\\$1"))
         head = F.concat(head, F.when(~is_blank(v), tag).otherwise(F.lit("")))
-    ts = epoch_nanos(df, time_col) if time_col else wall_clock_nanos()
+    ts = epoch_nanos(df, time_col) if time_col else row_clock_nanos()
     return head, field_set, ts

@@ -26,7 +26,7 @@ class _ScalerParams(HasInputCol, HasOutputCol):
         """M4 — check the input column, add the non-null double output."""
         name = self.getInputCol()
         if name not in schema.fieldNames():
-            raise ValueError(f"Input column {name} does not exist.")
+            raise ValueError(f"no column {name!r} in the input")
         if not isinstance(schema[name].dataType, T.NumericType):
             raise ValueError(f"Input column {name} must be numeric.")
         return T.StructType([*schema.fields,

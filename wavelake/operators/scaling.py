@@ -23,7 +23,7 @@ CONSTANT_SCALED = 0.5
 def require_numeric(df: DataFrame, input_col: str) -> None:
     """M4 — the input column must exist and be numeric."""
     if input_col not in df.columns:
-        raise ValueError(f"Input column {input_col} does not exist.")
+        raise ValueError(f"no column {input_col!r} in the input")
     dtype = df.schema[input_col].dataType
     if not isinstance(dtype, T.NumericType):
         raise ValueError(f"Input column {input_col} must be numeric, not {dtype.simpleString()}")

@@ -25,11 +25,12 @@ from wavelake.operators.spectrum import spectrum
 from wavelake.plans import derived
 from wavelake.plans.analysis import run_analysis
 from wavelake.plans.ingest import ingest_csv
+from wavelake.plans.logs import clean_log_stateful, clean_log_stateless
 from wavelake.plans.tables import register_views, table, tables_named_in
 from wavelake.session import scratch_path
 from wavelake.sinks.lake import (SPECTRUM_SCHEMA, LakeSink, append_bucketed, append_spectrum,
                                  read_spectrum, read_summary)
-from wavelake.sinks.lineproto import LineProtocolSink
+from wavelake.sinks.registry import sink_for
 from wavelake.sources.csv import read_csv_strings, write_csv
 from wavelake.sources.lake import read_task_csv, task_folder
 from wavelake.sources.sql import run_sql
@@ -514,65 +515,70 @@ WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey IN
 """
 _SQL_RANKING = """
 SELECT c_custkey, c_mktsegment, c_acctbal,
-       CAST(ntile(4) OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_custkey) AS BIGINT)
-         AS quartile,
-       percent_rank() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_custkey)
-         AS pct_rank,
-       CAST(dense_rank() OVER (ORDER BY c_nationkey) AS BIGINT) AS nation_rank,
-       lead(c_custkey, 2) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS lead2
+       CAST(ntile(4) OVER fine AS BIGINT) AS quartile,
+       percent_rank() OVER fine AS pct_rank,
+       CAST({nation_rank} AS BIGINT) AS nation_rank,
+       lead(c_custkey, 2) OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) AS lead2
 FROM customer
+WINDOW fine AS (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_acctbal, c_custkey)
 """
-
-_sql_query("sql_cube", _SQL_CUBE)
-_sql_query("sql_in_subquery", _SQL_IN_SUBQUERY)
-_sql_query("sql_ranking", _SQL_RANKING)
+# The rank among distinct keys is a place in their sorted set, an aggregate; a
+# window without a partition key would put every row in one task.
+_NATION_RANK = ("array_position((SELECT array_sort(collect_set(c_nationkey)) FROM customer), "
+                "c_nationkey)")
+_sql_query("sql_ranking", _SQL_RANKING.format(nation_rank=_NATION_RANK),
+           _SQL_RANKING.format(nation_rank="dense_rank() OVER (ORDER BY c_nationkey)"))
 
 
 # --------------------------------------------------------------- real spectrum (X1)
 
-_DFT_N = 64
-
-
-def _dft_rounding(re: str, im: str) -> str:
-    return (f"round({re}, 4) + 0.0 AS re, round({im}, 4) + 0.0 AS im, "
-            f"round(sqrt(round({re}, 4) * round({re}, 4) + round({im}, 4) * round({im}, 4)), 4)"
-            f" + 0.0 AS magnitude, "
-            f"round(atan2(round({im}, 4) + 0.0, round({re}, 4) + 0.0), 4) + 0.0 AS phase")
-
-
-@query("dft_frames", oracle=f"""
+def _dft_sql(n: int) -> str:
+    """Direct transform of frames of ``n`` samples per event type.  Values are
+    rounded (sums differ in their last digits); a phase is compared where the
+    magnitude is not about zero."""
+    return f"""
 WITH s AS (
   SELECT event_type, TRY_CAST(value AS DOUBLE) AS x,
          row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS n
   FROM events WHERE TRY_CAST(value AS DOUBLE) IS NOT NULL),
-f AS (SELECT event_type, n // {_DFT_N} AS frame, n % {_DFT_N} AS pos, x,
-             unnest(range({_DFT_N // 2 + 1})) AS bin FROM s),
+f AS (SELECT event_type, n // {n} AS frame, n % {n} AS pos, x,
+             unnest(range({n // 2 + 1})) AS bin FROM s),
 d AS (
   SELECT event_type, frame, bin,
-         sum(x * cos(2 * pi() * bin * pos / {_DFT_N})) AS re,
-         CASE WHEN bin = 0 OR bin = {_DFT_N // 2} THEN 0.0
-              ELSE -sum(x * sin(2 * pi() * bin * pos / {_DFT_N})) END AS im
+         sum(x * cos(2 * pi() * ((bin * pos) % {n}) / {n})) AS re,
+         CASE WHEN bin = 0 OR bin = {n // 2} THEN 0.0
+              ELSE -sum(x * sin(2 * pi() * ((bin * pos) % {n}) / {n})) END AS im
   FROM f
   GROUP BY event_type, frame, bin)
 SELECT event_type, CAST(frame AS BIGINT) AS frame, CAST(bin AS BIGINT) AS bin,
-       CAST(bin AS DOUBLE) * CAST(1000.0 AS DOUBLE) / CAST({_DFT_N} AS DOUBLE) AS frequency_hz,
-       {_dft_rounding('re', 'im')}
+       CAST(bin AS DOUBLE) * CAST(1000.0 AS DOUBLE) / CAST({n} AS DOUBLE) AS frequency_hz,
+       round(re, 4) + 0.0 AS re, round(im, 4) + 0.0 AS im,
+       round(sqrt(re * re + im * im), 4) + 0.0 AS magnitude,
+       CASE WHEN sqrt(re * re + im * im) > 0.01 THEN round(atan2(im, re), 4) + 0.0 END AS phase
 FROM d
-""")
-def q_dft_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """X1: real DFT per series over frames of 64 samples (values rounded to
-    4 decimals; magnitude and phase recomputed from the rounded parts so the
-    oracle's different summation order cannot flip them)."""
+"""
+
+
+def _dft_query(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     events = table(spark, sf_dir, "events")
-    dft = framed_dft(events, "value", ["ts", "event_id"], series=["event_type"],
-                     frame_size=_DFT_N)
-    r4 = lambda c: F.round(F.col(c), 4) + F.lit(0.0)
+    dft = framed_dft(events, "value", ["ts", "event_id"], series=["event_type"], frame_size=n)
     return dft.select(
         "event_type", "frame", "bin", "frequency_hz",
-        r4("re").alias("re"), r4("im").alias("im"),
-        (F.round(F.sqrt(r4("re") * r4("re") + r4("im") * r4("im")), 4) + F.lit(0.0))
-        .alias("magnitude"),
-        (F.round(F.atan2(r4("im"), r4("re")), 4) + F.lit(0.0)).alias("phase"))
+        *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("re", "im", "magnitude")],
+        F.when(F.col("magnitude") > 0.01, F.round("phase", 4) + F.lit(0.0)).alias("phase"))
+
+
+@query("dft_frames", oracle=_dft_sql(64))
+def q_dft_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X1: real DFT per series over frames of 64 samples, its own magnitude
+    and phase."""
+    return _dft_query(spark, sf_dir, 64)
+
+
+@query("dft_frames_1024", oracle=_dft_sql(1024))
+def q_dft_frames_1024(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X1 with frames of 1024 samples."""
+    return _dft_query(spark, sf_dir, 1024)
 
 
 # --------------------------------------------------------------- more end-to-end jobs
@@ -615,14 +621,26 @@ def q_analysis_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("line_protocol_sink", oracle=_LINE_PROTOCOL_SQL)
 def q_line_protocol_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K3: points written partition-parallel by the line-protocol data source
-    (file transport into the shared folder), read back as text."""
+    """K3 + K7: the profile's sink writes points from the executors (file
+    transport into the shared folder), read back as text."""
     path = scratch_path(spark, "points")
-    LineProtocolSink(url="", database=_LP_DATABASE, transport="file", path=path,
-                     time_col="ts").write(_lp_source(spark, sf_dir), _LP_TABLE)
+    sink = sink_for("influxdb", "", _LP_DATABASE, transport="file", path=path, time_col="ts")
+    sink.write(_lp_source(spark, sf_dir), _LP_TABLE)
     return spark.read.text(path).select(F.col("value").alias("line"))
 
 
+@query("line_protocol_full", oracle="""
+SELECT 'm\\ 1,event_type=' || event_type || ' event_id=' || CAST(event_id AS VARCHAR) || 'i'
+       || coalesce(',value=' || CAST(value AS VARCHAR), '')
+       || ' ' || CAST(epoch_us(ts) * 1000 AS VARCHAR) AS line
+FROM events
+""".replace("\\\\", "\\"))
+def q_line_protocol_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T13, full form: escaped measurement, a tag, typed integer and float fields."""
+    events = table(spark, sf_dir, "events").select("event_type", "event_id", "value", "ts")
+    return with_line_protocol(events, "m 1", time_col="ts", tags=["event_type"], compat=False)
+
+
 @query("ingest_bucketed", oracle=_STRING_SPARSE_SQL)
 def q_ingest_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S1 + T1 + K5 (lake form): landed rows in a table bucketed on the first
@@ -632,7 +650,9 @@ def q_ingest_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = drop_all_null(read_csv_strings(spark, src))
     name = f"landed_{uuid.uuid4().hex[:12]}"
     append_bucketed(cleaned, name, scratch_path(spark, name), buckets=8)
-    return spark.table(name).select("event_id", "user_id", "event_type", "value", "props")
+    landed = spark.table(name).select("event_id", "user_id", "event_type", "value", "props")
+    spark.sql(f"DROP TABLE {name}")  # external: the rows stay for the planned read
+    return landed
 
 
 _TASK_SPLIT = "event_type IN ('view', 'click')"
@@ -643,17 +663,22 @@ WITH tagged AS (
   SELECT *, CASE WHEN {_TASK_SPLIT} THEN '1' ELSE '2' END AS task_id FROM events),
 sparse AS ({derived.sparse_sql('tagged', 'task_id, ')})
 SELECT task_id, CAST(event_id AS VARCHAR) AS event_id, CAST(user_id AS VARCHAR) AS user_id,
-       event_type, CAST(value AS VARCHAR) AS value, props
+       event_type, CAST(value AS VARCHAR) AS value,
+       CASE WHEN task_id = '1' THEN props END AS props,
+       CASE WHEN task_id = '2' THEN upper(event_type) END AS kind
 FROM sparse WHERE NOT ({derived.SPARSE_ALL_NULL_SQL})
 """)
 def q_lake_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S5 + S1 + T1: raw objects laid out as ``root/task_<id>/``, scanned in
-    one job with the task id recovered from each file's path."""
+    one job with the task id recovered from each file's path.  The two tasks
+    differ in column order and width."""
     events = table(spark, sf_dir, "events")
     root = scratch_path(spark, "lake")
     in_first = F.col("event_type").isin("view", "click")
     write_csv(derived.sparse_events(events.filter(in_first)), task_folder(root, 1))
-    write_csv(derived.sparse_events(events.filter(~in_first)), task_folder(root, 2))
+    other = derived.sparse_events(events.filter(~in_first)).select(
+        "value", F.upper("event_type").alias("kind"), "event_type", "event_id", "user_id")
+    write_csv(other, task_folder(root, 2))
     scanned = read_task_csv(spark, root)
     return drop_all_null(scanned, subset=[c for c in scanned.columns if c != "task_id"])
 
@@ -686,8 +711,92 @@ def q_log_blocks_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("text_parse_files", oracle=_TEXT_PARSE_SQL)
 def q_text_parse_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P3 over text files (S2 + T2 + T3)."""
-    lines = read_lines(spark, _rotated_log(spark, sf_dir), with_position=False)
-    return parse_fields(drop_noise_lines(lines))
+    return clean_log_stateless(spark, _rotated_log(spark, sf_dir))
+
+
+_PIPE_LINES = f"pipes AS (SELECT event_id, replace(value, ',', '|') AS value FROM ({derived.EVENT_LINES_SQL}))"
+
+
+@query("text_parse_pipe", oracle=f"""
+WITH {_PIPE_LINES}
+SELECT TRY_CAST(split_part(value, '|', 1) AS BIGINT) AS timestamp,
+       TRY_CAST(split_part(value, '|', 2) AS DOUBLE) AS sensor_A,
+       TRY_CAST(split_part(value, '|', 3) AS DOUBLE) AS sensor_B
+FROM pipes
+WHERE NOT (regexp_matches(value, '^\\[.*') OR regexp_matches(value, '^timestamp.*'))
+""")
+def q_text_parse_pipe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T2 + T3 with a separator that is a regular-expression character."""
+    lines = derived.event_lines(table(spark, sf_dir, "events")).select(
+        F.replace("value", F.lit(","), F.lit("|")).alias("value"))
+    return parse_fields(drop_noise_lines(lines), sep="|")
+
+
+def _block_rows_sql(source: str, stream: str, keep: str = "") -> str:
+    """T4 + T5 over ``source`` (``event_id``, ``value``), restarting per ``stream``."""
+    return f"""
+m AS (
+  SELECT *, CASE WHEN starts_with(trim(value), '[') THEN 0
+                 WHEN starts_with(trim(value), 'timestamp') THEN 1 END AS marker
+  FROM {source}),
+s AS (
+  SELECT *, coalesce(last_value(marker IGNORE NULLS) OVER (
+              PARTITION BY {stream} ORDER BY event_id
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS state
+  FROM m),
+p AS (
+  SELECT {keep}TRY_CAST(split_part(trim(value), ',', 1) AS BIGINT) AS timestamp,
+         TRY_CAST(split_part(trim(value), ',', 2) AS DOUBLE) AS sensor_A,
+         TRY_CAST(split_part(trim(value), ',', 3) AS DOUBLE) AS sensor_B
+  FROM s WHERE marker IS NULL AND state = 1)
+SELECT * FROM p
+WHERE timestamp IS NOT NULL AND sensor_A IS NOT NULL AND sensor_B IS NOT NULL
+"""
+
+
+_STREAM_OF_USER = "user_id % 7"
+
+
+@query("log_blocks_streams", oracle=f"""
+WITH {_LINES},
+k AS (SELECT l.event_id, l.value, CAST(e.{_STREAM_OF_USER} AS BIGINT) AS stream
+      FROM lines l JOIN events e USING (event_id)),
+{_block_rows_sql('k', 'stream', 'stream, ')}
+""")
+def q_log_blocks_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T4 + T5 with a stream key: the state restarts in each of its streams."""
+    events = table(spark, sf_dir, "events")
+    lines = derived.event_lines(events, F.expr(_STREAM_OF_USER).cast("long").alias("stream"))
+    blocks = ordered_blocks(lines, ["event_id"], stream_cols=["stream"], keep=[])
+    return clean_blocks(blocks, keep=["stream"])
+
+
+_LINES_PER_FILE = 2000
+
+
+@query("clean_log_stateful", oracle=f"""
+WITH {_LINES},
+k AS (SELECT event_id, value, event_id // {_LINES_PER_FILE} AS file FROM lines),
+{_block_rows_sql('k', 'file')}
+""")
+def q_clean_log_stateful(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P4 with its default per-file state, over files of several splits each:
+    a file holds a run of lines in order, and splits are set smaller than a
+    file while they are read."""
+    lines = derived.event_lines(table(spark, sf_dir, "events"))
+    path = scratch_path(spark, "logs")
+    (lines.withColumn("file", F.floor(F.col("event_id") / _LINES_PER_FILE))
+     .repartition("file").sortWithinPartitions("file", "event_id")
+     .select("file", "value").write.partitionBy("file").text(path))
+    size, cost = "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"
+    before = {k: spark.conf.get(k) for k in (size, cost)}
+    spark.conf.set(size, str(16 * 1024))
+    spark.conf.set(cost, "0")
+    try:
+        return clean_log_stateful(spark, path)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 @query("spectrum_from_landed", oracle="""

@@ -12,7 +12,7 @@ uses.  Both forms must produce identical rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavelake.functions.time import epoch_seconds
@@ -48,7 +48,7 @@ SPARSE_ALL_NULL_SQL = ("event_id IS NULL AND user_id IS NULL AND event_type IS N
                        "AND value IS NULL AND props IS NULL")
 
 
-def event_lines(events: DataFrame) -> DataFrame:
+def event_lines(events: DataFrame, *keep: Column) -> DataFrame:
     epoch = epoch_seconds(events, "ts").cast("string")
     user = F.col("user_id").cast("string")
     line = (F.when(F.col("event_type") == "error", F.concat(F.lit("[ERROR] user "), user))
@@ -59,7 +59,7 @@ def event_lines(events: DataFrame) -> DataFrame:
                   F.concat(epoch, F.lit(",n/a,"), user))
             .otherwise(F.concat(epoch, F.lit(","), F.col("value").cast("string"),
                                  F.lit(","), user)))
-    return events.select("event_id", line.alias("value"))
+    return events.select("event_id", *keep, line.alias("value"))
 
 
 EVENT_LINES_SQL = """

@@ -12,8 +12,6 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
           "lineitem", "events", "documents", "embeddings", "pages",
           "benchmark", "labels", "conversations")
 
-_REGISTERED: dict[tuple[int, str], str] = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
@@ -21,16 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def register_views(spark: SparkSession, sf_dir: str,
                    names: tuple[str, ...] = TABLES) -> None:
-    """S4 helper: expose the tables to ``spark.sql`` under their own names
-    (each once per session and folder)."""
+    """S4 helper: expose the tables to ``spark.sql`` under their own names,
+    whatever stood there before."""
     for name in names:
-        key = (id(spark), name)
-        if _REGISTERED.get(key) == sf_dir:
-            continue
         path = os.path.join(sf_dir, f"{name}.parquet")
         if os.path.exists(path) or "://" in sf_dir:
             table(spark, sf_dir, name).createOrReplaceTempView(name)
-            _REGISTERED[key] = sf_dir
 
 
 def tables_named_in(query: str) -> tuple[str, ...]:

@@ -7,9 +7,12 @@ bench) without that setting gets a private temporary folder.
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import os
 import tempfile
 import uuid
+import warnings
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -58,6 +61,14 @@ def cluster_conf(input_bytes: int, cores: int,
     }
 
 
+def _is_local_file(spark: SparkSession, folder: str) -> bool:
+    """True if ``folder`` resolves to the ``file`` scheme (a bare path stands
+    for the default file system)."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(sc._jsc.hadoopConfiguration()).getScheme() == "file"
+
+
 def _conf_checkpoint_root(spark: SparkSession) -> str | None:
     value = spark.conf.get("spark.checkpoint.dir", None)
     if not value:
@@ -70,14 +81,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     A cluster must name a shared folder in ``spark.checkpoint.dir``; a
     local-mode session without one (tests) gets a private temporary folder.
+    A ``file:`` folder may be a mount that all machines share or each
+    machine's own disk, which cannot be told from here: on a cluster it is
+    taken as the cluster names it, with a warning.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     root = _conf_checkpoint_root(spark)
+    on_cluster = not sc.master.startswith("local")
+    if root is not None and on_cluster and _is_local_file(spark, root):
+        warnings.warn(f"spark.checkpoint.dir is {root!r}: it must be a folder that the driver and "
+                      "all executors share", RuntimeWarning, stacklevel=2)
     if root is None:
-        if not sc.master.startswith("local"):
+        if on_cluster:
             raise RuntimeError(
                 "spark.checkpoint.dir is not set; name a shared folder "
                 "(HDFS, object store) for checkpoints and written tables")
@@ -86,10 +104,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_SCOPES: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar(
+    "wavelake_scratch_scopes", default=())
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder for an intermediate table, next to the checkpoints."""
     base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, "tables", f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(base, "tables", f"{name}-{uuid.uuid4().hex}")
+    for scope in _SCOPES.get():
+        scope.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession):
+    """Delete the intermediate tables made inside when the block ends: for
+    work whose results have been written or collected by then."""
+    made: list[str] = []
+    token = _SCOPES.set((*_SCOPES.get(), made))
+    try:
+        yield made
+    finally:
+        _SCOPES.reset(token)
+        for path in made:
+            drop_scratch(spark, path)
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -110,7 +149,7 @@ def drop_scratch(spark: SparkSession, path: str | None = None) -> bool:
     return bool(fs.delete(hpath, True))
 
 
-_SHIPPED: set[int] = set()
+_SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -119,7 +158,7 @@ def ship_package(spark: SparkSession) -> None:
     and handed to ``addPyFile``, which distributes it with the job.  Operators
     that run Python inside tasks call this before they plan."""
     sc = spark.sparkContext
-    key = id(sc._jsc)
+    key = sc.applicationId
     if key in _SHIPPED:
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))

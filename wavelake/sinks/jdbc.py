@@ -10,6 +10,7 @@ from literals.  No warehouse driver ships with Spark; add the vendor jar.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -34,14 +35,30 @@ CLICKHOUSE_SPECTRUM_DDL = (
     "ENGINE = MergeTree() ORDER BY (result_id, sample_index) PARTITION BY result_id")
 
 
+# Words that ClickHouse reads as keywords where a column name may stand.
+_KEYWORDS = frozenset("all and array as asc between by case cast constraint default desc distinct "
+                      "else end engine exists final format from group having in index interval "
+                      "into is join key like limit not null offset on or order primary projection "
+                      "sample select set settings table then to ttl union using values view when "
+                      "where with".split())
+
+
+def quoted_if_needed(name: str) -> str:
+    """A plain identifier as it is, anything else in backquotes."""
+    if re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", name) and name.lower() not in _KEYWORDS:
+        return name
+    return "`" + name.replace("\\", "\\\\").replace("`", "\\`") + "`"
+
+
 def clickhouse_create_table(table: str, columns: Sequence[str]) -> str:
     """K4: first column ``String`` (a sort key cannot be Nullable), the rest
     ``Nullable(String)``, plus ``created_time``; MergeTree ordered by (first,
     created_time), partitioned by month."""
     if not columns:
         raise ValueError("no columns")
-    cols = [f"{columns[0]} String", *[f"{c} Nullable(String)" for c in columns[1:]]]
-    return CLICKHOUSE_LANDING_DDL.format(table=table, columns=", ".join(cols), key=columns[0])
+    names = [quoted_if_needed(c) for c in columns]
+    cols = [f"{names[0]} String", *[f"{c} Nullable(String)" for c in names[1:]]]
+    return CLICKHOUSE_LANDING_DDL.format(table=table, columns=", ".join(cols), key=names[0])
 
 
 def doris_create_table(table: str, columns: Sequence[str]) -> str:
@@ -66,7 +83,10 @@ def jvm_ddl_executor(spark: SparkSession, url: str, properties: Mapping[str, str
     for k, v in properties.items():
         props.setProperty(k, str(v))
     if "driver" in properties:
-        jvm.java.lang.Class.forName(properties["driver"])
+        # Spark's registry loads the class from --jars too and makes it known
+        # to DriverManager
+        getattr(jvm.org.apache.spark.sql.execution.datasources.jdbc,
+                "DriverRegistry").register(properties["driver"])
     conn = jvm.java.sql.DriverManager.getConnection(url, props)
     try:
         stmt = conn.createStatement()
@@ -116,3 +136,14 @@ class JdbcSink:
     def write(self, df: DataFrame, table: str) -> None:
         """K1/K2: append from the executors."""
         df.write.mode("append").jdbc(self.url, table, properties=self._props())
+
+    def write_spectrum(self, df: DataFrame, table: str) -> None:
+        """K8: create the typed spectrum table, then append."""
+        if self.dialect != "clickhouse":
+            raise ValueError(f"no spectrum table layout for {self.dialect!r}")
+        self.ddl_executor(df.sparkSession, self.url, self._props(), spectrum_create_table(table))
+        self.write(df, table)
+
+    def write_summary(self, df: DataFrame, table: str) -> None:
+        """K9: append to the (existing) summary table."""
+        self.write(df, table)

@@ -57,24 +57,36 @@ def append_landed(df: DataFrame, path: str, mode: str = "append") -> None:
      .write.mode(mode).partitionBy(MONTH_COL).parquet(path))
 
 
-def append_bucketed(df: DataFrame, table_name: str, path: str, buckets: int) -> None:
+def append_bucketed(df: DataFrame, table_name: str, path: str, buckets: int,
+                    files_per_bucket: int = 4) -> None:
     """K5 (lake form): duplicate-key table hash-distributed on the first
-    column into ``buckets`` buckets, registered in the session catalog."""
-    landed = df.withColumn(CREATED_TIME, F.current_timestamp())
-    (landed.write.mode("append").bucketBy(buckets, df.columns[0])
-     .sortBy(df.columns[0]).option("path", path).saveAsTable(table_name))
+    column into ``buckets`` buckets, registered in the session catalog.
+
+    Rows are dealt to (bucket, salt) before the write, so a write leaves at
+    most ``buckets * files_per_bucket`` files whatever the number of input
+    tasks, and a hot or null key spreads over its bucket's files."""
+    first = df.columns[0]
+    bucket = F.pmod(F.hash(F.col(f"`{first}`")), F.lit(buckets))
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(files_per_bucket))
+    landed = (df.repartition(buckets * files_per_bucket, bucket, salt)
+              .withColumn(CREATED_TIME, F.current_timestamp()))
+    (landed.write.mode("append").bucketBy(buckets, first)
+     .sortBy(first).option("path", path).saveAsTable(table_name))
 
 
 def append_spectrum(df: DataFrame, path: str, extra_partitions: Sequence[str] = ()) -> None:
     """K8: spectrum rows partitioned by ``result_id`` (files ordered by
-    ``sample_index``)."""
+    ``sample_index``).  A result written before is replaced, others stay."""
     (df.sortWithinPartitions("result_id", "sample_index")
-     .write.mode("append").partitionBy("result_id", *extra_partitions).parquet(path))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("result_id", *extra_partitions).parquet(path))
 
 
 def append_summary(df: DataFrame, path: str) -> None:
-    """K9: run-summary rows (small: one per result)."""
-    df.write.mode("append").parquet(path)
+    """K9: run-summary rows (small: one per result, which replaces an earlier
+    one of the same id)."""
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("id").parquet(path))
 
 
 def read_spectrum(spark: SparkSession, path: str, result_id: str | None = None,
@@ -116,3 +128,9 @@ class LakeSink:
 
     def write(self, df: DataFrame, table: str) -> None:
         append_landed(df, self.table_path(table))
+
+    def write_spectrum(self, df: DataFrame, table: str) -> None:
+        append_spectrum(df, self.table_path(table))
+
+    def write_summary(self, df: DataFrame, table: str) -> None:
+        append_summary(df, self.table_path(table))

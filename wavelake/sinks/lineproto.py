@@ -1,14 +1,14 @@
 """K3, K6 — line-protocol sink, written partition-parallel from executors.
 
-Lines are rendered JVM-side (:func:`wavelake.functions.lineproto.line_protocol`);
-this Python data source only batches each task's lines (``batch_lines`` per
-request) and hands them to a transport:
+Lines are rendered JVM-side (:func:`wavelake.functions.lineproto.line_protocol`)
+and leave in one of two ways:
 
-* ``http`` — POST to ``<url>/write?db=<database>``; anything but 204 fails
-  the task (Spark retries it: delivery is at-least-once, and a retried batch
-  with the same timestamps overwrites the same points);
-* ``file`` — append each batch to a file ``<path>/part-<partition>-<task>.lp``
-  (hand-off through a shared folder, and tests).
+* ``http`` — a Python data source batches each task's lines (``batch_lines``
+  per request) and POSTs them to ``<url>/write?db=<database>``; anything but
+  204 fails the task (Spark retries it: delivery is at-least-once, and a
+  retried batch has the same timestamps, so it overwrites the same points);
+* ``file`` — Spark's text writer puts them into the folder ``path`` (any
+  Hadoop file system); only committed attempts leave files.
 
 Nothing is collected to the driver.  Usage::
 
@@ -19,10 +19,10 @@ Nothing is collected to the driver.  Usage::
 
 from __future__ import annotations
 
-import os
 import urllib.parse
 import urllib.request
-from dataclasses import dataclass
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +33,16 @@ from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter,
                                     DataSourceStreamArrowWriter, DataSourceStreamWriter,
                                     DataSourceWriter, WriterCommitMessage)
 
-from wavelake.functions.lineproto import line_protocol, measurement_name
+from wavelake.functions.lineproto import line_protocol, measurement_name, with_line_protocol
 from wavelake.session import ship_package
 
 FORMAT_NAME = "lineprotocol"
 DEFAULT_BATCH_LINES = 5000
 
 
+Post = Callable[..., int]
+
+
 def _http_post(url: str, body: bytes, content_type: str | None = None,
                timeout: float = 60.0) -> int:
     req = urllib.request.Request(url, data=body, method="POST")
@@ -49,21 +52,13 @@ def _http_post(url: str, body: bytes, content_type: str | None = None,
         return resp.status
 
 
-def create_database(url: str, database: str, post=_http_post) -> int:
+def create_database(url: str, database: str, post: Post = _http_post,
+                    user: str = "", password: str = "") -> int:
     """K6 — ``CREATE DATABASE`` through the query endpoint (driver, once)."""
     body = urllib.parse.urlencode({"q": f"CREATE DATABASE {database}"}).encode()
-    return post(f"{url.rstrip('/')}/query", body, "application/x-www-form-urlencoded")
-
-
-def _local_path(path: str) -> str:
-    """The file transport writes through the local file API: a plain path
-    or a ``file:`` URI (a mounted shared folder on a cluster)."""
-    if not path:
-        raise ValueError("file transport needs a 'path' option")
-    parsed = urllib.parse.urlparse(path)
-    if parsed.scheme in ("", "file"):
-        return parsed.path if parsed.scheme else path
-    raise ValueError(f"file transport cannot write to {path!r}; use a mounted path")
+    login = urllib.parse.urlencode({"u": user, "p": password}) if user else ""
+    return post(f"{url.rstrip('/')}/query{'?' if login else ''}{login}", body,
+                "application/x-www-form-urlencoded")
 
 
 @dataclass
@@ -78,27 +73,20 @@ class LineProtocolWriter(DataSourceArrowWriter):
     chunks of at most ``batch_lines`` lines, straight from the Arrow buffers
     (no per-line Python objects)."""
 
-    def __init__(self, options: dict[str, str]):
-        self.transport = options.get("transport", "http")
+    def __init__(self, options: dict[str, str], post: Post = _http_post):
         self.url = options.get("url", "")
         self.database = options.get("database", "")
-        self.path = options.get("path", "")
+        self.login = {"u": options["user"], "p": options.get("password", "")} \
+            if options.get("user") else {}
         self.column = options.get("column", "line")
         self.batch_lines = int(options.get("batch_lines", DEFAULT_BATCH_LINES))
-        if self.transport == "http" and not (self.url and self.database):
+        self.post = post
+        if not (self.url and self.database):
             raise ValueError("http transport needs 'url' and 'database' options")
-        if self.transport == "file":
-            self.path = _local_path(self.path)
 
-    def _send(self, payload: bytes, part: int, attempt: int) -> None:
-        if self.transport == "file":
-            os.makedirs(self.path, exist_ok=True)
-            name = os.path.join(self.path, f"part-{part:05d}-{attempt}.lp")
-            with open(name, "ab") as fh:
-                fh.write(payload)
-            return
-        query = urllib.parse.urlencode({"db": self.database})
-        status = _http_post(f"{self.url.rstrip('/')}/write?{query}", payload)
+    def _send(self, payload: bytes) -> None:
+        query = urllib.parse.urlencode({"db": self.database, **self.login})
+        status = self.post(f"{self.url.rstrip('/')}/write?{query}", payload)
         if status != 204:
             raise RuntimeError(f"line-protocol write failed with HTTP {status}")
 
@@ -106,7 +94,6 @@ class LineProtocolWriter(DataSourceArrowWriter):
         from pyspark import TaskContext
         ctx = TaskContext.get()
         part = ctx.partitionId() if ctx else 0
-        attempt = ctx.taskAttemptId() if ctx else 0
         lines = batches = 0
         for record_batch in iterator:
             col = record_batch.column(self.column)
@@ -117,7 +104,7 @@ class LineProtocolWriter(DataSourceArrowWriter):
             terminated = pc.binary_join_element_wise(col, pa.scalar(""), "\n")
             for start in range(0, len(terminated), self.batch_lines):
                 chunk = terminated.slice(start, self.batch_lines)
-                self._send(_buffer_bytes(chunk), part, attempt)
+                self._send(_buffer_bytes(chunk))
                 lines, batches = lines + len(chunk), batches + 1
         return LineBatchCommit(part, lines, batches)
 
@@ -169,7 +156,11 @@ def register(spark: SparkSession) -> None:
 
 @dataclass
 class LineProtocolSink:
-    """K3 as a warehouse target: render, then write from the executors."""
+    """K3 as a warehouse target: render, then write from the executors.
+
+    ``properties`` may hold ``user`` and ``password``.  Without ``time_col``
+    every row gets a nanosecond of its own (see
+    :func:`wavelake.functions.lineproto.row_clock_nanos`)."""
 
     url: str
     database: str
@@ -179,22 +170,37 @@ class LineProtocolSink:
     batch_lines: int = DEFAULT_BATCH_LINES
     tags: tuple[str, ...] = ()
     compat: bool = True   # False: escaped keys, tags, typed numeric fields
+    properties: Mapping[str, str] = field(default_factory=dict)
+    post: Post = _http_post   # used on the driver, for K6
+
+    def __post_init__(self) -> None:
+        if self.transport not in ("http", "file"):
+            raise ValueError(f"unknown transport {self.transport!r}")
+        if self.transport == "file" and not self.path:
+            raise ValueError("file transport needs a path")
 
     def create_if_absent(self, df: DataFrame, table: str) -> None:
         if self.transport == "http":
-            create_database(self.url, self.database)
+            create_database(self.url, self.database, self.post, self.properties.get("user", ""),
+                            self.properties.get("password", ""))
 
     def render(self, df: DataFrame, table: str) -> DataFrame:
-        """One ``line`` per row, null when the row has no field left.  No
-        Spark filter: the writer drops null lines itself, and one projection
-        lets subexpression elimination build the field set once."""
+        """One ``line`` per row, null when the row has no field left.  One
+        projection lets subexpression elimination build the field set once."""
         name = measurement_name(table, self.database)
         return df.select(line_protocol(df, name, time_col=self.time_col, tags=self.tags,
                                        compat=self.compat).alias("line"))
 
     def write(self, df: DataFrame, table: str) -> None:
+        if self.transport == "file":
+            name = measurement_name(table, self.database)
+            lines = with_line_protocol(df, name, time_col=self.time_col, tags=self.tags,
+                                       compat=self.compat)
+            lines.write.mode("append").text(self.path)
+            return
         register(df.sparkSession)
         (self.render(df, table).write.format(FORMAT_NAME).mode("append")
-         .option("transport", self.transport).option("url", self.url)
-         .option("database", self.database).option("path", self.path)
+         .option("url", self.url).option("database", self.database)
+         .option("user", self.properties.get("user", ""))
+         .option("password", self.properties.get("password", ""))
          .option("batch_lines", str(self.batch_lines)).save())

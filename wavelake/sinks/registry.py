@@ -19,7 +19,7 @@ PROFILE_URLS = {
 def normalise_profile(profile: str) -> str:
     p = profile.strip().lower()
     if p not in PROFILE_URLS:
-        raise ValueError(f"Unknown warehouse profile: {profile}")
+        raise ValueError(f"{profile!r} is not one of {sorted(PROFILE_URLS)}")
     return p
 
 
@@ -42,5 +42,13 @@ def sink_for(profile: str, url: str, database: str,
         return LakeSink(url)
     p = normalise_profile(profile)
     if p == "influxdb":
-        return LineProtocolSink(url=url, database=database, **kwargs)
+        return LineProtocolSink(url=url, database=database, properties=dict(properties or {}), **kwargs)
     return JdbcSink(dialect=p, url=url, properties=dict(properties or {}), **kwargs)
+
+
+def warehouse_sink(profile: str, host: str, database: str, port: int | None = None,
+                   properties: Mapping[str, str] | None = None, **kwargs):
+    """The sink of a profile's warehouse on ``host``: its URL form, default
+    port, driver and credentials in one call."""
+    return sink_for(profile, warehouse_url(profile, host, database, port), database,
+                    properties, **kwargs)

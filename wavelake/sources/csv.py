@@ -2,7 +2,9 @@
 
 Behaviour of Spark's reader that the landing step relies on: short rows pad
 with null, extra cells are dropped, blank lines vanish, empty and ``""``
-cells are null, a space-only cell stays a value.
+cells are null, a space-only cell stays a value.  Cells are read by position,
+so every file's header is checked against the columns (``enforceSchema`` off):
+a file whose header differs fails the read instead of shifting its cells.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ def read_csv_strings(spark: SparkSession, paths: str | Sequence[str],
     columns = list(columns) if columns is not None else header_columns(spark, paths)
     schema = T.StructType([T.StructField(c, T.StringType(), True) for c in columns])
     return (spark.read.option("header", True).option("sep", sep)
+            .option("enforceSchema", False)
             .option("mode", "PERMISSIVE").schema(schema).csv(paths))
 
 

@@ -11,15 +11,20 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 
 
-def register_tables(spark: SparkSession, tables: Mapping[str, DataFrame]) -> None:
-    """Expose each frame under its name (session-scoped temp views)."""
-    for name, df in tables.items():
-        df.createOrReplaceTempView(name)
-
-
 def run_sql(spark: SparkSession, query: str,
             tables: Mapping[str, DataFrame] | None = None) -> DataFrame:
-    """Register ``tables`` (if given) and plan ``query`` lazily."""
-    if tables:
-        register_tables(spark, tables)
-    return spark.sql(query)
+    """Plan ``query`` lazily.  ``tables`` are visible to this query only: names
+    are resolved when it is planned, and the temporary views that stood under
+    them before are put back."""
+    tables = dict(tables or {})
+    catalog = spark._jsparkSession.sessionState().catalog()
+    before = {name: catalog.getRawTempView(name) for name in tables}
+    try:
+        for name, df in tables.items():
+            df.createOrReplaceTempView(name)
+        return spark.sql(query)
+    finally:
+        for name, old in before.items():
+            spark.catalog.dropTempView(name)
+            if old.isDefined():
+                catalog.createTempView(name, old.get(), True)

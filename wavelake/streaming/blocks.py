@@ -1,81 +1,42 @@
 """T4 + T5 on an unbounded line stream (e.g. lines with an offset from a
 message bus), where one block can span micro-batches.
 
-``groupBy(stream).applyInPandasWithState``: the state of a stream is its last
-marker (open / closed).  Each micro-batch sorts a stream's new lines by their
-order column, forward-fills the markers starting from the stored state,
-emits the data lines of open blocks and stores the new last marker.  State
-lives in the checkpoint, so a restarted query resumes mid-block.
-
-Bound: a stream's lines of one micro-batch are handled by one task; the
-batch size (e.g. ``maxOffsetsPerTrigger``) caps that group.  Lines must
-arrive in order across micro-batches (true per partition of a log-structured
-source).
+Each micro-batch runs the batch block scan (range sort on the full key, so a
+hot stream spans many tasks) over its lines, seeded with every stream's last
+marker from the batch before.  Output and state go to ``batch_id=<n>`` folders
+with overwrite, so a replayed batch reproduces them; the query's checkpoint
+says which batch comes next.
+
+Lines must arrive in order across micro-batches (true per partition of a
+log-structured source).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wavelake.functions.text import CLOSE_BLOCK, OPEN_BLOCK, block_marker
 from wavelake.operators.blocks import clean_blocks, ordered_blocks
-from wavelake.session import ship_package
+from wavelake.session import drop_scratch
 
-_STATE = T.StructType([T.StructField("marker", T.IntegerType())])
-
-
-def _advance(order_col: str, value_col: str):
-    def fn(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState):
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values(order_col, kind="stable")
-        start = state.get[0] if state.exists else CLOSE_BLOCK
-        marks = pdf["_wl_marker"].astype("float64")
-        filled = marks.ffill().fillna(float(start))   # state after each line
-        keep = marks.isna() & (filled == OPEN_BLOCK)  # data lines of open blocks
-        state.update((int(filled.iloc[-1]),))
-        yield pdf.loc[keep].drop(columns=["_wl_marker"])
-    return fn
-
-
-def stream_blocks(lines: DataFrame, stream_cols: Sequence[str], order_col: str,
-                  value_col: str = "value") -> DataFrame:
-    """Block rows of a streaming frame of lines (T4); ``order_col`` orders
-    lines within a stream.  Apply :func:`clean_stream_blocks` for T5."""
-    ship_package(lines.sparkSession)
-    stream_cols = list(stream_cols)
-    marked = lines.withColumn("_wl_marker", block_marker(value_col).cast("int"))
-    out_schema = T.StructType([f for f in marked.schema.fields if f.name != "_wl_marker"])
-    return marked.groupBy(*stream_cols).applyInPandasWithState(
-        _advance(order_col, value_col), out_schema, _STATE, "append",
-        GroupStateTimeout.NoTimeout)
-
-
-def clean_stream_blocks(lines: DataFrame, stream_cols: Sequence[str], order_col: str,
-                        value_col: str = "value") -> DataFrame:
-    """T4 + T5 on a line stream: parsed (timestamp, sensor_A, sensor_B) rows
-    with the stream keys."""
-    blocks = stream_blocks(lines, stream_cols, order_col, value_col)
-    return clean_blocks(blocks, value_col, keep=list(stream_cols))
+_SEED_TEXT = {OPEN_BLOCK: "timestamp", CLOSE_BLOCK: "["}
 
 
-# ---------------------------------------------------------------- skew-safe form
-_SEED_TEXT = {OPEN_BLOCK: "timestamp", CLOSE_BLOCK: "["}
+def _state_folder(state_path: str, batch_id: int) -> str:
+    return f"{state_path.rstrip('/')}/batch_id={batch_id}"
 
 
 def _read_state(spark, state_path: str, batch_id: int,
                 schema: T.StructType) -> DataFrame | None:
-    path = f"{state_path.rstrip('/')}/batch_id={batch_id - 1}"
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception as exc:  # noqa: BLE001 - first batch: no state folder yet
-        if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc):
-            return None
-        raise
+    """State after the batch before; only the first batch has none.  A folder
+    that is missing later is an error: going on would close every open block."""
+    if batch_id == 0:
+        return None
+    return spark.read.schema(schema).parquet(_state_folder(state_path, batch_id - 1))
 
 
 def clean_blocks_micro_batch(batch: DataFrame, batch_id: int, stream_cols: Sequence[str],
@@ -113,7 +74,9 @@ def clean_blocks_micro_batch(batch: DataFrame, batch_id: int, stream_cols: Seque
                  .filter(F.col("_wl_m").isNotNull())
                  .groupBy(*stream_cols)
                  .agg(F.max_by("_wl_m", rank).cast("int").alias("marker")))
-    new_state.write.mode("overwrite").parquet(f"{state_path.rstrip('/')}/batch_id={batch_id}")
+    new_state.write.mode("overwrite").parquet(_state_folder(state_path, batch_id))
+    if batch_id >= 2:  # a replay needs the state of the batch before, none older
+        drop_scratch(spark, _state_folder(state_path, batch_id - 2))
 
 
 def stream_clean_blocks_skew_safe(lines: DataFrame, stream_cols: Sequence[str],
@@ -121,9 +84,7 @@ def stream_clean_blocks_skew_safe(lines: DataFrame, stream_cols: Sequence[str],
                                   checkpoint: str, value_col: str = "value",
                                   available_now: bool = False):
     """Start the skew-safe streaming T4 + T5 (``foreachBatch`` over
-    :func:`clean_blocks_micro_batch`).  Use it when one stream can carry a
-    large share of a micro-batch; :func:`clean_stream_blocks` keeps each
-    stream's batch in one task."""
+    :func:`clean_blocks_micro_batch`)."""
     def run(batch: DataFrame, batch_id: int) -> None:
         clean_blocks_micro_batch(batch, batch_id, stream_cols, order_col, target_path,
                                  state_path, value_col)
