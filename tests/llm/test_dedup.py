@@ -217,12 +217,18 @@ def test_suffix_dedup_with_repeated_and_null_ids(spark):
                           (True, 0, n, n), (True, 0, m, m), (True, 0, 0, 0), (False, 2, m, m)])
 
 
-def test_long_texts_are_hashed_in_chunks(monkeypatch):
-    raw = _words(random.Random(3), 3000).encode()
-    whole = suffix_dedup.anchors(raw)
-    monkeypatch.setattr(suffix_dedup, "_CHUNK", 1000)
-    for x, y in zip(whole, suffix_dedup.anchors(raw)):
-        assert (x == y).all()
+@pytest.mark.parametrize("chunk", [1000, 1 << 20])
+def test_every_window_is_owned_once(monkeypatch, chunk):
+    monkeypatch.setattr(suffix_dedup, "_CHUNK", chunk)
+    raw = (_words(random.Random(3), 1200) + " aaaa" * 300 + "b" * 500).encode()
+    owned = np.zeros(len(raw) - 99, dtype=int)
+    by_text = {}
+    for p, h, _, left, right in zip(*suffix_dedup.anchors(raw)):
+        assert left >= 0 and right >= suffix_dedup.ANCHOR
+        for s in range(p - left, p + right - 99):
+            owned[s] += 1
+            assert by_text.setdefault(raw[s:s + 100], (h, p - s)) == (h, p - s)
+    assert (owned == 1).all()
 
 
 def test_remove_repeats_keeps_rows_and_columns(spark):
