@@ -2,23 +2,26 @@
 string that starts earlier in the corpus is removed.
 
 1. Anchors.  Rolling hashes of ``ANCHOR``-byte strings are taken at every
-   position, and in every window of ``length`` bytes the smallest one is an
-   anchor.  Equal windows have equal anchors at the same place, so a repeated
-   string can only stand around a repeated anchor.  An anchor's context is all
-   that windows around it can cover; contexts are compared by two 64-bit
-   hashes and sorted by range, which spreads even the most frequent anchor,
-   and anchors that occur once go no further.
-2. Equal contexts are one group: the first occurrence stays for the next step,
-   the others are repeats as a whole.
-3. Contexts that share an anchor but differ are dealt to shards by anchor.
-   Each shard sorts its suffixes by induced sorting (suffixes are classified,
-   leftmost-smaller substrings sorted recursively, the shard's array induced),
-   and permuted common prefixes tell which windows are equal; all but the
-   earliest of them are repeats.  An anchor with more than ``HOT_CONTEXTS``
-   different contexts is split by the text next to it before that.
+   position, and every window of ``length`` bytes is owned by the leftmost of
+   its smallest ones, an anchor.  Equal windows have equal anchors at the same
+   place, so a repeated window can only stand around a repeated anchor.  An
+   anchor's context is what the windows it owns cover.
+2. The anchors are sorted by range on (hash, context's hash, place), which
+   spreads even the most frequent one.  In the sorted tasks, anchors that occur
+   once are dropped; of equal contexts the first occurrence stays for the next
+   step and the others are repeats as a whole.  The first and last anchor of a
+   task may go on in its neighbours and are settled by joins.
+3. Contexts that share an anchor but differ are dealt to shards by anchor (an
+   anchor with more than ``HOT_CONTEXTS`` of them is split by the text next to
+   it before that).  They are clipped to what they share with another one, and
+   equal ones collapse again.  Each shard then sorts the suffixes of the rest by
+   induced sorting (suffixes are classified, leftmost-smaller substrings sorted
+   recursively, the shard's array induced), and permuted common prefixes tell
+   which windows are equal; all but the earliest of them are repeats.
 4. The repeats of a document merge to spans, which are cut out.
 
-Only documents with a repeated anchor are carried beyond step 2.
+Texts are shuffled twice, compressed: for the contexts of step 3 and for the
+cut; nothing else carries text.
 
 Order: smaller doc_id first, null ids last; among rows with the same id, by
 the text's hash; equal rows of the same id in any order (the first stays).
@@ -38,6 +41,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,47 +103,61 @@ def _sliding(pick, a: np.ndarray, width: int) -> np.ndarray:
     return pick(a[:n], a[width - span:width - span + n])
 
 
-def anchors(raw: bytes, length: int = LENGTH, k: int = ANCHOR
-            ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(places, anchor hashes, context hashes) of a text's anchors.  The
-    context of an anchor at p is ``[p + k - length, p + length)`` within the
-    text."""
+def anchors(raw: bytes, length: int = LENGTH, k: int = ANCHOR) -> tuple[np.ndarray, ...]:
+    """(places, anchor hashes, context hashes, left, right) of a text's
+    anchors: the context of an anchor at p is ``[p - left, p + right)``."""
     n = len(raw)
     width = length - k + 1
     found = []
     for a in range(0, max(0, n - length + 1), _CHUNK):
         end = min(n, a + _CHUNK + length - 1)           # of the windows' bytes
-        lo, hi = max(0, a - length), min(n, end + length)  # with their contexts
-        data = np.frombuffer(raw, np.uint8, hi - lo, lo)
-        rolling = _Rolling(data, _BASES[0])
-        at = np.arange(a - lo, end - k + 1 - lo)
-        h = rolling.of(at, at + k)
-        least = _sliding(np.minimum, h, width)
+        data = np.frombuffer(raw, np.uint8, end - a, a)
+        at = np.arange(len(data) - k + 1)
+        h = _Rolling(data, _BASES[0]).of(at, at + k)
+        least = _sliding(np.minimum, h, width)          # per window
         edge = np.zeros(width - 1, dtype=np.uint64)
         highest = _sliding(np.maximum, np.concatenate((edge, least, edge)), width)
-        chosen = np.flatnonzero(highest == h)
-        p = at[chosen]
-        left, right = np.maximum(p + k - length, 0), np.minimum(p + length, len(data))
-        context = _Rolling(data, _BASES[1]).of(left, right)
-        context ^= ((p - left) * 1000 + (right - p)).astype(np.uint64)
-        found.append((p + lo, h[chosen], context))
+        chosen = np.flatnonzero(highest == h)           # smallest in some window
+        windows = np.arange(len(least))
+        owner = np.searchsorted(chosen, windows)
+        wrong = np.flatnonzero(h[chosen[owner]] != least)
+        while len(wrong):
+            owner[wrong] += 1
+            wrong = wrong[h[chosen[owner[wrong]]] != least[wrong]]
+        own, first = np.unique(owner, return_index=True)
+        last = np.append(first[1:], len(owner)) - 1     # owners follow each other
+        p = chosen[own]
+        context = _Rolling(data, _BASES[1]).of(first, last + length)
+        left, right = p - first, last + length - p
+        context ^= (left * 1000 + right).astype(np.uint64)
+        found.append((p + a, h[p], context, left, right))
     if not found:
-        none = np.empty(0, dtype=np.uint64)
-        return none.astype(np.int64), none, none
-    places, hashes, contexts = (np.concatenate(x) for x in zip(*found))
-    places, first = np.unique(places, return_index=True)
-    return places, hashes[first], contexts[first]
+        none = np.empty(0, dtype=np.int64)
+        return none, none.view(np.uint64), none.view(np.uint64), none, none
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
-_OCCURRENCE = "anchor long, ctx long, doc_id long, tie long, at long"
+_OCCURRENCE = "anchor long, ctx long, doc_id long, tie long, at long, ext int"
 
 
 def _raw(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
+def _start() -> Column:
+    """First byte of an occurrence's context (``ext`` holds its extent left of
+    the anchor, times 1024, and right of it)."""
+    return F.col("at") - F.shiftright("ext", 10)
+
+
+def _end() -> Column:
+    return F.col("at") + F.col("ext").bitwiseAND(1023)
+
+
 def occurrences(docs: DataFrame, length: int, k: int) -> DataFrame:
     """Every anchor of ``docs`` (``doc_id, tie, text``), unsorted."""
+    if length > 500:
+        raise ValueError("length must not exceed 500")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -148,48 +166,62 @@ def occurrences(docs: DataFrame, length: int, k: int) -> DataFrame:
                 parts.append(anchors(_raw(text), length, k))
                 counts.append(len(parts[-1][0]))
             if sum(counts):
-                at, anchor, ctx = (np.concatenate(x) for x in zip(*parts))
+                at, anchor, ctx, left, right = (np.concatenate(x) for x in zip(*parts))
                 yield pd.DataFrame({
                     "anchor": anchor.view(np.int64), "ctx": ctx.view(np.int64),
                     "doc_id": np.repeat(pdf["doc_id"].astype("Int64").to_numpy(), counts),
-                    "tie": np.repeat(pdf["tie"].to_numpy(), counts), "at": at})
+                    "tie": np.repeat(pdf["tie"].to_numpy(), counts), "at": at,
+                    "ext": (left * 1024 + right).astype(np.int32)})
 
     return map_rows(docs, run, _OCCURRENCE)
 
 
-def repeated_occurrences(found: DataFrame) -> DataFrame:
-    """The anchors that occur more than once.  They are sorted by range, and
-    in each task all but the first and the last anchor of the range are known
-    to be alone or not; those two are counted over all tasks."""
-    keys = ["anchor", "ctx", "doc_id", "tie", "at"]
+_ALONE, _LATER, _FIRST, _EDGE = 0, 1, 2, 3
+
+
+def sorted_occurrences(found: DataFrame) -> DataFrame:
+    """Occurrences with their ``kind``: ``_LATER`` ones of a context,
+    ``_FIRST`` ones of anchors with several contexts (``n_ctx``), and all of
+    the first and the last anchor of each sort task (``_EDGE``)."""
+    keys = ["anchor", "ctx", F.col("doc_id").asc_nulls_last(), "tie", "at"]
     ordered = found.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
+    def whole_runs(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Rows of anchors whose occurrences are all here."""
+        anchor, ctx = pdf["anchor"].to_numpy(), pdf["ctx"].to_numpy()
+        new = np.concatenate(([True], anchor[1:] != anchor[:-1]))
+        first = new | np.concatenate(([True], ctx[1:] != ctx[:-1]))
+        n_ctx = np.add.reduceat(first.astype(np.int32), np.flatnonzero(new))[np.cumsum(new) - 1]
+        kind = np.where(first, np.where(n_ctx > 1, _FIRST, _ALONE), _LATER)
+        out = pdf.assign(kind=kind.astype(np.int32), n_ctx=n_ctx)[kind != _ALONE]
+        later = out["kind"] == _LATER
+        return out.assign(anchor=out["anchor"].mask(later, 0), ctx=0,
+                          n_ctx=out["n_ctx"].mask(later, 0))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, first = None, None
         for pdf in batches:
             pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if pdf["tie"].any():  # rows of equal documents are one occurrence
+                pdf = pdf.drop_duplicates(["anchor", "ctx", "tie", "at"], ignore_index=True)
             anchor = pdf["anchor"].to_numpy()
             first = anchor[0] if first is None else first
-            more = np.zeros(len(anchor), dtype=bool)
-            same = anchor[1:] == anchor[:-1]
-            more[1:] |= same
-            more[:-1] |= same
-            last = anchor == anchor[-1]
-            # of the last anchor one row waits: it may go on in the next batch
-            keep = (more | (anchor == first)) & ~last
-            keep |= last & more
-            keep[-1] = False
-            out = pdf[keep]
-            held = pdf.iloc[-1:]
-            if len(out):
-                yield out.assign(edge=(out["anchor"] == first) | (out["anchor"] == anchor[-1]))
-        if held is not None:
-            yield held.assign(edge=True)
-
-    rows = materialized(map_rows(ordered, run, _OCCURRENCE + ", edge boolean"), "anchors")
-    lone = (rows.filter("edge").groupBy("anchor").count().filter("count = 1")
-            .select(F.col("anchor").alias("lone")))
-    return rows.join(lone, F.col("anchor") == F.col("lone"), "left_anti").drop("edge")
+            begins = int(np.searchsorted(anchor, first, side="right")) if anchor[0] == first else 0
+            ends = int(np.searchsorted(anchor, anchor[-1], side="left"))
+            if begins and ends >= begins:
+                yield pdf.iloc[:begins].assign(kind=_EDGE, n_ctx=0)
+            if ends > begins:
+                yield whole_runs(pdf.iloc[begins:ends])
+            # the last anchor may go on; of a first one that does, no more is known
+            if begins and ends < begins:
+                yield pdf.assign(kind=_EDGE, n_ctx=0)
+                held = None
+            else:
+                held = pdf.iloc[max(begins, ends):]
+        if held is not None and len(held):
+            yield held.assign(kind=_EDGE, n_ctx=0)
+
+    return materialized(map_rows(ordered, run, _OCCURRENCE + ", kind int, n_ctx int"), "anchors")
 
 
 # ------------------------------------------------------------ equal contexts
@@ -200,19 +232,24 @@ def _place() -> Column:
 
 
 def split_contexts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From occurrences ``anchor, ctx, doc_id, tie, at`` (repeated anchors
-    only): those that are not the first of their context, and the first ones
-    of anchors with several contexts (with ``n_ctx``, their number)."""
-    firsts = materialized(rows.groupBy("anchor", "ctx").agg(F.min(_place()).alias("first")),
-                          "contexts")
-    several = firsts.groupBy(F.col("anchor").alias("a")).agg(F.count(F.lit(1)).alias("n_ctx"))
+    """From sorted occurrences: the spans (``doc_id, tie, start, end``) of
+    those that are not the first of their context, and the first ones of
+    anchors with several contexts (``anchor, n_ctx, doc_id, tie, at, ext``)."""
+    edge = rows.filter(F.col("kind") == _EDGE)
+    firsts = materialized(edge.groupBy("anchor", "ctx").agg(
+        F.min(_place()).alias("first"), F.first("ext").alias("ext")), "contexts")
+    several = firsts.groupBy(F.col("anchor").alias("a")).agg(
+        F.count(F.lit(1)).cast("int").alias("n_ctx"))
     several = materialized(several.filter("n_ctx > 1"), "anchors_split")
     heads = firsts.select(F.col("anchor").alias("fa"), F.col("ctx").alias("fc"), "first")
-    later = rows.join(heads, (F.col("anchor") == F.col("fa")) & (F.col("ctx") == F.col("fc")))
-    later = later.filter(_place() != F.col("first")).select("doc_id", "tie", "at")
+    later = edge.join(heads, (F.col("anchor") == F.col("fa")) & (F.col("ctx") == F.col("fc")))
+    later = later.filter(_place() != F.col("first"))
+    spans = ["doc_id", "tie", _start().alias("start"), _end().alias("end")]
+    later = rows.filter(F.col("kind") == _LATER).select(*spans).unionByName(later.select(*spans))
+    asked = ["anchor", "n_ctx", "doc_id", "tie", "at", "ext"]
     open_ = (firsts.join(several, F.col("anchor") == F.col("a"))
-             .select("anchor", "n_ctx", "first.doc_id", "first.tie", "first.at"))
-    return later, open_
+             .select("anchor", "n_ctx", "first.doc_id", "first.tie", "first.at", "ext"))
+    return later, rows.filter(F.col("kind") == _FIRST).select(*asked).unionByName(open_)
 
 
 # ---------------------------------------------------------- shards of windows
@@ -220,42 +257,102 @@ def split_contexts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 _SPAN = "doc_id long, tie long, start long, end long"
 
 
+def _common(a: bytes, b: bytes) -> int:
+    """Length of the common prefix."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    lo, hi = 0, n  # a[:lo] == b[:lo], a[:hi] != b[:hi]
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        if a[lo:mid] == b[lo:mid]:
+            lo = mid
+        else:
+            hi = mid
+    return lo
+
+
+def _longest_shared(sides: list[bytes]) -> list[int]:
+    """Per string the longest prefix it shares with another one: that is a
+    neighbour in sorted order."""
+    order = sorted(range(len(sides)), key=sides.__getitem__)
+    out = [0] * len(sides)
+    for i, j in zip(order, order[1:]):
+        n = _common(sides[i], sides[j])
+        out[i], out[j] = max(out[i], n), max(out[j], n)
+    return out
+
+
+def _clipped(pdf: pd.DataFrame, length: int) -> tuple[list[tuple], list[tuple]]:
+    """Contexts of a shard clipped to what they share with another one of
+    their anchor on either side of it.  Returns the spans (row, start, end) of
+    those that equal an earlier one, and what is left (row, start, body) of
+    anchors where clipped contexts still differ.  Rows are in document order."""
+    spans, rest = [], []
+    anchor = pdf["anchor"].to_numpy()
+    order = np.argsort(anchor, kind="stable")
+    cuts = np.flatnonzero(np.diff(anchor[order])) + 1
+    bodies, offs, starts = pdf["body"].tolist(), pdf["off"].tolist(), pdf["start"].tolist()
+    for group in np.split(order, cuts):
+        if len(group) < 2:
+            continue
+        group = group.tolist()
+        lefts = _longest_shared([bodies[i][:offs[i]][::-1] for i in group])
+        rights = _longest_shared([bodies[i][offs[i]:] for i in group])
+        seen: dict[tuple[int, bytes], int] = {}
+        for i, l, r in zip(group, lefts, rights):
+            if l + r < length:
+                continue
+            s, e = offs[i] - l, offs[i] + r
+            key = (l, bodies[i][s:e])
+            if key in seen:
+                spans.append((i, starts[i] + s, starts[i] + e))
+            else:
+                seen[key] = i
+        if len(seen) > 1:
+            rest += [(i, starts[i] + offs[i] - l, body) for (l, body), i in seen.items()]
+    return spans, rest
+
+
 def _shard_spans(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
-    """Spans of the windows in a shard's contexts (``doc_id, tie, start,
-    body``) that an earlier window equals."""
-    bodies = [bytes(b) for b in pdf["body"]]
-    data, starts = join_texts(bodies)
-    sizes = np.array([len(b) for b in bodies])
-    owner = np.repeat(np.arange(len(bodies)), sizes + 1)
-    inside = np.arange(len(data)) - starts[owner]
-    at, group = repeated_groups(data, sizes[owner] - inside, length)
-    ids = pdf["doc_id"].astype("Int64")
-    ranked = pd.DataFrame({"n": ids.isna().to_numpy(), "d": ids.fillna(0).to_numpy(dtype=np.int64),
-                           "t": pdf["tie"].to_numpy()})
-    doc = ranked.groupby(["n", "d", "t"], sort=True).ngroup().to_numpy()[owner[at]]
-    place = pdf["start"].to_numpy()[owner[at]] + inside[at]
-    order = np.lexsort((place, doc, group))
-    at, group, doc, place = at[order], group[order], doc[order], place[order]
-    head = np.concatenate(([True], np.diff(group) != 0)) if len(at) else np.empty(0, bool)
-    lead = np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
-    later = (doc != doc[lead]) | (place != place[lead])
-    at = np.sort(at[later])
-    if not len(at):
-        return pd.DataFrame({"doc_id": [], "tie": [], "start": [], "end": []}).astype(
-            {"doc_id": "Int64", "tie": "int64", "start": "int64", "end": "int64"})
-    # neighbouring windows of one context are one span
-    new = np.concatenate(([True], np.diff(at) != 1))
-    run = np.flatnonzero(new)
-    last = at[np.append(run[1:], len(at)) - 1]
-    own = owner[at[run]]
-    base = pdf["start"].to_numpy()[own]
-    return pd.DataFrame({"doc_id": ids.to_numpy()[own], "tie": pdf["tie"].to_numpy()[own],
-                         "start": base + inside[at[run]], "end": base + inside[last] + length})
+    """Spans of the windows in a shard's contexts (``anchor, doc_id, tie,
+    start, off, body``) that an earlier window equals."""
+    pdf = pdf.sort_values(["doc_id", "tie", "start"], kind="stable", na_position="last",
+                          ignore_index=True)
+    ids, ties = pdf["doc_id"].astype("Int64"), pdf["tie"].to_numpy()
+    none = ids.isna().to_numpy()
+    plain = ids.fillna(0).to_numpy(dtype=np.int64)
+    # rows are sorted: documents are numbered in their order
+    change = (none[1:] != none[:-1]) | (plain[1:] != plain[:-1]) | (ties[1:] != ties[:-1])
+    number = np.concatenate(([0], np.cumsum(change)))
+    spans, rest = _clipped(pdf, length)
+    found = [np.array(spans, dtype=np.int64).reshape(-1, 3)]
+    if rest:
+        rows, begin = np.array([r[0] for r in rest]), np.array([r[1] for r in rest])
+        data, starts = join_texts([r[2] for r in rest])
+        sizes = np.array([len(r[2]) for r in rest])
+        owner = np.repeat(np.arange(len(rest)), sizes + 1)
+        inside = np.arange(len(data)) - starts[owner]
+        at, group = repeated_groups(data, sizes[owner] - inside, length)
+        doc, place = number[rows[owner[at]]], begin[owner[at]] + inside[at]
+        order = np.lexsort((place, doc, group))
+        at, group, doc, place = at[order], group[order], doc[order], place[order]
+        head = np.concatenate(([True], np.diff(group) != 0))
+        lead = np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
+        at = np.sort(at[(doc != doc[lead]) | (place != place[lead])])
+        if len(at):  # neighbouring windows of one context are one span
+            first = np.flatnonzero(np.concatenate(([True], np.diff(at) != 1)))
+            last = at[np.append(first[1:], len(at)) - 1]
+            own = owner[at[first]]
+            found.append(np.stack([rows[own], begin[own] + inside[at[first]],
+                                   begin[own] + inside[last] + length], axis=1))
+    row, start, end = np.concatenate(found).T
+    return pd.DataFrame({"doc_id": ids.to_numpy()[row], "tie": ties[row], "start": start, "end": end})
 
 
 def shard_spans(contexts: DataFrame, length: int) -> DataFrame:
-    """Repeated windows among the stored ``contexts`` (``anchor, doc_id, tie,
-    start, body``) of each anchor."""
+    """Repeated windows among the ``contexts`` (``anchor, doc_id, tie, start,
+    off, body``) of each anchor."""
     stored, rows = materialized_counted(contexts, "shards")
     dealt = stored.repartition(parts_for(rows, SHARD_CONTEXTS), "anchor")
 
@@ -275,28 +372,29 @@ def _narrowed(rows: DataFrame, length: int, k: int) -> DataFrame:
     steps = [0, *(2 ** i for i in range(most.bit_length()))]
     ranges = [(a, min(b - 1, most)) for a, b in zip(steps, [*steps[1:], most + 1]) if a <= most]
 
+    def digest(*parts: bytes) -> int:
+        return int.from_bytes(hashlib.blake2b(b"|".join(parts), digest_size=8).digest(), "big",
+                              signed=True)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
-                body, p = bytes(r.body), r.at - r.start
+                body, p = r.body, r.off
                 for a, b in ranges:
                     if p < a or len(body) - p < length - b:
                         continue  # no window of this range
                     s, e = max(0, p - b), min(len(body), p + length - a)
-                    key = b"%d|" % a + body[p - a:p + length - b]
-                    cut = body[s:e]
-                    out.append((
-                        int.from_bytes(hashlib.blake2b(key, digest_size=8).digest(), "big", signed=True),
-                        int.from_bytes(hashlib.blake2b(b"%d|" % (p - s) + cut, digest_size=8).digest(),
-                                       "big", signed=True),
-                        r.doc_id, r.tie, r.start + s, cut))
+                    out.append((digest(b"%d" % a, body[p - a:p + length - b]),
+                                digest(b"%d" % (p - s), body[s:e]),
+                                r.doc_id, r.tie, r.start + s, p - s, body[s:e]))
             if out:
-                frame = pd.DataFrame(out, columns=["anchor", "ctx", "doc_id", "tie", "at", "body"])
+                frame = pd.DataFrame(out, columns=["anchor", "ctx", "doc_id", "tie", "at", "off", "body"])
                 frame["doc_id"] = frame["doc_id"].astype("Int64")
                 yield frame
 
-    return map_rows(rows, run, _OCCURRENCE + ", body binary")
+    return map_rows(rows, run, "anchor long, ctx long, doc_id long, tie long, at long, off int, "
+                               "body binary")
 
 
 # ------------------------------------------------------------------ documents
@@ -339,36 +437,49 @@ def _without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, raw[at:]])
 
 
-def _slices(length: int, k: int):
-    """Contexts around the asked places of a text."""
+def _packed():
+    """A text's bytes, compressed for the shuffle."""
+
+    @F.pandas_udf("binary")
+    def pack(text: pd.Series) -> pd.Series:
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        return pd.Series([squeeze(_raw(t)) for t in text])
+
+    return pack
+
+
+def _slices():
+    """Contexts at the asked places of a packed text."""
 
     @F.pandas_udf("array<binary>")
-    def slices(text: pd.Series, asks: pd.Series) -> pd.Series:
+    def slices(packed: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+        expand = zstandard.ZstdDecompressor().decompress
         out = []
-        for t, places in zip(text, asks):
-            raw = _raw(t) if places is not None and len(places) else b""
-            out.append([raw[max(0, p + k - length):p + length]
-                        for p in ([] if places is None else places)])
+        for raw, begin, end in zip(packed, starts, ends):
+            raw = expand(raw)
+            out.append([raw[s:e] for s, e in zip(begin, end)])
         return pd.Series(out)
 
     return slices
 
 
 def _cutter(length: int):
-    """What is left of a text, and the spans taken out of it."""
-
-    @F.pandas_udf(f"kept binary, removed {_PAIRS}")
-    def cut(text: pd.Series, copy: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.DataFrame:
-        kept, removed = [], []
-        for t, c, s, e in zip(text, copy, starts, ends):
-            raw = _raw(t)
+    """What is left of a packed text, and the spans taken out of it."""
+
+    @F.pandas_udf(f"n long, kept binary, removed {_PAIRS}")
+    def cut(packed: pd.Series, copy: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.DataFrame:
+        expand = zstandard.ZstdDecompressor().decompress
+        kept, removed, sizes = [], [], []
+        for t, c, s, e in zip(packed, copy, starts, ends):
+            raw = expand(t)
+            sizes.append(len(raw))
             if c > 1 and len(raw) >= length:
                 spans = [(0, len(raw))]
             else:
                 spans = _merged(list(zip(s, e)), len(raw)) if s is not None and len(s) else []
             kept.append(_without(raw, spans))
             removed.append([{"s": a, "e": b} for a, b in spans])
-        return pd.DataFrame({"kept": kept, "removed": removed})
+        return pd.DataFrame({"n": sizes, "kept": kept, "removed": removed})
 
     return cut
 
@@ -383,48 +494,30 @@ def _decoder():
     return decoded
 
 
-def _carried(docs: DataFrame, key: str, later: DataFrame, open_: DataFrame,
-             length: int, k: int) -> DataFrame:
-    """Every row of ``docs`` once, with its whole repeats (``s1``, ``e1``) and
-    its contexts that need a shard; ``copy`` numbers equal rows."""
+def _contexts(docs: DataFrame, key: str, open_: DataFrame) -> DataFrame:
+    """The asked contexts with their bytes: ``anchor, n_ctx, doc_id, tie,
+    start, off, body``.  ``docs`` has ``_id``, ``_tie`` and ``_text``."""
     name = F.col("doc_id" if key == "_id" else "tie").alias("key")
-    none = F.lit(None).cast("long")
-    parts = later.select(name, (F.col("at") + k - length).alias("s"), (F.col("at") + length).alias("e"),
-                         none.alias("at"), none.alias("anchor"), none.alias("n_ctx"))
-    parts = parts.unionByName(open_.select(name, none.alias("s"), none.alias("e"), "at", "anchor", "n_ctx"))
-    ask = F.when(F.col("at").isNotNull(), F.struct("at", "anchor", "n_ctx"))
-    lists = parts.groupBy("key").agg(
-        F.collect_list("s").alias("s1"), F.collect_list("e").alias("e1"),
-        F.collect_list(ask).alias("asks"))
-    rows = _joined(docs, lists, key)
-    if key == "_id":
-        rows = rows.withColumn("copy", F.lit(1))
-    else:
-        same = Window.partitionBy("_tie").orderBy(F.lit(0))
-        rows = rows.withColumn("copy", F.row_number().over(same))
-    asked = F.when(F.col("copy") == 1, F.col("asks.at"))
-    rows = rows.withColumn("bodies", _slices(length, k)("text", asked))
-    return rows.withColumn("contexts", F.when(F.size("bodies") > 0, F.arrays_zip("asks", "bodies"))
-                           ).drop("asks", "bodies")
-
-
-def _shard_contexts(rows: DataFrame) -> DataFrame:
-    ask = F.col("c.asks")
-    return (rows.select("_id", "_tie", F.explode("contexts").alias("c"))
-            .select(ask["anchor"].alias("anchor"), ask["n_ctx"].alias("n_ctx"),
-                    F.col("_id").alias("doc_id"), F.col("_tie").alias("tie"), ask["at"].alias("at"),
-                    F.col("c.bodies").alias("body")))
+    ask = F.struct(_start().alias("start"), _end().alias("end"), "at", "anchor", "n_ctx")
+    asks = open_.select(name, ask.alias("ask")).groupBy("key").agg(F.collect_list("ask").alias("asks"))
+    rows = docs.join(asks, docs[key] == F.col("key")).select("_id", "_tie", "asks", "_text")
+    bodies = _slices()("_text", F.col("asks.start"), F.col("asks.end"))
+    rows = rows.select("_id", "_tie", F.explode(F.arrays_zip("asks", bodies.alias("body"))).alias("c"))
+    got = F.col("c.asks")
+    return rows.select(
+        got["anchor"].alias("anchor"), got["n_ctx"].alias("n_ctx"), F.col("_id").alias("doc_id"),
+        F.col("_tie").alias("tie"), got["start"].alias("start"),
+        (got["at"] - got["start"]).cast("int").alias("off"), F.col("c.body").alias("body"))
 
 
-def _repeat_spans(open_: DataFrame, length: int, k: int) -> DataFrame:
+def _repeat_spans(contexts: DataFrame, length: int, k: int) -> DataFrame:
     """``doc_id, tie, start, end`` of the repeats found in shards."""
-    start = F.greatest(F.col("at") + (k - length), F.lit(0))
-    open_ = open_.withColumn("start", start)
-    cool = open_.filter(F.col("n_ctx") <= HOT_CONTEXTS).select(
-        "anchor", "doc_id", "tie", "start", "body")
-    fine = materialized(_narrowed(open_.filter(F.col("n_ctx") > HOT_CONTEXTS), length, k), "narrowed")
+    dealt = ["anchor", "doc_id", "tie", "start", "off", "body"]
+    cool = contexts.filter(F.col("n_ctx") <= HOT_CONTEXTS).select(*dealt)
+    fine = materialized(_narrowed(contexts.filter(F.col("n_ctx") > HOT_CONTEXTS), length, k), "narrowed")
     heads = materialized(fine.groupBy("anchor", "ctx").agg(
-        F.min(_place()).alias("first"), F.max("body").alias("body")), "narrow_heads")
+        F.min(_place()).alias("first"), F.max("body").alias("body"), F.max("off").alias("off")),
+        "narrow_heads")
     h = heads.select(F.col("anchor").alias("ha"), F.col("ctx").alias("hc"), "first")
     later = (fine.join(h, (F.col("anchor") == F.col("ha")) & (F.col("ctx") == F.col("hc")))
              .filter(_place() != F.col("first"))
@@ -433,34 +526,29 @@ def _repeat_spans(open_: DataFrame, length: int, k: int) -> DataFrame:
     several = materialized(heads.groupBy(F.col("anchor").alias("a")).agg(F.count(F.lit(1)).alias("n"))
                            .filter("n > 1"), "narrow_split")
     split = (heads.join(several, F.col("anchor") == F.col("a"))
-             .select("anchor", "first.doc_id", "first.tie", F.col("first.at").alias("start"), "body"))
+             .select("anchor", "first.doc_id", "first.tie", F.col("first.at").alias("start"), "off", "body"))
     return shard_spans(cool.unionByName(split), length).unionByName(later)
 
 
 def _cut(docs: DataFrame, length: int, k: int) -> DataFrame:
-    """``docs`` with ``_cut``: the bytes kept and the spans removed."""
+    """``docs`` with ``_cut``: size, bytes kept and spans removed."""
     keyed, key = _keyed(docs)
     found = occurrences(keyed.select(F.col("_id").alias("doc_id"), F.col("_tie").alias("tie"), "text"),
                         length, k)
-    rows = materialized(repeated_occurrences(found), "repeated")
-    later, open_ = split_contexts(rows)
-    carried = materialized(_carried(keyed, key, later, open_, length, k), "carried")
-    more = _repeat_spans(_shard_contexts(carried), length, k)
+    later, open_ = split_contexts(sorted_occurrences(found))
+    packed = keyed.withColumn("_text", _packed()("text"))
+    contexts = materialized(_contexts(packed.select("_id", "_tie", "_text"), key, open_), "contexts")
+    spans = later.unionByName(_repeat_spans(contexts, length, k))
     name = F.col("doc_id" if key == "_id" else "tie").alias("key")
-    more = materialized(more.select(name, "start", "end").groupBy("key").agg(
-        F.collect_list("start").alias("s2"), F.collect_list("end").alias("e2")), "spans")
-    carried = carried.drop("contexts")
-    # a document without a shared context cannot gain spans: it is not joined
-    touched = F.col("s1").isNotNull()
-    none = F.lit(None).cast("array<bigint>")
-    rows = _joined(carried.filter(touched), more, key).unionByName(
-        carried.filter(~touched).withColumns({"s2": none, "e2": none}))
-    empty = F.array().cast("array<bigint>")
-
-    def both(a: str, b: str) -> Column:
-        return F.concat(F.coalesce(a, empty), F.coalesce(b, empty))
-
-    return rows.withColumn("_cut", _cutter(length)("text", "copy", both("s1", "s2"), both("e1", "e2")))
+    lists = spans.select(name, "start", "end").groupBy("key").agg(
+        F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
+    rows = _joined(packed.drop("text"), lists, key)
+    if key == "_id":
+        rows = rows.withColumn("copy", F.lit(1))
+    else:
+        same = Window.partitionBy("_tie").orderBy(F.lit(0))
+        rows = rows.withColumn("copy", F.row_number().over(same))
+    return rows.withColumn("_cut", _cutter(length)("_text", "copy", "starts", "ends"))
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> DataFrame:
@@ -468,7 +556,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> Data
     kept_sha256`` and ``removed``, the spans themselves."""
     ship_package(docs.sparkSession)
     rows = _cut(docs.select("doc_id", "text"), length, k)
-    n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    n_bytes = F.col("_cut.n")
     return rows.select(
         F.col("_id").alias("doc_id"), n_bytes.alias("n_bytes"),
         (n_bytes - F.octet_length("_cut.kept")).cast("long").alias("n_removed"),
@@ -481,8 +569,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> Da
     ``n_chars``, where there is one, counted anew."""
     ship_package(docs.sparkSession)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("d")
-    rows = _cut(docs.select(row, "doc_id", "text"), length, k)
-    left = F.when(F.col("text").isNotNull(), _decoder()("_cut.kept"))
+    known = F.col("text").isNotNull().alias("known")
+    rows = _cut(docs.select(row, "doc_id", "text", known), length, k)
+    left = F.when(F.col("known"), _decoder()("_cut.kept"))
     rows = rows.select("d", left.alias("text"))
 
     def column(c: str) -> Column:
