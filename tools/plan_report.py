@@ -48,7 +48,7 @@ def main() -> None:
     args = ap.parse_args()
 
     from wavelake.session import build_session, ensure_checkpoint_dir
-    import __spark_entry__ as entry
+    from wavelake.plans import catalog
 
     log_dir = tempfile.mkdtemp(prefix="wavelake-plans-")
     spark = build_session("local[8]", shuffle_partitions=8,
@@ -62,7 +62,7 @@ def main() -> None:
     tables_root = os.path.join(ensure_checkpoint_dir(spark), "tables").replace("file:", "")
 
     rows = []
-    for name, fn in entry.queries().items():
+    for name, fn in catalog.queries().items():
         before = set(os.listdir(tables_root)) if os.path.isdir(tables_root) else set()
         spark.sparkContext.setJobDescription(name)
         df = fn(spark, args.sf_dir)
