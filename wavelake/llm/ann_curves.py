@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from wavelake.llm.common import map_rows, materialized
 
 K = 10
-CURVES = 4
+CURVES = 8
 DIRECTIONS = 6       # projected dimensions per ordering
 CELL_BITS = 10       # grid bits per projected dimension
 WINDOW = 64          # points scanned on either side
