@@ -39,7 +39,7 @@ K = 10
 CURVES = 8
 DIRECTIONS = 6       # projected dimensions per ordering
 CELL_BITS = 10       # grid bits per projected dimension
-WINDOW = 64          # points scanned on either side
+WINDOW = 256         # points scanned on either side
 QUERY_BLOCK = 8192   # queries sent to the points at a time
 SEED = 7
 
