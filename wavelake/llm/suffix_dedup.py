@@ -476,7 +476,7 @@ def _cutter(length: int):
             if c > 1 and len(raw) >= length:
                 spans = [(0, len(raw))]
             else:
-                spans = _merged(list(zip(s, e)), len(raw)) if s is not None and len(s) else []
+                spans = _merged(list(zip(s.tolist(), e.tolist())), len(raw)) if s is not None else []
             kept.append(_without(raw, spans))
             removed.append([{"s": a, "e": b} for a, b in spans])
         return pd.DataFrame({"n": sizes, "kept": kept, "removed": removed})
@@ -540,7 +540,8 @@ def _cut(docs: DataFrame, length: int, k: int) -> DataFrame:
     contexts = materialized(_contexts(packed.select("_id", "_tie", "_text"), key, open_), "contexts")
     spans = later.unionByName(_repeat_spans(contexts, length, k))
     name = F.col("doc_id" if key == "_id" else "tie").alias("key")
-    lists = spans.select(name, "start", "end").groupBy("key").agg(
+    small = [F.col(c).cast("int").alias(c) for c in ("start", "end")]
+    lists = spans.select(name, *small).groupBy("key").agg(
         F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
     rows = _joined(packed.drop("text"), lists, key)
     if key == "_id":
