@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavelake.functions.lineproto import measurement_name, with_line_protocol
+from wavelake.functions.numeric import as_double
 from wavelake.ml.minmax import ColumnMinMaxScaler, ColumnMinMaxScalerModel
 from wavelake.operators.blocks import clean_blocks, file_blocks, file_folder, ordered_blocks
 from wavelake.operators.clean import drop_all_null, drop_noise_lines, parse_fields
@@ -322,8 +323,11 @@ FROM events WHERE TRY_CAST(value AS DOUBLE) IS NOT NULL
 GROUP BY event_type
 """)
 def q_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A5: one summary row per result id of the bulk spectrum."""
-    return run_summary(q_spectrum_by_series(spark, sf_dir), with_created_time=False)
+    """A5: one summary per result.  A spectrum has one row per coerced sample,
+    so the samples are counted and no spectrum is made."""
+    samples = table(spark, sf_dir, "events").filter(as_double("value").isNotNull())
+    ids = samples.select(F.concat(F.lit(RESULT_ID + "-"), F.col("event_type")).alias("result_id"))
+    return run_summary(ids, with_created_time=False)
 
 
 @query("preview_cleaned", oracle=f"""
