@@ -10,7 +10,8 @@ string that starts earlier in the corpus is removed.
    spreads even the most frequent one.  In the sorted tasks, anchors that occur
    once are dropped; of equal contexts the first occurrence stays for the next
    step and the others are repeats as a whole.  The first and last anchor of a
-   task may go on in its neighbours and are settled by joins.
+   task may go on in its neighbours: one occurrence per context is settled by
+   joins.
 3. Contexts that share an anchor but differ are dealt to shards by anchor (an
    anchor with more than ``HOT_CONTEXTS`` of them is split by the text next to
    it before that).  They are clipped to what they share with another one, and
@@ -181,8 +182,8 @@ _ALONE, _LATER, _FIRST, _EDGE = 0, 1, 2, 3
 
 def sorted_occurrences(found: DataFrame) -> DataFrame:
     """Occurrences with their ``kind``: ``_LATER`` ones of a context,
-    ``_FIRST`` ones of anchors with several contexts (``n_ctx``), and all of
-    the first and the last anchor of each sort task (``_EDGE``)."""
+    ``_FIRST`` ones of anchors with several contexts (``n_ctx``), and of the
+    first and the last anchor of each sort task one per context (``_EDGE``)."""
     keys = ["anchor", "ctx", F.col("doc_id").asc_nulls_last(), "tie", "at"]
     ordered = found.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
@@ -198,28 +199,44 @@ def sorted_occurrences(found: DataFrame) -> DataFrame:
         return out.assign(anchor=out["anchor"].mask(later, 0), ctx=0,
                           n_ctx=out["n_ctx"].mask(later, 0))
 
+    same = ["anchor", "ctx", "tie", "at"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, first = None, None
+        held, first, last = None, None, None
+
+        def edge_rows(pdf: pd.DataFrame) -> pd.DataFrame:
+            """Of an anchor that may go on elsewhere only the first row of a
+            context is open: the others have an earlier one right here."""
+            nonlocal last
+            anchor, ctx = pdf["anchor"].to_numpy(), pdf["ctx"].to_numpy()
+            new = np.concatenate(([last is None or (anchor[0], ctx[0]) != last[:2]],
+                                  (anchor[1:] != anchor[:-1]) | (ctx[1:] != ctx[:-1])))
+            last = tuple(pdf[same].iloc[-1])
+            return pdf.assign(kind=np.where(new, _EDGE, _LATER).astype(np.int32), n_ctx=0,
+                              anchor=np.where(new, anchor, 0), ctx=np.where(new, ctx, 0))
+
         for pdf in batches:
             pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
             if pdf["tie"].any():  # rows of equal documents are one occurrence
-                pdf = pdf.drop_duplicates(["anchor", "ctx", "tie", "at"], ignore_index=True)
+                pdf = pdf.drop_duplicates(same, ignore_index=True)
+                if last is not None and len(pdf) and tuple(pdf[same].iloc[0]) == last:
+                    pdf = pdf.iloc[1:].reset_index(drop=True)
+                if not len(pdf):
+                    held = None
+                    continue
             anchor = pdf["anchor"].to_numpy()
             first = anchor[0] if first is None else first
             begins = int(np.searchsorted(anchor, first, side="right")) if anchor[0] == first else 0
             ends = int(np.searchsorted(anchor, anchor[-1], side="left"))
-            if begins and ends >= begins:
-                yield pdf.iloc[:begins].assign(kind=_EDGE, n_ctx=0)
+            if begins:
+                yield edge_rows(pdf.iloc[:begins])
             if ends > begins:
                 yield whole_runs(pdf.iloc[begins:ends])
-            # the last anchor may go on; of a first one that does, no more is known
-            if begins and ends < begins:
-                yield pdf.assign(kind=_EDGE, n_ctx=0)
-                held = None
-            else:
-                held = pdf.iloc[max(begins, ends):]
-        if held is not None and len(held):
-            yield held.assign(kind=_EDGE, n_ctx=0)
+            # the last anchor may go on
+            rest = pdf.iloc[max(begins, ends):]
+            held = rest if len(rest) else None
+        if held is not None:
+            yield edge_rows(held)
 
     return materialized(map_rows(ordered, run, _OCCURRENCE + ", kind int, n_ctx int"), "anchors")
 
