@@ -291,3 +291,26 @@ def test_pages_without_an_article_lose_shared_lines(spark):
     assert got[(None, "http://h.example/b")].startswith("Head & line\nFirst")
     assert got[(4, None)] == got[(5, "x")] == ""
     assert html_extract.extract_main_text(pages.limit(0)).count() == 0
+
+
+def _main_texts(spark, rows, parts):
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)
+    return {r["page_id"]: r["text"] for r in html_extract.extract_main_text(pages).collect()}
+
+
+def test_site_text_inside_an_article_is_differenced(spark):
+    page = ("<article><h1>{0}</h1><div>Our newsroom</div><p>{0} says</p><p>A shared quotation</p><p>{0} ends</p>"
+            "<ul><li>More of our site<li>{0} list</ul></article>")
+    rows = [(i, f"http://h.example/a/{i}", page.format(w)) for i, w in enumerate(("one", "two", "three"))]
+    rows.append((9, "http://alone.example/", page.format("alone")))
+    got = _main_texts(spark, rows, 3)
+    assert got[0] == "one\none says\nA shared quotation\none ends\none list"
+    assert got[2] == "three\nthree says\nA shared quotation\nthree ends\nthree list"
+    assert got[9] == "alone\nOur newsroom\nalone says\nA shared quotation\nalone ends\nMore of our site\nalone list"
+
+
+def test_a_copied_article_keeps_its_lines(spark):
+    page = "<article><h1>Head</h1><div>Own words</div><p>First</p><p>Second</p>{}</article>"
+    got = _main_texts(spark, [(1, "http://h.example/1", page.format("<p>Printed</p>")),
+                              (2, "http://h.example/2", page.format(""))], 1)
+    assert got == {1: "Head\nOwn words\nFirst\nSecond\nPrinted", 2: "Head\nOwn words\nFirst\nSecond"}

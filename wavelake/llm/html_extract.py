@@ -5,34 +5,45 @@
    Scripts, styles, menus, page headers and footers, sidebars, notices,
    adverts, forms and reader comments are left out by element and by the words
    of ``class``, ``id`` and ``role``.
-2. Pages are range-sorted by host, path and URL, so that the page with the
-   nearest path on the same host stands next to each (the neighbour with the
-   longer common path prefix is taken); a hot host spreads over many tasks.
-3. A page that marks up an article keeps its region.  A page that does not
-   keeps its open lines less those that a longest common subsequence aligns
-   with the nearest page's: lines that both hold are the site's, not the page's.
-
-The region comes first because shared lines alone are no proof of boilerplate:
-articles that are copied or quote the same passage share lines too.
+2. Every page is compared with its nearest-URL page: of the line lists that
+   stand before and after its own when a host's pages are sorted by path and
+   URL, the one with the longer common path prefix.  Equal line lists (print
+   versions, mirrors) are one list, at the place of the first, so a page is
+   never compared with a copy of itself.  Only hashes of lines are sorted; a hot
+   host spreads over many tasks, and neighbours are found by the rows' index, so
+   results do not depend on how rows are dealt to tasks.
+3. A longest common subsequence aligns the lines of the two.  What both hold is
+   the site's, not the page's, and goes, as far as the markup allows: a page
+   without an article region loses all of it; in a region, lines of text
+   elements (paragraphs, headings, quotations, cells) stay, because articles
+   that are copied or quote the same passage share lines too, and what stands
+   in bare containers or lists goes unless most of the text elements are shared
+   as well (then the neighbour holds a copy of the article).  A region without
+   any text element is differenced whole.
+4. A neighbour that would leave nothing of a page is a copy of it: the other one
+   decides, or none.
 
 Defined cases: null html is empty (empty text); null url is a host of its own;
-a page alone on its host, or first or last in a range, is compared with the
-neighbour it has there, if any; truncated and unbalanced markup is read as far
-as it goes; an empty table gives an empty result; extra columns are ignored.
+a page whose host has no other line list keeps its lines; truncated and
+unbalanced markup is read as far as it goes; an empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as html_lib
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavelake.llm.common import map_rows
+from wavelake.llm.common import map_rows, materialized
+from wavelake.operators.ordering import contiguous_index
 
 # ------------------------------------------------------------------ parsing
 
@@ -43,6 +54,9 @@ _BLOCKS = frozenset(
 _LEFT_OUT = frozenset(
     "nav footer aside form menu dialog button select svg canvas audio video object iframe".split())
 _REGION = frozenset(("article", "main"))
+# elements of an article that hold its text
+_PROSE = frozenset(
+    "p h1 h2 h3 h4 h5 h6 blockquote pre dd dt td th figcaption caption".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _HINTED = frozenset("div section ul ol dl p span table td header article details figure a".split())
 _HINT = re.compile(
@@ -69,14 +83,19 @@ def _hinted(attributes: str) -> bool:
                for a, b, c in _ATTRIBUTE.findall(attributes))
 
 
-def page_lines(html: str | None) -> tuple[list[str], list[str]]:
-    """(region lines, open lines) of a page in page order: decoded text per
-    block, white space made single, empty blocks dropped."""
-    region: list[str] = []
-    opened: list[str] = []
+# elements that a sibling of the same name ends
+_SINGLE = frozenset("li dd dt td th tr option h1 h2 h3 h4 h5 h6".split())
+OPEN, SITE, PROSE = 0, 1, 2  # outside a region; in one, in a container or in a text element
+
+
+def page_blocks(html: str | None) -> list[tuple[str, int]]:
+    """(line, kind) of a page in page order: decoded text per block, white
+    space made single, empty blocks dropped."""
+    blocks: list[tuple[str, int]] = []
     if not html:
-        return region, opened
+        return blocks
     buffer: list[str] = []
+    inside: list[str] = []  # blocks open within the region
     depth = 0            # of article regions
     skip, skip_depth = "", 0
     at = 0
@@ -85,7 +104,8 @@ def page_lines(html: str | None) -> tuple[list[str], list[str]]:
         line = " ".join(html_lib.unescape("".join(buffer)).split())
         buffer.clear()
         if line:
-            (region if depth else opened).append(line)
+            kind = OPEN if not depth else PROSE if not _PROSE.isdisjoint(inside) else SITE
+            blocks.append((line, kind))
 
     for m in _MARKUP.finditer(html):
         start, end = m.span()
@@ -117,15 +137,32 @@ def page_lines(html: str | None) -> tuple[list[str], list[str]]:
         if closing:
             if name in _REGION and depth:
                 depth -= 1
+                if not depth:
+                    inside.clear()
+            elif name in inside:
+                while inside.pop() != name:
+                    pass
         elif (name in _LEFT_OUT or (name == "header" and not depth)
               or (name in _HINTED and _hinted(m[4]))):
             skip, skip_depth = name, 1
         elif name in _REGION:
             depth += 1
+        elif depth and name not in _VOID:
+            if inside and inside[-1] == "p":  # any block ends a paragraph
+                inside.pop()
+            if inside and inside[-1] == name and name in _SINGLE:
+                inside.pop()
+            inside.append(name)
     if not skip and at < len(html):
         buffer.append(html[at:])
     flush()
-    return region, opened
+    return blocks
+
+
+def page_lines(html: str | None) -> tuple[list[str], list[str]]:
+    """(region lines, open lines) of a page in page order."""
+    blocks = page_blocks(html)
+    return [line for line, kind in blocks if kind], [line for line, kind in blocks if not kind]
 
 
 # -------------------------------------------------------------- differencing
@@ -169,62 +206,110 @@ def _common_prefix(a: str, b: str) -> int:
     return n
 
 
-def nearest(page: tuple, others: list[tuple | None]) -> tuple | None:
-    """Of the neighbours on the page's host, the one with the longest common
-    path prefix (the earlier at a tie); pages are (host, path, lines)."""
-    same = [o for o in others if o is not None and o[0] == page[0]]
-    return max(same, key=lambda o: _common_prefix(page[1], o[1]), default=None)
+def kept_lines(kinds: list[int]) -> list[int]:
+    """Places of the region's lines, or of all lines of a page without one."""
+    return [i for i, kind in enumerate(kinds) if kind] or list(range(len(kinds)))
 
 
-def main_text(region: list[str], opened: list[str], neighbour: list[str] | None) -> str:
-    if region:
-        return "\n".join(region)
-    gone = shared_lines(opened, neighbour) if neighbour else set()
-    return "\n".join(line for i, line in enumerate(opened) if i not in gone)
+def site_lines(lines: list, kinds: list[int], neighbour: list) -> set[int] | None:
+    """Of a page's kept lines those that go: the neighbour holds them too and
+    the markup lets them go.  ``None``: the neighbour holds all that is kept."""
+    kept = kept_lines(kinds)
+    shared = {kept[i] for i in shared_lines([lines[i] for i in kept], neighbour)}
+    if len(shared) == len(kept):
+        return None
+    prose = [i for i in kept if kinds[i] == PROSE]
+    if not prose:
+        return shared
+    if 2 * sum(i in shared for i in prose) > len(prose):
+        return set()
+    return {i for i in shared if kinds[i] == SITE}
 
 
-_PARSED = ("page_id long, url string, host string, path string, "
-           "region array<string>, opened array<string>")
+def gone_lines(path: str, lines: list, kinds: list[int], others: list[tuple[str, list]]) -> set[int]:
+    """Of a page's lines those that go; ``others`` are the (path, lines) of the
+    neighbours on its host.  The one with the longest common path prefix decides
+    (the earlier at a tie) unless it holds the whole page."""
+    for _, theirs in sorted(others, key=lambda o: -_common_prefix(path, o[0])):
+        gone = site_lines(lines, kinds, theirs)
+        if gone is not None:
+            return gone
+    return set()
 
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _hashes(blocks: list[tuple[str, int]]) -> np.ndarray:
+    return np.array([int.from_bytes(hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8)
+                                    .digest(), "big", signed=True) for line, _ in blocks], dtype=np.int64)
+
+
+def _digest(hashes: np.ndarray, kinds: list[int]) -> bytes:
+    """Names a page's list of lines and their kinds."""
+    return hashlib.blake2b(hashes.tobytes() + bytes(kinds), digest_size=16).digest()
+
+
+_LISTS = "host string, path string, url string, digest binary, lines array<long>, kinds array<int>"
+
+
+def _line_lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        lines = [page_lines(h) for h in pdf["html"]]
-        yield pd.DataFrame({
-            "page_id": pdf["page_id"].astype("Int64").to_numpy(), "url": pdf["url"],
-            "host": pdf["host"], "path": pdf["path"],
-            "region": [r for r, _ in lines], "opened": [o for _, o in lines]})
+        blocks = [page_blocks(h) for h in pdf["html"]]
+        lines = [_hashes(b) for b in blocks]
+        kinds = [[kind for _, kind in b] for b in blocks]
+        rows = pdf[["host", "path", "url"]].assign(
+            digest=[_digest(h, k) for h, k in zip(lines, kinds)], lines=lines, kinds=kinds)
+        yield rows[[len(k) > 0 for k in kinds]]
 
 
 def _difference(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come in (host, path) order; each is compared once its successor is
-    known, so two rows are held at a time."""
-    before = current = None
-
-    def done(row, previous, following) -> tuple:
-        key = (row.host, row.path, None)
-        near = None
-        if not len(row.region):
-            near = nearest(key, [(o.host, o.path, o) if o is not None else None
-                                 for o in (previous, following)])
-        text = main_text(list(row.region), list(row.opened), list(near[2].opened) if near else None)
-        return row.page_id, row.url, text, len(text)
-
-    def frame(rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=["page_id", "url", "text", "n_chars"])
-        out["page_id"] = out["page_id"].astype("Int64")
-        return out
+    for pdf in batches:
+        out = []
+        for r in pdf.itertuples(index=False):
+            others = [(path, list(lines)) for path, lines in
+                      ((r.before_path, r.before_lines), (r.after_path, r.after_lines))
+                      if path is not None]
+            gone = gone_lines(r.path, list(r.lines), list(r.kinds), others)
+            if gone:
+                out.append((r.host, r.digest, sorted(gone)))
+        yield pd.DataFrame(out, columns=["gone_host", "gone_digest", "gone"])
+
+
+def site_text(pages: DataFrame) -> DataFrame:
+    """``gone_host, gone_digest, gone``: the lines that go, for every line list
+    of a host of ``pages`` (``host, path, url, html``) that loses any."""
+    found = materialized(map_rows(pages.select("host", "path", "url", "html"), _line_lists, _LISTS),
+                         "page_lines")
+    place = F.struct("path", "url").alias("place")
+    once = found.groupBy("host", "digest").agg(
+        F.min(place).alias("place"), F.first("lines").alias("lines"), F.first("kinds").alias("kinds"))
+    once = once.select("host", "digest", "place.path", "place.url", "lines", "kinds")
+    lists = materialized(contiguous_index(once, ["path", "url", "digest"], ["host"], "n",
+                                          keep=["digest", "path", "lines", "kinds"]), "page_lists")
+
+    def neighbour(side: str, step: int) -> DataFrame:
+        return lists.select(F.col("host").alias(f"{side}_host"), (F.col("n") + step).alias(f"{side}_n"),
+                            F.col("path").alias(f"{side}_path"), F.col("lines").alias(f"{side}_lines"))
+
+    rows = lists
+    for side, step in (("before", 1), ("after", -1)):
+        rows = rows.join(neighbour(side, step), (F.col("host") == F.col(f"{side}_host"))
+                         & (F.col("n") == F.col(f"{side}_n")), "left")
+    rows = rows.select("host", "digest", "path", "lines", "kinds", "before_path", "before_lines",
+                       "after_path", "after_lines")
+    return materialized(map_rows(rows, _difference,
+                                 "gone_host string, gone_digest binary, gone array<int>"), "site_lines")
+
+
+_PARSED = "page_id long, url string, host string, digest binary, texts array<string>, kinds array<int>"
+
 
+def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows = []
-        for row in pdf.itertuples(index=False):
-            if current is not None:
-                rows.append(done(current, before, row))
-            before, current = current, row
-        if rows:
-            yield frame(rows)
-    if current is not None:
-        yield frame([done(current, before, None)])
+        blocks = [page_blocks(h) for h in pdf["html"]]
+        kinds = [[kind for _, kind in b] for b in blocks]
+        yield pd.DataFrame({
+            "page_id": pdf["page_id"].astype("Int64").to_numpy(), "url": pdf["url"], "host": pdf["host"],
+            "digest": [_digest(_hashes(b), k) for b, k in zip(blocks, kinds)],
+            "texts": [[line for line, _ in b] for b in blocks], "kinds": kinds})
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
@@ -234,7 +319,14 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     path = F.regexp_extract(url, r"^(?:(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*)?([^?#]*)", 1)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url",
                         F.lower(place).alias("host"), path.alias("path"), "html")
+    gone = site_text(rows)
     parsed = map_rows(rows, _parse, _PARSED)
-    keys = ["host", "path", "url", "page_id"]
-    ordered = parsed.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    return map_rows(ordered, _difference, "page_id long, url string, text string, n_chars long")
+    both = parsed.join(gone, (F.col("host") == F.col("gone_host"))
+                       & (F.col("digest") == F.col("gone_digest")), "left")
+    region = F.exists("kinds", lambda kind: kind > 0)
+    left = F.filter("texts", lambda _, i: (F.get("kinds", i) > 0) == F.col("region"))
+    lost = F.filter("texts", lambda _, i: ((F.get("kinds", i) > 0) == F.col("region"))
+                    & ~F.array_contains("gone", i))
+    text = F.when(F.col("gone").isNull(), F.array_join(left, "\n")).otherwise(F.array_join(lost, "\n"))
+    both = both.withColumn("region", region).withColumn("text", text)
+    return both.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
