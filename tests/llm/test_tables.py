@@ -314,3 +314,19 @@ def test_a_copied_article_keeps_its_lines(spark):
     got = _main_texts(spark, [(1, "http://h.example/1", page.format("<p>Printed</p>")),
                               (2, "http://h.example/2", page.format(""))], 1)
     assert got == {1: "Head\nOwn words\nFirst\nSecond\nPrinted", 2: "Head\nOwn words\nFirst\nSecond"}
+
+
+@pytest.mark.parametrize("partitions", ["1", "7"])
+def test_copies_are_not_compared_with_each_other(spark, partitions):
+    page = "<div>Site name</div><p>{}</p><div>All our pages</div>"
+    rows = [(i, f"http://h.example/a/1?copy={i}", page.format("one")) for i in range(40)]
+    rows += [(100 + i, f"http://h.example/b/{i:02}", page.format(f"text {i}")) for i in range(20)]
+    rows += [(200 + i, f"http://copies.example/{i}", page.format("same")) for i in range(2)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = _main_texts(spark, rows, int(partitions))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want = {i: "one" for i in range(40)} | {100 + i: f"text {i}" for i in range(20)}
+    assert got == want | {200 + i: "Site name\nsame\nAll our pages" for i in range(2)}
