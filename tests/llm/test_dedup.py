@@ -206,6 +206,30 @@ def test_suffix_dedup_matches_brute_force(spark, monkeypatch, hot):
     assert sum(w[1] for w in want) > 20_000
 
 
+def test_no_group_of_a_shard_exceeds_the_bound(spark, monkeypatch):
+    """A passage in many documents with different text around it: at its edges
+    all contexts of an anchor differ, but share the same bytes."""
+    hot, largest, deal = 8, [], suffix_dedup.shard_spans
+
+    def spans(contexts, length):
+        largest.append(contexts.groupBy("anchor").count().agg(F.max("count")).first()[0] or 0)
+        return deal(contexts, length)
+
+    monkeypatch.setattr(suffix_dedup, "HOT_CONTEXTS", hot)
+    monkeypatch.setattr(suffix_dedup, "shard_spans", spans)
+    rng = random.Random(12)
+    passage = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(260))
+
+    def own():
+        return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(rng.randrange(60, 200)))
+
+    rows = [(i, own() + passage + own()) for i in range(60)]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"])
+           for r in suffix_dedup.suffix_dedup(_docs(spark, rows).repartition(3)).collect()}
+    assert got == {i: w for (i, _), w in zip(rows, _slow_dedup(rows, 100))}
+    assert max(largest) <= hot
+
+
 def test_suffix_dedup_with_repeated_and_null_ids(spark):
     rng = random.Random(4)
     a, b = _words(rng, 40), _words(rng, 40)

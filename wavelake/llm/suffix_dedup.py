@@ -12,9 +12,11 @@ string that starts earlier in the corpus is removed.
    step and the others are repeats as a whole.  The first and last anchor of a
    task may go on in its neighbours: one occurrence per context is settled by
    joins.
-3. Contexts that share an anchor but differ are dealt to shards by anchor (an
+3. Contexts that share an anchor but differ are dealt to shards by anchor.  An
    anchor with more than ``HOT_CONTEXTS`` of them is split by the text next to
-   it before that).  They are clipped to what they share with another one, and
+   it before that, again and again while a part has more, at last into single
+   windows, of which equal ones just collapse; so no group in a shard is larger.
+   In shards, contexts are clipped to what they share with another one, and
    equal ones collapse again.  Each shard then sorts the suffixes of the rest by
    induced sorting (suffixes are classified, leftmost-smaller substrings sorted
    recursively, the shard's array induced), and permuted common prefixes tell
@@ -38,7 +40,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -374,21 +376,27 @@ def shard_spans(contexts: DataFrame, length: int) -> DataFrame:
     dealt = stored.repartition(parts_for(rows, SHARD_CONTEXTS), "anchor")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = list(batches)  # about SHARD_CONTEXTS contexts
+        held = list(batches)  # about SHARD_CONTEXTS contexts: an anchor has HOT_CONTEXTS at most
         if held:
             yield _shard_spans(pd.concat(held, ignore_index=True), length)
 
     return map_rows(dealt, run, _SPAN)
 
 
-def _narrowed(rows: DataFrame, length: int, k: int) -> DataFrame:
-    """Contexts of hot anchors, once per range of how many bytes a window
-    takes left of the anchor, cut to that range.  The part that every window
-    of the range holds is the new anchor, so equal windows still meet."""
-    most = length - k
-    steps = [0, *(2 ** i for i in range(most.bit_length()))]
-    ranges = [(a, min(b - 1, most)) for a, b in zip(steps, [*steps[1:], most + 1]) if a <= most]
+def _ranges(lo: int, hi: int) -> list[tuple[int, int]]:
+    """Parts of a range: by powers of two from 0, else up to eight equal ones."""
+    if lo == 0:
+        steps = [0, *(2 ** i for i in range(hi.bit_length()))]
+    else:
+        steps = list(range(lo, hi + 1, -(-(hi - lo + 1) // 8)))
+    return list(zip(steps, [*(x - 1 for x in steps[1:]), hi]))
+
 
+def _narrowed(rows: DataFrame, length: int) -> DataFrame:
+    """Contexts of hot anchors, once per part of their range ``lo`` to ``hi``
+    of how many bytes a window takes left of the anchor, cut to that part.
+    What every window of a part holds is the new anchor, so equal windows
+    still meet.  Contexts of parts of one window are that window."""
     def digest(*parts: bytes) -> int:
         return int.from_bytes(hashlib.blake2b(b"|".join(parts), digest_size=8).digest(), "big",
                               signed=True)
@@ -398,20 +406,21 @@ def _narrowed(rows: DataFrame, length: int, k: int) -> DataFrame:
             out = []
             for r in pdf.itertuples(index=False):
                 body, p = r.body, r.off
-                for a, b in ranges:
+                for a, b in _ranges(r.lo, r.hi):
                     if p < a or len(body) - p < length - b:
                         continue  # no window of this range
                     s, e = max(0, p - b), min(len(body), p + length - a)
-                    out.append((digest(b"%d" % a, body[p - a:p + length - b]),
+                    out.append((digest(b"%d" % a, b"%d" % b, body[p - a:p + length - b]),
                                 digest(b"%d" % (p - s), body[s:e]),
-                                r.doc_id, r.tie, r.start + s, p - s, body[s:e]))
+                                r.doc_id, r.tie, r.start + s, p - s, a, b, body[s:e]))
             if out:
-                frame = pd.DataFrame(out, columns=["anchor", "ctx", "doc_id", "tie", "at", "off", "body"])
+                frame = pd.DataFrame(out, columns=["anchor", "ctx", "doc_id", "tie", "at", "off",
+                                                   "lo", "hi", "body"])
                 frame["doc_id"] = frame["doc_id"].astype("Int64")
                 yield frame
 
     return map_rows(rows, run, "anchor long, ctx long, doc_id long, tie long, at long, off int, "
-                               "body binary")
+                               "lo int, hi int, body binary")
 
 
 # ------------------------------------------------------------------ documents
@@ -530,21 +539,30 @@ def _contexts(docs: DataFrame, key: str, open_: DataFrame) -> DataFrame:
 def _repeat_spans(contexts: DataFrame, length: int, k: int) -> DataFrame:
     """``doc_id, tie, start, end`` of the repeats found in shards."""
     dealt = ["anchor", "doc_id", "tie", "start", "off", "body"]
-    cool = contexts.filter(F.col("n_ctx") <= HOT_CONTEXTS).select(*dealt)
-    fine = materialized(_narrowed(contexts.filter(F.col("n_ctx") > HOT_CONTEXTS), length, k), "narrowed")
-    heads = materialized(fine.groupBy("anchor", "ctx").agg(
-        F.min(_place()).alias("first"), F.max("body").alias("body"), F.max("off").alias("off")),
-        "narrow_heads")
-    h = heads.select(F.col("anchor").alias("ha"), F.col("ctx").alias("hc"), "first")
-    later = (fine.join(h, (F.col("anchor") == F.col("ha")) & (F.col("ctx") == F.col("hc")))
-             .filter(_place() != F.col("first"))
-             .select("doc_id", "tie", F.col("at").alias("start"),
-                     (F.col("at") + F.length("body")).alias("end")))
-    several = materialized(heads.groupBy(F.col("anchor").alias("a")).agg(F.count(F.lit(1)).alias("n"))
-                           .filter("n > 1"), "narrow_split")
-    split = (heads.join(several, F.col("anchor") == F.col("a"))
-             .select("anchor", "first.doc_id", "first.tie", F.col("first.at").alias("start"), "off", "body"))
-    return shard_spans(cool.unionByName(split), length).unionByName(later)
+    shared = contexts.filter(F.col("n_ctx") <= HOT_CONTEXTS).select(*dealt)
+    hot = contexts.filter(F.col("n_ctx") > HOT_CONTEXTS).withColumns(
+        {"lo": F.lit(0), "hi": F.lit(length - k)})
+    found = []
+    while True:
+        fine, rows = materialized_counted(_narrowed(hot, length), "narrowed")
+        if not rows:
+            break
+        heads = materialized(fine.groupBy("anchor", "ctx").agg(
+            F.min(_place()).alias("first"),
+            *[F.max(c).alias(c) for c in ("off", "lo", "hi", "body")]), "narrow_heads")
+        h = heads.select(F.col("anchor").alias("ha"), F.col("ctx").alias("hc"), "first")
+        later = (fine.join(h, (F.col("anchor") == F.col("ha")) & (F.col("ctx") == F.col("hc")))
+                 .filter(_place() != F.col("first")))
+        found.append(later.select("doc_id", "tie", F.col("at").alias("start"),
+                                  (F.col("at") + F.length("body")).alias("end")))
+        several = materialized(heads.groupBy(F.col("anchor").alias("a")).agg(F.count(F.lit(1)).alias("n"))
+                               .filter("n > 1"), "narrow_split")
+        split = (heads.join(several, F.col("anchor") == F.col("a"))
+                 .select("anchor", "first.doc_id", "first.tie", F.col("first.at").alias("start"),
+                         "off", "body", "lo", "hi", "n"))
+        shared = shared.unionByName(split.filter(F.col("n") <= HOT_CONTEXTS).select(*dealt))
+        hot = split.filter((F.col("n") > HOT_CONTEXTS) & (F.col("lo") < F.col("hi")))
+    return reduce(DataFrame.unionByName, found, shard_spans(shared, length))
 
 
 def _cut(docs: DataFrame, length: int, k: int) -> DataFrame:
