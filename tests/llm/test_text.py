@@ -125,6 +125,35 @@ def test_license_sentences_survive_small_changes(spark):
     assert got[4]["labels"] == "apache-2.0"
 
 
+def test_every_license_sentence_allows_one_change_but_not_of_its_label(spark):
+    rows, want = [], {}
+    wrong = {"0": "1", "3": "2", "mit": "bsd", "nc": "nd", "attribution": "noncommercial"}
+
+    def add(words, label):
+        want[len(rows)] = label
+        rows.append((len(rows), "zz " + " ".join(words) + " zz"))
+
+    for sentence, label in license_scan.LICENSE_SENTENCES.items():
+        words = sentence.split()
+        add(words, label)
+        for i in range(1, len(words)):  # an insertion at every place
+            add([*words[:i], "foo", *words[i:]], label)
+        for i, word in enumerate(words):  # a substitution of every word
+            mark = word.isdigit() or word in license_scan.MARKS
+            add([*words[:i], "foo", *words[i + 1:]], None if mark else label)
+            if word in wrong:
+                add([*words[:i], wrong[word], *words[i + 1:]], None)
+            if word in ("general", "4"):
+                add([*words[:i], {"general": "lesser", "4": "sa"}[word], *words[i:]], None)
+    extra = {"licensed under the apache license 2 0": "apache-2.0", "licensed under cc by nc sa 4 0": None}
+    for text, label in extra.items():
+        add(text.split(), label)
+    out = license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {r["doc_id"]: {s["label"] for s in r["spans"] if s["end"] - s["start"] > 3} for r in out}  # no phrases
+    for i, text in rows:
+        assert got[i] == ({want[i]} if want[i] else set()), text
+
+
 def test_license_empty_table(spark):
     assert license_scan.license_scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

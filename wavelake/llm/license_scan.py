@@ -4,12 +4,17 @@ All rolling word k-grams of the documents are hashed and joined by Spark to
 the k-gram positions of a small set of templates.  A match votes for the
 diagonal ``document position - template position``; votes add up per document,
 template and diagonal, neighbouring diagonals (a word inserted or dropped)
-merge into one span, and a span is verified by the share of the template's
-k-grams it holds.  Every joined k-gram is first verified word by word.
+merge into one span.  Every joined k-gram is first verified word by word.  A
+span is verified by aligning the template's words with the document's around
+each of its diagonals: at most ``max_drift`` words, and no more than a share
+``1 - min_share`` of the template's, may be inserted, dropped or replaced, and
+none of them may be one of ``MARKS``, which tell labels apart.
 
 Base templates are short phrases that must stand consecutively (k is their
 length); each of their matches is a place.  The other templates are license
-sentences, matched from ``min_share`` of their k-grams on.
+sentences; the grams of a short one have fewer than k words, so that one of
+them survives every change that is allowed.  An unverified span's share, which
+only the score shows, is that of its k-grams.
 
 The template table has a few hundred rows and is the only broadcast.  The
 document is scanned once: a sentinel k-gram that every document carries and
@@ -25,9 +30,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wavelake.session import ship_package
+
 # Phrases and their labels.
 BASE_PHRASES = {
     "cc by": "cc-by",
@@ -55,6 +63,10 @@ LICENSE_SENTENCES = {
 GRAM_WORDS = 3
 MIN_SHARE = 0.8
 MAX_DRIFT = 2  # words inserted or dropped between merged diagonals
+# Words that tell labels apart, besides numbers: they must stand as in the template.
+MARKS = frozenset(
+    "mit apache bsd isc mozilla mpl gnu gpl lgpl agpl lesser library affero cc by nc sa nd attribution "
+    "noncommercial sharealike noderivatives noderivs non commercial share alike derivatives".split())
 _SENTINEL = 0  # template number of the row that every document matches
 
 # separators: all ASCII but digits and letters
@@ -65,26 +77,81 @@ def _grams(words: list[str], k: int) -> list[list[str]]:
     return [words[i:i + k] for i in range(len(words) - k + 1)]
 
 
+def allowed_edits(n: int, min_share: float = MIN_SHARE, max_drift: int = MAX_DRIFT) -> int:
+    """Words of an ``n``-word template that may be inserted, dropped or replaced."""
+    return min(max_drift, int((1 - min_share) * n + 1e-9))
+
+
+def _gram_size(n: int, k: int, min_share: float, max_drift: int) -> int:
+    """Words per gram, at most ``k``: one gram survives all allowed edits."""
+    edits = allowed_edits(n, min_share, max_drift)
+    return max(1, min(k, (n - edits) // (edits + 1)))
+
+
+def aligned(template: list[str], words: list[str], most: int) -> tuple[int, int, int] | None:
+    """(edits, start, end) of the part of ``words`` nearest to ``template``
+    with at most ``most`` edits, none of them of a mark or number."""
+    far = most + 1
+
+    def cost(word: str) -> int:
+        return far if word in MARKS or word.isdigit() else 1
+
+    costs = [cost(w) for w in words]
+    row = [(0, j) for j in range(len(words) + 1)]  # edits, start
+    for t in template:
+        drop = cost(t)
+        new = [(row[0][0] + drop, row[0][1])]
+        for j, w in enumerate(words):
+            swap = 0 if w == t else max(drop, costs[j])
+            new.append(min((row[j][0] + swap, row[j][1]), (row[j + 1][0] + drop, row[j + 1][1]),
+                           (new[j][0] + costs[j], new[j][1]), key=lambda x: x[0]))
+        row = new
+    end = min(range(len(row)), key=lambda j: row[j][0])
+    edits, start = row[end]
+    return (edits, start, end) if edits <= most else None
+
+
+def _verifier(templates: dict[int, tuple[list[str], int]]):
+    """Alignment of each template with the words around a diagonal; null if
+    there is none."""
+
+    @F.pandas_udf("edits int, start int, end int")
+    def verify(tmpl: pd.Series, near: pd.Series) -> pd.DataFrame:
+        seen: dict[tuple, tuple] = {}
+        out = []
+        for t, words in zip(tmpl, near):
+            if words is None:
+                out.append((None, None, None))
+                continue
+            key = (t, *words)
+            if key not in seen:
+                seen[key] = aligned(templates[t][0], list(words), templates[t][1]) or (None, None, None)
+            out.append(seen[key])
+        return pd.DataFrame(out, columns=["edits", "start", "end"], dtype="Int32")
+
+    return verify
+
+
 def template_positions(spark: SparkSession, base: dict[str, str], sentences: dict[str, str],
-                       k: int) -> DataFrame:
-    """``h, tmpl, label, is_base, k, tpos, n_grams, gram`` per template k-gram."""
+                       k: int, min_share: float = MIN_SHARE, max_drift: int = MAX_DRIFT) -> DataFrame:
+    """``h, tmpl, label, is_base, k, tpos, n_grams, size, gram`` per template k-gram."""
     rows = []
     for is_base, group in ((True, base), (False, sentences)):
         for phrase, label in group.items():
             words = phrase.split()
-            size = len(words) if is_base else min(k, len(words))
+            size = len(words) if is_base else _gram_size(len(words), k, min_share, max_drift)
             grams = _grams(words, size)
             number = len({r[0] for r in rows}) + 1
-            rows += [(number, label, is_base, size, i, len(grams), g)
+            rows += [(number, label, is_base, size, i, len(grams), len(words), g)
                      for i, g in enumerate(grams)]
     table = spark.createDataFrame(
         rows, "tmpl int, label string, is_base boolean, k int, tpos int, n_grams int, "
-              "gram array<string>")
+              "size int, gram array<string>")
     table = table.withColumn("h", F.xxhash64("gram"))
     first = spark.range(1).select(
         F.lit(_SENTINEL).alias("tmpl"), F.lit(None).cast("string").alias("label"),
         F.lit(False).alias("is_base"), F.lit(0).alias("k"), F.lit(0).alias("tpos"),
-        F.lit(1).alias("n_grams"), F.array().cast("array<string>").alias("gram"),
+        F.lit(1).alias("n_grams"), F.lit(0).alias("size"), F.array().cast("array<string>").alias("gram"),
         F.lit(0).cast("long").alias("h"))
     return table.select(*first.columns).union(first)
 
@@ -103,12 +170,13 @@ def _rolling(k: int) -> Column:
 
 
 def diagonal_votes(docs: DataFrame, base: dict[str, str], sentences: dict[str, str],
-                   k: int) -> DataFrame:
-    """Votes per ``rid`` (row), template and diagonal; the sentinel's row of
-    each document carries its ``doc_id`` and ``n_words``."""
-    table = template_positions(docs.sparkSession, base, sentences, k)
+                   k: int, min_share: float = MIN_SHARE, max_drift: int = MAX_DRIFT) -> DataFrame:
+    """Votes per ``rid`` (row), template and diagonal, with the words ``near``
+    a sentence's diagonal, from ``near_start`` on; the sentinel's row of each
+    document carries its ``doc_id`` and ``n_words``."""
+    table = template_positions(docs.sparkSession, base, sentences, k, min_share, max_drift)
     sizes = sorted({k, *(len(p.split()) for p in base),
-                    *(min(k, len(p.split())) for p in sentences)})
+                    *(_gram_size(len(p.split()), k, min_share, max_drift) for p in sentences)})
     words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), _SEPARATORS),
                      lambda w: w != "")
     rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), words.alias("words"))
@@ -136,10 +204,16 @@ def diagonal_votes(docs: DataFrame, base: dict[str, str], sentences: dict[str, s
             .withColumn("dpos", F.col("at") - shift)
             .filter((F.col("tmpl") == _SENTINEL) & (F.col("at") == before)
                     | (F.col("tmpl") != _SENTINEL) & (F.col("dpos") >= 0) & verified)
-            .withColumn("diag", F.col("dpos") - F.col("tpos")))
+            .withColumn("diag", F.col("dpos") - F.col("tpos"))
+            .withColumn("near_start", F.greatest(F.lit(0), F.col("diag") - max_drift))
+            .withColumn("near", F.when(
+                ~F.col("is_base") & (F.col("tmpl") != _SENTINEL),
+                F.slice("words", F.col("near_start") + 1, F.col("diag") + F.col("size") + max_drift
+                        - F.col("near_start")))))
     return hits.groupBy("rid", "tmpl", "diag").agg(
         F.first("label").alias("label"), F.first("is_base").alias("is_base"),
-        F.first("n_grams").alias("n_grams"), F.max("doc_id").alias("doc_id"),
+        F.first("n_grams").alias("n_grams"), F.first("size").alias("size"),
+        F.first("near").alias("near"), F.first("near_start").alias("near_start"), F.max("doc_id").alias("doc_id"),
         F.max("n_words").alias("n_words"), F.count(F.lit(1)).alias("votes"),
         F.min("dpos").alias("start"), F.max(F.col("dpos") + F.col("k")).alias("end"))
 
@@ -149,7 +223,11 @@ def license_scan(docs: DataFrame, base: dict[str, str] = BASE_PHRASES,
                  min_share: float = MIN_SHARE, max_drift: int = MAX_DRIFT) -> DataFrame:
     """Per row of ``docs``: ``doc_id, n_words, n_base, first_word, last_word,
     base_labels, labels, score`` and ``spans`` (label, start, end, share)."""
-    votes = diagonal_votes(docs, base, sentences, k)
+    votes = diagonal_votes(docs, base, sentences, k, min_share, max_drift)
+    templates = {len(base) + 1 + i: (p.split(), allowed_edits(len(p.split()), min_share, max_drift))
+                 for i, p in enumerate(sentences)}
+    ship_package(docs.sparkSession)
+    votes = votes.withColumn("best", _verifier(templates)("tmpl", "near"))
     along = Window.partitionBy("rid", "tmpl").orderBy("start", "diag")
     # a diagonal opens a new span unless it follows its predecessor closely
     follows = ((F.col("diag") - F.lag("diag").over(along)).between(-max_drift, max_drift)
@@ -159,11 +237,17 @@ def license_scan(docs: DataFrame, base: dict[str, str] = BASE_PHRASES,
              .groupBy("rid", "tmpl", "span").agg(
                  F.first("label").alias("label"), F.first("is_base").alias("is_base"),
                  F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"),
-                 F.sum("votes").alias("votes"), F.min("start").alias("start"),
-                 F.max("end").alias("end"),
-                 F.least(F.lit(1.0), F.sum("votes") / F.first("n_grams")).alias("share")))
+                 F.sum("votes").alias("votes"), F.min("start").alias("first"),
+                 F.max("end").alias("last"), F.first("size").alias("size"),
+                 F.least(F.lit(1.0), F.sum("votes") / F.first("n_grams")).alias("gram_share"),
+                 F.min(F.when(F.col("best.edits").isNotNull(), F.struct(
+                     "best.edits", (F.col("near_start") + F.col("best.start")).alias("start"),
+                     (F.col("near_start") + F.col("best.end")).alias("end")))).alias("best"))
+             .withColumns({"start": F.coalesce("best.start", "first"),
+                           "end": F.coalesce("best.end", "last"),
+                           "share": F.coalesce(1 - F.col("best.edits") / F.col("size"), "gram_share")}))
     base_hit = F.col("is_base") & (F.col("tmpl") != _SENTINEL)
-    found = (F.col("tmpl") != _SENTINEL) & (base_hit | (F.col("share") >= min_share))
+    found = (F.col("tmpl") != _SENTINEL) & (base_hit | F.col("best").isNotNull())
 
     def names(which: Column) -> Column:
         return F.concat_ws(",", F.array_sort(F.collect_set(F.when(which, F.col("label")))))
@@ -177,6 +261,6 @@ def license_scan(docs: DataFrame, base: dict[str, str] = BASE_PHRASES,
         F.coalesce(F.max(F.when(F.col("tmpl") != _SENTINEL,
                                 F.when(base_hit, 1.0).otherwise(F.col("share")))),
                    F.lit(0.0)).alias("score"),
-        F.array_sort(F.collect_list(F.when(found, F.struct(
-            "start", "end", "label", "share")))).alias("spans"))
+        F.array_sort(F.array_distinct(F.collect_list(F.when(found, F.struct(
+            "start", "end", "label", "share"))))).alias("spans"))
         .drop("rid"))
