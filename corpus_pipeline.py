@@ -32,9 +32,9 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of at most 2048 ids: one row per piece with its place."""
-    return packing.pack_documents(docs, queries.tokenizer_file("byte_bpe_50k.json"),
-                                  with_ids=False)
+    """Token sequences of at most 2048 ids: one row per piece with its place
+    and its ids."""
+    return packing.pack_documents(docs, queries.tokenizer_file("byte_bpe_50k.json"))
 
 
 STAGES = [

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import collections
+import zlib
+
+import numpy as np
 
 import corpus_pipeline
 from wavelake.llm import quality, simhash, suffix_dedup
@@ -55,3 +58,19 @@ def test_stages_apply_their_decisions(spark, tmp_path):
 def test_run_gives_the_last_stage(spark):
     out = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns) and out.count() > 0
+
+
+def test_the_last_stage_gives_the_ids_of_every_sequence(spark):
+    texts = ["one two three", "words of a long text " * 3000, "", None]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (0, "another text"), (None, "no id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = corpus_pipeline.pack(spark, docs, SF).collect()
+    assert len({(r["doc_id"], r["piece"], r["ids_crc32"]) for r in out}) == len(out) - 1  # one repeated row
+    assert sum(r["piece"] == 0 for r in out) == len(rows) and len(out) > len(rows)
+    held = collections.defaultdict(list)
+    for r in out:
+        assert len(r["ids"]) == r["length"] and zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"]
+        held[r["sequence_id"]].append((r["offset"], r["length"]))
+    for places in held.values():
+        places.sort()
+        assert places[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(places, places[1:]))

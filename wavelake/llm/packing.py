@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavelake.llm.common import map_rows, materialized_counted, parts_for
+from wavelake.llm.common import map_rows, materialized, materialized_counted, parts_for
 
 CAPACITY = 2048
 END_ID = 0
@@ -248,5 +248,14 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY,
 def pack_documents(docs: DataFrame, tokenizer_json: str, capacity: int = CAPACITY,
                    end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
     """Tokenize, cut and pack ``docs`` (``doc_id``, ``text``): one row per
-    piece with its place, and its ids unless ``with_ids`` is off."""
-    return pack_pieces(token_pieces(docs, tokenizer_json, capacity, end_id, with_ids), capacity)
+    piece with its place, and its ids unless ``with_ids`` is off.  Ids are
+    stored with a row number and joined to the packed places by it, so that
+    packing holds lengths only."""
+    pieces = token_pieces(docs, tokenizer_json, capacity, end_id, with_ids)
+    if not with_ids:
+        return pack_pieces(pieces, capacity)
+    stored = materialized(pieces.withColumn("_row", F.monotonically_increasing_id()), "piece_ids")
+    packed = pack_pieces(stored.drop("ids"), capacity)
+    ids = stored.select(F.col("_row").alias("_ids_row"), "ids")
+    return (packed.join(ids, F.col("_row") == F.col("_ids_row"))
+            .select(*pieces.columns, "sequence_id", "offset"))
