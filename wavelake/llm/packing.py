@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavelake.llm.common import map_rows, materialized, materialized_counted, parts_for
+from wavelake.llm.common import batches_of, map_rows, materialized, materialized_counted, parts_for
 
 CAPACITY = 2048
 END_ID = 0
@@ -127,6 +127,9 @@ def piece_bounds(n_ids: int, capacity: int) -> list[tuple[int, int]]:
     return bounds
 
 
+_SLICE = 4 << 20  # characters tokenized before their pieces are passed on
+
+
 def token_pieces(docs: DataFrame, tokenizer_json: str, capacity: int = CAPACITY,
                  end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """Pieces of every document: ``doc_id, piece, start, length, ids_crc32``
@@ -137,7 +140,7 @@ def token_pieces(docs: DataFrame, tokenizer_json: str, capacity: int = CAPACITY,
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = _tokenizer(spec.value).encode
-        for pdf in batches:
+        for pdf in (part for whole in batches for part in batches_of(whole, "text", _SLICE)):
             rows, ids = [], []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
                 raw = encode(text or "") + end
