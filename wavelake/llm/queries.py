@@ -182,3 +182,12 @@ def q_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wavelake.llm.suffix_dedup import suffix_dedup
 
     return suffix_dedup(read_table(spark, sf_dir, "documents")).drop("removed")
+
+
+# ------------------------------------------- op13: secret scans
+@query("op13_secret_scan")
+def q_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and spans of the secrets of every document."""
+    from wavelake.llm.secret_scan import scan_secrets, span_digests
+
+    return span_digests(scan_secrets(read_table(spark, sf_dir, "documents")))
