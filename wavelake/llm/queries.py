@@ -191,3 +191,57 @@ def q_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wavelake.llm.secret_scan import scan_secrets, span_digests
 
     return span_digests(scan_secrets(read_table(spark, sf_dir, "documents")))
+
+
+# ------------------------------------------- op11: vector code compression
+def _codes_oracle(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Rounds of assignment and floored means over all pairs of part and
+    entry; squared distances of these integers are exact in doubles."""
+    nearest = """
+  SELECT id, p, x, e, d FROM (
+    SELECT v.id, v.p, v.x, b.e, list_inner_product(v.x, v.x) - 2 * list_inner_product(v.x, b.x)
+             + list_inner_product(b.x, b.x) AS d,
+           row_number() OVER (PARTITION BY v.id, v.p ORDER BY
+             list_inner_product(v.x, v.x) - 2 * list_inner_product(v.x, b.x)
+             + list_inner_product(b.x, b.x), b.e) AS k
+    FROM v JOIN b{i} b USING (p)) WHERE k = 1"""
+    steps = "".join(f"""
+a{i} AS ({nearest.format(i=i)}),
+m{i} AS (
+  SELECT p, e, list((s - ((s % c) + c) % c) // c ORDER BY j) AS x FROM (
+    SELECT p, e, j, CAST(sum(CAST(x[j] AS BIGINT)) AS HUGEINT) AS s, count(*) AS c
+    FROM (SELECT p, e, x, unnest(range(1, len(x) + 1)) AS j FROM a{i}) GROUP BY p, e, j)
+  GROUP BY p, e),
+b{i + 1} AS (
+  SELECT b.p, b.e, CAST(coalesce(m.x, b.x) AS DOUBLE[]) AS x
+  FROM b{i} b LEFT JOIN m{i} m USING (p, e)),""" for i in range(rounds))
+    return f"""
+WITH k AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) AS id, vec_id, label,
+         list_transform(embedding, lambda c: floor(1024 * CAST(c AS DOUBLE))) AS x
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+v AS (SELECT id, p, x[p * len(x) // {parts} + 1 : (p + 1) * len(x) // {parts}] AS x
+      FROM k, range({parts}) t(p)),
+b0 AS (SELECT p, id - 1 AS e, x FROM v WHERE id <= {entries}),{steps}
+a AS ({nearest.format(i=rounds)}),
+c AS (SELECT id, string_agg(printf('%02x', e), '' ORDER BY p) AS code,
+             CAST(sum(d) AS BIGINT) AS error FROM a GROUP BY id),
+h AS (SELECT sha256(string_agg(array_to_string(list_transform(x, lambda y: CAST(CAST(y AS BIGINT)
+               AS VARCHAR)), ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error,
+       CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM c JOIN k USING (id), h
+"""
+
+
+@query("op11_vector_codes", oracle=_codes_oracle())
+def q_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code, error and label error of every vector, and the digest of the
+    codebooks."""
+    from wavelake.llm.vector_codes import books_digest, compress_vectors, with_label_errors
+
+    codes, books = compress_vectors(read_table(spark, sf_dir, "embeddings"))
+    return with_label_errors(codes).select(
+        "vec_id", "code", "error", "label_error", F.lit(books_digest(books)).alias("codebooks_sha256"))
