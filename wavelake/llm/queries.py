@@ -245,3 +245,49 @@ def q_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes, books = compress_vectors(read_table(spark, sf_dir, "embeddings"))
     return with_label_errors(codes).select(
         "vec_id", "code", "error", "label_error", F.lit(books_digest(books)).alias("codebooks_sha256"))
+
+
+# ------------------------------------------- op12: spelling variants
+@query("op12_spelling_variants", oracle=r"""
+WITH RECURSIVE
+t AS (SELECT list(x ORDER BY i) AS crcs FROM (
+  SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b:
+           CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS x
+  FROM range(256) r(i))),
+r AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run,
+             count(*) AS c
+      FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''),
+                                  '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents)
+      GROUP BY ALL),
+b AS (SELECT run, c, flatten(list_transform(
+               string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''), lambda x:
+               CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)]
+                    ELSE [192 + unicode(x) // 64, 128 + unicode(x) % 64] END)) AS bytes
+      FROM r),
+h AS (SELECT run, c, xor(4294967295, list_reduce(list_prepend(4294967295, bytes), lambda a, x:
+               xor(a >> 8, crcs[xor(a, x) % 256 + 1]))) AS h FROM b, t),
+w AS (SELECT CASE WHEN h % 97 = 0 THEN substring(run, 1, h % length(run))
+                       || substring(run, h % length(run) + 2) ELSE run END AS word,
+             CAST(sum(c) AS BIGINT) AS n
+      FROM h GROUP BY 1 HAVING length(word) >= 5 AND sum(c) >= 3),
+d AS (SELECT word, n, i, substring(word, 1, i - 1) || substring(word, i + 1) AS rest
+      FROM w, range(1, length(word) + 1) p(i)),
+p AS (SELECT x.word, y.word AS near, y.n AS near_n
+      FROM d x JOIN d y ON x.rest = y.rest AND x.i = y.i AND x.word <> y.word
+      UNION SELECT d.word, w.word, w.n FROM d JOIN w ON d.rest = w.word
+      UNION SELECT w.word, d.word, d.n FROM d JOIN w ON d.rest = w.word),
+f AS (SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS near, max(near_n) AS near_n
+      FROM p GROUP BY word),
+g AS (SELECT w.word, w.n, coalesce(f.n_near, 0) AS n_near,
+             CASE WHEN near_n >= 2 * n THEN near END AS form,
+             CASE WHEN near_n >= 2 * n THEN near_n END AS form_n
+      FROM w LEFT JOIN f ON w.word = f.word),
+s AS (SELECT word, word AS root FROM g WHERE form IS NULL
+      UNION ALL SELECT g.word, s.root FROM g JOIN s ON g.form = s.word)
+SELECT g.word, g.form, s.root, g.n, g.n_near, g.form_n FROM g JOIN s ON g.word = s.word
+""")
+def q_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form and root of every word."""
+    from wavelake.llm.spelling import spelling_variants
+
+    return spelling_variants(read_table(spark, sf_dir, "documents"))
