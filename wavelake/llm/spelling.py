@@ -165,10 +165,10 @@ class Acceptor:
                     stack.append((then, right[symbol], done + symbol))
             without = None
 
-    def near_pairs(self, depth: int) -> Iterator[tuple[str, str]]:
+    def near_pairs(self, depth: int, tail: str = "") -> Iterator[tuple[str, str]]:
         """Accepted pairs of the composition with one edit between, which
         follows fewer than ``depth`` copied symbols; each pair once, the
-        longer string first."""
+        longer string first.  ``tail`` follows all strings."""
         stack = [(0, "")]
         while stack:
             p, done = stack.pop()
@@ -178,7 +178,8 @@ class Acceptor:
                     for rest in self.common(after_c, after_d):
                         yield f"{done}{c}{rest}", f"{done}{d}{rest}"
                 for rest in self.common(after_c, p, without=c):
-                    yield f"{done}{c}{rest}", f"{done}{rest}"
+                    if rest or not tail.startswith(c):
+                        yield f"{done}{c}{rest}", f"{done}{rest}"
                 if len(done) + 1 < depth:
                     stack.append((after_c, done + c))
 
@@ -231,7 +232,7 @@ def _compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         end = len(b)
         rests = sorted({w[len(a):len(w) - end] for w in counts})
         out = []
-        for left, right in Acceptor(rests).near_pairs(int(below) - len(a)):
+        for left, right in Acceptor(rests).near_pairs(int(below) - len(a), b):
             left, right = f"{a}{left}{b}", f"{a}{right}{b}"
             if not longest or max(len(left), len(right)) == longest:
                 out.append((left, right, counts[right]))
