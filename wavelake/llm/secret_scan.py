@@ -5,7 +5,8 @@ text is unwrapped: a worklist holds layers, and each layer taken from it is
 scanned and gives new ones by four rules:
 
 * URL escapes (``%41``) and Unicode escapes (``\\u0041``, ``\\x41``, ``&#65;``):
-  the lines from the first to the last escape, decoded once;
+  the lines from the first to the last escape, decoded once (after
+  ``ONE_BY_ONE`` such layers: decoded until none is left);
 * base64 runs, also URL-safe and wrapped over lines, at each of the four
   alignments (a run may begin with letters of its surroundings): the printable
   stretches of the decoded bytes;
@@ -54,6 +55,7 @@ KINDS = ("assign", "access", "hex")
 MIN_VALUE = 6      # characters of an assigned value
 MIN_RUN = 16       # characters of a base64 run that is decoded
 MIN_STRETCH = 8    # printable bytes in a row that make a layer
+ONE_BY_ONE = 16    # escapes nested deeper are removed to the end in one step
 
 # What counts as a secret.
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?"
@@ -88,6 +90,7 @@ class Layer:
 
     text: str
     parent: Layer | None = None
+    escapes = 0   # layers of escapes removed one by one on the way here
 
     def local(self, start: int, end: int) -> tuple[int, int] | None:
         """The span's place in the parent; None if it holds nothing decoded."""
@@ -96,10 +99,11 @@ class Layer:
     def origin(self, start: int, end: int, decoded: bool = False) -> tuple[int, int] | None:
         """The span's place in the document, None if no layer on the way
         decoded any of it."""
-        if self.parent is None:
-            return (start, end) if decoded else None
-        (lo, hi), here = self.local(start, end)
-        return self.parent.origin(lo, hi, decoded or here)
+        layer = self
+        while layer.parent is not None:
+            (start, end), here = layer.local(start, end)
+            layer, decoded = layer.parent, decoded or here
+        return (start, end) if decoded else None
 
 
 class Document(Layer):
@@ -110,21 +114,21 @@ class Document(Layer):
 class Unescaped(Layer):
     """Lines of the parent with their escapes decoded."""
 
-    def __init__(self, parent: Layer, found: list[re.Match]):
+    def __init__(self, parent: Layer, found: list[tuple[int, int, str]]):
         text = parent.text
-        first = text.rfind("\n", 0, found[0].start()) + 1
-        last = text.find("\n", found[-1].end())
+        first = text.rfind("\n", 0, found[0][0]) + 1
+        last = text.find("\n", found[-1][1])
         last = len(text) if last < 0 else last
-        self.parent, parts, at = parent, [], first
+        self.parent, self.escapes, parts, at = parent, parent.escapes + 1, [], first
         self.starts, self.lows, self.highs = [], [], []  # of each decoded character
         shift = first
-        for m in found:
-            parts += [text[at:m.start()], _character(m)]
-            self.starts.append(m.start() - shift)
-            self.lows.append(m.start())
-            self.highs.append(m.end())
-            shift += m.end() - m.start() - 1
-            at = m.end()
+        for low, high, char in found:
+            parts += [text[at:low], char]
+            self.starts.append(low - shift)
+            self.lows.append(low)
+            self.highs.append(high)
+            shift += high - low - 1
+            at = high
         self.first = first
         self.text = "".join([*parts, text[at:last]])
 
@@ -174,12 +178,34 @@ class Inflated(Layer):
 
 # ------------------------------------------------------------------ rules
 
-def _unescaped(layer: Layer) -> Iterator[Layer]:
-    for pattern, mark in ((_URL, ("%",)), (_UNICODE, ("\\u", "\\x", "&#"))):
-        if any(m in layer.text for m in mark):
-            found = list(pattern.finditer(layer.text))
+def _unescaped(layer: Layer) -> list[Layer]:
+    out = []
+    for pattern, marks in ((_URL, ("%",)), (_UNICODE, ("\\u", "\\x", "&#"))):
+        if any(m in layer.text for m in marks):
+            if layer.escapes < ONE_BY_ONE:
+                found = [(m.start(), m.end(), _character(m)) for m in pattern.finditer(layer.text)]
+            else:
+                found = _all_escapes(layer.text, pattern)
             if found:
-                yield Unescaped(layer, found)
+                out.append(Unescaped(layer, found))
+    return out
+
+
+def _all_escapes(text: str, pattern: re.Pattern) -> list[tuple[int, int, str]]:
+    """Escapes of all depths at once, from the right: a decoded character may
+    begin an escape or be a digit of one."""
+    chars, lows, highs = [], [], []   # of what stands to the right, nearest last
+    for i in range(len(text) - 1, -1, -1):
+        char, high = text[i], i + 1
+        while char in "%\\&" and (m := pattern.match(char + "".join(chars[:-13:-1]))):
+            char, used = _character(m), m.end() - 1
+            high = highs[-used]
+            del chars[-used:], lows[-used:], highs[-used:]
+        chars.append(char)
+        lows.append(i)
+        highs.append(high)
+    return [(lo, hi, c) for c, lo, hi in zip(reversed(chars), reversed(lows), reversed(highs))
+            if hi > lo + 1]
 
 
 def _unpacked(layer: Layer) -> Iterator[Layer]:
@@ -199,6 +225,7 @@ def _unpacked(layer: Layer) -> Iterator[Layer]:
             for head in heads + [0] * bool(_ZLIB.match(data)):
                 for text in _windows(_stream(iter([data[head:]]))):
                     yield Inflated(layer, text, m.start(), m.end())
+    layer.text = ""  # its places are still needed
 
 
 def _stream(chunks: Iterator[bytes]) -> Iterator[bytes]:
@@ -290,7 +317,7 @@ def secret_spans(text: str | None) -> tuple[list, list]:
     number = {kind: i for i, kind in enumerate(KINDS)}
     base = sorted((s, number[kind], e) for kind, s, e in scan(document.text))
     known, seen, added = set(base), set(), []
-    work: list[Iterator[Layer]] = [_unescaped(document), _unpacked(document)]
+    work: list[Iterator[Layer]] = [iter(_unescaped(document)), _unpacked(document)]
     while work:
         layer = next(work[-1], None)
         if layer is None:
@@ -310,7 +337,7 @@ def secret_spans(text: str | None) -> tuple[list, list]:
                 if span not in known:
                     known.add(span)
                     added.append(span)
-        work += [_unescaped(layer), _unpacked(layer)]
+        work += [iter(_unescaped(layer)), _unpacked(layer)]
     return base, sorted(added)
 
 
