@@ -121,6 +121,16 @@ def test_near_duplicates_leave_one_row(spark):
     assert len(ids) == n_groups and len(set(ids)) == len(ids) and None not in ids
 
 
+def test_near_duplicates_keep_columns_of_any_name(spark):
+    names = ["_sh_id", "_sh_n", "_sh_h", "n", "id", "h", "d", "null", "keep_id", "g_fp", "root"]
+    rows = [(i, t, *range(len(names))) for i, t in [(1, "a b c d e"), (2, "a b c d e"), (3, None), (3, None)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, "
+                                 + ", ".join(f"`{c}` int" for c in names)).repartition(3)
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[0], rows[2]], key=str)
+
+
 def test_components_of_paths_stars_and_noise(spark):
     rng = random.Random(2)
     links = [(i, i + 1) for i in range(40)] + [(1000, x) for x in range(900, 940)]

@@ -24,7 +24,6 @@ SPEC = "byte_bpe_50k.json"
 
 def _reference_ids():
     tok = Tokenizer.from_file(public_tokenizers.path(SPEC))
-    tok.encode_special_tokens = True
     return lambda text: tok.encode(text or "", add_special_tokens=False).ids
 
 
@@ -35,8 +34,28 @@ def test_ids_equal_the_tokenizers_library(spark):
     bits = ["a", "word", "'s", "'ll", " ", "  ", "\n", "\t", "é", "世界", "²", "½", "12", "!?", "\x1c", "\xa0",
             "<|endoftext|>", "　", "🙂", "_", "٣", ""]
     texts += [" ".join(rng.choice(bits) + rng.choice(bits) for _ in range(12)) for _ in range(400)]
+    texts += ["a <|endoftext|> b c d", "<|endoftext|>", "x<|endoftext|><|endoftext|> y z and more", "<|endoftext",
+              "one two  <|endoftext|>  three four five six "]
     for text in texts:
         assert np.frombuffer(own.encode(text), "<u4").tolist() == ids(text)
+    assert 50256 in ids("a <|endoftext|> b c d")
+
+
+def test_remembered_chunks_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(packing, "_CACHE_BYTES", 50_000)
+    ids, own = _reference_ids(), packing.BpeTokenizer(json.loads(tokenizer_file(SPEC)), packing.BYTE_BPE_PATTERN)
+    rng = random.Random(9)
+    for _ in range(60):
+        text = " ".join("".join(rng.choice("世界abc") for _ in range(rng.choice((3, 30, 400)))) for _ in range(20))
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == ids(text)
+        held = sum(200 + 4 * len(c) + len(i) for c, i in own._chunks.items())
+        assert held == own._held <= 50_000
+
+
+def test_packed_ids_come_back():
+    for ids in ([], [0], [1, 2, 50256], [65535], [65536, 1], list(range(3000))):
+        raw = np.array(ids, "<u4").tobytes()
+        assert packing.unpacked_ids(packing.packed_ids(raw)).tolist() == ids
 
 
 def _check_packing(rows, pieces, ids):
@@ -160,6 +179,20 @@ def test_mix_meets_its_targets(spark, seed):
     assert collections.Counter(map(tuple, out)) == collections.Counter(map(tuple, again))
 
 
+def test_mix_takes_as_many_copies_as_bring_the_sum_nearest(spark):
+    # 500 copies of one row of 20 words, of which a part is needed
+    rows = [(1, "w " * 20, "a")] * 500 + [(2, "v " * 200, "b")]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)],
+                                 "doc_id long, text string, source string, n_chars long").repartition(7)
+    out = mixing.mix_sources(docs, weights=(1.0, 0.05), total_share=1.35).collect()
+    target = next(r["target"] for r in out if r["doc_id"] == 1)
+    taken = [r["taken"] for r in out if r["doc_id"] == 1]
+    assert 10_000 < target < 20_000 and abs(sum(taken) - target) <= 10 and set(taken) == {20, 40}
+    kept = mixing.apply_mix(docs, weights=(1.0, 0.05), total_share=1.35)
+    times = collections.Counter(r["n_chars"] for r in kept.filter("source = 'a'").collect())
+    assert len(times) == 500 and sorted(times.values()) == sorted(t // 20 for t in taken)
+
+
 def test_mix_without_words(spark):
     schema = "doc_id long, text string, source string"
     assert mixing.mix_sources(spark.createDataFrame([], schema)).count() == 0

@@ -114,20 +114,22 @@ p AS (
               THEN floor(coalesce(least(cap, final_level * weight), cap) / source_size)
               ELSE 0 END AS whole
   FROM f),
-u AS (
-  SELECT d.doc_id, d.source, d.size, d.key, p.source_size, p.target, p.whole,
-         p.target - p.whole * p.source_size AS need,
-         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key
-                           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
-  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+k AS (
+  SELECT d.source, d.key, d.size, p.target - p.whole * p.source_size AS need, count(*) AS copies
+  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
+  WHERE d.size > 0 AND p.target - p.whole * p.source_size > 0 GROUP BY ALL),
 c AS (
-  SELECT source, max(key) AS cut_key FROM u
-  WHERE size > 0 AND need > 0 AND upto - size / 2.0 <= need GROUP BY source)
-SELECT u.doc_id, u.size, u.source_size, u.target,
-       CASE WHEN u.size = 0 THEN 0 ELSE
-         u.size * CAST(u.whole + CASE WHEN u.need > 0 AND u.key <= c.cut_key THEN 1 ELSE 0 END
-                       AS BIGINT) END AS taken
-FROM u LEFT JOIN c ON u.source IS NOT DISTINCT FROM c.source
+  SELECT source, key, least(copies, floor((need - coalesce(sum(size * copies) OVER (
+           PARTITION BY source ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+           / size + CAST(0.5 AS DOUBLE))) AS sampled
+  FROM k),
+n AS (
+  SELECT *, row_number() OVER (PARTITION BY source, key) AS copy FROM d)
+SELECT n.doc_id, n.size, p.source_size, p.target,
+       CASE WHEN n.size = 0 THEN 0 ELSE
+         n.size * CAST(p.whole + CASE WHEN n.copy <= c.sampled THEN 1 ELSE 0 END AS BIGINT) END AS taken
+FROM n JOIN p ON n.source IS NOT DISTINCT FROM p.source
+LEFT JOIN c ON n.source IS NOT DISTINCT FROM c.source AND n.key = c.key
 """)
 def q_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words the mix takes of every document."""

@@ -160,12 +160,20 @@ def drop_near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS,
     best = (firsts.join(groups.select(F.col("fp").alias("g_fp"), "root"),
                         F.col("fp") == F.col("g_fp"))
             .groupBy("root").agg(F.min("first").alias("first")))
-    kept = materialized(best.select(F.col("first.id").alias("_sh_id"),
-                                    F.col("first.h").alias("_sh_h")), "kept")
-    hashed = docs.withColumn("_sh_doc_h", F.xxhash64("text"))
-    same = (F.col("doc_id").cast("long").eqNullSafe(F.col("_sh_id"))
-            & (F.col("_sh_doc_h") == F.col("_sh_h")))
-    rows = hashed.join(kept, same, "left_semi")
-    one = Window.partitionBy("doc_id", "_sh_doc_h").orderBy(F.lit(0))
-    return (rows.withColumn("_sh_n", F.row_number().over(one)).filter("_sh_n = 1")
-            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+    def key(row_id: Column, h: Column, prefix: str) -> list[Column]:
+        """Join and window keys without nulls: texts are shuffled once."""
+        return [F.coalesce(row_id, F.lit(0)).alias(f"{prefix}id"),
+                row_id.isNull().alias(f"{prefix}null"), h.alias(f"{prefix}h")]
+
+    kept = materialized(best.select(*key(F.col("first.id"), F.col("first.h"), "keep_")), "kept")
+    # the rows as structs: their own columns may have any names
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"),
+                       *key(F.col("doc_id").cast("long"), F.xxhash64("text"), ""))
+    names = ["id", "null", "h"]
+    same = [F.col(c) == F.col(f"keep_{c}") for c in names]
+    one = Window.partitionBy(*names).orderBy(F.lit(0))
+    # copies of a row shrink to one in the tasks that read them; the join then
+    # finds the rows dealt by its keys
+    firsts = rows.withColumn("n", F.row_number().over(one)).filter("n = 1")
+    return (firsts.join(kept, same, "left_semi")
+            .select(*[F.col(f"d.`{c}`") for c in docs.columns]))
