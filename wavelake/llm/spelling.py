@@ -38,6 +38,8 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation
@@ -52,6 +54,7 @@ TYPO_MODULUS = 97
 GROUP_WORDS = 128
 GROUP_CHARS = 1 << 16
 _HELD = 200_000      # distinct words a task counts before it passes them on
+_EMIT_PAIRS = 20_000
 _SLICE = 1 << 20     # characters of a text searched at a time
 
 _RUN = re.compile("[a-zÀ-ÿ]+")
@@ -71,18 +74,23 @@ def _slices(text: str) -> Iterator[str]:
         start = end
 
 
-def _words_of(doc_id: str, text: str, modulus: int) -> Counter:
-    """Words of one text: its runs, of which a hash makes some lose a letter."""
+def _words_of(doc_id: str, text: str, modulus: int, min_length: int) -> Counter:
+    """Words of one text: its runs, of which a hash makes some lose a letter
+    (none gets longer)."""
     runs: Counter = Counter()
     for part in _slices(text.encode("utf-8", "surrogatepass").lower()
                         .decode("utf-8", "surrogatepass")):  # bytes.lower: A-Z only
         runs.update(_RUN.findall(part))
     start, found = zlib.crc32(f"{doc_id}:".encode()), Counter()
     for run, n in runs.items():
+        if len(run) < min_length:
+            continue
         h = zlib.crc32(run.encode(), start)
         if h % modulus == 0:
             at = h % len(run)
             run = run[:at] + run[at + 1:]
+            if len(run) < min_length:
+                continue
         found[run] += n
     return found
 
@@ -103,9 +111,8 @@ def vocabulary(docs: DataFrame, min_length: int = MIN_LENGTH, min_count: int = M
         for pdf in batches:
             for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
                 if text:
-                    for word, n in _words_of(doc_id or "", text, modulus).items():
-                        if len(word) >= min_length:
-                            held[word] += n
+                    for word, n in _words_of(doc_id or "", text, modulus, min_length).items():
+                        held[word] += n
                 if len(held) > _HELD:
                     yield flushed()
         if held:
@@ -222,46 +229,30 @@ def _halved(members: DataFrame) -> DataFrame:
             .select("word", "n", "g.*", "longest"))
 
 
+def _group_pairs(key: tuple, members: list[tuple[str, int]]) -> Iterator[tuple[str, str, int]]:
+    """Near pairs of one group, both ways."""
+    a, b, below, longest = key
+    counts = dict(members)
+    rests = sorted({w[len(a):len(w) - len(b)] for w in counts})
+    for left, right in Acceptor(rests).near_pairs(below - len(a), b):
+        left, right = f"{a}{left}{b}", f"{a}{right}{b}"
+        if not longest or max(len(left), len(right)) == longest:
+            yield left, right, counts[right]
+            yield right, left, counts[left]
+
+
 def _compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Near pairs, both ways, of groups that come one after the other."""
-    held: list[pd.DataFrame] = []
-
-    def pairs(group: pd.DataFrame) -> list[tuple]:
-        a, b, below, longest = group[_GROUP].iloc[0]
-        counts = dict(zip(group["word"], group["n"]))
-        end = len(b)
-        rests = sorted({w[len(a):len(w) - end] for w in counts})
-        out = []
-        for left, right in Acceptor(rests).near_pairs(int(below) - len(a), b):
-            left, right = f"{a}{left}{b}", f"{a}{right}{b}"
-            if not longest or max(len(left), len(right)) == longest:
-                out.append((left, right, counts[right]))
-                out.append((right, left, counts[left]))
-        return out
-
-    def emitted(pdf: pd.DataFrame, last: bool) -> tuple[list[tuple], pd.DataFrame | None]:
-        if not len(pdf):
-            return [], pdf
-        key = pdf[_GROUP]
-        number = (key != key.shift()).any(axis=1).cumsum()
-        found: list[tuple] = []
-        for k, group in pdf.groupby(number, sort=False):
-            if not last and k == number.iloc[-1]:
-                return found, group  # may go on in the next batch
-            found += pairs(group)
-        return found, None
-
-    rest: pd.DataFrame | None = None
-    for pdf in batches:
-        if rest is not None and len(rest):
-            pdf = pd.concat([rest, pdf], ignore_index=True)
-        found, rest = emitted(pdf, last=False)
-        if found:
-            yield pd.DataFrame(found, columns=["word", "near", "near_n"])
-    if rest is not None and len(rest):
-        found, _ = emitted(rest, last=True)
-        if found:
+    """Near pairs of groups whose rows come one after the other."""
+    rows = (row for pdf in batches
+            for row in zip(*(pdf[c].tolist() for c in (*_GROUP, "word", "n"))))
+    found: list[tuple] = []
+    for key, group in groupby(rows, key=itemgetter(0, 1, 2, 3)):
+        found += _group_pairs(key, [row[4:] for row in group])
+        if len(found) > _EMIT_PAIRS:
             yield pd.DataFrame(found, columns=["word", "near", "near_n"])
+            found = []
+    if found:
+        yield pd.DataFrame(found, columns=["word", "near", "near_n"])
 
 
 def near_words(words: DataFrame, min_length: int = MIN_LENGTH, group_words: int = GROUP_WORDS,
