@@ -159,12 +159,35 @@ def _variants(rows):
     return sorted(map(tuple, out), key=str)
 
 
+@pytest.mark.parametrize("block", [40, 8 << 20])
+def test_words_are_counted_whole_at_block_edges(monkeypatch, block):
+    monkeypatch.setattr(spelling, "_BLOCK", block)
+    rng = random.Random(block)
+    letters, words, found = "abéÿZ -", spelling._Words(2, 7), collections.Counter()
+    want, texts = collections.Counter(), []
+    for i in range(60):
+        texts.append("".join(rng.choice(letters) for _ in range(rng.choice((0, 5, 300)))) + "x" * rng.choice((0, 200)))
+        for run in re.findall("[A-Za-zÀ-ÿ]+", texts[-1]):
+            run = "".join(c.lower() if c == "Z" else c for c in run)
+            h = zlib.crc32(f"{i}:{run}".encode())
+            run = run if h % 7 else run[:h % len(run)] + run[h % len(run) + 1:]
+            want[run] += len(run) >= 2
+        for names, counts in words.add(str(i), texts[-1]):
+            for n, c in zip(names, counts):
+                found[n] += c
+    for names, counts in [words.counted()] if words.parts else []:
+        for n, c in zip(names, counts):
+            found[n] += c
+    assert +want == +found
+
+
 def test_variants_equal_brute_force(spark):
     rng = random.Random(1)
     base = ["letter", "lettre", "écoles", "ÉCOLES", "signal", "signals", "Signale", "lattercall"]
     chain = ["spellin"] * 3 + ["spelling"] * 6 + ["spellings"] * 12 + ["spellingse"] * 24
     rows = [(i, " ".join(rng.choice(base) + rng.choice(["", "s", "x"]) for _ in range(60)) + "," +
              "-".join(chain if i == 3 else [])) for i in range(40)]
+    rows += [(i, "naïve 世界 " * 3 + "long" * 40 + " " + "écrit" * 50 + chr(0x212A) + "elvin ſignal") for i in (50, 51, 52)]
     rows += [(None, "letter lettered"), (7, None), (8, ""), (9, "12 .. 34"), rows[0], rows[0]]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr(
         "*", "'w' AS word", "1L AS n", "'f' AS form").repartition(4)

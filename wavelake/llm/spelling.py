@@ -34,18 +34,20 @@ are ignored.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
 from operator import itemgetter
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from wavelake.llm.common import map_rows, materialized, materialized_counted
+from wavelake.session import ship_package
 
 MIN_LENGTH = 5
 MIN_COUNT = 3
@@ -53,46 +55,115 @@ FORM_RATIO = 2
 TYPO_MODULUS = 97
 GROUP_WORDS = 128
 GROUP_CHARS = 1 << 16
-_HELD = 200_000      # distinct words a task counts before it passes them on
-_EMIT_PAIRS = 20_000
-_SLICE = 1 << 20     # characters of a text searched at a time
+_BLOCK = 8 << 20     # characters whose words are counted at a time
+_SHORT = 128         # bytes of a run up to which checksums are combined by table
+_EMIT_ROWS = 20_000
 
-_RUN = re.compile("[a-zÀ-ÿ]+")
+_LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 0xC0 else 32
+                 for c in range(256))
+
+
+def _crc_steps() -> np.ndarray:
+    """The checksum's step for every low byte."""
+    steps = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        steps = np.where(steps & 1, steps >> np.uint32(1) ^ np.uint32(0xEDB88320), steps >> np.uint32(1))
+    return steps
+
+
+_CRC = _crc_steps()
 _GROUP = ["a", "b", "below", "longest"]
 
 
 # -------------------------------------------------------------- vocabulary
 
-def _slices(text: str) -> Iterator[str]:
-    """The text in pieces that end where no run goes on."""
-    start = 0
-    while start < len(text):
-        end = start + _SLICE
-        if end < len(text) and (m := _RUN.match(text, end)):
-            end = m.end()
-        yield text[start:end]
-        start = end
-
-
-def _words_of(doc_id: str, text: str, modulus: int, min_length: int) -> Counter:
-    """Words of one text: its runs, of which a hash makes some lose a letter
-    (none gets longer)."""
-    runs: Counter = Counter()
-    for part in _slices(text.encode("utf-8", "surrogatepass").lower()
-                        .decode("utf-8", "surrogatepass")):  # bytes.lower: A-Z only
-        runs.update(_RUN.findall(part))
-    start, found = zlib.crc32(f"{doc_id}:".encode()), Counter()
-    for run, n in runs.items():
-        if len(run) < min_length:
-            continue
-        h = zlib.crc32(run.encode(), start)
-        if h % modulus == 0:
-            at = h % len(run)
-            run = run[:at] + run[at + 1:]
-            if len(run) < min_length:
-                continue
-        found[run] += n
-    return found
+class _Words:
+    """Words of the texts that one task reads, a block of characters at a time,
+    on arrays.
+
+    Runs are made of Latin-1 letters: a text becomes Latin-1 bytes in which all
+    but lower-cased letters are spaces.  The hash of ``<doc_id>:<run>`` is put
+    together from those of both parts, since a checksum of a string after a
+    prefix differs from the string's own by a value that depends on the prefix
+    and the string's length only."""
+
+    def __init__(self, min_length: int, modulus: int):
+        self.min_length, self.modulus = min_length, modulus
+        self.parts: list[bytes] = []
+        self.seeds: list[int] = []
+        self.held = 0
+
+    def add(self, doc_id: str, text: str) -> Iterator[tuple[list[str], list[int]]]:
+        raw, seed = text.encode("latin-1", "replace").translate(_LETTERS), zlib.crc32(f"{doc_id}:".encode())
+        start = 0
+        while start < len(raw):
+            end = raw.find(b" ", start + _BLOCK - self.held)  # no run is cut
+            end = len(raw) if end < 0 else end
+            self.parts.append(raw[start:end])
+            self.seeds.append(seed)
+            self.held += end - start
+            start = end
+            if self.held >= _BLOCK:
+                yield self.counted()
+
+    def counted(self) -> tuple[list[str], list[int]]:
+        """Words of the block and their numbers (a word that lost a letter each
+        time has number 0); the next block begins."""
+        text = b" ".join([b"", *self.parts, b""])
+        sizes = np.array([len(p) + 1 for p in self.parts])
+        seeds = np.array(self.seeds, dtype=np.uint32)
+        self.parts, self.seeds, self.held = [], [], 0
+        raw = np.frombuffer(text, dtype=np.uint8)
+        letter = raw != 32
+        edges = np.flatnonzero(letter[1:] != letter[:-1]) + 1
+        begin, end = edges[0::2], edges[1::2]
+        kept = end - begin >= self.min_length
+        begin, end = begin[kept], end[kept]
+        if not len(begin):
+            return [], []
+        part = np.searchsorted(np.cumsum(sizes) + 1, begin, side="right")
+        inside = np.zeros(len(raw), dtype=np.int8)
+        inside[begin], inside[end] = 1, -1
+        letters = raw[np.cumsum(inside, dtype=np.int8).view(bool)]
+        offsets = np.concatenate(([0], np.cumsum(end - begin))).astype(np.int32)
+        runs = pa.Array.from_buffers(pa.binary(), len(begin), [
+            None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
+        which = runs.indices.to_numpy()
+        _, bounds, letters = runs.dictionary.buffers()
+        letters = letters.to_pybytes().decode("latin-1")
+        bounds = np.frombuffer(bounds, dtype=np.int32)[:len(runs.dictionary) + 1].tolist()
+        words = [letters[i:j] for i, j in zip(bounds, bounds[1:])]
+        coded = [w.encode() for w in words]
+        sums = np.array([zlib.crc32(c) for c in coded], dtype=np.uint32)
+        sizes = np.array([len(c) for c in coded])
+        h = sums[which] ^ _after_prefix(seeds, part, sizes[which])
+        typo = h % np.uint32(self.modulus) == 0
+        counts = np.bincount(which[~typo], minlength=len(words)).tolist()
+        shorter: Counter = Counter()
+        for k, at in zip(which[typo].tolist(), h[typo].tolist()):
+            word = words[k]
+            at %= len(word)
+            if len(word) > self.min_length:
+                shorter[word[:at] + word[at + 1:]] += 1
+        return words + list(shorter), counts + list(shorter.values())
+
+
+def _after_prefix(seeds: np.ndarray, part: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """What the checksum of ``sizes`` bytes changes by when they follow the
+    prefix whose checksum is ``seeds[part]``: the same as for zero bytes."""
+    short = sizes <= _SHORT
+    out = np.empty(len(sizes), dtype=np.uint32)
+    state, plain = ~seeds, 0
+    table = np.empty((int(sizes[short].max(initial=0)) + 1, len(seeds)), dtype=np.uint32)
+    for n in range(len(table)):
+        table[n] = ~state ^ np.uint32(plain)
+        state = _CRC[state & 255] ^ (state >> np.uint32(8))
+        plain = zlib.crc32(b"\0", plain)
+    out[short] = table[sizes[short], part[short]]
+    for i in np.flatnonzero(~short).tolist():
+        zeros = bytes(int(sizes[i]))
+        out[i] = zlib.crc32(zeros, int(seeds[part[i]])) ^ zlib.crc32(zeros)
+    return out
 
 
 def vocabulary(docs: DataFrame, min_length: int = MIN_LENGTH, min_count: int = MIN_COUNT,
@@ -100,26 +171,23 @@ def vocabulary(docs: DataFrame, min_length: int = MIN_LENGTH, min_count: int = M
     """``word, n``: words of at least ``min_length`` code points that occur at
     least ``min_count`` times in ``docs`` (``doc_id``, ``text``)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: Counter = Counter()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _Words(min_length, modulus)
 
-        def flushed() -> pd.DataFrame:
-            out = pd.DataFrame({"word": list(held), "n": list(held.values())})
-            held.clear()
-            return out
+        def emitted(found: tuple[list[str], list[int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(found[0], pa.string()),
+                                               pa.array(found[1], pa.int64())], names=["word", "n"])
 
-        for pdf in batches:
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-                if text:
-                    for word, n in _words_of(doc_id or "", text, modulus, min_length).items():
-                        held[word] += n
-                if len(held) > _HELD:
-                    yield flushed()
-        if held:
-            yield flushed()
+        for batch in batches:
+            for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):
+                if text.is_valid:
+                    yield from map(emitted, words.add(doc_id.as_py() or "", text.as_py()))
+        if words.parts:
+            yield emitted(words.counted())
 
+    ship_package(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    return (map_rows(rows, run, "word string, n long").groupBy("word")
+    return (rows.mapInArrow(run, "word string, n long").groupBy("word")
             .agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count))
 
 
@@ -241,25 +309,39 @@ def _group_pairs(key: tuple, members: list[tuple[str, int]]) -> Iterator[tuple[s
             yield right, left, counts[left]
 
 
-def _compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Near pairs of groups whose rows come one after the other."""
+def _compose(batches: Iterator[pd.DataFrame], best: bool) -> Iterator[pd.DataFrame]:
+    """Near pairs of groups whose rows come one after the other; with ``best``
+    each word's number of near words in its group, and the best of them."""
     rows = (row for pdf in batches
             for row in zip(*(pdf[c].tolist() for c in (*_GROUP, "word", "n"))))
+    columns = ["word", "near", "near_n", *(["n_near"] if best else [])]
     found: list[tuple] = []
     for key, group in groupby(rows, key=itemgetter(0, 1, 2, 3)):
-        found += _group_pairs(key, [row[4:] for row in group])
-        if len(found) > _EMIT_PAIRS:
-            yield pd.DataFrame(found, columns=["word", "near", "near_n"])
+        pairs = _group_pairs(key, [row[4:] for row in group])
+        found += _best_of(pairs) if best else pairs
+        if len(found) > _EMIT_ROWS:
+            yield pd.DataFrame(found, columns=columns)
             found = []
     if found:
-        yield pd.DataFrame(found, columns=["word", "near", "near_n"])
+        yield pd.DataFrame(found, columns=columns)
 
 
-def near_words(words: DataFrame, min_length: int = MIN_LENGTH, group_words: int = GROUP_WORDS,
-               group_chars: int = GROUP_CHARS) -> DataFrame:
-    """``word, near, near_n``: all pairs (both ways) of the distinct words of
-    ``words`` (``word``, ``n``; at least ``min_length`` code points each) that
-    differ by one edit."""
+def _best_of(pairs: Iterator[tuple[str, str, int]]) -> Iterator[tuple[str, str, int, int]]:
+    """Per word the near word of the largest count (ties: the smallest), its
+    count and the number of near words."""
+    held: dict[str, tuple[int, str, int]] = {}
+    for word, near, n in pairs:
+        less, name, number = held.get(word, (0, "", 0))
+        if (-n, near) < (less, name):
+            less, name = -n, near
+        held[word] = (less, name, number + 1)
+    for word, (less, name, number) in held.items():
+        yield word, name, -less, number
+
+
+def _composed_groups(words: DataFrame, min_length: int, group_words: int,
+                     group_chars: int) -> DataFrame:
+    """Members (``word, n`` and their group) of all groups, dealt by group."""
     if min_length < 3:
         raise ValueError("words need three code points at least")
     members, ready = _first_groups(words, min_length), None
@@ -282,26 +364,45 @@ def near_words(words: DataFrame, min_length: int = MIN_LENGTH, group_words: int
         if not n:
             break
         members = left
-    dealt = ready.repartition(*_GROUP).sortWithinPartitions(*_GROUP)
-    return map_rows(dealt, _compose, "word string, near string, near_n long")
+    return ready.repartition(*_GROUP).sortWithinPartitions(*_GROUP)
+
+
+def near_words(words: DataFrame, min_length: int = MIN_LENGTH, group_words: int = GROUP_WORDS,
+               group_chars: int = GROUP_CHARS) -> DataFrame:
+    """``word, near, near_n``: all pairs (both ways) of the distinct words of
+    ``words`` (``word``, ``n``; at least ``min_length`` code points each) that
+    differ by one edit."""
+    members = _composed_groups(words, min_length, group_words, group_chars)
+    return map_rows(members, lambda batches: _compose(batches, False),
+                    "word string, near string, near_n long")
+
+
+def best_near_words(words: DataFrame, min_length: int = MIN_LENGTH,
+                    group_words: int = GROUP_WORDS, group_chars: int = GROUP_CHARS) -> DataFrame:
+    """``word, near, near_n, n_near`` of every word with near words: the one of
+    the largest count (ties: the smallest), and their number.  Groups pass on
+    one row a word."""
+    members = _composed_groups(words, min_length, group_words, group_chars)
+    found = map_rows(members, lambda batches: _compose(batches, True),
+                     "word string, near string, near_n long, n_near long")
+    return (found.groupBy("word").agg(
+        F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best"),
+        F.sum("n_near").alias("n_near"))
+        .select("word", F.col("best.near").alias("near"), (-F.col("best.less")).alias("near_n"), "n_near"))
 
 
 # ------------------------------------------------------------------- forms
 
-def variant_forms(words: DataFrame, links: DataFrame, ratio: float = FORM_RATIO) -> DataFrame:
+def variant_forms(words: DataFrame, best: DataFrame, ratio: float = FORM_RATIO) -> DataFrame:
     """``word, n, n_near, form, form_n, root`` of every word: the near word of
     the largest count, if that is at least ``ratio`` times the word's own."""
     if ratio <= 1:
         raise ValueError("counts must grow along forms: ratio above 1")
-    best = links.groupBy(F.col("word").alias("of")).agg(
-        F.count(F.lit(1)).alias("n_near"),
-        F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near").alias("form"))).alias("best"))
-    joined = words.join(best, F.col("word") == F.col("of"), "left")
-    big = -F.col("best.less") >= F.col("n") * F.lit(ratio)
+    joined = words.join(best.withColumnRenamed("word", "of"), F.col("word") == F.col("of"), "left")
+    big = F.col("near_n") >= F.col("n") * F.lit(ratio)
     formed = materialized(joined.select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
-        F.when(big, F.col("best.form")).alias("form"),
-        F.when(big, -F.col("best.less")).alias("form_n")), "forms")
+        F.when(big, F.col("near")).alias("form"), F.when(big, F.col("near_n")).alias("form_n")), "forms")
     roots = formed.filter("form is not null").select("word", F.col("form").alias("root"))
     while True:  # each round doubles the steps taken
         roots = materialized(roots, "roots")
@@ -322,4 +423,4 @@ def spelling_variants(docs: DataFrame, min_length: int = MIN_LENGTH, min_count:
                       ratio: float = FORM_RATIO, modulus: int = TYPO_MODULUS) -> DataFrame:
     """``word, form, root, n, n_near, form_n`` of every word of ``docs``."""
     words = materialized(vocabulary(docs, min_length, min_count, modulus), "vocabulary")
-    return variant_forms(words, near_words(words, min_length), ratio)
+    return variant_forms(words, best_near_words(words, min_length), ratio)
