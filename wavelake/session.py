@@ -118,17 +118,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 @contextlib.contextmanager
-def scratch_scope(spark: SparkSession):
-    """Delete the intermediate tables made inside when the block ends: for
-    work whose results have been written or collected by then."""
+def recorded_scratch():
+    """The list of the intermediate tables made inside the block, for callers
+    that delete them later."""
     made: list[str] = []
     token = _SCOPES.set((*_SCOPES.get(), made))
     try:
         yield made
     finally:
         _SCOPES.reset(token)
-        for path in made:
-            drop_scratch(spark, path)
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession):
+    """Delete the intermediate tables made inside when the block ends: for
+    work whose results have been written or collected by then."""
+    with recorded_scratch() as made:
+        try:
+            yield made
+        finally:
+            for path in made:
+                drop_scratch(spark, path)
 
 
 def scratch_root(spark: SparkSession) -> str:
