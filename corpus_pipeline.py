@@ -1,36 +1,74 @@
 """Corpus pipeline: quality rules, near-duplicates, repeated passages, source
 mix and packing.  Each stage works on all its predecessor kept, written as
-Parquet; all but the last return the columns of ``documents``."""
+Parquet; all but the last return the columns of ``documents``.
+
+A stage's intermediate tables are deleted when the next one begins: its result
+has been written by then.  They stay if the next stage's input still reads
+them.
+
+Defined cases, over all stages: null texts, ids, languages and sources, empty
+and very long texts, repeated rows, extra columns of any name and empty tables
+go through; what becomes of them in a stage stands in its operator's module.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from wavelake.llm import mixing, packing, quality, queries, simhash, suffix_dedup
-from wavelake.session import scratch_path
+from wavelake.session import drop_scratch, recorded_scratch, scratch_path
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+_HELD: dict[str, list[str]] = {}   # tables of the last stage, by application
+
+
+def _stage(fn: Stage) -> Stage:
+    @wraps(fn)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        held = _HELD.setdefault(spark.sparkContext.applicationId, [])
+        if held:
+            read = docs.inputFiles()
+            for path in [p for p in held if not any(p in f for f in read)]:
+                drop_scratch(spark, path)
+                held.remove(path)
+        with recorded_scratch() as made:
+            out = fn(spark, docs, sf_dir)
+        held += made
+        return out
+
+    return run_stage
 
 
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that break the base limits or lie far from their language
     and source go."""
     return quality.keep_quality(docs)
 
 
+@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays."""
     return simhash.drop_near_duplicates(docs)
 
 
+@_stage
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes covered by a 100-byte string that starts earlier are cut out."""
     return suffix_dedup.remove_repeats(docs)
 
 
+@_stage
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated, or left out, as their source's target asks."""
     return mixing.apply_mix(docs)
 
 
+@_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of at most 2048 ids: one row per piece with its place
     and its ids."""
