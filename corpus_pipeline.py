@@ -13,6 +13,7 @@ go through; what becomes of them in a stage stands in its operator's module.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 from functools import wraps
 
@@ -32,7 +33,8 @@ def _stage(fn: Stage) -> Stage:
         held = _HELD.setdefault(spark.sparkContext.applicationId, [])
         if held:
             read = docs.inputFiles()
-            for path in [p for p in held if not any(p in f for f in read)]:
+            # a table's folder has a name of its own, however its path is written
+            for path in [p for p in held if not any(os.path.basename(p) in f for f in read)]:
                 drop_scratch(spark, path)
                 held.remove(path)
         with recorded_scratch() as made:
