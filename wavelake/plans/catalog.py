@@ -56,10 +56,12 @@ def query(name: str, oracle: str | None = None):
 
 
 def queries() -> dict[str, QueryFn]:
+    from wavelake.plans import series_catalog  # noqa: F401 - registers its queries here
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_ORACLES)
 
 
