@@ -5,15 +5,13 @@ the pairs that the composition *vocabulary acceptor . one-edit transducer .
 vocabulary acceptor* accepts.  The composition is partitioned by its initial
 states, so that no task holds the vocabulary:
 
-* A pair shares its first two code points, or else (the edit is among those)
-  a suffix of all but two.  Words are therefore dealt by their first two code
-  points, and once more by their last three; the pairs of the second dealing
-  are those whose edit is in front.
+* For each length of the longer word, a pair shares that length's first half,
+  or else (the edit is in front) its second half.  Words are dealt by either
+  half, once for the lengths that they can have in a pair: a group per half.
 * A group with more than ``GROUP_WORDS`` words or ``GROUP_CHARS`` characters is
-  dealt again.  For each length of the longer word, its pairs share the first
-  half of what is left between the group's common prefix and suffix, or else
-  the second half: a group per half.  What is left halves each time, down to
-  one code point, where a group cannot exceed the alphabet.
+  dealt again by the halves of what is left between the group's common prefix
+  and suffix.  What is left halves each time, down to one code point, where a
+  group cannot exceed the alphabet.
 
 Within a group the minimal acceptor of the remaining parts is built (states
 with equal futures are one state), and composed along its paths: at every state
@@ -259,19 +257,6 @@ class Acceptor:
                     stack.append((after_c, done + c))
 
 
-def _first_groups(words: DataFrame, min_length: int) -> DataFrame:
-    """Words by their first two code points, and by their last ones."""
-    length = F.length("word")
-    whole = 1 << 30
-    tail = min(3, min_length - 2)
-    groups = F.array(
-        F.struct(F.substring("word", 1, 2).alias("a"), F.lit("").alias("b"),
-                 F.lit(whole).alias("below"), F.lit(0).alias("longest")),
-        F.struct(F.lit("").alias("a"), F.substring(F.col("word"), length - (tail - 1), F.lit(tail)).alias("b"),
-                 F.lit(2).alias("below"), F.lit(0).alias("longest")))
-    return words.select("word", "n", F.explode(groups).alias("g")).select("word", "n", "g.*")
-
-
 def _rest() -> Column:
     """Code points of a word between its group's prefix and suffix."""
     return F.length("word") - F.length("a") - F.length("b")
@@ -342,9 +327,11 @@ def _best_of(pairs: Iterator[tuple[str, str, int]]) -> Iterator[tuple[str, str,
 def _composed_groups(words: DataFrame, min_length: int, group_words: int,
                      group_chars: int) -> DataFrame:
     """Members (``word, n`` and their group) of all groups, dealt by group."""
-    if min_length < 3:
-        raise ValueError("words need three code points at least")
-    members, ready = _first_groups(words, min_length), None
+    if min_length < 2:
+        raise ValueError("words need two code points at least")
+    everything = words.select("word", "n", F.lit("").alias("a"), F.lit("").alias("b"),
+                              F.lit(1 << 30).alias("below"), F.lit(0).alias("longest"))
+    members, ready = _halved(everything), None
     while True:
         sizes = (members.groupBy(*_GROUP)
                  .agg(F.count(F.lit(1)).alias("words"), F.sum(_rest()).alias("chars"),
