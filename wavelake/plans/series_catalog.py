@@ -11,6 +11,7 @@ from wavelake.functions.time import epoch_micros
 from wavelake.operators.asof import asof_join
 from wavelake.operators.intervals import interval_join
 from wavelake.operators.scan import FIRST, LAST, MAX, MIN, SUM, neighbours, over_rows, running
+from wavelake.operators.spectra import averaged_spectrum, periodogram, resample, series_dft
 from wavelake.plans.catalog import query
 from wavelake.plans.tables import table
 
@@ -165,3 +166,99 @@ def q_interval_points(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id", "user_id", at.alias("lo"), (at + 86_400_000_000).alias("hi"))
     return interval_join(points, days, ("at", "at"), ("lo", "hi"), by=["user_id"]).select(
         "event_id", "right_event_id")
+
+
+# ------------------------------------------------------------------ spectra
+@query("series_dft", oracle="""
+WITH s AS (SELECT event_type, value AS x, row_number() OVER w - 1 AS n, count(*) OVER (PARTITION BY event_type) AS m
+           FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)),
+p AS (SELECT event_type, CAST(2 ** ceil(log2(max(m))) AS BIGINT) AS n_points FROM s GROUP BY event_type),
+k AS (SELECT event_type, n_points, unnest(range(0, n_points // 2 + 1)) AS bin FROM p),
+t AS (SELECT k.event_type, k.n_points, k.bin,
+             sum(x * cos(2 * pi() * ((bin * n) % n_points) / n_points)) AS re,
+             -sum(x * sin(2 * pi() * ((bin * n) % n_points) / n_points)) AS im
+      FROM k JOIN s USING (event_type) GROUP BY ALL)
+SELECT event_type, n_points, bin, CAST(bin AS DOUBLE) * 1000.0::DOUBLE / CAST(n_points AS DOUBLE) AS frequency_hz,
+       round(re, 2) + 0.0 AS re, round(im, 2) + 0.0 AS im
+FROM t
+""")
+def q_series_dft(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X1 over whole series: the transform of each event type's samples, in
+    blocks far smaller than a series."""
+    out = series_dft(table(spark, sf_dir, "events"), "value", ["ts", "event_id"], series=["event_type"],
+                     block_points=1 << 10)
+    return out.select("event_type", "n_points", "bin", "frequency_hz",
+                      (F.round("re", 2) + 0.0).alias("re"), (F.round("im", 2) + 0.0).alias("im"))
+
+
+@query("averaged_spectrum", oracle="""
+WITH s AS (SELECT value AS x, row_number() OVER (ORDER BY ts, event_id) - 1 AS n FROM events),
+f AS (SELECT frame, unnest(range(0, 256)) AS i FROM range((SELECT count(*) FROM events)) r(frame)
+      WHERE frame * 96 + 256 <= (SELECT count(*) FROM events)),
+d AS (SELECT f.frame, f.i, s.x * (0.5 - 0.5 * cos(2 * pi() * f.i / 256)) AS x
+      FROM f JOIN s ON s.n = f.frame * 96 + f.i),
+t AS (SELECT frame, bin, sum(x * cos(2 * pi() * ((bin * i) % 256) / 256)) AS re,
+             sum(x * sin(2 * pi() * ((bin * i) % 256) / 256)) AS im
+      FROM d, range(0, 129) b(bin) GROUP BY frame, bin)
+SELECT bin, CAST(bin AS DOUBLE) * 1000.0::DOUBLE / 256.0::DOUBLE AS frequency_hz, count(*) AS frames,
+       round(avg((re * re + im * im) * CASE WHEN bin IN (0, 128) THEN 1 ELSE 2 END / (1000.0 * 96.0)), 6) AS power
+FROM t GROUP BY bin
+""")
+def q_averaged_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X1 with overlapping Hann frames of the whole table, averaged."""
+    out = averaged_spectrum(table(spark, sf_dir, "events"), "value", ["ts", "event_id"], frame_size=256,
+                            hop=96, block_points=1 << 12)
+    return out.select("bin", "frequency_hz", "frames", F.round("power", 6).alias("power"))
+
+
+_MINUTE = 60_000_000
+
+
+@query("resampled_minutes", oracle=f"""
+WITH s AS (SELECT event_type, epoch_us(ts) AS t, value AS x, lead(epoch_us(ts)) OVER w AS t1, lead(value) OVER w AS x1
+           FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)),
+g AS (SELECT *, unnest(range((t + {_MINUTE} - 1) // {_MINUTE},
+                             CASE WHEN t1 IS NULL THEN t // {_MINUTE} + 1
+                                  ELSE (t1 + {_MINUTE} - 1) // {_MINUTE} END)) AS tick FROM s)
+SELECT event_type, tick, tick * {_MINUTE} AS time,
+       round(CASE WHEN tick * {_MINUTE} = t THEN x WHEN t1 - t > 30 * {_MINUTE} THEN NULL
+                  ELSE x + (x1 - x) * (CAST(tick * {_MINUTE} - t AS DOUBLE) / CAST(t1 - t AS DOUBLE)) END, 6) AS value,
+       tick * {_MINUTE} > t AND coalesce(t1 - t > 30 * {_MINUTE}, false) AS in_gap
+FROM g
+""")
+def q_resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T8 on the real clock: each event type's values at every full minute,
+    with gaps of over half an hour marked."""
+    events = table(spark, sf_dir, "events")
+    events = events.withColumn("us", epoch_micros(events, "ts"))
+    out = resample(events, "us", "value", _MINUTE, max_gap=30 * _MINUTE, series=["event_type"],
+                   order_ties=["event_id"], piece_points=20)
+    return out.withColumn("value", F.round("value", 6))
+
+
+_PER_DAY = [0.1 * k for k in range(1, 61)]
+
+
+@query("periodogram", oracle="""
+WITH s AS (SELECT event_type, CAST(epoch_us(ts) - 1704067200000000 AS DOUBLE) / 86400000000.0::DOUBLE AS t, value AS y
+           FROM events),
+f AS (SELECT k, 0.1::DOUBLE * k AS frequency FROM range(1, 61) r(k)),
+a AS (SELECT event_type, frequency, count(*) AS n, avg(y) AS y, avg(y * y) AS yy,
+             avg(cos(2 * pi() * frequency * t)) AS c, avg(sin(2 * pi() * frequency * t)) AS s,
+             avg(y * cos(2 * pi() * frequency * t)) AS yc, avg(y * sin(2 * pi() * frequency * t)) AS ys,
+             avg(cos(2 * pi() * frequency * t) ** 2) AS cc,
+             avg(cos(2 * pi() * frequency * t) * sin(2 * pi() * frequency * t)) AS cs
+      FROM s, f GROUP BY event_type, frequency),
+b AS (SELECT event_type, frequency, n, yy - y * y AS yy, yc - y * c AS yc, ys - y * s AS ys,
+             cc - c * c AS cc, cs - c * s AS cs, 1 - cc - s * s AS ss FROM a)
+SELECT event_type, frequency, n AS samples,
+       round((ss * yc * yc + cc * ys * ys - 2 * cs * yc * ys) / (yy * (cc * ss - cs * cs)), 7) AS power
+FROM b
+""")
+def q_periodogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X1 on irregular times: least-squares spectrum of each event type at 60
+    frequencies per day."""
+    events = table(spark, sf_dir, "events")
+    days = (epoch_micros(events, "ts") - F.lit(1_704_067_200_000_000)).cast("double") / F.lit(86_400_000_000.0)
+    out = periodogram(events, days, "value", _PER_DAY, series=["event_type"])
+    return out.withColumn("power", F.round("power", 7))
