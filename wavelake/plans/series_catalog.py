@@ -9,11 +9,17 @@ from pyspark.sql import functions as F
 
 from wavelake.functions.time import epoch_micros
 from wavelake.operators.asof import asof_join
+from wavelake.operators.automaton import run_automaton
 from wavelake.operators.intervals import interval_join
+from wavelake.operators.ordering import materialized
+from wavelake.operators.profile import (append_profiles, column_profiles, merge_profiles, profile_report,
+                                        read_profiles)
 from wavelake.operators.scan import FIRST, LAST, MAX, MIN, SUM, neighbours, over_rows, running
 from wavelake.operators.spectra import averaged_spectrum, periodogram, resample, series_dft
+from wavelake.plans import derived
 from wavelake.plans.catalog import query
 from wavelake.plans.tables import table
+from wavelake.session import scratch_path
 
 
 def _cents() -> Column:
@@ -262,3 +268,83 @@ def q_periodogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = (epoch_micros(events, "ts") - F.lit(1_704_067_200_000_000)).cast("double") / F.lit(86_400_000_000.0)
     out = periodogram(events, days, "value", _PER_DAY, series=["event_type"])
     return out.withColumn("power", F.round("power", 7))
+
+
+# ----------------------------------------------------------- line automaton
+_TURNS = """
+SELECT event_id, value,
+       CASE WHEN value LIKE '[%' THEN 0 WHEN value LIKE 'timestamp%' THEN 1
+            WHEN value LIKE '  [WARN%' THEN 2 END AS symbol
+FROM lines"""
+
+
+@query("line_automaton", oracle=f"""
+WITH lines AS ({derived.EVENT_LINES_SQL}),
+s AS ({_TURNS}),
+g AS (SELECT *, count(*) FILTER (WHERE symbol IN (0, 2)) OVER (ORDER BY event_id) AS setters FROM s),
+h AS (SELECT *, first_value(CASE WHEN symbol = 2 THEN 2 ELSE 0 END) OVER p AS base,
+             count(*) FILTER (WHERE symbol = 1) OVER p AS steps
+      FROM g WINDOW p AS (PARTITION BY setters ORDER BY event_id
+                          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+a AS (SELECT event_id, CAST((base + steps) % 3 AS INTEGER) AS state_after FROM h)
+SELECT event_id, coalesce(lag(state_after) OVER (ORDER BY event_id), 0) AS state_before, state_after FROM a
+""")
+def q_line_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T4 with three states: log lines reset it, headers step through it, an
+    indented warning sets it."""
+    lines = derived.event_lines(table(spark, sf_dir, "events"))
+    symbol = (F.when(F.col("value").startswith("["), 0).when(F.col("value").startswith("timestamp"), 1)
+              .when(F.col("value").startswith("  [WARN"), 2))
+    out = run_automaton(lines, ["event_id"], symbol, [[0, 0, 0], [1, 2, 0], [2, 2, 2]])
+    return out.select("event_id", "state_before", "state_after")
+
+
+# ----------------------------------------------------------- column profile
+_PROFILED = ("event_id", "user_id", "event_type", "value", "props")
+
+
+def _exact_sql(c: str) -> str:
+    number = f"TRY_CAST({c} AS DOUBLE)"
+    return f"""
+SELECT '{c}' AS "column", count(*) AS rows, count(*) FILTER (WHERE {c} IS NULL) AS nulls, count({number}) AS numbers,
+       min({number}) AS lowest, max({number}) AS highest, true AS distinct_within, true AS quantiles_within,
+       coalesce((SELECT string_agg(v || '=' || n, ',' ORDER BY v) FROM (
+          SELECT {c}::VARCHAR AS v, count(*) AS n FROM sparse WHERE {c} IS NOT NULL GROUP BY 1
+          HAVING n >= 0.05 * (SELECT count(*) FROM sparse))), '') AS frequent
+FROM sparse"""
+
+
+@query("column_profile", oracle=f"""
+WITH sparse AS ({derived.SPARSE_EVENTS_SQL})
+{" UNION ALL ".join(map(_exact_sql, _PROFILED))}
+""")
+def q_column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1: profiles per task, stored per task folder and merged from there;
+    the estimates are compared with exact figures (2 % in rank, 5 % in number),
+    and values in at least a twentieth of the rows are listed."""
+    rows = derived.sparse_events(table(spark, sf_dir, "events"))
+    path = scratch_path(spark, "profiles")
+    task = F.coalesce(F.expr("event_id % 7"), F.lit(-1)).cast("string")
+    append_profiles(column_profiles(rows.withColumn("task_id", task), by=["task_id"]), path, "task_id")
+    quantiles = (0.1, 0.5, 0.9)
+    report = profile_report(merge_profiles(read_profiles(spark, path, "task_id")), quantiles)
+    report = materialized(report, "profile")
+    marks = {r["column"]: r["quantiles"] for r in report.select("column", "quantiles").collect()}  # a row a column
+
+    def exact(c: str) -> Column:
+        number = F.expr(f"try_cast({c} AS double)")
+        close = F.lit(True)
+        for q, mark in zip(quantiles, marks[c] or ()):
+            below = F.count_if(number < mark) / F.count(number)
+            upto = F.count_if(number <= mark) / F.count(number)
+            close = close & (below <= q + 0.02) & (upto >= q - 0.02)
+        return F.struct(F.lit(c).alias("of"), F.count_distinct(c).alias("number"), close.alias("quantiles_within"))
+
+    truth = rows.agg(F.array(*[exact(c) for c in _PROFILED]).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+    often = F.filter("frequent", lambda f: f["item"].isNotNull() & (f["count"] >= F.col("rows") * 0.05))
+    listed = F.array_join(F.array_sort(F.transform(
+        often, lambda f: F.concat(f["item"], F.lit("="), f["count"].cast("string")))), ",")
+    return report.join(truth, F.col("column") == F.col("of")).select(
+        "column", "rows", "nulls", "numbers", "lowest", "highest",
+        (F.abs(F.col("distinct") - F.col("number")) <= F.col("number") * 0.05 + 1).alias("distinct_within"),
+        "quantiles_within", listed.alias("frequent"))

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wavelake.operators.ordering import materialized
+
 CREATED_TIME = "created_time"
 MONTH_COL = "created_month"
 
@@ -82,11 +84,39 @@ def append_spectrum(df: DataFrame, path: str, extra_partitions: Sequence[str] =
      .partitionBy("result_id", *extra_partitions).parquet(path))
 
 
+SUMMARY_BUCKETS = 64
+_BUCKET_COL = "id_bucket"
+
+
+def _bucketed(df: DataFrame) -> DataFrame:
+    return df.withColumn(_BUCKET_COL, F.pmod(F.xxhash64("id"), F.lit(SUMMARY_BUCKETS)).cast("int"))
+
+
 def append_summary(df: DataFrame, path: str) -> None:
-    """K9: run-summary rows (small: one per result, which replaces an earlier
-    one of the same id)."""
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("id").parquet(path))
+    """K9: append run-summary rows to one table, in a bounded number of folders
+    (by a hash of the id) however many results there are.  Of the rows of one
+    id the latest counts, so a re-run replaces its result for readers."""
+    (_bucketed(df).sortWithinPartitions(_BUCKET_COL, "id").write.mode("append")
+     .partitionBy(_BUCKET_COL).parquet(path))
+
+
+def _latest(rows: DataFrame) -> DataFrame:
+    """The last written row per id (ties: the greatest text)."""
+    newest = F.max(F.struct(CREATED_TIME, "result", "status")).alias("r")
+    return rows.groupBy("id").agg(newest).select("id", "r.result", "r.status", f"r.{CREATED_TIME}")
+
+
+def compact_summaries(spark: SparkSession, path: str) -> None:
+    """Rewrite the summary table with the latest row of each id, one file a
+    folder: for tables that many small appends have made."""
+    kept = materialized(_latest(_read_summaries(spark, path)), "summaries")
+    (_bucketed(kept).repartition(SUMMARY_BUCKETS, _BUCKET_COL).sortWithinPartitions(_BUCKET_COL, "id")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(_BUCKET_COL).parquet(path))
+
+
+def _read_summaries(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(T.StructType([*SUMMARY_SCHEMA, T.StructField(_BUCKET_COL, T.IntegerType())])).parquet(path)
 
 
 def read_spectrum(spark: SparkSession, path: str, result_id: str | None = None,
@@ -103,8 +133,11 @@ def read_spectrum(spark: SparkSession, path: str, result_id: str | None = None,
 
 
 def read_summary(spark: SparkSession, path: str, result_id: str) -> DataFrame:
-    """K10: the summary of one result (empty frame = not found)."""
-    return spark.read.schema(SUMMARY_SCHEMA).parquet(path).filter(F.col("id") == result_id)
+    """K10: the summary of one result (empty frame = not found): one folder of
+    the table is read, and there the id filter reaches the scan."""
+    bucket = F.pmod(F.xxhash64(F.lit(result_id)), F.lit(SUMMARY_BUCKETS)).cast("int")
+    rows = _read_summaries(spark, path)
+    return _latest(rows.filter((F.col(_BUCKET_COL) == bucket) & (F.col("id") == result_id)))
 
 
 def find_summary(spark: SparkSession, path: str, result_id: str):
