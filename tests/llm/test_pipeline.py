@@ -74,3 +74,25 @@ def test_the_last_stage_gives_the_ids_of_every_sequence(spark):
     for places in held.values():
         places.sort()
         assert places[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(places, places[1:]))
+
+
+def test_stages_go_through_odd_tables(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, d int, _sh_id string, n int"
+    long = "a sentence of many words that goes on and on " * 20_000
+    prose = " ".join(f"word{i} goes with term{i * 7 % 31}" for i in range(60))
+    odd = [(1, None, None, None, None), (None, prose, None, "a", 1), (2, "", "en", "a", 0), (3, long, "en", "b", 2),
+           (4, prose + " more", "en", None, 3), (4, prose + " more", "en", None, 3), (5, prose, "en", "a", 4)]
+    for k, rows in enumerate(([], odd, odd * 3)):
+        docs = spark.createDataFrame([(*r, i, "x", 7) for i, r in enumerate(rows)], schema).repartition(3)
+        for name, stage in corpus_pipeline.STAGES:
+            stage(spark, docs, SF).write.parquet(f"{tmp_path}/{k}/{name}")
+            docs = spark.read.parquet(f"{tmp_path}/{k}/{name}")
+            assert name == "pack" or docs.columns == schema.replace(" long", "").replace(
+                " string", "").replace(" int", "").split(", ")
+        assert (docs.count() > 0) == bool(rows)
+
+
+def test_a_table_that_the_next_stage_reads_stays(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    first = corpus_pipeline.quality_rules(spark, docs, SF)      # not written in between
+    assert corpus_pipeline.near_dedup(spark, first, SF).count() > 0

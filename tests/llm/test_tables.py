@@ -290,6 +290,98 @@ def test_odd_markup(html, lines):
     assert region + opened == lines
 
 
+@pytest.mark.parametrize("inner, lines", [
+    ('<section class="related-work"><p>a</p></section><p>b</p>', ["a", "b"]),
+    ('<div class="social-history">a</div><p id="notice-period">b</p><p class="alert-success">c</p>', ["a", "b", "c"]),
+    ('<p class="related">a</p><table class="form"><tr><td class="search">b</td></tr></table>', ["a", "b"]),
+    ('<p>a</p><aside>note<p>b</p><p>c</p>', ["a", "b", "c"]),
+    ('<p>a</p><div class="ad">Buy<p>b</p><h2>c</h2>', ["a", "b", "c"]),
+    ('<section><p>a</p><aside>note</section><p>b</p>', ["a", "b"]),
+    ('<p>a</p><div class="ad">Buy<nav><p>x</p></nav><p>b</p>', ["a", "b"]),
+    ('<p>a</p><div class="ad"><div>Buy</div><p>x</p></div><p>b</p>', ["a", "b"]),
+    ('<p>a</p><aside><aside><p>x</p></aside><p>y</p></aside><p>b</p>', ["a", "b"]),
+    ('<p>a</p><div class="share-buttons">x</div><ul class="related posts"><li>x</ul><div id="comments">y</div>', ["a"]),
+    ('<p>a</p><article class="comment"><p>x</p></article><p>b</p>', ["a", "b"]),
+    ('<p>a</p></div></section><p>b</p>', ["a", "b"]),
+])
+def test_article_text_is_not_lost(inner, lines):
+    for page in ("<article>{}</article><footer>f</footer>", '<article class="form-factor social">{}</article>',
+                 "<div><main><article>{}</article></main></div><p>out</p>"):
+        assert html_extract.page_lines(page.format(inner))[0] == lines
+
+
+def _tree_lines(html):
+    """Lines of an article by a second route: the standard library's tag
+    events build a tree, which is walked."""
+    from html.parser import HTMLParser
+
+    class Tree(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.root = self.here = ["root", {}, [], None]
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "br":
+                self.here[2].append(" ")
+                return
+            node = [tag, dict(attrs), [], self.here]
+            self.here[2].append(node)
+            self.here = node
+
+        def handle_endtag(self, tag):
+            self.here = self.here[3]
+
+        def handle_data(self, data):
+            self.here[2].append(data)
+
+    tree = Tree()
+    tree.feed(html)
+    lines, buffer = [], []
+
+    def flush():
+        text = " ".join("".join(buffer).split())
+        buffer.clear()
+        if text:
+            lines.append(text)
+
+    def walk(node, inside):
+        tag, attrs, children, _ = node
+        if tag in ("nav", "aside", "footer", "form") or tag in ("div", "section", "ul") and attrs.get("class") in (
+                "ad", "share-bar", "comments"):
+            flush()
+            return
+        block = tag not in ("b", "i", "a", "span")
+        if block:
+            flush()
+        for child in children:
+            if isinstance(child, str):
+                if inside or tag == "article":
+                    buffer.append(child)
+            else:
+                walk(child, inside or tag == "article")
+        if block:
+            flush()
+
+    walk(tree.root, False)
+    return lines
+
+
+def test_random_balanced_pages_equal_a_tree_walk():
+    rng = random.Random(12)
+
+    def element(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return rng.choice(["word ", "a &amp; b ", " x\n y", "<br>", "&#233;t "])
+        tag = rng.choice(["div", "section", "ul", "b", "i", "a", "span", "nav", "aside", "footer", "blockquote"])
+        cls = rng.choice(["", "", ' class="ad"', ' class="related-work"', ' class="share-bar"', ' class="comments"'])
+        body = "".join(element(depth - 1) for _ in range(rng.randrange(4)))
+        return f"<{tag}{cls if tag in ('div', 'section', 'ul') else ''}>{body}</{tag}>"
+
+    for _ in range(400):
+        page = "<html><body><article>" + "".join(element(4) for _ in range(5)) + "</article></body></html>"
+        assert html_extract.page_lines(page)[0] == _tree_lines(page), page
+
+
 def test_unclosed_menu_before_an_article():
     assert html_extract.page_lines("<nav><a>m</a><article><p>t</p></article>")[0] == ["t"]
 

@@ -25,7 +25,8 @@
 
 Defined cases: null html is empty (empty text); null url is a host of its own;
 a page whose host has no other line list keeps its lines; truncated and
-unbalanced markup is read as far as it goes; an empty table gives an empty
+unbalanced markup is read as far as it goes (an element left open ends with the
+one around it); an empty table gives an empty
 result; extra columns are ignored.
 """
 
@@ -58,13 +59,21 @@ _REGION = frozenset(("article", "main"))
 _PROSE = frozenset(
     "p h1 h2 h3 h4 h5 h6 blockquote pre dd dt td th figcaption caption".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-_HINTED = frozenset("div section ul ol dl p span table td header article details figure a".split())
+# containers whose class, id and role words count; in a region, these only
+_CONTAINERS = frozenset("div section ul ol dl header details".split())
+_HINTED = _CONTAINERS | frozenset("p span table td article main figure a".split())
 _HINT = re.compile(
-    r"(?<![a-z])(?:ads?|advert\w*|advertisement|banner|sponsor\w*|promo\w*|side-?bar|menu|nav"
-    r"|navbar|navigation|breadcrumbs?|footer|masthead|site-?header|page-?header|cookies?"
-    r"|consent|gdpr|notice|alert|popup|modal|newsletter|subscribe|subscription|share|sharing"
-    r"|social|related|recommended|comments?|comment-\w+|disqus|respond|replies|widget|toolbar"
-    r"|pagination|pager|copyright|search|login|signup|form)(?![a-z])")
+    r"ads?|advert\w*|banner|sponsor\w*|promo\w*|sidebar|menu|nav|navbar|navigation|breadcrumbs?"
+    r"|footer|masthead|cookies?|consent|gdpr|notice|alert|popup|modal|newsletter|subscribe"
+    r"|subscription|share|sharing|social|related|recommended|comments?|disqus|respond|replies"
+    r"|widgets?|toolbar|pagination|pager|copyright|search|login|signup|form")
+_COMMENT = re.compile(r"comments?|disqus|respond|replies")
+# words that say where or how something stands, not what it is
+_PLACE = re.compile(
+    r"main|site|page|top|bottom|left|right|side|upper|lower|inner|outer|primary|secondary|global|mobile"
+    r"|desktop|sticky|box|block|list|items?|links?|bar|bars|buttons?|icons?|wrapper|wrap|container|area"
+    r"|section|group|panel|unit|slot|posts|articles|stories|header|body|content|text|meta|author|reply"
+    r"|thread|tree|\d+")
 _ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 
 _RAW = "script|style|noscript|template|textarea|title|xmp"
@@ -76,11 +85,19 @@ _MARKUP = re.compile(
     r"|</?[a-z][^<>]*(?:>|$)", re.I | re.S)
 
 
-def _hinted(attributes: str) -> bool:
+def _hinted(attributes: str, hint: re.Pattern = _HINT) -> bool:
+    """Whether a class, id or role says that the element is no article text:
+    every part of one of its words is a hint or tells a place ("ad",
+    "share-buttons", but not "related-work")."""
     if "=" not in attributes:
         return False
-    return any(_HINT.search((a or b or c).lower())
-               for a, b, c in _ATTRIBUTE.findall(attributes))
+    for value in _ATTRIBUTE.findall(attributes):
+        for word in "".join(value).lower().split():
+            parts = [part for part in re.split(r"[-_]+", word) if part]
+            if (any(map(hint.fullmatch, parts))
+                    and all(hint.fullmatch(part) or _PLACE.fullmatch(part) for part in parts)):
+                return True
+    return False
 
 
 # elements that a sibling of the same name ends
@@ -88,71 +105,137 @@ _SINGLE = frozenset("li dd dt td th tr option h1 h2 h3 h4 h5 h6".split())
 OPEN, SITE, PROSE = 0, 1, 2  # outside a region; in one, in a container or in a text element
 
 
+class _Open:
+    """Names of the elements that are open, outermost first."""
+
+    def __init__(self):
+        self.names: list[str] = []
+        self.regions: list[int] = []   # places of article regions
+
+    def begin(self, name: str) -> None:
+        inner = self.inner()
+        if inner and inner[-1] == "p":  # any block ends a paragraph
+            self.names.pop()
+            inner = inner[:-1]
+        if inner and inner[-1] == name and name in _SINGLE:
+            self.names.pop()
+        if name in _REGION:
+            self.regions.append(len(self.names))
+        self.names.append(name)
+
+    def inner(self) -> list[str]:
+        """Those within the innermost region."""
+        return self.names[self.regions[-1] + 1:] if self.regions else self.names
+
+    def holds(self, name: str) -> bool:
+        """Whether an end tag of ``name`` ends anything: a stray one does not
+        reach out of an article region."""
+        return name in self.names[self.regions[-1]:] if self.regions else name in self.names
+
+    def end(self, name: str) -> None:
+        if self.holds(name):
+            while self.names.pop() != name:
+                pass
+            while self.regions and self.regions[-1] >= len(self.names):
+                self.regions.pop()
+
+
+def _left_out(name: str, attributes: str, opened: _Open) -> bool:
+    """Whether an element's text is not the article's."""
+    if name in _REGION:   # classes of an article name its topic; comments are articles, too
+        return _hinted(attributes, _HINT if opened.regions else _COMMENT)
+    if name in _LEFT_OUT or name == "header" and not opened.regions:
+        return True
+    return name in (_CONTAINERS if opened.regions else _HINTED) and _hinted(attributes)
+
+
 def page_blocks(html: str | None) -> list[tuple[str, int]]:
     """(line, kind) of a page in page order: decoded text per block, white
-    space made single, empty blocks dropped."""
+    space made single, empty blocks dropped.
+
+    An element that is left out ends with its own end tag.  If an element
+    around it ends first, it was left open: of what stood in it, text elements
+    of an article are kept after all."""
     blocks: list[tuple[str, int]] = []
     if not html:
         return blocks
     buffer: list[str] = []
-    inside: list[str] = []  # blocks open within the region
-    depth = 0            # of article regions
-    skip, skip_depth = "", 0
+    opened = _Open()
+    skip: list[str] = []          # the element being left out, and those open in it
+    out = 0                       # place of the first one in it that is left out itself
+    doubtful: list[tuple[str, int]] = []
     at = 0
 
     def flush() -> None:
         line = " ".join(html_lib.unescape("".join(buffer)).split())
         buffer.clear()
-        if line:
-            kind = OPEN if not depth else PROSE if not _PROSE.isdisjoint(inside) else SITE
-            blocks.append((line, kind))
+        if not line:
+            return
+        if skip:   # text elements directly in it may be the article's
+            if opened.regions and not _PROSE.isdisjoint(skip[1:]) and not out:
+                doubtful.append((line, PROSE))
+            return
+        kind = OPEN if not opened.regions else SITE if _PROSE.isdisjoint(opened.inner()) else PROSE
+        blocks.append((line, kind))
 
     for m in _MARKUP.finditer(html):
         start, end = m.span()
-        if not skip and start > at:
+        if start > at:
             buffer.append(html[at:start])
         at = end
         name = m[3]
         if name is None:
             continue
-        name = name.lower()
-        closing = bool(m[2])
-        if skip:
-            if not closing and name in _REGION and not depth and not _hinted(m[4]):
-                skip = ""       # an article begins: the element before was left open
-            else:
-                if name == skip and name not in _VOID:
-                    skip_depth += -1 if closing else 1
-                    if not skip_depth:
-                        skip = ""
-                continue
+        name, closing, attributes = m[3].lower(), bool(m[2]), m[4]
+        block = name in _BLOCKS or name in _LEFT_OUT
         if name == "br":
             buffer.append(" ")
             continue
-        if name not in _BLOCKS and name not in _LEFT_OUT:
-            if not closing and name in _HINTED and not m[4].endswith("/") and _hinted(m[4]):
-                skip, skip_depth = name, 1
-            continue
-        flush()
-        if closing:
-            if name in _REGION and depth:
-                depth -= 1
-                if not depth:
-                    inside.clear()
-            elif name in inside:
-                while inside.pop() != name:
+        if skip:
+            if not closing and name in _REGION and not opened.regions and not _hinted(attributes, _COMMENT):
+                buffer.clear()   # an article begins: the element before was left open
+                skip.clear()
+                doubtful.clear()
+                out = 0
+            elif closing and name in skip:
+                flush()
+                while skip.pop() != name:
                     pass
-        elif (name in _LEFT_OUT or (name == "header" and not depth)
-              or (name in _HINTED and _hinted(m[4]))):
-            skip, skip_depth = name, 1
-        elif name in _REGION:
-            depth += 1
-        elif depth and name not in _VOID:
-            if inside and inside[-1] == "p":  # any block ends a paragraph
-                inside.pop()
-            if inside and inside[-1] == name and name in _SINGLE:
-                inside.pop()
-            inside.append(name)
+                out = out if out < len(skip) else 0
+                if not skip:
+                    doubtful.clear()
+                continue
+            elif closing and block and opened.holds(name):
+                flush()
+                skip.clear()
+                blocks += doubtful
+                doubtful.clear()
+                out = 0
+            else:
+                if block and name not in _VOID or name == skip[0]:
+                    flush()
+                    if not closing:
+                        if skip[-1] == "p" and block:
+                            skip.pop()
+                        if len(skip) > 1 and skip[-1] == name and name in _SINGLE:
+                            skip.pop()
+                        if not out and _left_out(name, attributes, opened):
+                            out = len(skip)
+                        skip.append(name)
+                continue
+        if not block and name not in _HINTED:
+            continue
+        if not closing and not attributes.endswith("/") and name not in _VOID and _left_out(
+                name, attributes, opened):
+            flush()
+            skip.append(name)
+            out = 0
+        elif block:
+            flush()
+            if closing:
+                opened.end(name)
+            elif name not in _VOID:
+                opened.begin(name)
     if not skip and at < len(html):
         buffer.append(html[at:])
     flush()
