@@ -42,6 +42,46 @@ def test_mixed_documents_name_both_languages(spark):
     assert [langs[i] for i in np.flatnonzero(shares[1])] == ["fr"]
 
 
+@pytest.mark.parametrize("size", [3, 50, 1 << 20])
+def test_blocks_of_a_long_text_add_up(spark, size):
+    rng = np.random.default_rng(size)
+    logp = np.log(rng.dirichlet(np.ones(langid.BUCKETS), 5).T + 1e-9).astype(np.float32)
+    pick = random.Random(size)
+    texts = ["", "12 ..", "x", " Straße 世界世界世界 abc", "wordwithoutend" * 40] + [
+        " ".join("".join(pick.choice("abcdé") for _ in range(pick.randrange(1, 9))) for _ in range(200)) for _ in range(3)]
+    want, words = langid.mixtures(texts, logp)
+    for text, w, n in zip(texts, want, words):
+        got, found = langid.long_mixture(text, logp, size=size)
+        assert found == n and np.allclose(got, w, atol=1e-4)
+    shares, found = langid.bounded_mixtures(texts, logp, cells=5 * size)
+    assert (found == words).all() and np.allclose(shares, want, atol=1e-4)
+
+
+def _peak_mb(code):
+    """Peak resident memory of a fresh process that runs ``code``."""
+    import subprocess
+    import sys
+
+    run = subprocess.run([sys.executable, "-c", "import resource, sys; sys.path.insert(0, '/root/repo')\n" + code
+                          + "\nprint(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)"],
+                         capture_output=True, text=True, timeout=300)
+    assert run.returncode == 0, run.stderr[-500:]
+    return int(run.stdout.split()[-1])
+
+
+@pytest.mark.parametrize("text", ["'ab' * 2_000_000", "' '.join(map(str, range(10**6, 10**6 + 600_000)))"])
+def test_any_one_text_takes_bounded_memory(text):
+    assert _peak_mb(f"""
+from wavelake.llm.trie_counts import ForwardTrie, rank_scores
+words, tokens = ForwardTrie(rank_scores(["a", "b", "ab", "1", "12"])).count({text})
+assert tokens >= 600_000""") < 600
+    assert _peak_mb(f"""
+import numpy as np
+from wavelake.llm import langid
+logp = np.log(np.random.default_rng(1).random((langid.BUCKETS, 30)) + .1).astype(np.float32)
+assert len(langid.bounded_mixtures(["short text", {text}], logp, cells=4 << 20)[0]) == 2""") < 600
+
+
 def test_mixture_shares_match_plain_em():
     rng = np.random.default_rng(2)
     logp = np.log(rng.dirichlet(np.ones(langid.BUCKETS), 3).T + 1e-9).astype(np.float32)
@@ -280,6 +320,20 @@ def test_trie_counts_match_single_words(spark, max_nodes):
     assert trie_counts.token_counts(docs.limit(0), scores).count() == 0
 
 
+@pytest.mark.parametrize("limit", [1, 3, 1000])
+def test_long_texts_and_tokens_count_the_same(monkeypatch, limit):
+    rng = random.Random(limit)
+    scores = trie_counts.rank_scores(["▁", "a", "b", "ab", "▁ab", "ba", "aba", "abab"])
+    text = " ".join("".join(rng.choice("ab世") for _ in range(rng.randrange(1, 12))) for _ in range(80))
+    want = (80, sum(_best_segmentation(w, scores) for w in text.split()))
+    monkeypatch.setattr(trie_counts, "_SLICE", limit)
+    monkeypatch.setattr(trie_counts, "LONG_TOKEN", limit)
+    for max_nodes in (1, 30, 10_000):
+        trie = trie_counts.ForwardTrie(scores, max_nodes)
+        assert trie.count(text) == trie.count(text) == want
+        assert len(trie.best) <= max_nodes + 14
+
+
 def test_prefixes_are_scored_once():
     trie = trie_counts.ForwardTrie(trie_counts.rank_scores(["▁", "a", "b"]))
     trie.count("abab abab ababb aba")

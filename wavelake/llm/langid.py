@@ -13,7 +13,10 @@ Bayesian information criterion, times ``penalty``).  The language with the
 largest share is the prediction, that share its score.
 
 The model holds ``BUCKETS`` floats per learned language and is the only thing
-broadcast.
+broadcast.  Arrays are bounded by ``_CELLS`` numbers: short texts are handled
+together, as many as fit (fewer the more languages there are), and a text that
+does not fit is read again, block by block, for every round, whose sums over the
+words add up.
 
 Defined cases: null text or text without a letter gives ``und`` with score 0;
 so does every text when no labelled document exists.  A null doc_id counts as
@@ -40,6 +43,7 @@ EM_ROUNDS = 8
 REFIT_ROUNDS = 4
 UNKNOWN = "und"
 _SLICE_BYTES = 2 << 20
+_CELLS = 32 << 20   # trigrams times languages of an array
 _FLUSH_LANGUAGES = 64
 
 _BLANKED = np.arange(256, dtype=np.uint8)
@@ -175,6 +179,95 @@ def mixtures(texts: list[str], logp: np.ndarray, penalty: float = PENALTY
     return out, words
 
 
+def long_mixture(text: str, logp: np.ndarray, penalty: float = PENALTY,
+                 size: int = _SLICE_BYTES) -> tuple[np.ndarray, int]:
+    """(shares, words) of one text as :func:`mixtures` gives them, from arrays
+    for ``size`` of its bytes."""
+    n_langs = logp.shape[1]
+    data, _ = _stream([text])
+
+    def likelihoods() -> Iterator[np.ndarray]:
+        """Scaled log-likelihoods, word by language, block by block; a word
+        that goes on in the next block is held back."""
+        held = None
+        for i in range(1, len(data) - 1, size):
+            block = data[i - 1:min(i + size, len(data) - 1) + 1]
+            codes, at = _trigrams(block)
+            if not len(at):
+                continue
+            begins = np.flatnonzero(block[at - 1] == 32)
+            anew = len(begins) > 0 and begins[0] == 0
+            like = np.add.reduceat(logp[codes], begins if anew else [0, *begins], axis=0)
+            if held is not None:
+                if anew:
+                    yield held - held.max(axis=1, keepdims=True)
+                else:
+                    like[0] += held[0]
+            held, like = like[-1:], like[:-1]
+            if len(like):
+                yield like - like.max(axis=1, keepdims=True)
+        if held is not None:
+            yield held - held.max(axis=1, keepdims=True)
+
+    def em(shares: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:
+        fit_score = 0.0
+        for _ in range(rounds):
+            mass, fit_score = np.zeros(n_langs), 0.0
+            for like in likelihoods():
+                weight = (np.exp(like) + np.float32(1e-30)) * shares.astype(np.float32)
+                total = weight.sum(axis=1)
+                mass += (weight / total[:, None]).sum(axis=0, dtype=np.float64)
+                fit_score += float(np.log(total, dtype=np.float64).sum())
+            shares = mass / n
+        return shares, fit_score
+
+    n, alone = 0, np.zeros(n_langs)
+    for like in likelihoods() if n_langs else ():
+        n += len(like)
+        alone += like.sum(axis=0, dtype=np.float64)
+    if not n:
+        return np.zeros(n_langs), 0
+    full, _ = em(np.full(n_langs, 1 / n_langs), EM_ROUNDS)
+    lead = int(alone.argmax())
+    rank = [lead, *[x for x in np.argsort(-full, kind="stable").tolist() if x != lead]]
+    best, score = np.eye(n_langs)[lead], float(alone.max())
+    cost = 0.5 * penalty * np.log(max(n, 2))
+    for k in range(2, n_langs + 1):
+        trial = np.zeros(n_langs)
+        trial[rank[:k]] = np.maximum(full[rank[:k]], 1e-4)
+        shares, fit_score = em(trial / trial.sum(), REFIT_ROUNDS)
+        if fit_score - cost * (k - 1) <= score:
+            break
+        best, score = shares, fit_score - cost * (k - 1)
+    return best, n
+
+
+def bounded_mixtures(texts: list[str], logp: np.ndarray, penalty: float = PENALTY,
+                     cells: int = _CELLS) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`mixtures` of texts of any number and length."""
+    size = max(1, cells // max(1, logp.shape[1]))   # bytes, at most a trigram each
+    out, words = np.zeros((len(texts), logp.shape[1])), np.zeros(len(texts), dtype=np.int64)
+    some: list[int] = []
+    held = 0
+
+    def finish() -> None:
+        if some:
+            out[some], words[some] = mixtures([texts[i] for i in some], logp, penalty)
+            some.clear()
+
+    for i, text in enumerate(texts):
+        if 4 * len(text) > size and len(text.lower().encode("utf-8", "surrogatepass")) > size:
+            out[i], words[i] = long_mixture(text, logp, penalty, max(1, size // 4))
+            continue
+        if held + 4 * len(text) > size:
+            finish()
+            held = 0
+        some.append(i)
+        held += 4 * len(text)
+    finish()
+    return out, words
+
+
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray],
             penalty: float = PENALTY) -> DataFrame:
     """``doc_id, lang_pred, score, langs, shares`` of every row of ``docs``:
@@ -187,7 +280,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray],
         for pdf in batches:
             for part in batches_of(pdf, "text", _SLICE_BYTES):
                 texts = [t if t and _has_letter(t) else "" for t in part["text"]]
-                shares, words = mixtures(texts, shared.value, penalty)
+                shares, words = bounded_mixtures(texts, shared.value, penalty)
                 known = words > 0
                 top = shares.argmax(axis=1) if len(names) else np.zeros(len(texts), int)
                 order = [[j for j in np.argsort(-s, kind="stable") if s[j] > 0] for s in shares]

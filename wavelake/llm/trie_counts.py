@@ -7,9 +7,12 @@ forward score of a node (the best segmentation of the prefix it spells) is
 computed once and serves every pre-token with that prefix, and a terminal
 stores its token count.  Documents then add up terminal counts.
 
-The trie is a task's own and is dropped between documents once it holds
-``max_nodes`` nodes, so memory is bounded and results do not depend on what shares a task; nothing is
-shuffled.  The vocabulary (tens of thousands of pieces) is the only broadcast.
+The trie is a task's own and is dropped, also within a document, once it holds
+``max_nodes`` nodes.  Long texts are read a slice at a time, and a pre-token of
+over ``LONG_TOKEN`` characters is scored in a rolling window without nodes, so
+memory is bounded whatever a text holds, and results do not depend on what
+shares a task.  Nothing is shuffled.  The vocabulary (tens of thousands of
+pieces) is the only broadcast.
 
 Defined cases: null, empty and blank text count 0; characters outside the
 vocabulary count one token per UTF-8 byte; repeated rows are counted each; an
@@ -19,6 +22,8 @@ empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -30,6 +35,9 @@ from wavelake.llm.common import map_rows
 WORD_MARK = "▁"
 BYTE_SCORE = -20.0  # log-probability of one byte of an unknown character
 MAX_NODES = 400_000
+LONG_TOKEN = 4096    # characters
+_SLICE = 1 << 20     # characters of a text that are split into words at a time
+_BLANK = re.compile(r"\s")
 
 
 def rank_scores(pieces: list[str]) -> dict[str, float]:
@@ -80,14 +88,57 @@ class ForwardTrie:
         self.terminal[word] = tokens[node]
         return tokens[node]
 
-    def count(self, text: str | None) -> tuple[int, int]:
-        """(pre-tokens, tokens) of a text."""
+    def rolling(self, word: str) -> int:
+        """As :meth:`insert`, keeping the scores of the last prefixes only."""
+        spelled, scores, longest = WORD_MARK + word, self.scores, self.longest
+        window = [(0.0, 0)]   # best score and tokens of the prefixes that a piece can follow
+        for d, ch in enumerate(spelled, 1):
+            n_bytes = len(ch.encode("utf-8", "surrogatepass"))
+            top, count = window[-1][0] + BYTE_SCORE * n_bytes, window[-1][1] + n_bytes
+            first = d - len(window)
+            for s in range(first, d):
+                score = scores.get(spelled[s:d])
+                if score is not None and window[s - first][0] + score > top:
+                    top, count = window[s - first][0] + score, window[s - first][1] + 1
+            window.append((top, count))
+            if len(window) > longest:
+                del window[0]
+        return window[-1][1]
+
+    def _tokens(self, word: str) -> int:
+        if len(word) > LONG_TOKEN:
+            return self.rolling(word)
         if len(self.best) > self.max_nodes:
             self.clear()
-        words = (text or "").split()
-        for word in set(words).difference(self.terminal):
-            self.insert(word)
-        return len(words), sum(map(self.terminal.__getitem__, words))
+        return self.insert(word)
+
+    def count(self, text: str | None) -> tuple[int, int]:
+        """(pre-tokens, tokens) of a text."""
+        n_words = n_tokens = 0
+        for words in map(str.split, _slices(text or "")):
+            new = set(words).difference(self.terminal)
+            n_words += len(words)
+            if len(self.best) + sum(map(len, new)) + len(new) <= self.max_nodes:
+                for word in new:
+                    self.insert(word)
+                n_tokens += sum(map(self.terminal.__getitem__, words))
+            else:   # the trie may be dropped between any two words
+                for word, n in Counter(words).items():
+                    known = self.terminal.get(word)
+                    n_tokens += n * (self._tokens(word) if known is None else known)
+        return n_words, n_tokens
+
+
+def _slices(text: str) -> Iterator[str]:
+    """The text in pieces that end at white space."""
+    start = 0
+    while len(text) - start > _SLICE:
+        m = _BLANK.search(text, start + _SLICE)
+        if m is None:
+            break
+        yield text[start:m.start()]
+        start = m.end()
+    yield text[start:]
 
 
 def token_counts(docs: DataFrame, scores: dict[str, float],
