@@ -92,3 +92,29 @@ def test_summaries_of_many_results_share_folders(spark, tmp_dir):
     compact_summaries(spark, path)
     assert len(spark.read.parquet(path).inputFiles()) <= 64 and spark.read.parquet(path).count() == 3000
     assert find_summary(spark, path, "17").result == "second" and find_summary(spark, path, "zzz") is None
+
+
+def test_range_lookups_read_few_files(spark, tmp_dir):
+    from wavelake.sinks.interleaved import append_interleaved, read_ranges
+
+    rng = random.Random(8)
+    rows = [(int(rng.expovariate(0.001)) if i % 3 else 7, rng.random() * 100 if i % 50 else None, f"r{i}")
+            for i in range(20_000)]
+    df = spark.createDataFrame(rows, "a long, b double, c string").repartition(7)
+    path = f"{tmp_dir}/z"
+    append_interleaved(df.filter("substr(c, -1) < '5'"), path, ["a", "b"], files=32)
+    append_interleaved(df.filter("substr(c, -1) >= '5'"), path, ["a", "b"], files=32)
+    sizes = [r["rows"] for r in spark.read.parquet(f"{path}/_ranges").collect()]
+    assert 50 <= len(sizes) <= 64 and sum(sizes) == 20_000 and max(sizes) < 1200     # a hot value is spread
+    for low, high in (((500, 900), (20.0, 30.0)), ((7, 7), (0.0, 5.0)), ((3000, None), (None, 50.0))):
+        found = read_ranges(spark, path, {"a": low, "b": high})
+        want = sorted(r for r in rows if (low[0] is None or r[0] >= low[0]) and (low[1] is None or r[0] <= low[1])
+                      and r[1] is not None and (high[0] is None or r[1] >= high[0])
+                      and (high[1] is None or r[1] <= high[1]))
+        assert sorted(map(tuple, found.collect())) == want and want
+        assert len(found.inputFiles()) < 0.4 * len(sizes)
+    one = read_ranges(spark, path, {"a": (500, 520), "b": (20.0, 22.0)})
+    assert len(one.inputFiles()) <= 0.15 * len(sizes)
+    assert read_ranges(spark, path, {"a": (-5, -1)}).collect() == []
+    with pytest.raises(ValueError):
+        append_interleaved(df, path, ["c"], 2)

@@ -4,6 +4,8 @@ as-of and interval joins, transforms of whole series.  Same rules as
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,7 @@ from wavelake.plans import derived
 from wavelake.plans.catalog import query
 from wavelake.plans.tables import table
 from wavelake.session import scratch_path
+from wavelake.sinks.interleaved import append_interleaved, read_ranges
 
 
 def _cents() -> Column:
@@ -348,3 +351,20 @@ def q_column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
         "column", "rows", "nulls", "numbers", "lowest", "highest",
         (F.abs(F.col("distinct") - F.col("number")) <= F.col("number") * 0.05 + 1).alias("distinct_within"),
         "quantiles_within", listed.alias("frequent"))
+
+
+# ------------------------------------------------------ lookup by ranges
+@query("range_lookup", oracle="""
+SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem
+WHERE l_shipdate BETWEEN TIMESTAMP '1997-01-01' AND TIMESTAMP '1997-06-30'
+  AND l_quantity BETWEEN 10 AND 20
+""")
+def q_range_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K4 + K10: a table landed by two columns at once, looked up by ranges of
+    both."""
+    path = scratch_path(spark, "interleaved")
+    lines = table(spark, sf_dir, "lineitem")
+    append_interleaved(lines, path, ["l_shipdate", "l_quantity"], files=32)
+    found = read_ranges(spark, path, {"l_shipdate": (dt.datetime(1997, 1, 1), dt.datetime(1997, 6, 30)),
+                                      "l_quantity": (10.0, 20.0)})
+    return found.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
