@@ -2,6 +2,9 @@
 mix and packing.  Each stage works on all its predecessor kept, written as
 Parquet; all but the last return the columns of ``documents``.
 
+Texts go to Python ``ROWS_PER_BATCH`` rows at a time (a setting of the session),
+which bounds what both sides hold of them.
+
 A stage's intermediate tables are deleted when the next one begins: its result
 has been written by then.  They stay if the next stage's input still reads
 them.
@@ -24,12 +27,17 @@ from wavelake.session import drop_scratch, recorded_scratch, scratch_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+ROWS_PER_BATCH = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _HELD: dict[str, list[str]] = {}   # tables of the last stage, by application
 
 
 def _stage(fn: Stage) -> Stage:
     @wraps(fn)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if not 0 < int(spark.conf.get(_BATCH)) <= ROWS_PER_BATCH:
+            spark.conf.set(_BATCH, str(ROWS_PER_BATCH))
         held = _HELD.setdefault(spark.sparkContext.applicationId, [])
         if held:
             read = docs.inputFiles()
