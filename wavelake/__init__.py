@@ -35,6 +35,20 @@ _EXPORTS = {
     "framed_dft": "wavelake.operators.dft",
     "minmax_scale": "wavelake.operators.scaling",
     "minmax_scale_narrow": "wavelake.operators.scaling",
+    "running": "wavelake.operators.scan",
+    "over_rows": "wavelake.operators.scan",
+    "neighbours": "wavelake.operators.scan",
+    "asof_join": "wavelake.operators.asof",
+    "interval_join": "wavelake.operators.intervals",
+    "series_dft": "wavelake.operators.spectra",
+    "frame_spectra": "wavelake.operators.spectra",
+    "averaged_spectrum": "wavelake.operators.spectra",
+    "resample": "wavelake.operators.spectra",
+    "periodogram": "wavelake.operators.spectra",
+    "run_automaton": "wavelake.operators.automaton",
+    "column_profiles": "wavelake.operators.profile",
+    "merge_profiles": "wavelake.operators.profile",
+    "profile_report": "wavelake.operators.profile",
     "quality_counts": "wavelake.operators.quality",
     "run_summary": "wavelake.operators.quality",
     "preview": "wavelake.operators.quality",
@@ -46,6 +60,8 @@ _EXPORTS = {
     # sinks and plans
     "sink_for": "wavelake.sinks.registry",
     "LakeSink": "wavelake.sinks.lake",
+    "append_interleaved": "wavelake.sinks.interleaved",
+    "read_ranges": "wavelake.sinks.interleaved",
     "ingest_csv": "wavelake.plans.ingest",
     "run_analysis": "wavelake.plans.analysis",
     "clean_log_stateless": "wavelake.plans.logs",
