@@ -92,12 +92,19 @@ class Ordering:
         return hilbert_keys(np.clip(cells, 0, (1 << CELL_BITS) - 1), CELL_BITS)
 
 
+def _stacked(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors).astype(np.float64, copy=False)
+
+
 # ------------------------------------------------------------------ points
 
 def usable_vectors(vectors: DataFrame) -> DataFrame:
-    """``vec_id, vec`` of the rows that take part, vectors in double."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"),
-                          F.col("embedding").cast("array<double>").alias("vec"))
+    """``vec_id, vec`` of the rows that take part.  Single-precision vectors
+    are stored as such (half the bytes of every ordering) and become double
+    where they are computed with."""
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(
+        kind if kind == "array<float>" else "array<double>").alias("vec"))
     finite = F.forall("vec", lambda v: v.isNotNull() & (F.abs(v) < float("inf")))
     rows = rows.filter(F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False))
                        & F.exists("vec", lambda v: v != 0))
@@ -122,7 +129,7 @@ def _spread(points: DataFrame) -> tuple[np.ndarray, float]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, total, square = 0, 0.0, 0.0
         for pdf in batches:
-            x = np.stack(pdf["vec"])
+            x = _stacked(pdf["vec"])
             n, total = n + len(x), total + x.sum(axis=0)
             square += float((x * x).sum())
         if n:
@@ -146,14 +153,15 @@ def curve_table(points: DataFrame, orderings: list[Ordering]) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            x = np.stack(pdf["vec"])
+            x = _stacked(pdf["vec"])
             for c, ordering in enumerate(orderings):
                 out = pdf.copy()
                 out["curve"], out["key"] = c, ordering.keys(x)
                 yield out[["curve", "key", "pid", "query", "vec"]]
 
+    kind = points.schema["vec"].dataType.simpleString()
     keyed = map_rows(points.select("pid", "query", "vec"), run,
-                     "curve int, key long, pid long, query boolean, vec array<double>")
+                     f"curve int, key long, pid long, query boolean, vec {kind}")
     return (keyed.repartitionByRange("curve", "key", "pid")
             .sortWithinPartitions("curve", "key", "pid"))
 
@@ -165,7 +173,7 @@ def window_candidates(table: DataFrame, k: int, window: int) -> DataFrame:
     def nearest(rows: pd.DataFrame, lo: int, hi: int) -> pd.DataFrame:
         """Queries among rows lo..hi-1, each against its window in ``rows``."""
         out = []
-        x, pid, curve = np.stack(rows["vec"]), rows["pid"].to_numpy(), rows["curve"].to_numpy()
+        x, pid, curve = _stacked(rows["vec"]), rows["pid"].to_numpy(), rows["curve"].to_numpy()
         for i in lo + np.flatnonzero(rows["query"].to_numpy()[lo:hi]):
             a, b = max(0, i - window), min(len(rows), i + window + 1)
             d = _distances(x[i], x[a:b])
@@ -229,7 +237,7 @@ def _block_pass(blocks: DataFrame, part: list, k: int) -> DataFrame:
         qid, q, bound = shared.value
         norm = (q * q).sum(axis=1)
         for pdf in batches:
-            pids, vecs = pdf["pid"].to_numpy(), np.stack(pdf["vec"])
+            pids, vecs = pdf["pid"].to_numpy(), _stacked(pdf["vec"])
             for s in range(0, len(pids), 1024):
                 pid, x = pids[s:s + 1024], vecs[s:s + 1024]
                 centre = x.mean(axis=0)
