@@ -18,6 +18,7 @@ _EXPORTS = {
     # sources
     "read_csv_strings": "wavelake.sources.csv",
     "read_lines": "wavelake.sources.text",
+    "read_gzip_lines": "wavelake.sources.gzip_lines",
     "read_query": "wavelake.sources.jdbc",
     "run_sql": "wavelake.sources.sql",
     "read_task_csv": "wavelake.sources.lake",

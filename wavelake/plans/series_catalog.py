@@ -23,6 +23,7 @@ from wavelake.plans.catalog import query
 from wavelake.plans.tables import table
 from wavelake.session import scratch_path
 from wavelake.sinks.interleaved import append_interleaved, read_ranges
+from wavelake.sources.gzip_lines import read_gzip_lines, write_gzip_members
 
 
 def _cents() -> Column:
@@ -368,3 +369,18 @@ def q_range_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = read_ranges(spark, path, {"l_shipdate": (dt.datetime(1997, 1, 1), dt.datetime(1997, 6, 30)),
                                       "l_quantity": (10.0, 20.0)})
     return found.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+
+
+# ------------------------------------------------- compressed logs in splits
+@query("gzip_members", oracle=f"""
+WITH lines AS ({derived.EVENT_LINES_SQL})
+SELECT value, count(*) AS times FROM lines GROUP BY value
+""")
+def q_gzip_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S2: compressed logs of several members each, read in splits far smaller
+    than a file."""
+    lines = derived.event_lines(table(spark, sf_dir, "events"))
+    path = scratch_path(spark, "gzip")
+    write_gzip_members(lines.repartitionByRange(4, "event_id").sortWithinPartitions("event_id"), path, 300)
+    return read_gzip_lines(spark, path, split_bytes=8 << 10).groupBy("value").agg(
+        F.count(F.lit(1)).alias("times"))
