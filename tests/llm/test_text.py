@@ -194,6 +194,44 @@ def test_every_license_sentence_allows_one_change_but_not_of_its_label(spark):
         assert got[i] == ({want[i]} if want[i] else set()), text
 
 
+def test_license_bodies_are_one_span_over_their_diagonals(spark):
+    rng = random.Random(21)
+    from wavelake.llm.license_texts import LICENSE_BODIES
+
+    rows, want = [], {}
+
+    def add(words, label, lead=7):
+        want[len(rows)] = (label, lead, len(words))
+        rows.append((len(rows), " ".join(f"w{i}" for i in range(lead)) + " " + " ".join(words) + " tail end"))
+
+    for body, label in LICENSE_BODIES.items():
+        words = license_scan.body_words(body)
+        add(words, label)
+        middle = len(words) // 2
+        add([*words[:middle], "acme", "corporation", "and", "its", "friends", *words[middle:]], label, lead=0)
+        add([*words[:middle], *words[middle + 4:]], label)
+        changed = list(words)
+        for _ in range(len(words) // 60):
+            i = rng.randrange(10, len(changed) - 10)
+            if rng.random() < 0.5:
+                changed.insert(i, "foo")
+            else:
+                del changed[i]
+        add(changed, label)
+        add(words[:len(words) // 2], None)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    bodies = set(LICENSE_BODIES.values())
+    for r in license_scan.license_scan(docs).collect():
+        label, lead, n = want[r["doc_id"]]
+        spans = [s for s in r["spans"] if s["label"] in bodies and s["end"] - s["start"] > 25]
+        if label is None:
+            assert not [s for s in spans if s["end"] - s["start"] > n] and not {"bsd-2-clause", "zlib", "isc"} & set(
+                r["labels"].split(","))
+            continue
+        assert [s["label"] for s in spans] == [label] and label in r["labels"].split(",")
+        assert lead <= spans[0]["start"] <= lead + 10 and lead + n - 10 <= spans[0]["end"] <= lead + n
+
+
 def test_license_empty_table(spark):
     assert license_scan.license_scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

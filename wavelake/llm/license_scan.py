@@ -11,12 +11,17 @@ each of its diagonals: at most ``max_drift`` words, and no more than a share
 none of them may be one of ``MARKS``, which tell labels apart.
 
 Base templates are short phrases that must stand consecutively (k is their
-length); each of their matches is a place.  The other templates are license
-sentences; the grams of a short one have fewer than k words, so that one of
-them survives every change that is allowed.  An unverified span's share, which
-only the score shows, is that of its k-grams.
+length); each of their matches is a place.  Others are license sentences; the
+grams of a short one have fewer than k words, so that one of them survives
+every change that is allowed.  An unverified span's share, which only the score
+shows, is that of its k-grams.
 
-The template table has a few hundred rows and is the only broadcast.  The
+The third kind are whole license bodies, in longer grams.  Between two of their
+diagonals up to ``BODY_DRIFT`` words may be inserted or dropped (a name, say),
+and a merged span is verified when ``BODY_SHARE`` of the body's grams stand on
+its diagonals.
+
+The template table has some thousand rows and is the only broadcast.  The
 document is scanned once: a sentinel k-gram that every document carries and
 that the template table holds brings documents without any match through the
 join, and each document's rows meet by a row number given in that one scan.
@@ -28,12 +33,14 @@ empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wavelake.llm.license_texts import LICENSE_BODIES
 from wavelake.session import ship_package
 
 # Phrases and their labels.
@@ -63,6 +70,9 @@ LICENSE_SENTENCES = {
 GRAM_WORDS = 3
 MIN_SHARE = 0.8
 MAX_DRIFT = 2  # words inserted or dropped between merged diagonals
+BODY_GRAM = 5
+BODY_DRIFT = 12
+BODY_SHARE = 0.75
 # Words that tell labels apart, besides numbers: they must stand as in the template.
 MARKS = frozenset(
     "mit apache bsd isc mozilla mpl gnu gpl lgpl agpl lesser library affero cc by nc sa nd attribution "
@@ -132,25 +142,33 @@ def _verifier(templates: dict[int, tuple[list[str], int]]):
     return verify
 
 
+def body_words(text: str) -> list[str]:
+    """Words of a license body by the rule for documents."""
+    return [w for w in re.split(_SEPARATORS, text.lower()) if w]
+
+
 def template_positions(spark: SparkSession, base: dict[str, str], sentences: dict[str, str],
-                       k: int, min_share: float = MIN_SHARE, max_drift: int = MAX_DRIFT) -> DataFrame:
-    """``h, tmpl, label, is_base, k, tpos, n_grams, size, gram`` per template k-gram."""
+                       bodies: dict[str, str], k: int, min_share: float = MIN_SHARE,
+                       max_drift: int = MAX_DRIFT) -> DataFrame:
+    """``h, tmpl, label, is_base, is_body, k, tpos, n_grams, size, gram`` per
+    template k-gram."""
     rows = []
-    for is_base, group in ((True, base), (False, sentences)):
+    for kind, group in (("base", base), ("sentence", sentences), ("body", bodies)):
         for phrase, label in group.items():
-            words = phrase.split()
-            size = len(words) if is_base else _gram_size(len(words), k, min_share, max_drift)
+            words = body_words(phrase) if kind == "body" else phrase.split()
+            size = {"base": len(words), "body": min(BODY_GRAM, len(words))}.get(
+                kind, _gram_size(len(words), k, min_share, max_drift))
             grams = _grams(words, size)
             number = len({r[0] for r in rows}) + 1
-            rows += [(number, label, is_base, size, i, len(grams), len(words), g)
+            rows += [(number, label, kind == "base", kind == "body", size, i, len(grams), len(words), g)
                      for i, g in enumerate(grams)]
     table = spark.createDataFrame(
-        rows, "tmpl int, label string, is_base boolean, k int, tpos int, n_grams int, "
+        rows, "tmpl int, label string, is_base boolean, is_body boolean, k int, tpos int, n_grams int, "
               "size int, gram array<string>")
     table = table.withColumn("h", F.xxhash64("gram"))
     first = spark.range(1).select(
         F.lit(_SENTINEL).alias("tmpl"), F.lit(None).cast("string").alias("label"),
-        F.lit(False).alias("is_base"), F.lit(0).alias("k"), F.lit(0).alias("tpos"),
+        F.lit(False).alias("is_base"), F.lit(False).alias("is_body"), F.lit(0).alias("k"), F.lit(0).alias("tpos"),
         F.lit(1).alias("n_grams"), F.lit(0).alias("size"), F.array().cast("array<string>").alias("gram"),
         F.lit(0).cast("long").alias("h"))
     return table.select(*first.columns).union(first)
@@ -170,12 +188,13 @@ def _rolling(k: int) -> Column:
 
 
 def diagonal_votes(docs: DataFrame, base: dict[str, str], sentences: dict[str, str],
-                   k: int, min_share: float = MIN_SHARE, max_drift: int = MAX_DRIFT) -> DataFrame:
+                   bodies: dict[str, str], k: int, min_share: float = MIN_SHARE,
+                   max_drift: int = MAX_DRIFT) -> DataFrame:
     """Votes per ``rid`` (row), template and diagonal, with the words ``near``
     a sentence's diagonal, from ``near_start`` on; the sentinel's row of each
     document carries its ``doc_id`` and ``n_words``."""
-    table = template_positions(docs.sparkSession, base, sentences, k, min_share, max_drift)
-    sizes = sorted({k, *(len(p.split()) for p in base),
+    table = template_positions(docs.sparkSession, base, sentences, bodies, k, min_share, max_drift)
+    sizes = sorted({k, *(len(p.split()) for p in base), *(min(BODY_GRAM, len(body_words(p))) for p in bodies),
                     *(_gram_size(len(p.split()), k, min_share, max_drift) for p in sentences)})
     words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), _SEPARATORS),
                      lambda w: w != "")
@@ -207,36 +226,41 @@ def diagonal_votes(docs: DataFrame, base: dict[str, str], sentences: dict[str, s
             .withColumn("diag", F.col("dpos") - F.col("tpos"))
             .withColumn("near_start", F.greatest(F.lit(0), F.col("diag") - max_drift))
             .withColumn("near", F.when(
-                ~F.col("is_base") & (F.col("tmpl") != _SENTINEL),
+                ~F.col("is_base") & ~F.col("is_body") & (F.col("tmpl") != _SENTINEL),
                 F.slice("words", F.col("near_start") + 1, F.col("diag") + F.col("size") + max_drift
                         - F.col("near_start")))))
     return hits.groupBy("rid", "tmpl", "diag").agg(
         F.first("label").alias("label"), F.first("is_base").alias("is_base"),
-        F.first("n_grams").alias("n_grams"), F.first("size").alias("size"),
+        F.first("is_body").alias("is_body"), F.first("n_grams").alias("n_grams"), F.first("size").alias("size"),
         F.first("near").alias("near"), F.first("near_start").alias("near_start"), F.max("doc_id").alias("doc_id"),
         F.max("n_words").alias("n_words"), F.count(F.lit(1)).alias("votes"),
         F.min("dpos").alias("start"), F.max(F.col("dpos") + F.col("k")).alias("end"))
 
 
 def license_scan(docs: DataFrame, base: dict[str, str] = BASE_PHRASES,
-                 sentences: dict[str, str] = LICENSE_SENTENCES, k: int = GRAM_WORDS,
-                 min_share: float = MIN_SHARE, max_drift: int = MAX_DRIFT) -> DataFrame:
+                 sentences: dict[str, str] = LICENSE_SENTENCES, bodies: dict[str, str] = LICENSE_BODIES,
+                 k: int = GRAM_WORDS, min_share: float = MIN_SHARE, max_drift: int = MAX_DRIFT) -> DataFrame:
     """Per row of ``docs``: ``doc_id, n_words, n_base, first_word, last_word,
     base_labels, labels, score`` and ``spans`` (label, start, end, share)."""
-    votes = diagonal_votes(docs, base, sentences, k, min_share, max_drift)
+    votes = diagonal_votes(docs, base, sentences, bodies, k, min_share, max_drift)
     templates = {len(base) + 1 + i: (p.split(), allowed_edits(len(p.split()), min_share, max_drift))
                  for i, p in enumerate(sentences)}
     ship_package(docs.sparkSession)
     votes = votes.withColumn("best", _verifier(templates)("tmpl", "near"))
-    along = Window.partitionBy("rid", "tmpl").orderBy("start", "diag")
+    # bodies repeat words of their own, which leave diagonals far from the
+    # body's: theirs are merged by distance, not in the order of their places
+    along = Window.partitionBy("rid", "tmpl").orderBy(
+        F.when(F.col("is_body"), F.col("diag")).otherwise(F.col("start")), "diag")
+    apart = F.col("diag") - F.lag("diag").over(along)
     # a diagonal opens a new span unless it follows its predecessor closely
-    follows = ((F.col("diag") - F.lag("diag").over(along)).between(-max_drift, max_drift)
-               & (F.col("start") - F.lag("end").over(along) <= max_drift) & ~F.col("is_base"))
+    follows = F.when(F.col("is_body"), apart <= BODY_DRIFT).otherwise(
+        apart.between(-max_drift, max_drift)
+        & (F.col("start") - F.lag("end").over(along) <= max_drift) & ~F.col("is_base"))
     spans = (votes.withColumn("opens", F.when(follows, 0).otherwise(1))
              .withColumn("span", F.sum("opens").over(along))
              .groupBy("rid", "tmpl", "span").agg(
                  F.first("label").alias("label"), F.first("is_base").alias("is_base"),
-                 F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"),
+                 F.first("is_body").alias("is_body"), F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"),
                  F.sum("votes").alias("votes"), F.min("start").alias("first"),
                  F.max("end").alias("last"), F.first("size").alias("size"),
                  F.least(F.lit(1.0), F.sum("votes") / F.first("n_grams")).alias("gram_share"),
@@ -247,7 +271,8 @@ def license_scan(docs: DataFrame, base: dict[str, str] = BASE_PHRASES,
                            "end": F.coalesce("best.end", "last"),
                            "share": F.coalesce(1 - F.col("best.edits") / F.col("size"), "gram_share")}))
     base_hit = F.col("is_base") & (F.col("tmpl") != _SENTINEL)
-    found = (F.col("tmpl") != _SENTINEL) & (base_hit | F.col("best").isNotNull())
+    whole = F.col("is_body") & (F.col("gram_share") >= BODY_SHARE)
+    found = (F.col("tmpl") != _SENTINEL) & (base_hit | whole | F.col("best").isNotNull())
 
     def names(which: Column) -> Column:
         return F.concat_ws(",", F.array_sort(F.collect_set(F.when(which, F.col("label")))))
