@@ -192,6 +192,33 @@ def test_interval_join_equals_all_pairs(spark, hot_rows, keyed):
     assert got == want and len(want) > 500
 
 
+@pytest.mark.parametrize("block_rows", [1, 4, 256])
+def test_interval_join_handles_blocks_of_points(spark, block_rows):
+    """The join makes a row per interval and block; its pairs come out of the blocks."""
+    rng = random.Random(block_rows)
+    rows = [(i, "k", lo, lo + rng.choice([0, 500, 4000])) for i, lo in
+            ((i, rng.choice([50, rng.randint(0, 5000)])) for i in range(400))]
+    df = spark.createDataFrame(rows, "i long, k string, lo long, hi long")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = interval_join(df, df, ("lo", "hi"), ("lo", "hi"), by=["k"], **({} if block_rows == 256 else
+                            {"hot_rows": 40, "block_rows": block_rows}))
+        got = sorted((r["i"], r["right_i"]) for r in out.collect())
+        joined, plans = 0, [out._jdf.queryExecution().executedPlan()]
+        while plans:
+            plan = plans.pop()
+            plans += [plan.children().apply(i) for i in range(plan.children().size())]
+            if plan.nodeName() == "SortMergeJoin":
+                joined += plan.metrics().get("numOutputRows").get().value()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert got == sorted((x[0], y[0]) for x in rows for y in rows if x[2] <= y[3] and y[2] <= x[3])
+    assert len(got) > 50_000
+    if block_rows == 256:
+        assert 0 < joined < len(got) / 10
+
+
 def test_interval_join_of_nothing(spark):
     df = spark.createDataFrame([(1, 2)], "lo long, hi long")
     assert interval_join(df, df.limit(0), ("lo", "hi"), ("lo", "hi")).collect() == []
