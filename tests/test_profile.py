@@ -118,3 +118,38 @@ def test_range_lookups_read_few_files(spark, tmp_dir):
     assert read_ranges(spark, path, {"a": (-5, -1)}).collect() == []
     with pytest.raises(ValueError):
         append_interleaved(df, path, ["c"], 2)
+
+
+def test_interleaved_keys_take_a_search_per_cell(spark):
+    """A row's key costs one search per cell, not one per bit and cell."""
+    from wavelake.sinks.interleaved import with_interleaved_key
+
+    df = spark.range(100).select(F.timestamp_seconds("id").alias("a"), (F.col("id") / 7).alias("b"))
+    plan = with_interleaved_key(df, ["a", "b"], "key")._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and plan.count("bucketizer_") == 2 and plan.count("unix_micros") <= 1
+
+
+def test_interleaved_keys(spark):
+    from wavelake.sinks.interleaved import with_interleaved_key
+
+    rng = random.Random(3)
+    odd = [None, float("nan"), float("-inf"), float("inf"), 0.0, 7.0]
+    rows = [(rng.choice(odd) if i % 4 == 0 else rng.gauss(0, 9), None, i % 3) for i in range(3000)]
+    df = spark.createDataFrame(rows, "x double, n double, i int")
+    got = with_interleaved_key(df, ["x", "n", "i"], "key", bits=4)
+    assert got.columns == ["x", "n", "i", "key"]
+
+    shares = [(i + 1) / 16 for i in range(15)]
+    bounds = df.agg(F.percentile_approx("x", shares, 10_000), F.percentile_approx(F.col("i").cast("double"), shares, 10_000)).first()
+
+    def place(value, marks):
+        if value is None:
+            return 0
+        return sum(value != value or m <= value for m in marks)
+
+    for r in got.collect():
+        want = 0
+        for j, (value, marks) in enumerate(((r["x"], bounds[0]), (None, []), (r["i"], bounds[1]))):
+            p = place(value, marks)
+            want |= sum(1 << (b * 3 + j) for b in range(4) if p >> b & 1)
+        assert r["key"] == want, r

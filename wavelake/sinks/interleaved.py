@@ -13,9 +13,12 @@ hash of the row, so one frequent value or key does not end in one file.
 
 from __future__ import annotations
 
+import bisect
+import math
 import uuid
 from collections.abc import Mapping, Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,37 +41,41 @@ def _measure(df: DataFrame, column: str) -> Column:
     raise ValueError(f"column {column!r} is no number or time: {kind.simpleString()}")
 
 
-def _place(value: Column, bounds: Sequence[float], bits: int) -> Column:
-    """Number of ``bounds`` (sorted, 2**bits - 1 of them) not above the value,
-    by halving; 0 for null."""
-    marks = F.array(*[F.lit(float(b)) for b in bounds])
-    steps = F.array(*[F.lit(1 << bit) for bit in reversed(range(bits))])
-    return F.aggregate(steps, F.lit(0), lambda place, step: place + F.when(
-        F.coalesce(value >= F.get(marks, place + step - 1), F.lit(False)), step).otherwise(0))
+def _spread(place: int, offset: int, stride: int) -> int:
+    """The bits of ``place``, ``stride`` apart from bit ``offset`` on."""
+    return sum(1 << (i * stride + offset) for i in range(place.bit_length()) if place >> i & 1)
+
+
+def _splits(bounds: Sequence[float]) -> tuple[list[float], list[int]]:
+    """Splits of a ``Bucketizer`` at the ``bounds`` (sorted), and every bucket's
+    place: the number of bounds not above its values.  The last bucket is that
+    of NaN, above all numbers."""
+    marks = sorted({b for b in bounds if math.isfinite(b)}) or [0.0]
+    first = bisect.bisect_right(bounds, -math.inf)
+    numbers = [b for b in bounds if not math.isnan(b)]
+    places = [first, *[bisect.bisect_right(numbers, m) for m in marks], len(bounds)]
+    return [-math.inf, *marks, math.inf], places
 
 
-def interleaved_key(df: DataFrame, columns: Sequence[str], bits: int = PLACE_BITS) -> Column:
-    """The key of ``df``'s rows: one aggregation finds the columns' quantiles
-    (``2**bits - 1`` numbers each, all that reaches the driver)."""
+def with_interleaved_key(df: DataFrame, columns: Sequence[str], name: str, bits: int = PLACE_BITS) -> DataFrame:
+    """``df`` with its rows' key as ``name``: one aggregation finds the columns'
+    quantiles (``2**bits - 1`` numbers each, all that reaches the driver), one
+    binary search per cell its place, and a table the place's spread bits."""
     if not columns or bits * len(columns) > 62:
         raise ValueError("the places of all columns must fit a long")
     shares = [(i + 1) / (1 << bits) for i in range((1 << bits) - 1)]
     found = df.agg(*[F.percentile_approx(_measure(df, c), shares, 10_000).alias(f"q{i}")
                      for i, c in enumerate(columns)]).first()
+    splits, places = zip(*[_splits(found[f"q{j}"] or []) for j in range(len(columns))])
+    measures, buckets = ([f"{name}_{kind}{j}" for j in range(len(columns))] for kind in ("measure", "bucket"))
+    measured = df.select("*", *[_measure(df, c).alias(m) for c, m in zip(columns, measures)])
+    rows = Bucketizer(splitsArray=[list(s) for s in splits], inputCols=measures, outputCols=buckets,
+                      handleInvalid="keep").transform(measured)
     key: Column = F.lit(0).cast("long")
-    for j, c in enumerate(columns):
-        place = _place(_measure(df, c), found[f"q{j}"] or [0.0] * len(shares), bits).cast("long")
-        key = key.bitwiseOR(_spread(place, j, len(columns), bits))
-    return key
-
-
-def _spread(place: Column, offset: int, stride: int, bits: int) -> Column:
-    """The bits of ``place``, ``stride`` apart from bit ``offset`` on."""
-    one = F.lit(1).cast("long")
-    return F.aggregate(
-        F.array(*[F.lit(i) for i in range(bits)]), F.lit(0).cast("long"),
-        lambda acc, i: acc.bitwiseOR(F.call_function(
-            "shiftleft", F.call_function("shiftright", place, i).bitwiseAND(one), i * stride + offset)))
+    for j, bucket in enumerate(buckets):
+        spread = F.array(*[F.lit(_spread(p, j, len(columns))).cast("long") for p in places[j]])
+        key = key.bitwiseOR(F.coalesce(F.get(spread, F.col(bucket).cast("int")), F.lit(0).cast("long")))
+    return rows.withColumn(name, key).drop(*measures, *buckets)
 
 
 def append_interleaved(df: DataFrame, path: str, columns: Sequence[str], files: int,
@@ -76,7 +83,7 @@ def append_interleaved(df: DataFrame, path: str, columns: Sequence[str], files:
     """Append ``df`` as about ``files`` files laid out by ``columns``, and note
     the files' ranges.  A batch becomes visible when its ranges are written."""
     spark, columns = df.sparkSession, list(columns)
-    keyed = df.withColumn("_wl_key", interleaved_key(df, columns, bits))
+    keyed = with_interleaved_key(df, columns, "_wl_key", bits)
     order = ["_wl_key", *columns, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])]
     batch = f"{path}/batch-{uuid.uuid4().hex}"
     (keyed.repartitionByRange(files, *order).sortWithinPartitions(*order).drop("_wl_key")
