@@ -7,6 +7,7 @@ import pytest
 
 from wavelake.operators.blocks import clean_blocks, file_blocks, ordered_blocks
 from wavelake.plans.logs import clean_log_stateful, clean_log_stateless
+from wavelake.session import recorded_scratch
 from wavelake.sources.text import read_lines
 
 from helpers import rows, sequential_blocks
@@ -161,3 +162,16 @@ def test_a_file_of_one_block_over_many_splits(spark, tmp_dir):
     finally:
         spark.conf.set(key, old)
     assert got == [(i, 1.5, 2.5) for i in range(3000)]
+
+
+def test_a_task_reads_many_small_splits(spark, tmp_dir):
+    files = _make_files(tmp_dir, n_files=8, n_lines=600)
+    with recorded_scratch() as made:
+        got = rows(clean_log_stateful(spark, tmp_dir, split_bytes=100))
+    assert got == sorted(sequential_blocks(files))
+    splits = sum(-(-os.path.getsize(os.path.join(tmp_dir, f)) // 100) for f in os.listdir(tmp_dir))
+    tasks = max(8, spark.sparkContext.defaultParallelism)
+    stage = spark.read.parquet(next(p for p in made if "blocks-" in p))
+    assert splits > 50 * tasks and stage.filter("_wl_end").count() > 0.5 * splits
+    assert len(stage.inputFiles()) < 3 * tasks
+    assert spark.conf.get("spark.sql.files.maxPartitionNum", None) is None

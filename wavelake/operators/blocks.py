@@ -38,7 +38,7 @@ from wavelake.functions.text import CLOSE_BLOCK, OPEN_BLOCK, block_marker, java_
 from wavelake.operators.clean import parse_fields_strict
 from wavelake.operators.ordering import materialized
 from wavelake.session import ship_package
-from wavelake.sources.text import FILE_COL, LINE_COL, SPLIT_COL
+from wavelake.sources.text import FILE_COL, LINE_COL, SPLIT_COL, file_splits
 
 _KEY = "_wl_key"
 _MARK = "_wl_marker"
@@ -104,15 +104,12 @@ def _resolve_splits(keys: Sequence[str], schema: pa.Schema):
                 fill = ~known & (split == number)
                 state = np.where(fill, last_state, state)
                 known = known | fill
-            for s in np.flatnonzero(starts):   # the split before has ended
-                if s == 0:
-                    if last_row is not None:
-                        yield end_row()
-                else:
-                    number = int(split[s - 1])
-                    last_row = rb.slice(s - 1, 1)
-                    last_state = int(state[s - 1]) if known[s - 1] else None
-                    yield end_row()
+            if starts[0] and last_row is not None:   # the split before has ended
+                yield end_row()
+            ends = np.flatnonzero(starts[1:])        # last rows of splits that end inside
+            if len(ends):
+                yield rows(rb.take(pa.array(ends)), base + split[ends],
+                           pa.array(state[ends].astype(np.int32), mask=~known[ends]), True)
             number, last_key, last_row = int(split[-1]), key[-1], rb.slice(n - 1, 1)
             last_state = int(state[-1]) if known[-1] else None
             keep = pa.array(~valid & (~known | (state == OPEN_BLOCK)))
@@ -128,13 +125,14 @@ def _resolve_splits(keys: Sequence[str], schema: pa.Schema):
 
 
 def segment_blocks(df: DataFrame, stream_cols: Sequence[str], split_cols: Sequence[str],
-                   keep: Sequence[str], value_col: str = "value") -> DataFrame:
+                   keep: Sequence[str], value_col: str = "value", split_bytes: int | None = None) -> DataFrame:
     """``keep`` columns of the rows of ``df`` that are data lines inside an
     open block.
 
     ``df`` must be laid out so that each partition holds whole splits in line
     order (a file scan, a range sort).  ``(stream_cols..., split_cols...)``
     identifies a split; splits of a stream are ordered by ``split_cols``.
+    ``split_bytes`` sets the size of file splits for the one scan of ``df``.
     """
     ship_package(df.sparkSession)
     split_keys = [*stream_cols, *split_cols]
@@ -146,8 +144,9 @@ def segment_blocks(df: DataFrame, stream_cols: Sequence[str], split_cols: Sequen
     out = T.StructType([*[T.StructField(f.name, f.dataType, True) for f in fields],
                         T.StructField(_SPLIT, T.LongType()), T.StructField(_STATE, T.IntegerType()),
                         T.StructField(_END, T.BooleanType())])
-    table = materialized(marked.mapInArrow(_resolve_splits(names, to_arrow_schema(out)), out),
-                         "blocks")
+    with file_splits(df.sparkSession, split_bytes):
+        table = materialized(marked.mapInArrow(_resolve_splits(names, to_arrow_schema(out)), out),
+                             "blocks")
 
     streams, order = names[:len(stream_cols)], names[len(stream_cols):]
     spec = Window.partitionBy(*streams) if streams else Window
@@ -164,7 +163,7 @@ def segment_blocks(df: DataFrame, stream_cols: Sequence[str], split_cols: Sequen
 
 
 def file_blocks(lines: DataFrame, value_col: str = "value",
-                stream_of: Column | None = None) -> DataFrame:
+                stream_of: Column | None = None, split_bytes: int | None = None) -> DataFrame:
     """T4 over a :func:`wavelake.sources.text.read_lines` frame; its columns
     but the file position come back.
 
@@ -175,9 +174,9 @@ def file_blocks(lines: DataFrame, value_col: str = "value",
     gzip) is handled by one task: the format cannot be split."""
     keep = [c for c in lines.columns if c not in (FILE_COL, SPLIT_COL, LINE_COL)]
     if stream_of is None:
-        return segment_blocks(lines, [FILE_COL], [SPLIT_COL], keep, value_col)
+        return segment_blocks(lines, [FILE_COL], [SPLIT_COL], keep, value_col, split_bytes)
     streamed = lines.withColumn("_wl_stream", stream_of)
-    return segment_blocks(streamed, ["_wl_stream"], [FILE_COL, SPLIT_COL], keep, value_col)
+    return segment_blocks(streamed, ["_wl_stream"], [FILE_COL, SPLIT_COL], keep, value_col, split_bytes)
 
 
 def file_folder(path_col: str = FILE_COL) -> Column:

@@ -796,15 +796,7 @@ def q_clean_log_stateful(spark: SparkSession, sf_dir: str) -> DataFrame:
     (lines.withColumn("file", F.floor(F.col("event_id") / _LINES_PER_FILE))
      .repartition("file").sortWithinPartitions("file", "event_id")
      .select("file", "value").write.partitionBy("file").text(path))
-    size, cost = "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"
-    before = {k: spark.conf.get(k) for k in (size, cost)}
-    spark.conf.set(size, str(16 * 1024))
-    spark.conf.set(cost, "0")
-    try:
-        return clean_log_stateful(spark, path)
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
+    return clean_log_stateful(spark, path, split_bytes=16 * 1024)
 
 
 @query("spectrum_from_landed", oracle="""

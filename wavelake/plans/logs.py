@@ -21,6 +21,8 @@ def clean_log_stateless(spark: SparkSession, paths: str | Sequence[str]) -> Data
     return parse_fields(drop_noise_lines(read_lines(spark, paths, with_position=False)))
 
 
-def clean_log_stateful(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """P4 = S2 + T4 + T5, state carried across splits of each file."""
-    return clean_blocks(file_blocks(read_lines(spark, paths)))
+def clean_log_stateful(spark: SparkSession, paths: str | Sequence[str],
+                       split_bytes: int | None = None) -> DataFrame:
+    """P4 = S2 + T4 + T5, state carried across splits of each file (of
+    ``split_bytes``; None: as the session is set)."""
+    return clean_blocks(file_blocks(read_lines(spark, paths), split_bytes=split_bytes))
