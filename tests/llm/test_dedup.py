@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from wavelake.llm import simhash, suffix_dedup
 from wavelake.llm.components import connected_components
 from wavelake.llm.suffix_array import suffix_array
+from wavelake.session import recorded_scratch
 
 DOCS = "doc_id long, text string, fp string, key long, root string, d int"
 
@@ -240,6 +242,80 @@ def test_no_group_of_a_shard_exceeds_the_bound(spark, monkeypatch):
     assert max(largest) <= hot
 
 
+def _chance_rows():
+    """Few words in any order: anchors meet everywhere, passages only where planted."""
+    rng = random.Random(21)
+    words = ["alphabet", "betatron", "gammaray", "deltawing"]
+
+    def own():
+        return " ".join(rng.choice(words) + (str(rng.randrange(10 ** 6)) if i % 5 == 4 else "") for i in range(150))
+
+    shared = own()[:300]
+    return [(i, own() + (shared[i % 90:] + own() if i % 10 == 0 else "")) for i in range(120)]
+
+
+@pytest.mark.parametrize("partitions", ["2", "8", "150"])
+def test_anchors_that_meet_by_chance_are_dropped(spark, partitions):
+    """Contexts go on by the passages they share, not by their anchors' strings,
+    whether an anchor lies within a sort task or at its edges."""
+    rows = _chance_rows()
+    docs = spark.createDataFrame([(i, 0, t) for i, t in rows], "doc_id long, tie long, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        found = suffix_dedup.occurrences(docs, 100, suffix_dedup.ANCHOR)
+        several = found.groupBy("anchor").agg(F.count_distinct("ctx").alias("n")).filter("n > 1")
+        by_anchor = several.agg(F.sum("n")).first()[0]
+        _, open_ = suffix_dedup.split_contexts(suffix_dedup.sorted_occurrences(found))
+        counts = open_.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max("n_ctx").alias("n_ctx"))
+        asked = counts.agg(F.sum("n"), F.min(F.col("n") == F.col("n_ctx")), F.min("n")).first()
+        got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"])
+               for r in suffix_dedup.suffix_dedup(_docs(spark, rows)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want = _slow_dedup(rows, 100)
+    assert got == {i: w for (i, _), w in zip(rows, want)} and sum(w[1] for w in want) > 1000
+    assert by_anchor > 1500 and 0 < asked[0] < by_anchor / 5
+    assert asked[1] and asked[2] > 1
+
+
+@pytest.mark.parametrize("length, k", [(100, 16), (40, 16), (17, 16), (31, 8)])
+def test_contexts_with_a_common_window_share_a_side(length, k):
+    rng = random.Random(length)
+    texts = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(length, 4 * length))) for _ in range(30)]
+    core = bytes(rng.choice(b"ab") for _ in range(2 * length))
+    texts = [t[:len(t) // 2] + core[rng.randrange(length):][:rng.randrange(length, 2 * length)] + t[len(t) // 2:]
+             for t in texts]
+    owner = {}
+    for t in texts:
+        for p, h, _, left, right, side in zip(*suffix_dedup._anchors(t, length, k)):
+            halves = {(0, int(side) >> 32), (1, int(side) & 0xFFFFFFFF)} - {(0, 0), (1, 0)}
+            assert halves
+            for s in range(p - left, p + right - length + 1):
+                owner.setdefault((t[s:s + length], h), []).append((t[p - left:p + right], p - s, halves))
+    pairs = [(a, b) for same in owner.values() for a in same for b in same if a[0] != b[0]]
+    assert len(pairs) > 50 and all(a[1] == b[1] and a[2] & b[2] for a, b in pairs)
+
+
+def test_suffix_dedup_deletes_what_it_no_longer_reads(spark):
+    """Only the spans' lists are left, and no shuffle of the steps before them."""
+    def shuffled():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size())
+                if files.apply(i).getName().startswith("shuffle_")}
+
+    docs = _docs(spark, _passage_rows(random.Random(8))).repartition(5)
+    before = shuffled()
+    with recorded_scratch() as made:
+        out = suffix_dedup.suffix_dedup(docs)
+    assert len(made) > 8
+    assert [os.path.basename(p).rpartition("-")[0] for p in made
+            if os.path.exists(p.removeprefix("file:"))] == ["span_lists"]
+    # the steps shuffled some 20 times; what is left is of counting the ids
+    assert len({f.split("_")[1] for f in shuffled() - before}) <= 3
+    assert out.agg(F.sum("n_removed")).first()[0] > 20_000
+
+
 def test_suffix_dedup_with_repeated_and_null_ids(spark):
     rng = random.Random(4)
     a, b = _words(rng, 40), _words(rng, 40)

@@ -9,7 +9,11 @@ string that starts earlier in the corpus is removed.
 2. The anchors are sorted by range on (hash, context's hash, place), which
    spreads even the most frequent one.  In the sorted tasks, anchors that occur
    once are dropped; of equal contexts the first occurrence stays for the next
-   step and the others are repeats as a whole.  The first and last anchor of a
+   step and the others are repeats as a whole.  Contexts that share a window
+   share half of what it takes beside the anchor on one side at least: those
+   whose hashes of both sides stand alone are dropped too, so what goes on
+   follows the repeated passages, not the ``ANCHOR``-byte strings that meet by
+   chance more and more in a larger corpus.  The first and last anchor of a
    task may go on in its neighbours: one occurrence per context is settled by
    joins.
 3. Contexts that share an anchor but differ are dealt to shards by anchor.  An
@@ -24,7 +28,8 @@ string that starts earlier in the corpus is removed.
 4. The repeats of a document merge to spans, which are cut out.
 
 Texts are shuffled twice, compressed: for the contexts of step 3 and for the
-cut; nothing else carries text.
+cut; nothing else carries text.  Intermediate tables and shuffles are deleted
+as soon as the next step is written.
 
 Order: smaller doc_id first, null ids last; among rows with the same id, by
 the text's hash; equal rows of the same id in any order (the first stays).
@@ -50,7 +55,7 @@ from pyspark.sql import functions as F
 
 from wavelake.llm.common import map_rows, materialized, materialized_counted, parts_for
 from wavelake.llm.suffix_array import join_texts, repeated_groups
-from wavelake.session import ship_package
+from wavelake.session import scratch_scope, ship_package
 
 LENGTH = 100
 ANCHOR = 16
@@ -109,6 +114,28 @@ def _sliding(pick, a: np.ndarray, width: int) -> np.ndarray:
 def anchors(raw: bytes, length: int = LENGTH, k: int = ANCHOR) -> tuple[np.ndarray, ...]:
     """(places, anchor hashes, context hashes, left, right) of a text's
     anchors: the context of an anchor at p is ``[p - left, p + right)``."""
+    return _anchors(raw, length, k)[:5]
+
+
+def _sides(rolling: _Rolling, p: np.ndarray, left: np.ndarray, right: np.ndarray, length: int,
+           k: int) -> np.ndarray:
+    """Two hashes of 32 bits in one number: of the ``(length - k) // 2`` bytes
+    before the anchor, and of the anchor with what a window takes after it if
+    it takes fewer before it.  0 where the context does not reach so far; one
+    of the two it does reach."""
+    before = (length - k) // 2
+    after = length - before + 1
+    out = np.zeros(len(p), dtype=np.uint64)
+    has = left >= before
+    out[has] = rolling.of(p[has] - before, p[has]) | np.uint64(1 << 32)
+    out &= np.uint64(0xFFFFFFFF << 32)
+    has = right >= after
+    out[has] |= (rolling.of(p[has], p[has] + after) >> np.uint64(32)) | np.uint64(1)
+    return out
+
+
+def _anchors(raw: bytes, length: int, k: int) -> tuple[np.ndarray, ...]:
+    """:func:`anchors` and their sides."""
     n = len(raw)
     width = length - k + 1
     found = []
@@ -130,17 +157,18 @@ def anchors(raw: bytes, length: int = LENGTH, k: int = ANCHOR) -> tuple[np.ndarr
         own, first = np.unique(owner, return_index=True)
         last = np.append(first[1:], len(owner)) - 1     # owners follow each other
         p = chosen[own]
-        context = _Rolling(data, _BASES[1]).of(first, last + length)
+        rolling = _Rolling(data, _BASES[1])
+        context = rolling.of(first, last + length)
         left, right = p - first, last + length - p
         context ^= (left * 1000 + right).astype(np.uint64)
-        found.append((p + a, h[p], context, left, right))
+        found.append((p + a, h[p], context, left, right, _sides(rolling, p, left, right, length, k)))
     if not found:
         none = np.empty(0, dtype=np.int64)
-        return none, none.view(np.uint64), none.view(np.uint64), none, none
+        return none, none.view(np.uint64), none.view(np.uint64), none, none, none.view(np.uint64)
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-_OCCURRENCE = "anchor long, ctx long, doc_id long, tie long, at long, ext int"
+_OCCURRENCE = "anchor long, ctx long, doc_id long, tie long, at long, ext int, side long"
 
 
 def _raw(text: str | None) -> bytes:
@@ -166,15 +194,15 @@ def occurrences(docs: DataFrame, length: int, k: int) -> DataFrame:
         for pdf in batches:
             parts, counts = [], []
             for text in pdf["text"]:
-                parts.append(anchors(_raw(text), length, k))
+                parts.append(_anchors(_raw(text), length, k))
                 counts.append(len(parts[-1][0]))
             if sum(counts):
-                at, anchor, ctx, left, right = (np.concatenate(x) for x in zip(*parts))
+                at, anchor, ctx, left, right, side = (np.concatenate(x) for x in zip(*parts))
                 yield pd.DataFrame({
                     "anchor": anchor.view(np.int64), "ctx": ctx.view(np.int64),
                     "doc_id": np.repeat(pdf["doc_id"].astype("Int64").to_numpy(), counts),
                     "tie": np.repeat(pdf["tie"].to_numpy(), counts), "at": at,
-                    "ext": (left * 1024 + right).astype(np.int32)})
+                    "ext": (left * 1024 + right).astype(np.int32), "side": side.view(np.int64)})
 
     return map_rows(docs, run, _OCCURRENCE)
 
@@ -182,10 +210,23 @@ def occurrences(docs: DataFrame, length: int, k: int) -> DataFrame:
 _ALONE, _LATER, _FIRST, _EDGE = 0, 1, 2, 3
 
 
+def _met(anchor: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Which contexts have a side that another one of their anchor has."""
+    out = np.zeros(len(anchor), dtype=bool)
+    for half in (side.view(np.uint64) >> np.uint64(32), side.view(np.uint64) & np.uint64(0xFFFFFFFF)):
+        order = np.lexsort((half, anchor))
+        a, b = order[:-1], order[1:]
+        same = (anchor[a] == anchor[b]) & (half[a] == half[b]) & (half[a] != 0)
+        out[a[same]] = True
+        out[b[same]] = True
+    return out
+
+
 def sorted_occurrences(found: DataFrame) -> DataFrame:
     """Occurrences with their ``kind``: ``_LATER`` ones of a context,
-    ``_FIRST`` ones of anchors with several contexts (``n_ctx``), and of the
-    first and the last anchor of each sort task one per context (``_EDGE``)."""
+    ``_FIRST`` ones that may share a window with another context of their
+    anchor (``n_ctx`` such contexts), and of the first and the last anchor of
+    each sort task one per context (``_EDGE``)."""
     keys = ["anchor", "ctx", F.col("doc_id").asc_nulls_last(), "tie", "at"]
     ordered = found.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
@@ -194,11 +235,13 @@ def sorted_occurrences(found: DataFrame) -> DataFrame:
         anchor, ctx = pdf["anchor"].to_numpy(), pdf["ctx"].to_numpy()
         new = np.concatenate(([True], anchor[1:] != anchor[:-1]))
         first = new | np.concatenate(([True], ctx[1:] != ctx[:-1]))
-        n_ctx = np.add.reduceat(first.astype(np.int32), np.flatnonzero(new))[np.cumsum(new) - 1]
-        kind = np.where(first, np.where(n_ctx > 1, _FIRST, _ALONE), _LATER)
+        open_ = first.copy()
+        open_[first] = _met(anchor[first], pdf["side"].to_numpy()[first])
+        n_ctx = np.add.reduceat(open_.astype(np.int32), np.flatnonzero(new))[np.cumsum(new) - 1]
+        kind = np.where(first, np.where(open_, _FIRST, _ALONE), _LATER)
         out = pdf.assign(kind=kind.astype(np.int32), n_ctx=n_ctx)[kind != _ALONE]
         later = out["kind"] == _LATER
-        return out.assign(anchor=out["anchor"].mask(later, 0), ctx=0,
+        return out.assign(anchor=out["anchor"].mask(later, 0), ctx=0, side=0,
                           n_ctx=out["n_ctx"].mask(later, 0))
 
     same = ["anchor", "ctx", "tie", "at"]
@@ -215,7 +258,8 @@ def sorted_occurrences(found: DataFrame) -> DataFrame:
                                   (anchor[1:] != anchor[:-1]) | (ctx[1:] != ctx[:-1])))
             last = tuple(pdf[same].iloc[-1])
             return pdf.assign(kind=np.where(new, _EDGE, _LATER).astype(np.int32), n_ctx=0,
-                              anchor=np.where(new, anchor, 0), ctx=np.where(new, ctx, 0))
+                              anchor=np.where(new, anchor, 0), ctx=np.where(new, ctx, 0),
+                              side=np.where(new, pdf["side"], 0))
 
         for pdf in batches:
             pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
@@ -253,20 +297,28 @@ def _place() -> Column:
 def split_contexts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """From sorted occurrences: the spans (``doc_id, tie, start, end``) of
     those that are not the first of their context, and the first ones of
-    anchors with several contexts (``anchor, n_ctx, doc_id, tie, at, ext``)."""
+    contexts that may share a window with another one of their anchor
+    (``anchor, n_ctx, doc_id, tie, at, ext``)."""
     edge = rows.filter(F.col("kind") == _EDGE)
     firsts = materialized(edge.groupBy("anchor", "ctx").agg(
-        F.min(_place()).alias("first"), F.first("ext").alias("ext")), "contexts")
-    several = firsts.groupBy(F.col("anchor").alias("a")).agg(
-        F.count(F.lit(1)).cast("int").alias("n_ctx"))
-    several = materialized(several.filter("n_ctx > 1"), "anchors_split")
+        F.min(_place()).alias("first"), F.first("ext").alias("ext"), F.first("side").alias("side")), "contexts")
+    halves = F.array(F.shiftrightunsigned("side", 32), -F.col("side").bitwiseAND(0xFFFFFFFF))
+    sides = firsts.select("anchor", "ctx", F.explode(halves).alias("half")).filter("half <> 0")
+    met = sides.groupBy(F.col("anchor").alias("ma"), F.col("half").alias("mh")).agg(
+        F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = (sides.join(met, (F.col("anchor") == F.col("ma")) & (F.col("half") == F.col("mh")))
+           .select(F.col("anchor").alias("oa"), F.col("ctx").alias("oc")).distinct())
+    met = materialized(met, "contexts_met")
+    several = materialized(met.groupBy(F.col("oa").alias("a")).agg(
+        F.count(F.lit(1)).cast("int").alias("n_ctx")), "anchors_split")
     heads = firsts.select(F.col("anchor").alias("fa"), F.col("ctx").alias("fc"), "first")
     later = edge.join(heads, (F.col("anchor") == F.col("fa")) & (F.col("ctx") == F.col("fc")))
     later = later.filter(_place() != F.col("first"))
     spans = ["doc_id", "tie", _start().alias("start"), _end().alias("end")]
     later = rows.filter(F.col("kind") == _LATER).select(*spans).unionByName(later.select(*spans))
     asked = ["anchor", "n_ctx", "doc_id", "tie", "at", "ext"]
-    open_ = (firsts.join(several, F.col("anchor") == F.col("a"))
+    open_ = (firsts.join(met, (F.col("anchor") == F.col("oa")) & (F.col("ctx") == F.col("oc")))
+             .join(several, F.col("anchor") == F.col("a"))
              .select("anchor", "n_ctx", "first.doc_id", "first.tie", "first.at", "ext"))
     return later, rows.filter(F.col("kind") == _FIRST).select(*asked).unionByName(open_)
 
@@ -565,20 +617,32 @@ def _repeat_spans(contexts: DataFrame, length: int, k: int) -> DataFrame:
     return reduce(DataFrame.unionByName, found, shard_spans(shared, length))
 
 
+def _span_lists(keyed: DataFrame, packed: DataFrame, key: str, length: int, k: int) -> DataFrame:
+    """``key, starts, ends`` of each document with repeats.  The tables that
+    it takes to find them are deleted, each step's when the next is written."""
+    spark = keyed.sparkSession
+    found = occurrences(keyed.select(F.col("_id").alias("doc_id"), F.col("_tie").alias("tie"), "text"),
+                        length, k)
+    with scratch_scope(spark) as tables:
+        later, open_ = split_contexts(sorted_occurrences(found))
+        with scratch_scope(spark) as shards:
+            contexts = materialized(_contexts(packed.select("_id", "_tie", "_text"), key, open_), "contexts")
+            repeats = materialized(_repeat_spans(contexts, length, k), "repeats")
+            shards.pop()  # the last one made stays
+        name = F.col("doc_id" if key == "_id" else "tie").alias("key")
+        small = [F.col(c).cast("int").alias(c) for c in ("start", "end")]
+        lists = later.unionByName(repeats).select(name, *small).groupBy("key").agg(
+            F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
+        lists = materialized(lists, "span_lists")
+        tables.pop()
+    return lists
+
+
 def _cut(docs: DataFrame, length: int, k: int) -> DataFrame:
     """``docs`` with ``_cut``: size, bytes kept and spans removed."""
     keyed, key = _keyed(docs)
-    found = occurrences(keyed.select(F.col("_id").alias("doc_id"), F.col("_tie").alias("tie"), "text"),
-                        length, k)
-    later, open_ = split_contexts(sorted_occurrences(found))
     packed = keyed.withColumn("_text", _packed()("text"))
-    contexts = materialized(_contexts(packed.select("_id", "_tie", "_text"), key, open_), "contexts")
-    spans = later.unionByName(_repeat_spans(contexts, length, k))
-    name = F.col("doc_id" if key == "_id" else "tie").alias("key")
-    small = [F.col(c).cast("int").alias(c) for c in ("start", "end")]
-    lists = spans.select(name, *small).groupBy("key").agg(
-        F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
-    rows = _joined(packed.drop("text"), lists, key)
+    rows = _joined(packed.drop("text"), _span_lists(keyed, packed, key, length, k), key)
     if key == "_id":
         rows = rows.withColumn("copy", F.lit(1))
     else:
