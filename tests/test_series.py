@@ -219,6 +219,47 @@ def test_interval_join_handles_blocks_of_points(spark, block_rows):
         assert 0 < joined < len(got) / 10
 
 
+def _exchanged(plan, metric):
+    total, plans = 0, [plan]
+    while plans:
+        plan = plans.pop()
+        plans += [plan.children().apply(i) for i in range(plan.children().size())]
+        if plan.nodeName() == "Exchange":
+            total += plan.metrics().get(metric).get().value()
+    return total
+
+
+def test_interval_join_moves_rows_once(spark):
+    """Intervals of 20 levels: what is shuffled does not grow with the levels."""
+    rng = random.Random(20)
+    rows = [(i, lo, lo + rng.randrange(1 << rng.randrange(20))) for i, lo in
+            ((i, rng.randrange(1 << 18)) for i in range(1500))]
+    df = spark.createDataFrame(rows, "i long, lo long, hi long")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = interval_join(df, df, ("lo", "hi"), ("lo", "hi"))
+        got = sorted((r["i"], r["right_i"]) for r in out.collect())
+        moved = _exchanged(out._jdf.queryExecution().executedPlan(), "dataSize")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert got == sorted((x[0], y[0]) for x in rows for y in rows if x[1] <= y[2] and y[1] <= x[2])
+    # each side's rows as intervals (of about 100 bytes) and as points
+    assert 0 < moved < 2 * len(rows) * 200
+
+
+def test_interval_join_with_chunks_that_are_not_broadcast(spark):
+    rng = random.Random(22)
+    rows = [(i, rng.choice("ab"), lo, lo + rng.choice([0, 5, 3000])) for i, lo in
+            ((i, rng.choice([50, rng.randint(0, 5000)])) for i in range(200))]
+    df = spark.createDataFrame(rows, "i long, k string, lo long, hi long")
+    out = interval_join(df, df, ("lo", "hi"), ("lo", "hi"), by=["k"], keep=["right_i", "i"], hot_rows=30,
+                        block_rows=4, few_chunks=0)
+    assert out.columns == ["i", "right_i"] and "NestedLoop" not in _plan(out)
+    assert sorted(map(tuple, out.collect())) == sorted(
+        (x[0], y[0]) for x in rows for y in rows if x[1] == y[1] and x[2] <= y[3] and y[2] <= x[3])
+
+
 def test_interval_join_of_nothing(spark):
     df = spark.createDataFrame([(1, 2)], "lo long, hi long")
     assert interval_join(df, df.limit(0), ("lo", "hi"), ("lo", "hi")).collect() == []
